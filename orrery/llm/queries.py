@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import quality_rules
+from orrery.llm import quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -36,3 +36,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality_rules.rejected(base).alias("base_failed"),
         (~quality_rules.rejected(full)).alias("kept"),
     )
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's findings: counts of the base kinds, their digest, and all spans."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "findings")
+    base = F.filter("findings", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+    n = lambda kind: F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *(n(kind) for kind in secret_scan.BASE_KINDS),
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed("findings").alias("spans"),
+    )
