@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from orrery.llm import quality_rules, secret_scan
+from orrery.llm import language_id, quality_rules, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -50,3 +50,29 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
         secret_scan.listed("findings").alias("spans"),
     )
+
+
+def _fold(n: int) -> Column:
+    """crc32(doc_id as text) mod n; -1 for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n)), F.lit(-1))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learnt from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(_fold(3) != 1).select("doc_id", "text", "lang"))
+    got = docs.select("doc_id", "text").withColumn("got", language_id.predictor(docs, model))
+    return got.select("doc_id", (_fold(3) == 1).alias("held_out"), "got.lang_pred", "got.score")
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt from the labels of four fifths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(_fold(5) != 0).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs, labels)
+    scored = docs.withColumn("score", toxicity.scorer(docs, model))
+    return scored.select(
+        "doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
