@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from orrery.llm import language_id, quality_rules, secret_scan, toxicity
+from orrery.llm import decontaminate, language_id, quality_rules, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -76,3 +76,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item of which it covers half or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.match(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("matches").alias("m"))
+    return found.select("doc_id", "m.item_id", "m.coverage", "m.n_tiles", "m.longest_tile")

@@ -73,7 +73,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _logistic(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights on presence * ratio, and the intercept, by accelerated gradient steps with a small ridge."""
+    """Weights on presence * ratio, and the intercept, by accelerated gradient steps with a small ridge.
+
+    Each class weighs one half, so that 0.5 is the border between them however rare one is.
+    """
+    share = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
     at = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
     size = np.array([len(r) for r in rows])
     row = np.repeat(np.arange(len(rows)), size)
@@ -86,7 +90,7 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, rounds:
     for k in range(rounds):
         vw, vb = w + (k / (k + 3)) * (w - pw), b + (k / (k + 3)) * (b - pb)
         z = np.bincount(row, x * vw[at], len(rows)) + vb
-        g = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
+        g = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * share
         pw, pb = w, b
         w = vw - rate * (np.bincount(at, x * g[row], len(ratios)) + ridge * vw)
         b = vb - rate * g.sum()
