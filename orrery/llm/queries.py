@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from orrery.llm import decontaminate, language_id, quality_rules, secret_scan, toxicity
+from orrery.llm import decontaminate, language_id, packing, quality_rules, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -84,3 +85,22 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.match(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("matches").alias("m"))
     return found.select("doc_id", "m.item_id", "m.coverage", "m.n_tiles", "m.longest_tile")
+
+
+def byte_bpe() -> packing.Encoder:
+    """The vocabulary byte_bpe_50k, with id 1 after each text."""
+    return packing.Encoder(
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        closing=1,
+    )
+
+
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 2048 tokens."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), byte_bpe())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
