@@ -34,3 +34,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
        (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept
 FROM b
 """
+
+ORACLES["op6_warc"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), g AS (
+  SELECT html, max(page_id) AS first FROM p WHERE strlen(html) >= 1000 GROUP BY html
+)
+SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN g ON p.html = g.html
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from orrery.llm import decontaminate, language_id, packing, quality_rules, secret_scan, sharding, toxicity
+from orrery.llm import decontaminate, language_id, packing, quality_rules, secret_scan, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -119,3 +119,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived, found again through the capture index, and read back."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    index, _ = warc.archive(spark, pages)
+    found = warc.lookup(index, warc.keys_of(pages))
+    back = warc.read_records(found)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
