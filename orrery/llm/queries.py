@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from orrery.llm import decontaminate, language_id, packing, quality_rules, secret_scan, sharding, toxicity, warc
+from orrery.llm import decontaminate, language_id, packing, quality_rules, secret_scan, sharding, suffix_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -129,3 +129,17 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.lookup(index, warc.keys_of(pages))
     back = warc.read_records(found)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 200 that also start elsewhere."""
+    cut = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        gone.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        "kept_sha256",
+    )
