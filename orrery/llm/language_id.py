@@ -43,7 +43,7 @@ FAMILIES = {
 
 SIZES = (1, 2, 3)
 BITS = 14
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 1000
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -61,22 +61,38 @@ def shares(text: str) -> np.ndarray:
     return total / max(1.0, total.sum())
 
 
-def svm(x: np.ndarray, y: np.ndarray, epochs: int = 12, c: float = 1.0) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss by dual coordinate descent; ``y`` is -1 or 1."""
-    scale = 1 / (x.std(axis=0) + 1e-3 / x.shape[1])
-    z = np.hstack([x * scale, np.ones((len(x), 1))]).astype(np.float32)
-    z /= np.sqrt((z * z).sum(axis=1).mean())
-    alpha, w = np.zeros(len(z)), np.zeros(z.shape[1], dtype=np.float32)
-    diag = (z * z).sum(axis=1) + 0.5 / c
+Rows = list[tuple[np.ndarray, np.ndarray]]
+
+
+def svm(rows: Rows, y: np.ndarray, epochs: int = 12, c: float = 1.0) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss by dual coordinate descent.
+
+    ``rows`` are sparse, (places, shares) each; ``y`` is -1 or 1. Every feature is
+    scaled by its spread, and all rows by the same factor to a mean length of 1.
+    """
+    size, n = 1 << BITS, len(rows)
+    total, squares = np.zeros(size), np.zeros(size)
+    for at, x in rows:
+        total[at] += x
+        squares[at] += x * x
+    scale = 1 / (np.sqrt(np.maximum(0, squares / n - (total / n) ** 2)) + 1e-3 / size)
+    norm = np.sqrt(1 + (squares * scale * scale).sum() / n)
+    scale /= norm
+    z = [(x * scale[at]).astype(np.float32) for at, x in rows]
+    one = 1 / norm
+    diag = np.array([float(v @ v) for v in z]) + one * one + 0.5 / c
+    alpha, w, b = np.zeros(n), np.zeros(size), 0.0
     order = np.random.default_rng(0)
     for _ in range(epochs):
-        for i in order.permutation(len(z)):
-            g = y[i] * float(z[i] @ w) - 1 + alpha[i] / (2 * c)
-            new = max(0.0, alpha[i] - g / diag[i])
-            w += np.float32((new - alpha[i]) * y[i]) * z[i]
-            alpha[i] = new
-    norm = np.sqrt((np.hstack([x * scale, np.ones((len(x), 1))]) ** 2).sum(axis=1).mean())
-    return w[:-1] * scale / norm, float(w[-1] / norm)
+        for i in order.permutation(n).tolist():
+            at = rows[i][0]
+            g = y[i] * (float(z[i] @ w[at]) + one * b) - 1 + alpha[i] / (2 * c)
+            step = (max(0.0, alpha[i] - g / diag[i]) - alpha[i]) * y[i]
+            if step:
+                w[at] += step * z[i]
+                b += step * one
+                alpha[i] += step * y[i]
+    return w * scale, b * one
 
 
 @dataclass(frozen=True)
@@ -103,10 +119,13 @@ class Machines:
         return self.names[best], float(1 / (1 + np.exp(-4 * np.clip(least[best], -100, 100))))
 
 
-def _machines(x: np.ndarray, of: np.ndarray, names: list[str]) -> Machines:
-    pairs = [svm(x[m], np.where(of[m] == a, 1.0, -1.0)) for a, b in combinations(names, 2) for m in [(of == a) | (of == b)]]
-    weights = np.stack([w for w, _ in pairs], axis=1) if pairs else np.zeros((x.shape[1], 0))
-    return Machines(tuple(names), weights.astype(np.float32), np.array([b for _, b in pairs]))
+def _machines(rows: Rows, of: np.ndarray, names: list[str]) -> Machines:
+    made = []
+    for a, b in combinations(names, 2):
+        chosen = np.flatnonzero((of == a) | (of == b))
+        made.append(svm([rows[i] for i in chosen], np.where(of[chosen] == a, 1.0, -1.0)))
+    weights = np.stack([w for w, _ in made], axis=1) if made else np.zeros((1 << BITS, 0))
+    return Machines(tuple(names), weights.astype(np.float32), np.array([b for _, b in made]))
 
 
 @dataclass(frozen=True)
@@ -165,13 +184,17 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str, t
 
     got = sample.mapInArrow(featured, "lang string, at binary, share binary").collect()
     got.sort(key=lambda r: (r["lang"], r["at"], r["share"]))
-    x = np.zeros((len(got), 1 << BITS), dtype=np.float32)
-    for row, r in zip(x, got, strict=True):
-        row[np.frombuffer(r["at"], dtype=np.uint16)] = np.frombuffer(r["share"], dtype=np.float32)
+    rows = [
+        (np.frombuffer(r["at"], dtype=np.uint16).astype(np.int32), np.frombuffer(r["share"], dtype=np.float32)) for r in got
+    ]
     langs = np.array([r["lang"] for r in got])
     of = np.array([family(lang, families) for lang in langs])
-    top = _machines(x, of, sorted(set(of)))
-    return Model(top, {f: _machines(x[of == f], langs[of == f], sorted(set(langs[of == f]))) for f in top.names})
+    top = _machines(rows, of, sorted(set(of)))
+    within = {}
+    for name in top.names:
+        own = np.flatnonzero(of == name)
+        within[name] = _machines([rows[i] for i in own], langs[own], sorted(set(langs[own])))
+    return Model(top, within)
 
 
 def predictor(docs: DataFrame, model: Model, text_col: str = "text") -> Column:

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from orrery.llm import rolling
 
 _SETTING = "spark.checkpoint.dir"
+BLOOM_KEYS = 20_000_000
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -27,3 +33,47 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def among(keys: DataFrame, column: str) -> Column | None:
+    """Whether a key is (certainly not, or probably) among ``keys``; None if they are too many for a broadcast filter.
+
+    Only spares shuffling rows that a join would drop anyway.
+    """
+    n = keys.count()
+    if n > BLOOM_KEYS:
+        return None
+    bits = 1 << max(10, (n * 10).bit_length())
+    mask = np.uint64(bits - 1)
+
+    def places(x: np.ndarray) -> Iterator[np.ndarray]:
+        x = rolling.mixed(x.view(np.uint64))
+        for k in (0, 21, 42):
+            yield ((x >> np.uint64(k)) & mask).astype(np.int64)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, dtype=bool)
+        for batch in batches:
+            for p in places(np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False))):
+                seen[p] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], type=pa.binary())], names=["bits"])
+
+    filled = np.zeros(bits // 8, dtype=np.uint8)
+    for row in keys.coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():
+        filled |= np.frombuffer(row["bits"], dtype=np.uint8)
+    sent = keys.sparkSession.sparkContext.broadcast(filled)
+
+    @F.arrow_udf(T.BooleanType())
+    def tested(column: pa.Array) -> pa.Array:
+        out = np.ones(len(column), dtype=bool)
+        for p in places(np.ascontiguousarray(column.to_numpy(zero_copy_only=False))):
+            out &= (sent.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+        return pa.array(out)
+
+    return tested(F.col(column))
+
+
+def likely(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be among ``keys``: all that are, and few others."""
+    test = among(keys, column)
+    return df if test is None else df.where(test)

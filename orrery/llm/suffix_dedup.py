@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from orrery.llm import rolling, shared
@@ -39,7 +39,6 @@ GRAM = 40
 CROWD = 256
 CHUNK = 4 << 20
 SCAN_BYTES = 1 << 20
-BLOOM_KEYS = 20_000_000
 
 
 def stretches(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
@@ -272,50 +271,6 @@ def _fetched(hashes: bool, length: int):
     return fetch
 
 
-def _among(keys: DataFrame, column: str) -> Column | None:
-    """Whether a key is (certainly not, or probably) among ``keys``; None if they are too many for a broadcast filter.
-
-    Only spares shuffling rows that a join would drop anyway.
-    """
-    n = keys.count()
-    if n > BLOOM_KEYS:
-        return None
-    bits = 1 << max(10, (n * 10).bit_length())
-    mask = np.uint64(bits - 1)
-
-    def places(x: np.ndarray) -> Iterator[np.ndarray]:
-        x = rolling.mixed(x.view(np.uint64))
-        for k in (0, 21, 42):
-            yield ((x >> np.uint64(k)) & mask).astype(np.int64)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits, dtype=bool)
-        for batch in batches:
-            for p in places(np.ascontiguousarray(_long(batch.column(0)))):
-                seen[p] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], type=pa.binary())], names=["bits"])
-
-    filled = np.zeros(bits // 8, dtype=np.uint8)
-    for row in keys.coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():
-        filled |= np.frombuffer(row["bits"], dtype=np.uint8)
-    sent = keys.sparkSession.sparkContext.broadcast(filled)
-
-    @F.arrow_udf(T.BooleanType())
-    def among(column: pa.Array) -> pa.Array:
-        out = np.ones(len(column), dtype=bool)
-        for p in places(np.ascontiguousarray(_long(column))):
-            out &= (sent.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
-        return pa.array(out)
-
-    return among(F.col(column))
-
-
-def _of(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """The texts that may be among ``keys``."""
-    among = _among(keys.select("key"), "key")
-    return texts if among is None else texts.where(among)
-
-
 def repeated(
     docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD
 ) -> DataFrame:
@@ -345,7 +300,7 @@ def repeated(
 
     def fetched(wanted: DataFrame, hashes: bool, schema: str) -> DataFrame:
         by_text = wanted.groupBy("key").agg(F.collect_list(F.struct("bucket", "content", "start", "run")).alias("wanted"))
-        one_each = _of(texts, by_text).dropDuplicates(["key"])
+        one_each = shared.likely(texts, by_text.select("key"), "key").dropDuplicates(["key"])
         return one_each.join(by_text, "key").select("text", "wanted").mapInArrow(_fetched(hashes, length), schema)
 
     spans = [
@@ -428,7 +383,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         F.array().cast(schema["removed"].dataType).alias("removed"),
         F.sha2("text", 256).alias("kept_sha256"),
     )
-    among = _among(found.select("key"), "key")
+    among = shared.among(found.select("key"), "key")
     near = rows if among is None else rows.where(among)
     none = F.array().cast(found.schema["spans"].dataType)
     joined = near.join(found, "key", "left").select("id", "text", F.coalesce("spans", none).alias("spans"))
