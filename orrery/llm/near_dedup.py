@@ -1,4 +1,29 @@
-"""Near-duplicate documents by bottom-k sketches."""
+"""Near-duplicate documents by bottom-k sketches.
+
+A document's set is the distinct hashes of its five-word shingles; documents of
+equal sets are one set from then on. The sketch of a set is its ``k`` smallest
+hashes. Two similar sets share many of their sketches' values (``least_shared``),
+so they share one of the rarest few of each, and only those go to the inverted
+lists: values that very many documents hold are looked up only for documents
+that hold hardly anything else.
+
+Lists of at most ``crowd`` sets give pairs, filtered by the similarity that the
+sketch of the union estimates, and confirmed on full sets. Longer lists are
+taken together as families. Within a family a set with too many shingles of its
+own can't be similar to any other; the rest are compared with the family's
+centre, and only what the centre doesn't link is compared with all, in blocks
+that return a spanning forest of their links. So no list is expanded into its
+pairs, and no link between different sets is left out: for sets of up to ``k``
+shingles candidates are certain, for larger ones a pair right at the limit is
+missed once in 10^7. Components come from alternating star contractions. The
+driver gets counts, and a Bloom filter of bounded size.
+
+Defined results: words are runs of bytes other than ASCII white space, A-Z as
+a-z; a null or empty text, or one without words, has no shingles and is linked
+with nothing; rows that repeat a text are linked; a null id is never the
+smallest of a component unless all its ids are null; an empty table gives an
+empty table; only the id is carried.
+"""
 
 from __future__ import annotations
 
@@ -282,7 +307,10 @@ def link(
     crowd: int = 32,
     block: int = 256,
 ) -> DataFrame:
-    """A row for each document: id_col, n_shingles, component_id, the smallest id that it is linked to."""
+    """A row for each document: id_col, text_key (xxhash64 of the text), n_shingles and component_id,
+
+    the smallest id that it is linked to.
+    """
     rows = shared.written(sketched(docs, id_col, text_col, k), "sketches")
     sets = shared.written(
         rows.where("set_key IS NOT NULL")
@@ -330,5 +358,27 @@ def link(
     label = sets.select("set_key", "first").join(labelled, "set_key", "left")
     label = shared.written(label.select("set_key", F.coalesce("component", "first").alias("component")), "labels")
     return rows.join(label, "set_key", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
+        F.col("id").alias(id_col),
+        "text_key",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component", "id").alias("component_id"),
+    )
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """The documents that stay: one of each component, that with the smallest id, and one of rows that repeat it."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.xxhash64(text)))
+    found = link(docs, id_col, text_col, percent).select(
+        F.xxhash64(F.col(id_col), F.col("text_key")).alias("_row"),
+        (~F.col(id_col).eqNullSafe(F.col("component_id"))).alias("gone"),
     )
+    rows = found.groupBy("_row").agg(F.bool_or("gone").alias("gone"), F.count("*").alias("n"))
+    touched = shared.written(rows.where("gone OR n > 1").select("_row", "gone"), "touched")
+    test = shared.among(touched.select("_row"), "_row")
+    near = keyed if test is None else keyed.where(test)
+    near = near.join(touched, "_row", "left").where(~F.coalesce("gone", F.lit(False)))
+    repeated = near.where("gone IS NOT NULL").dropDuplicates(["_row"])
+    stay = repeated.unionByName(near.where("gone IS NULL")).drop("gone")
+    stay = stay if test is None else stay.unionByName(keyed.where(~test))
+    return stay.drop("_row")

@@ -138,6 +138,15 @@ def rejected(policy: Policy, rules: Sequence[Rule] = RULES) -> Column:
     return F.col("failed_bits").bitwiseAND(F.lit(policy.mask(rules)).cast("long")) != 0
 
 
+def passing(docs: DataFrame, policy: Policy = POLICIES[-1], text_col: str = "text") -> DataFrame:
+    """The documents that the policy keeps, with all their columns and no others."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(text_col).alias("_text"))
+    # pushed below the ledger's projections, the filter would spell out every measurement anew; a number that the
+    # optimizer can't move keeps it above them
+    book = ledger(whole, ["_doc"], "_text").withColumn("_place", F.monotonically_increasing_id())
+    return book.where(~rejected(policy) & (F.col("_place") >= 0)).select("_doc.*")
+
+
 def verdicts(book: DataFrame, policies: Sequence[Policy] = POLICIES, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The ledger with a column kept_<version> for each policy."""
     return book.withColumns({f"kept_{p.version}": ~rejected(p, rules) for p in policies})
