@@ -10,8 +10,8 @@ are fetched, and an enhanced suffix array over them (built by prefix doubling,
 common prefixes from its levels) is scanned with a stack for its intervals of
 common prefixes; those whose suffixes are preceded by different bytes are the
 maximal repeats, with all their occurrences. Buckets of more than ``crowd``
-different stretches are taken apart: their strings are counted by hash, in
-Spark, and never meet in one task.
+different stretches, more bytes than a scan takes, are taken apart: their
+strings are counted by hash, in Spark, and never meet in one task.
 
 Hashes are used in pairs of 64 bits where equality counts (bucket and stretch,
 bucket and string). Positions are bytes of the UTF-8 text.
@@ -36,9 +36,9 @@ from orrery.llm import rolling, shared
 
 LENGTH = 200
 GRAM = 40
-CROWD = 256
 CHUNK = 4 << 20
 SCAN_BYTES = 1 << 20
+CROWD = SCAN_BYTES // 350  # stretches have 350 bytes at most with the sizes above, less than 280 on average
 
 
 def stretches(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
@@ -179,7 +179,25 @@ def repeats(
 
 
 def covered(contents: list[bytes], length: int) -> list[np.ndarray]:
-    """For each of the contents, which bytes lie in a string of ``length`` that is in another place of them too."""
+    """For each of the contents, which bytes lie in a string of ``length`` that is in another place of them too.
+
+    Contents none of whose strings has the hash of another are left out of the suffix array.
+    """
+    sizes = np.array([len(c) for c in contents])
+    strings = rolling.Hashed(np.frombuffer(b"".join(contents), dtype=np.uint8)).grams(length)
+    owner = np.repeat(np.arange(len(contents)), sizes)
+    whole = np.flatnonzero(owner[: len(strings)] == owner[length - 1 :])
+    order = whole[np.argsort(strings[whole], kind="stable")]
+    equal = np.flatnonzero(strings[order[1:]] == strings[order[:-1]])
+    some = np.unique(owner[np.concatenate((order[equal], order[equal + 1]))])
+    out = [np.zeros(n, dtype=bool) for n in sizes]
+    if len(some):
+        for i, inside in zip(some.tolist(), _covered([contents[i] for i in some], length), strict=True):
+            out[i] = inside
+    return out
+
+
+def _covered(contents: list[bytes], length: int) -> list[np.ndarray]:
     sizes = np.array([len(c) for c in contents])
     ends = np.cumsum(sizes + 1)
     symbols = np.frombuffer(b"\0".join([*contents, b""]), dtype=np.uint8).astype(np.int64)
@@ -235,6 +253,23 @@ def _scanned(length: int):
     return scan
 
 
+def _joined(length: int):
+    """The spans that strings at these starts cover, for each content."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [
+                [{"begin": b, "end": e} for b, e in merged([(x, x + length) for x in starts])]
+                for starts in batch.column("starts").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("bucket"), batch.column("content"), pa.array(spans, type=_FOUND_ARROW.field("spans").type)],
+                schema=_FOUND_ARROW,
+            )
+
+    return join
+
+
 def _fetched(hashes: bool, length: int):
     """The bytes of the stretches wanted of each text, or the hashes of their strings."""
 
@@ -274,7 +309,10 @@ def _fetched(hashes: bool, length: int):
 def repeated(
     docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD
 ) -> DataFrame:
-    """(key, spans): for each text, by its xxhash64, with repeats: their (begin, end), unsorted, may overlap."""
+    """(key, found): for each text with repeats, by its xxhash64, their spans (begin, end) after a start.
+
+    They are not in order, and may overlap.
+    """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     texts = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).where(F.octet_length("text") >= length)
     made = shared.written(texts.mapInArrow(_stretched(length, gram), _STRETCH), "stretches", compression="zstd")
@@ -303,38 +341,32 @@ def repeated(
         one_each = shared.likely(texts, by_text.select("key"), "key").dropDuplicates(["key"])
         return one_each.join(by_text, "key").select("text", "wanted").mapInArrow(_fetched(hashes, length), schema)
 
-    spans = [
+    spans = (
         fetched(single, False, "bucket long, content long, data binary")
         .repartition("bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_scanned(length), _FOUND)
-        .select("bucket", "content", F.explode("spans").alias("s"))
-        .select("bucket", "content", "s.begin", "s.end")
-    ]
+        .where(F.size("spans") > 0)
+    )
     if not crowded.isEmpty():
         strings = shared.written(
             fetched(crowded, True, "bucket long, content long, at int, string long"), "strings", compression="zstd"
         )
         twice = strings.groupBy("bucket", "string").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "string")
-        found = strings.join(shared.written(twice, "twice"), ["bucket", "string"]).select(
-            "bucket", "content", F.col("at").alias("begin"), (F.col("at") + length).alias("end")
-        )
-        spans.append(found)
-    partly = spans[0] if len(spans) == 1 else spans[0].unionByName(spans[1])
-    partly = shared.written(partly, "spans")
+        found = strings.join(shared.written(twice, "twice"), ["bucket", "string"], "left_semi")
+        starts = found.groupBy("bucket", "content").agg(F.sort_array(F.collect_list("at")).alias("starts"))
+        spans = spans.unionByName(starts.mapInArrow(_joined(length), _FOUND))
+    partly = shared.written(spans, "spans")
     whole = shared.written(
         shared_rows.groupBy("bucket", "content").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "content"),
         "whole",
     )
     places = shared_rows.groupBy("key", "start", "run", "bucket", "content").agg(F.lit(1).alias("_"))
-    everywhere = places.join(whole, ["bucket", "content"], "left_semi").select(
-        "key", F.col("start").alias("begin"), (F.col("start") + F.col("run") + (length - 1)).alias("end")
-    )
-    here = places.join(partly, ["bucket", "content"]).select(
-        "key", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end")
-    )
+    all_of_it = F.array(F.struct(F.lit(0).alias("begin"), (F.col("run") + (length - 1)).cast("int").alias("end")))
+    everywhere = places.join(whole, ["bucket", "content"], "left_semi").select("key", "start", all_of_it.alias("spans"))
+    here = places.join(partly, ["bucket", "content"]).select("key", "start", "spans")
     return shared.written(
-        everywhere.unionByName(here).groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "covered"
+        everywhere.unionByName(here).groupBy("key").agg(F.collect_set(F.struct("start", "spans")).alias("found")), "covered"
     )
 
 
@@ -367,9 +399,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, (key, spans) in enumerate(zip(batch.column("id").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
+            for i, (key, found) in enumerate(zip(batch.column("id").to_pylist(), batch.column("found").to_pylist(), strict=True)):
                 data = _bytes(batch.column("text")[i])
-                gone = merged([(s["begin"], s["end"]) for s in spans])
+                gone = merged([(f["start"] + s["begin"], f["start"] + s["end"]) for f in found for s in f["spans"]])
                 digest, at = hashlib.sha256(), 0
                 for begin, end in [*gone, (len(data), len(data))]:
                     digest.update(data[at:begin])
@@ -385,7 +417,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     )
     among = shared.among(found.select("key"), "key")
     near = rows if among is None else rows.where(among)
-    none = F.array().cast(found.schema["spans"].dataType)
-    joined = near.join(found, "key", "left").select("id", "text", F.coalesce("spans", none).alias("spans"))
+    none = F.array().cast(found.schema["found"].dataType)
+    joined = near.join(found, "key", "left").select("id", "text", F.coalesce("found", none).alias("found"))
     out = joined.mapInArrow(cut, schema)
     return out if among is None else out.unionByName(plain(rows.where(~among)))
