@@ -37,8 +37,8 @@ from orrery.llm import rolling, shared
 LENGTH = 200
 GRAM = 40
 CHUNK = 4 << 20
-SCAN_BYTES = 1 << 20
-CROWD = SCAN_BYTES // 350  # stretches have 350 bytes at most with the sizes above, less than 280 on average
+SCAN_BYTES = 1 << 19
+CROWD = (1 << 20) // 350  # stretches have 360 bytes at most with the sizes above: a crowd is over a megabyte
 
 
 def stretches(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
@@ -111,12 +111,12 @@ def _stretched(length: int, gram: int):
 
 def suffix_array(symbols: np.ndarray, most: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """The order of the suffixes by their first ``most`` symbols or more, and the ranks by 1, 2, 4, ... of them."""
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
+    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int32) + np.int32(1)
     levels, h = [(1, rank)], 1
     while h < most:
-        ahead = np.zeros_like(rank)
-        ahead[:-h] = rank[h:]
-        rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + ahead, return_inverse=True)[1].astype(np.int64) + 1
+        pairs = rank.astype(np.int64) * (int(rank.max(initial=0)) + 1)
+        pairs[:-h] += rank[h:]
+        rank = np.unique(pairs, return_inverse=True)[1].astype(np.int32) + np.int32(1)
         h *= 2
         levels.append((h, rank))
     return np.argsort(rank, kind="stable"), levels
@@ -184,12 +184,7 @@ def covered(contents: list[bytes], length: int) -> list[np.ndarray]:
     Contents none of whose strings has the hash of another are left out of the suffix array.
     """
     sizes = np.array([len(c) for c in contents])
-    strings = rolling.Hashed(np.frombuffer(b"".join(contents), dtype=np.uint8)).grams(length)
-    owner = np.repeat(np.arange(len(contents)), sizes)
-    whole = np.flatnonzero(owner[: len(strings)] == owner[length - 1 :])
-    order = whole[np.argsort(strings[whole], kind="stable")]
-    equal = np.flatnonzero(strings[order[1:]] == strings[order[:-1]])
-    some = np.unique(owner[np.concatenate((order[equal], order[equal + 1]))])
+    some = _sharing(contents, sizes, length)
     out = [np.zeros(n, dtype=bool) for n in sizes]
     if len(some):
         for i, inside in zip(some.tolist(), _covered([contents[i] for i in some], length), strict=True):
@@ -197,6 +192,16 @@ def covered(contents: list[bytes], length: int) -> list[np.ndarray]:
     return out
 
 
+def _sharing(contents: list[bytes], sizes: np.ndarray, length: int) -> np.ndarray:
+    """Which contents have a string whose hash occurs twice."""
+    strings = rolling.Hashed(np.frombuffer(b"".join(contents), dtype=np.uint8)).grams(length)
+    owner = np.repeat(np.arange(len(contents), dtype=np.int32), sizes)
+    whole = np.flatnonzero(owner[: len(strings)] == owner[length - 1 :])
+    order = whole[np.argsort(strings[whole], kind="stable")]
+    equal = np.flatnonzero(strings[order[1:]] == strings[order[:-1]])
+    return np.unique(owner[np.concatenate((order[equal], order[equal + 1]))])
+
+
 def _covered(contents: list[bytes], length: int) -> list[np.ndarray]:
     sizes = np.array([len(c) for c in contents])
     ends = np.cumsum(sizes + 1)
