@@ -538,7 +538,7 @@ def obscore_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One wide row for each dataset."""
     c = catalog(spark, sf_dir)
     rows = c.query().datasets("shipment", "R").frame()
-    wide = c.expand(c.expand(rows, records=True), records=True)
+    wide = c.expand(rows, records=True)
     return wide.select(F.lit("shipment").alias("dataset_type"), "dataset_id", ops.templated("part{part:08d}/{supplier}").alias("path"), "brand", F.col("nation__name").alias("nation_name"))
 
 
