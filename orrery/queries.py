@@ -130,11 +130,11 @@ def find_first_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT part, supplier, dataset_id, run FROM ({SHIPPED_SQL}) s JOIN part ON p_partkey = part
-WHERE p_size BETWEEN 1 AND 20 AND p_retailprice > 1000
+WHERE p_size BETWEEN 1 AND 20 AND p_retailprice > 930
 QUALIFY row_number() OVER (PARTITION BY part, supplier ORDER BY CASE run WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) = 1
 ORDER BY part DESC, supplier LIMIT 500""")
 def find_first_where_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = catalog(spark, sf_dir).query().where("part.size IN (1..20) AND part.retailprice > 1000")
+    q = catalog(spark, sf_dir).query().where("part.size IN (1..20) AND part.retailprice > 930")
     return q.datasets("shipment", "all").order_by("-part", "supplier").limit(500).frame()
 
 
@@ -213,9 +213,9 @@ def where_glob_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir, "GLOB(part.name, '?m*i*')")
 
 
-@query(PART_SQL + "NOT (p_size < 10 OR p_retailprice > 1500 AND p_type = 'ECONOMY') OR p_partkey IN (1, 2, 3)")
+@query(PART_SQL + "NOT (p_size < 10 OR p_retailprice > 980 AND p_type = 'ECONOMY') OR p_partkey IN (1, 2, 3)")
 def where_not_or_cnf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir, "NOT (size < 10 OR retailprice > 1500 AND part.type = 'ECONOMY') OR part IN (1, 2, 3)")
+    return _parts(spark, sf_dir, "NOT (size < 10 OR retailprice > 980 AND part.type = 'ECONOMY') OR part IN (1, 2, 3)")
 
 
 @query(PART_SQL + "p_size IN (3, 7, 9) OR p_size BETWEEN 40 AND 44")
@@ -223,9 +223,9 @@ def where_in_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir, "part.size IN (:wanted, 40..44)", wanted=[3, 7, 9])
 
 
-@query(PART_SQL + "(p_size * 3 + 1) % 7 = 2 AND p_retailprice / 2.0 - 1.0 > 600")
+@query(PART_SQL + "(p_size * 3 + 1) % 7 = 2 AND p_retailprice / 2.0 - 1.0 > 460")
 def where_arith_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir, "(part.size * 3 + 1) % 7 = 2 AND retailprice / 2.0 - 1.0 > 600")
+    return _parts(spark, sf_dir, "(part.size * 3 + 1) % 7 = 2 AND retailprice / 2.0 - 1.0 > 460")
 
 
 @query(PART_SQL + "-p_size > -10 AND NOT p_size = 3")
