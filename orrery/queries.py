@@ -495,6 +495,13 @@ def ensure_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.ensure(s.where("s_suppkey < 20"), s.where("s_suppkey % 2 = 0").withColumn("s_name", F.lit("new")), ["s_suppkey"])
 
 
+@query("""SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 'new' FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 2 = 0""")
+def ensure_absent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ensure_absent, into a table that grows with supplier."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    return ops.ensure(s.where("s_suppkey % 3 = 0"), s.where("s_suppkey % 2 = 0").withColumn("s_name", F.lit("new")), ["s_suppkey"])
+
+
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier")
 def update_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
@@ -507,6 +514,18 @@ def delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.delete_where(ops.delete(s, s.where("s_suppkey % 5 = 0"), ["s_suppkey"]), F.col("s_acctbal") < 0).select("s_suppkey")
 
 
+def _conflicts(s: DataFrame, imported: str = "true") -> DataFrame:
+    """Conflicts of the shipments that ``imported`` selects, some of them altered, with all of them."""
+    s = s.withColumn("dataset_type", F.lit("shipment"))
+    one = lambda c, n: (c % n == 0).cast("int")
+    part = F.col("part")
+    new = s.where(imported).select(
+        (F.col("dataset_id") + one(part, 11)).alias("dataset_id"), "dataset_type", F.when(part % 7 == 0, "X").otherwise(F.col("run")).alias("run"),
+        (part + one(part, 5)).alias("part"), "supplier",
+    )
+    return ops.import_conflicts(s, s, new, ["part", "supplier"])
+
+
 @query(f"""WITH d AS ({SHIPPED_SQL}), n AS (SELECT dataset_id, part, supplier, CASE WHEN part % 7 = 0 THEN 'X' ELSE run END AS run,
 part + (part % 5 = 0)::INT AS np, dataset_id + (part % 11 = 0)::INT AS nid FROM d WHERE part < 200)
 SELECT DISTINCT dataset_id, reason FROM (
@@ -514,14 +533,18 @@ SELECT nid AS dataset_id, 'definition' AS reason FROM n JOIN d ON d.dataset_id =
 UNION ALL SELECT nid, 'data_id' FROM n JOIN d ON d.dataset_id = nid AND d.run = n.run WHERE d.part <> np OR d.supplier <> n.supplier
 UNION ALL SELECT nid, 'id' FROM n JOIN d ON d.run = n.run AND d.part = np AND d.supplier = n.supplier WHERE d.dataset_id <> nid)""")
 def import_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = shipments(spark, sf_dir).withColumn("dataset_type", F.lit("shipment"))
-    one = lambda c, n: (c % n == 0).cast("int")
-    part = F.col("part")
-    new = s.where("part < 200").select(
-        (F.col("dataset_id") + one(part, 11)).alias("dataset_id"), "dataset_type", F.when(part % 7 == 0, "X").otherwise(F.col("run")).alias("run"),
-        (part + one(part, 5)).alias("part"), "supplier",
-    )
-    return ops.import_conflicts(s, s, new, ["part", "supplier"])
+    return _conflicts(shipments(spark, sf_dir), "part < 200")
+
+
+@query(f"""WITH d AS ({SHIPPED_SQL}), n AS (SELECT dataset_id, part, supplier, CASE WHEN part % 7 = 0 THEN 'X' ELSE run END AS run,
+part + (part % 5 = 0)::INT AS np, dataset_id + (part % 11 = 0)::INT AS nid FROM d)
+SELECT DISTINCT dataset_id, reason FROM (
+SELECT nid AS dataset_id, 'definition' AS reason FROM n JOIN d ON d.dataset_id = nid WHERE d.run <> n.run
+UNION ALL SELECT nid, 'data_id' FROM n JOIN d ON d.dataset_id = nid AND d.run = n.run WHERE d.part <> np OR d.supplier <> n.supplier
+UNION ALL SELECT nid, 'id' FROM n JOIN d ON d.run = n.run AND d.part = np AND d.supplier = n.supplier WHERE d.dataset_id <> nid)""")
+def import_conflicts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As import_conflicts, with all shipments imported."""
+    return _conflicts(shipments(spark, sf_dir))
 
 
 @query("SELECT ((l_partkey::BIGINT << 20) | l_suppkey)::BIGINT AS packed, l_partkey AS part, l_suppkey AS supplier FROM lineitem GROUP BY ALL")

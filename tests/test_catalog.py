@@ -179,3 +179,17 @@ def test_planned_queries_match_sql(spark):
         assert columns == sorted(sql.columns)
         want = sql.select(",".join(f'"{c}"' for c in columns)).fetchall()
         assert sorted(map(tuple, df.select(*columns).collect())) == sorted(want), name
+
+
+def test_whole_writes_match_sql_and_grow_with_the_tables(spark):
+    import duckdb
+
+    con, base = duckdb.connect(), "/root/testdata/sf0.01"
+    for t in ("supplier", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{base}/{t}.parquet'")
+    made = {name: sorted(map(tuple, queries.QUERIES[name](spark, base).collect())) for name in ("import_conflicts_whole", "ensure_absent_whole")}
+    for name, got in made.items():
+        assert got == sorted(con.sql(queries.ORACLES[name]).fetchall()), name
+    # the part is in the id; conflicts of parts from 200 on are found, and so are rows kept of suppliers from 20 on
+    assert any(i // 100_000 % 1_000_000 > 200 for i, _ in made["import_conflicts_whole"])
+    assert any(k >= 20 and name != "new" for k, name in made["ensure_absent_whole"])
