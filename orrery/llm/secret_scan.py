@@ -1,10 +1,13 @@
-"""Secret scans with structural confirmation.
+r"""Secret scans with structural confirmation.
 
 Three plain patterns give the base findings (``assign``, ``access``, ``hex``).
 Further candidates, runs of base64 or hex and dotted tokens, are decoded and
 reported only if what they decode to is built like a secret: a signed token
 whose header is JSON naming its algorithm, or a private key whose encoding
-parses with every nested length consistent to the last byte.
+parses with every nested length consistent to the last byte, an encrypted one
+included. Lines are joined over real and escaped breaks (``\n`` of JSON and the
+like) before they are decoded; a key of many lines without armour ends where its
+own lengths say.
 
 Spans are code points, the end exclusive. A text is scanned whole and alone, in
 one pass of an Arrow UDF, so there is no shuffle and any lost task just reruns.
@@ -36,9 +39,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same matches as HEX of that length
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)*)-----END \1-----", re.DOTALL)
+HEADER = re.compile(r"^[\x20\t]*[A-Za-z][A-Za-z0-9-]*:.*$", re.MULTILINE)
+BLANK = re.compile(r"\n[\x20\t\r]*\n")
+DEK = re.compile(r"Proc-Type:\s*4\s*,\s*ENCRYPTED\s+DEK-Info:\s*([A-Za-z0-9-]+)\s*,\s*([0-9A-Fa-f]{16,})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_ANY = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
+ESCAPED = re.compile(r"\\+[nrt/]")
+#: How a key, the text of one, or a token starts in either encoding; NUL stands for backslashes, see ``unescaped``.
+START = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?:(?P<hex>30[0-9a-fA-F]{14}|6f70656e7373682d6b65792d763100|2d2d2d2d2d424547494e20|65794a[0-9a-f]{10})"
+    r"|(?:M[A-P][A-Za-z0-9+/_\0-]{14}|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi|ZXlK[A-Za-z0-9+/_\0-]{12}))"
+)
+LINES = {False: re.compile(r"[A-Za-z0-9+/_\0-]+"), True: re.compile(r"[0-9a-fA-F\0]+")}
+BREAK = re.compile(r"[\x20\t\0]*[\r\n][\x20\t\r\n\0]*")
+#: Password-based encryption of PKCS#5 and PKCS#12, as algorithms.
+PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 SPANS = T.ArrayType(
     T.StructType(
@@ -48,6 +64,14 @@ SPANS = T.ArrayType(
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
+def unescaped(text: str) -> str:
+    """``text`` with escaped breaks and slashes as such, as long as before: NUL stands for their backslashes."""
+    if "\\" not in text:
+        return text
+    real = {"n": "\n", "r": "\r", "t": "\t", "/": "/"}
+    return ESCAPED.sub(lambda m: "\0" * (len(m[0]) - 1) + real[m[0][-1]], text)
+
+
 def unbase64(run: str) -> bytes | None:
     """The bytes of a run in either alphabet, padded or not; None if it can't be base64."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
@@ -79,14 +103,19 @@ def der(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """Whether these bytes are one SEQUENCE laid out as a PKCS#8, PKCS#1 or SEC1 private key."""
+    """Whether these bytes are one SEQUENCE laid out as a PKCS#8, encrypted PKCS#8, PKCS#1 or SEC1 private key."""
     top = der(data, 0, len(data))
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
     parts = der(data, *top[0][1:])
-    if not parts or parts[0][0] != 0x02:
+    if not parts:
         return False
     tags = [x[0] for x in parts]
+    if tags == [0x30, 0x04]:  # the algorithm, what it encrypted; a digest is built alike
+        algorithm = der(data, *parts[0][1:])
+        if not algorithm or algorithm[0][0] != 0x06 or parts[1][1] == parts[1][2]:
+            return False
+        return data[algorithm[0][1] : algorithm[0][2]].startswith(PBE)
     if tags[:3] == [0x02, 0x30, 0x04]:  # version, algorithm, the key in an octet string
         algorithm = der(data, *parts[1][1:])
         return bool(algorithm) and algorithm[0][0] == 0x06 and bool(der(data, *parts[2][1:]))
@@ -137,13 +166,106 @@ def is_secret(data: bytes | None) -> bool:
     return False
 
 
+def is_pem_body(body: str) -> bool:
+    """Whether what stands between the lines of armour is a key, encrypted or not, under headers or not."""
+    body = body.replace("\0", "")
+    dek, rest = DEK.search(body), body
+    if dek and "\n" not in body.strip():
+        rest = body[dek.end() :]
+    elif headers := list(HEADER.finditer(body)):
+        rest = body[headers[-1].end() :]
+        if m := BLANK.search(rest):
+            rest = rest[m.end() :]
+    data = unbase64("".join(rest.split()))
+    if not data:
+        return False
+    if dek:  # nothing shows in the encrypted bytes but whole blocks
+        block = len(dek[2]) // 2
+        return not dek[1].upper().endswith("-CBC") or len(data) % block == 0
+    return is_der_key(data) or is_ssh_key(data)
+
+
 def pem_keys(text: str) -> Iterator[tuple[int, int]]:
-    for m in PEM.finditer(text):
-        data = unbase64("".join(m[2].split()))
-        if data and (is_der_key(data) or is_ssh_key(data)):
+    for m in PEM.finditer(unescaped(text)):
+        if is_pem_body(m[2]):
             yield m.span()
 
 
+def der_size(head: bytes) -> int | None:
+    """The bytes of the whole key that starts so; None if no key does."""
+    if len(head) < 8 or head[0] != 0x30:
+        return None
+    n = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if n > 4 or head[1] == 0x80:
+        return None
+    first = head[2 + n : 5 + n]
+    if first[:1] != b"\x30" and not (first[:2] == b"\x02\x01" and first[2:] <= b"\x03"):
+        return None
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
+def secret_size(data: bytes) -> int | None:
+    """How many of these bytes are the secret that starts them; None if none does."""
+    if data.startswith(b"openssh-key-v1\0"):
+        at, left = 15, 3
+        while left:
+            at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+        left, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4
+        while left and at < len(data):
+            at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+        return at if not left and is_ssh_key(data[:at]) else None
+    if data.startswith(b"-----BEGIN "):
+        m = PEM.match(unescaped(data.decode("latin-1")))
+        return m.end() if m and is_pem_body(m[2]) else None
+    if data.startswith(b"eyJ"):
+        m = TOKEN.match(data.decode("latin-1"))
+        return m.end() if m and is_token(m[0]) else None
+    size = der_size(data[:12])
+    return size if size and size <= len(data) and is_der_key(data[:size]) else None
+
+
+def joined_keys(text: str) -> Iterator[tuple[str, int, int]]:
+    """Secrets whose encoding starts a run and may go on over the lines that follow, up to where it says it ends."""
+    text, done = unescaped(text), 0
+    for m in START.finditer(text):
+        if m.start() < done:
+            continue
+        hexed = m["hex"] is not None
+        bits, line = 4 if hexed else 6, LINES[hexed]
+        need = len(text)
+        if m[0].startswith("30" if hexed else "M"):
+            head = m[0].replace("\0", "")
+            size = der_size(bytes.fromhex(head) if hexed else unbase64(head) or b"")
+            if not size or (need := -(-size * 8 // bits)) < 40:
+                continue
+        run, at, pieces, have = None, m.start(), [], 0
+        while have < need and (run := line.match(text, at)):
+            pieces.append(run.span())
+            have += len(run[0]) - run[0].count("\0")
+            gap = BREAK.match(text, run.end())
+            if not gap:
+                break
+            at = gap.end()
+        whole = "".join(text[a:b] for a, b in pieces).replace("\0", "")
+        whole = whole[: min(need, len(whole))]
+        whole = whole[: len(whole) - 1] if len(whole) % 2 and hexed or len(whole) % 4 == 1 and not hexed else whole
+        data = bytes.fromhex(whole) if hexed else unbase64(whole)
+        if not data or not (size := secret_size(data)):
+            continue
+        left = -(-size * 8 // bits)
+        for a, b in pieces:
+            for k in range(a, b):
+                left -= text[k] != "\0"
+                if not left:
+                    break
+            if not left:
+                done = k + 1
+                break
+        if not hexed:
+            done += len(re.match("={0,2}", text[done : done + 2])[0])
+        yield "hexkey" if hexed else "key", m.start(), done
+
+
 def findings(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in ``text``, by start, then kind in the order of KINDS, then end."""
     if not text:
@@ -159,8 +281,12 @@ def findings(text: str | None) -> list[tuple[str, int, int]]:
     for m in BASE64.finditer(text):
         if is_secret(unbase64(m[0])):
             out.append(("key", *m.span()))
-        elif (h := HEX_ANY.search(m[0])) and is_secret(bytes.fromhex(h[0])):
-            out.append(("hexkey", m.start() + h.start(), m.start() + h.end()))
+        else:
+            for h in HEX_ANY.finditer(m[0]):
+                if is_secret(bytes.fromhex(h[0])):
+                    out.append(("hexkey", m.start() + h.start(), m.start() + h.end()))
+    known = [x[1:] for x in out if x[0] in KINDS[len(BASE_KINDS) :]]
+    out += [x for x in joined_keys(text) if not any(b <= x[1] and x[2] <= e for b, e in known)]
     if len(out) > 1:
         out.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     return out

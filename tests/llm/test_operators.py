@@ -156,6 +156,43 @@ def test_secrets():
     assert secret_scan.findings(None) == secret_scan.findings("") == []
 
 
+def tlv(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else b"\x82" + n.to_bytes(2, "big")) + body
+
+
+def test_keys_in_real_encodings():
+    r = random.Random(3)
+    number = lambda n: tlv(2, b"\1" + r.randbytes(n))
+    rsa = tlv(0x30, tlv(2, b"\0"), number(128), tlv(2, b"\1\0\1"), number(128), *(number(64) for _ in range(5)))
+    pbes2 = tlv(0x30, tlv(6, bytes.fromhex("2a864886f70d01050d")), tlv(0x30, r.randbytes(0)))
+    locked = tlv(0x30, pbes2, tlv(4, r.randbytes(640)))
+    digest = tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("608648016503040201")), tlv(5)), tlv(4, r.randbytes(32)))
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + b"\0\0\0\1"
+    ssh += b"".join(len(x).to_bytes(4, "big") + x for x in (r.randbytes(50), r.randbytes(140)))
+    wrap = lambda data, n=64: "\n".join(re.findall(f".{{1,{n}}}", base64.b64encode(data).decode()))
+    pem = lambda kind, body: f"-----BEGIN {kind}-----\n{body}\n-----END {kind}-----"
+    kinds = lambda text: [(k, text[b:e]) for k, b, e in secret_scan.findings(text) if k not in secret_scan.BASE_KINDS]
+    dek = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n\n"
+    armoured = [pem("RSA PRIVATE KEY", wrap(rsa)), pem("ENCRYPTED PRIVATE KEY", wrap(locked)), pem("RSA PRIVATE KEY", dek + wrap(r.randbytes(608))), pem("OPENSSH PRIVATE KEY", wrap(ssh, 70))]
+    for key in armoured:
+        for made in (key, key.replace("\n", "\r\n"), json.dumps(key)[1:-1], json.dumps(json.dumps(key))[3:-3], key.replace("\n", "\\n").replace("/", "\\/")):
+            assert kinds(f'{{"key": "{made}", "x": 1}}') == [("pem", made)]
+    for data in (rsa, locked, ssh, armoured[0].encode()):
+        for made in (wrap(data), wrap(data, 76).replace("\n", "\r\n  "), wrap(data).replace("\n", "\\n"), wrap(data).replace("\n", "\\\\n")):
+            for before, after in (("key:\nword\n", "\nword\n"), ('"\\n', '\\n"')):
+                assert kinds(before + made + after) == [("key", made)]
+    assert kinds(f"one {base64.b64encode(locked).decode()} two") == [("key", base64.b64encode(locked).decode())]
+    assert kinds(f"{'ab' * 40}_{rsa.hex()}") == [("hexkey", rsa.hex())]
+    folded = "\n".join(re.findall(".{1,60}", rsa.hex()))
+    assert kinds(f"a\n{folded}\nb") == [("hexkey", folded)]
+    for data in (digest, rsa[:-1], r.randbytes(600), tlv(0x30, rsa)):
+        assert kinds(f"a\n{wrap(data)}\n") == []
+    assert kinds(pem("RSA PRIVATE KEY", dek + wrap(r.randbytes(607)))) == []
+    assert not secret_scan.findings(wrap(rsa)[:-8] + "\n")
+
+
 def test_base_findings_by_plain_matching(spark, texts):
     r = random.Random(5)
     alphabet = ["token", "API_key", ":", "=", " ", "'", '"', "AKIA", "abcdef0123456789", "Z", "\n", "secret", "é", "0" * 9]
