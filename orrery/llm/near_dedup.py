@@ -298,7 +298,7 @@ def _none() -> pa.Table:
     return pa.table({"a": pa.array([], type=pa.int64()), "b": pa.array([], type=pa.int64())})
 
 
-def link(
+def _linked(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -307,15 +307,18 @@ def link(
     crowd: int = 32,
     block: int = 256,
 ) -> DataFrame:
-    """A row for each document: id_col, text_key (xxhash64 of the text), n_shingles and component_id,
+    """id, text_key, n and best of each document: the first (id, nulls last, then text_key) that it is linked to.
 
-    the smallest id that it is linked to.
+    best is null without shingles.
     """
     rows = shared.written(sketched(docs, id_col, text_col, k), "sketches")
     sets = shared.written(
         rows.where("set_key IS NOT NULL")
         .groupBy("set_key")
-        .agg(F.min("id").alias("first"), F.min("text_key").alias("text_key"), F.max("n").alias("n"), F.first("sketch").alias("sketch")),
+        .agg(
+            F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best"),
+            F.min("text_key").alias("text_key"), F.max("n").alias("n"), F.first("sketch").alias("sketch"),
+        ),
         "sets",
     )
     values = sets.select("set_key", "n", F.explode("sketch").alias("value"))
@@ -352,27 +355,36 @@ def link(
     linked = pairs.join(side("a"), "a").join(side("b"), "b").where(_similar(percent, both, F.col("n_a"), F.col("n_b")))
     edges = shared.written(linked.select("a", "b"), "links")
     edges = edges.unionByName(shared.written(_long_lists(members, full, percent, block), "family_links"))
-    rooted = components(edges).join(sets.select(F.col("set_key").alias("node"), "first"), "node")
-    lowest = shared.written(rooted.groupBy("root").agg(F.min("first").alias("component")), "lowest")
-    labelled = shared.written(rooted.join(lowest, "root").select(F.col("node").alias("set_key"), "component"), "labelled")
-    label = sets.select("set_key", "first").join(labelled, "set_key", "left")
-    label = shared.written(label.select("set_key", F.coalesce("component", "first").alias("component")), "labels")
-    return rows.join(label, "set_key", "left").select(
+    rooted = components(edges).join(sets.select(F.col("set_key").alias("node"), "best"), "node")
+    lowest = shared.written(rooted.groupBy("root").agg(F.min("best").alias("lowest")), "lowest")
+    labelled = shared.written(rooted.join(lowest, "root").select(F.col("node").alias("set_key"), "lowest"), "labelled")
+    label = sets.select("set_key", "best").join(labelled, "set_key", "left")
+    label = shared.written(label.select("set_key", F.coalesce("lowest", "best").alias("best")), "labels")
+    return rows.join(label, "set_key", "left").select("id", "text_key", "n", "best")
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, **options: int) -> DataFrame:
+    """A row for each document: id_col, text_key (xxhash64 of the text), n_shingles and component_id,
+
+    the smallest id that it is linked to.
+    """
+    return _linked(docs, id_col, text_col, percent, **options).select(
         F.col("id").alias(id_col),
         "text_key",
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "id").alias("component_id"),
+        F.coalesce("best.id", "id").alias("component_id"),
     )
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """The documents that stay: one of each component, that with the smallest id, and one of rows that repeat it."""
+    """The documents that stay: one of each component, that with the smallest id (nulls last), then text_key.
+
+    Of rows that repeat it one stays.
+    """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.xxhash64(text)))
-    found = link(docs, id_col, text_col, percent).select(
-        F.xxhash64(F.col(id_col), F.col("text_key")).alias("_row"),
-        (~F.col(id_col).eqNullSafe(F.col("component_id"))).alias("gone"),
-    )
+    stays = F.col("best").isNull() | (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.text_key")))
+    found = _linked(docs, id_col, text_col, percent).select(F.xxhash64("id", "text_key").alias("_row"), (~stays).alias("gone"))
     rows = found.groupBy("_row").agg(F.bool_or("gone").alias("gone"), F.count("*").alias("n"))
     touched = shared.written(rows.where("gone OR n > 1").select("_row", "gone"), "touched")
     test = shared.among(touched.select("_row"), "_row")

@@ -87,6 +87,16 @@ def test_representatives_keep_one_of_each(docs, texts, none):
     assert near_dedup.representatives(none).count() == 0
 
 
+def test_representatives_of_null_and_shared_ids(spark):
+    r = random.Random(8)
+    near = lambda: [base := prose(r, 60), f"{base} {prose(r, 1)}", f"{base} {prose(r, 2)}"]
+    nulls, shared, mixed, apart = near(), near(), near(), [prose(r, 60), prose(r, 60)]
+    rows = [*((None, t) for t in nulls), *((7, t) for t in shared), *zip((None, 9, 9), mixed, strict=True), *((7, t) for t in apart), (None, ""), (None, nulls[0])]
+    got = near_dedup.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    of = lambda texts: [x["doc_id"] for x in got if x["text"] in texts]
+    assert (of(nulls), of(shared), of(mixed), of(apart), of([""]), len(got)) == ([None], [7], [9], [7, 7], [None], 6)
+
+
 def test_least_shared_is_certain_for_small_sets():
     r = random.Random(2)
     for _ in range(300):
