@@ -13,7 +13,9 @@ what is broadcast is bounded; each block is one Arrow UDF over the documents
 with no shuffle.
 
 Defined results: words are maximal runs of letters, digits and _, in lower case;
-an item of fewer than ``min_match`` words must occur whole; a null or empty text
+an item of fewer than ``min_match`` words must occur whole, and is reported, but
+``clean`` drops no document for such items unless they make up most of its words;
+a null or empty text
 or item matches nothing; repeated items are reported each, repeated documents
 and null ids are looked at like any other; empty tables give no matches; input
 columns are kept, and one named like the output column is replaced.
@@ -22,7 +24,7 @@ columns are kept, and one named like the output column is replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -165,6 +167,17 @@ class Block:
                 )
         return out
 
+    def verdict(self, text: str | None, threshold: float) -> dict:
+        """Whether the text covers an item of ``min_match`` words or more; its words, and which of them shorter items cover."""
+        found = self.matches(text, threshold)
+        if not found:
+            return {"covers": False, "n_words": 0, "short": []}
+        if any(m["longest_tile"] >= self.min_match for m in found):
+            return {"covers": True, "n_words": 0, "short": []}
+        tiles = (t for m in found for t in m["tiles"])
+        short = sorted({t["doc_word"] + k for t in tiles for k in range(t["n_words"])})
+        return {"covers": False, "n_words": len(words(text)), "short": short}
+
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
     """The benchmark's rows in as many parts as keep each near ``block_bytes``."""
@@ -175,6 +188,26 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
     return [rows if n == 1 else rows.where(part == k) for k in range(n)]
 
 
+def _by_block(
+    docs: DataFrame, blocks: Sequence[DataFrame], text_col: str, min_match: int, made: T.DataType, look: Callable[[Block, str | None], object]
+) -> list[Column]:
+    """What ``look`` says of each text, as ``made``, in a column for each block of the benchmark."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow, spark = to_arrow_type(made), docs.sparkSession
+
+    def of(block: DataFrame) -> Column:
+        shared = spark.sparkContext.broadcast(Block.of([(r["item_id"], r["text"]) for r in block.collect()], min_match))
+
+        @F.arrow_udf(made)
+        def found(column: pa.Array) -> pa.Array:
+            return pa.array([look(shared.value, t.as_py()) for t in column], type=arrow)
+
+        return found(F.col(text_col))
+
+    return [of(b) for b in blocks]
+
+
 def match(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -197,25 +230,32 @@ def match(
             ]
         )
     )
-    spark = docs.sparkSession
-
-    def of(block: DataFrame) -> Column:
-        shared = spark.sparkContext.broadcast(Block.of([(r["item_id"], r["text"]) for r in block.collect()], min_match))
-
-        @F.arrow_udf(made)
-        def found(column: pa.Array) -> pa.Array:
-            return pa.array([shared.value.matches(t.as_py(), threshold) for t in column], type=arrow)
-
-        return found(F.col(text_col))
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow = to_arrow_type(made)
-    parts = [of(b) for b in _blocks(benchmark, item_id_col, item_text_col, block_bytes)]
+    blocks = _blocks(benchmark, item_id_col, item_text_col, block_bytes)
+    parts = _by_block(docs, blocks, text_col, min_match, made, lambda block, text: block.matches(text, threshold))
     return docs.withColumn(to, F.concat(*parts) if parts else F.array().cast(made))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
-    """The documents that cover no item of the benchmark."""
-    found = match(docs, benchmark, to="_matches", **options)
-    return found.where(F.size("_matches") == 0).drop("_matches")
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    min_match: int = MIN_MATCH,
+    threshold: float = THRESHOLD,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The documents that cover no item of the benchmark, and don't consist mostly of items of under ``min_match`` words."""
+    made = T.StructType.fromDDL("covers boolean, n_words bigint, short array<bigint>")
+    blocks = _blocks(benchmark, item_id_col, item_text_col, block_bytes)
+    parts = _by_block(docs, blocks, text_col, min_match, made, lambda block, text: block.verdict(text, threshold))
+    if not parts:
+        return docs
+
+    def bad(found: Column) -> Column:
+        short = F.size(F.array_distinct(F.flatten(F.transform(found, lambda x: x["short"]))))
+        n_words = F.array_max(F.transform(found, lambda x: x["n_words"]))
+        return F.exists(found, lambda x: x["covers"]) | (short * 2 > n_words)
+
+    # one reference to the findings, so that they are made once
+    return docs.where(~F.exists(F.array(F.array(*parts)), bad))

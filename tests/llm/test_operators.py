@@ -217,6 +217,17 @@ def test_base_findings_by_plain_matching(spark, texts):
     assert [len(x["findings"]) for x in secret_scan.scan(df).collect()][1] == 0
 
 
+def test_short_items_alone_drop_only_documents_made_of_them(spark):
+    long = "the quick brown fox jumps over it"
+    bench = spark.createDataFrame([(1, "yes"), (2, "new york"), (3, long), (4, "no")], "item_id long, text string")
+    texts = ["yes we went there by train", "Yes, no: New York!", "yes no and then some more", f"so {long}", "nothing here at all", None, "no"]
+    target = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (decontaminate.BLOCK_BYTES, 8):
+        found = {r["doc_id"]: {m["item_id"] for m in r["matches"]} for r in decontaminate.match(target, bench, block_bytes=size).collect()}
+        assert found == {0: {1}, 1: {1, 2, 4}, 2: {1, 4}, 3: {3}, 4: set(), 5: set(), 6: {4}}
+        assert {r["doc_id"] for r in decontaminate.clean(target, bench, block_bytes=size).collect()} == {0, 2, 4, 5}
+
+
 def test_tiling_catches_reordered_passages(spark, docs, none):
     r = random.Random(8)
     item = prose(r, 40, "klmnop").split()
