@@ -193,3 +193,20 @@ def test_whole_writes_match_sql_and_grow_with_the_tables(spark):
     # the part is in the id; conflicts of parts from 200 on are found, and so are rows kept of suppliers from 20 on
     assert any(i // 100_000 % 1_000_000 > 200 for i, _ in made["import_conflicts_whole"])
     assert any(k >= 20 and name != "new" for k, name in made["ensure_absent_whole"])
+
+
+def test_crossing_slivers_overlap():
+    strip = lambda x0, y0, x1, y1: Region.polygon([(x0, y0), (x1, y0), (x1, y1), (x0, y1)])
+    box = lambda x0, y0, x1, y1: Region("box", (float(x0), float(y0), float(x1), float(y1)))
+    flat, tall = strip(0, -0.05, 10, 0.05), strip(3.0, -5.3, 3.1, 4.7)
+    cases = [
+        (flat, tall, strip(13.0, -5.3, 13.1, 4.7)),
+        (flat, box(3.0, -5.3, 3.1, 4.7), box(10.1, -5.3, 10.2, 4.7)),
+        (tall, box(0, 0.01, 10, 0.02), box(3.2, 0.01, 10, 0.02)),
+        (flat, Region.circle(3.3, 0.06, 0.011), Region.circle(3.3, 0.07, 0.011)),
+        (box(0, 40, 10, 40.1), Region.circle(3.3, 40.11, 0.011), Region.circle(3.3, 40.12, 0.011)),
+        (box(3.0, 20, 3.1, 40), Region.circle(3.11, 31.3, 0.009), Region.circle(3.13, 31.3, 0.009)),
+    ]
+    for a, near, far in cases:
+        assert a.overlaps(near) and near.overlaps(a), (a, near)
+        assert not a.overlaps(far) and not far.overlaps(a), (a, far)
