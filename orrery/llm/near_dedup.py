@@ -1,28 +1,33 @@
 """Near-duplicate documents by bottom-k sketches.
 
 A document's set is the distinct hashes of its five-word shingles; documents of
-equal sets are one set from then on. The sketch of a set is its ``k`` smallest
-hashes. Two similar sets share many of their sketches' values (``least_shared``),
-so they share one of the rarest few of each, and only those go to the inverted
-lists: values that very many documents hold are looked up only for documents
-that hold hardly anything else.
-
-Lists of at most ``crowd`` sets give pairs, filtered by the similarity that the
-sketch of the union estimates, and confirmed on full sets. Longer lists are
-taken together as families. Within a family a set with too many shingles of its
-own can't be similar to any other; the rest are compared with the family's
-centre, and only what the centre doesn't link is compared with all, in blocks
-that return a spanning forest of their links. So no list is expanded into its
-pairs, and no link between different sets is left out: for sets of up to ``k``
-shingles candidates are certain, for larger ones a pair right at the limit is
-missed once in 10^7. Components come from alternating star contractions. The
-driver gets counts, and a Bloom filter of bounded size.
+equal sets (by 128 bits) are one set from then on. The sketch of a set is its
+smallest hashes: ``k`` of them, or the share of the set that makes candidates
+certain if that is more (twice what a similar set may lack). Two similar sets
+then share at least ``least_shared`` values of their sketches, so in any order
+of values the first that they share has that many of each sketch from it on. The
+order taken is from the rarest value to the commonest: only those with enough
+after them go to the inverted lists, and values that very many documents hold
+are looked up only by documents that hold hardly anything else.
+
+Pairs come from the lists in rounds. In the first, each set meets one other, the
+one in its lists with fewest shingles of its own; what is confirmed joins
+components. Then the pairs of a list that are in different components are left:
+those of sets outside of its largest component with any other. While these are
+very many and components still grow, another round of single partners is taken
+before them. A group of near copies so costs its size and not its square, and
+no pair that could be similar is left out. Pairs are filtered by the sketch of
+their union (if it shows more values that one has and the other lacks than a
+similar pair can have, they aren't), and confirmed on full sets. Components come
+from alternating star contractions. The driver gets counts, and a filter of
+bounded size.
 
 Defined results: words are runs of bytes other than ASCII white space, A-Z as
 a-z; a null or empty text, or one without words, has no shingles and is linked
 with nothing; rows that repeat a text are linked; a null id is never the
 smallest of a component unless all its ids are null; an empty table gives an
-empty table; only the id is carried.
+empty table; ``link`` carries only the id, ``representatives`` all columns,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from orrery.llm import rolling, shared
@@ -40,6 +45,8 @@ from orrery.llm import rolling, shared
 SHINGLE = 5
 SKETCH = 64
 BLOCK = 1 << 20
+#: Another round of single partners is taken while pairs are more than so many times the entries of the lists.
+DENSE = 8
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -69,302 +76,275 @@ def shingles(data: np.ndarray) -> np.ndarray:
     words = word_hashes(data)
     n = min(SHINGLE, len(words))
     if not n:
-        return words
+        return words.view(np.int64)
     count = len(words) - n + 1
     h = np.full(count, n, dtype=np.uint64)
     for k in range(n):
         h += words[k : k + count] * _MULTIPLIERS[k]
-    return np.unique(rolling.mixed(h))
+    return np.unique(rolling.mixed(h).view(np.int64))
 
 
-def least_shared(n: int, percent: int, k: int = SKETCH) -> int:
-    """How many values the sketch of a set of ``n`` shares with that of any set at ``percent`` similarity or more.
+def sketch_size(n: int, percent: int, k: int = SKETCH) -> int:
+    """How many of its smallest values stand for a set of ``n``."""
+    return min(n, max(k, -(-2 * (100 - percent) * n // 100)))
 
-    Certain if the other sketch holds its whole set, too. For larger sets, less
-    than this is shared by a pair right at the limit once in 10^7.
+
+def must_share(a: int, b: int, percent: int) -> int:
+    """How many shingles sets of sizes ``a`` and ``b`` share at least if they are similar."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def least_shared(a: int, b: int, percent: int, k: int = SKETCH) -> int:
+    """How many values the sketches of similar sets of sizes ``a`` and ``b`` share at least; 1 or more.
+
+    Of the sketch that reaches less far, only what the other set lacks isn't in the other sketch.
     """
-    if n <= k:
-        other = n * 100 // percent
-        return max(1, -(-percent * n // 100) - max(0, other - k))
-    p, below, term = percent / 100, 0.0, (1 - percent / 100) ** k
-    for a in range(k + 1):
-        below += term
-        if below > 1e-7:
-            return max(1, a)
-        term *= (k - a) / (a + 1) * p / (1 - p)
-    return k
-
-
-def sketched(docs: DataFrame, id_col: str, text_col: str, k: int = SKETCH) -> DataFrame:
+    return must_share(a, b, percent) + min(sketch_size(a, percent, k) - a, sketch_size(b, percent, k) - b)
+
+
+def _must_share(a: Column, b: Column, percent: int) -> Column:
+    return F.ceil(percent * (a + b) / F.lit(100 + percent))
+
+
+def sketched(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int = SKETCH) -> DataFrame:
     """id, text_key, n, set_key (equal for equal sets; null without shingles) and sketch of each document."""
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[id_col].dataType),
-            *T.StructType.fromDDL("text_key long, n long, set_key long, sketch array<long>").fields,
+            *T.StructType.fromDDL("text_key binary, n long, set_key binary, sketch array<long>").fields,
         ]
     )
     arrow = to_arrow_schema(schema)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, sets, lows, offsets = batch.column("text_key"), [], [], [], [0]
-            for value in batch.column("text"):
-                found = shingles(np.frombuffer(value.as_buffer(), dtype=np.uint8))
-                sizes.append(len(found))
-                digest = hashlib.blake2b(found.tobytes(), digest_size=8).digest()
-                sets.append(int.from_bytes(digest, "little", signed=True) if len(found) else None)
-                lows.append(found[:k].view(np.int64))
-                offsets.append(offsets[-1] + len(lows[-1]))
-            values = pa.array(np.concatenate(lows) if lows else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").cast(arrow.field("id").type),
-                    keys,
-                    pa.array(sizes, type=pa.int64()),
-                    pa.array(sets, type=pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), values),
-                ],
-                names=arrow.names,
-            )
-
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sizes, sets, lows, offsets = [], [], [], [0]
+                for value in part.column("text"):
+                    found = shingles(np.frombuffer(value.as_buffer(), dtype=np.uint8))
+                    sizes.append(len(found))
+                    sets.append(hashlib.blake2b(found, digest_size=16).digest() if len(found) else None)
+                    lows.append(found[: sketch_size(len(found), percent, k)])
+                    offsets.append(offsets[-1] + len(lows[-1]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id").cast(arrow.field("id").type),
+                        part.column("text_key"),
+                        pa.array(sizes, type=pa.int64()),
+                        pa.array(sets, type=pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(np.concatenate(lows))),
+                    ],
+                    schema=arrow,
+                )
+
+    text = shared.text_of(text_col)
+    rows = docs.select(shared.col(id_col).alias("id"), shared.key_of(text).alias("text_key"), text.alias("text"))
     return rows.mapInArrow(sketch, schema)
 
 
 def _full_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """set_key and all shingles of the sets in ``wanted`` (set_key, text_key): one text for each is hashed again."""
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    texts = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text"))
-    one = shared.likely(texts, wanted.select("text_key"), "text_key").dropDuplicates(["text_key"])
+    """set_id and all shingles of the sets in ``wanted`` (set_id, text_key): one text for each is hashed again."""
+    text = shared.text_of(text_col)
+    texts = docs.select(shared.key_of(text).alias("text_key"), text.alias("text"))
+    one = shared.likely(texts, wanted, "text_key").dropDuplicates(["text_key"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingles(np.frombuffer(t.as_buffer(), dtype=np.uint8)).view(np.int64) for t in part.column("text")]
+                sets = [shingles(np.frombuffer(t.as_buffer(), dtype=np.uint8)) for t in part.column("text")]
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                values = pa.array(np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("set_key"), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["set_key", "shingles"]
+                    [part.column("set_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))],
+                    names=["set_id", "shingles"],
                 )
 
-    joined = one.join(wanted, "text_key").select("set_key", "text")
-    return joined.mapInArrow(hashed, "set_key long, shingles array<long>")
+    return one.join(wanted, "text_key").select("set_id", "text").mapInArrow(hashed, "set_id long, shingles array<long>")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of ``edges`` (a, b) reaches.
+def components(edges: DataFrame, tables: shared.Tables | None = None) -> DataFrame:
+    """(node, root): the smallest node that each node of ``edges`` (a, b) reaches, as one of ``tables``.
 
     Alternates large-star and small-star steps until neither changes an edge; a
     step is an aggregation and a join of the edges, and reads a table of its own.
     """
-    now = shared.written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
+    t = shared.Tables(edges.sparkSession)
+    now = t.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
     before = mark(now)
-    while True:
+    while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(shared.written(least, "least"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = shared.written(large.distinct(), "large")
-        least = shared.written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = shared.written(small, "small")
+        least = t.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = t.write(
+            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large"
+        )
+        lower = t.write(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
+        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(lower.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        last, now = now, t.write(small, "small")
+        t.drop(last, least, large, lower)
         after = mark(now)
         if after == before:
             break
         before = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
-
-
-def _similar(percent: int, both, a, b):
-    """Whether sets of sizes a and b that share ``both`` are similar enough."""
-    return 100 * both >= percent * (a + b - both)
-
-
-def _short_lists(postings: DataFrame, sizes: DataFrame, sketches: DataFrame, percent: int, crowd: int, k: int) -> DataFrame:
-    """(a, b) of the pairs in lists of at most ``crowd`` sets that the union sketch lets pass."""
-    short = postings.join(sizes.where(F.col("m") <= crowd).select("value"), "value").select("value", "set_key", "n")
-    a, b = short.alias("a"), short.alias("b")
-    near = (F.col("a.set_key") < F.col("b.set_key")) & (
-        100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    out = (tables or t).write(
+        now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+            now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+        ),
+        "components",
     )
-    pairs = a.join(b, "value").where(near).select(F.col("a.set_key").alias("a"), F.col("b.set_key").alias("b")).distinct()
-    side = lambda c: sketches.select(F.col("set_key").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    union = F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, k)
-    both = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), union))
-    # of the k smallest values of the union, as many must be shared as a pair at the limit shares
-    enough = F.when(F.least("n_a", "n_b") > k, F.lit(least_shared(k + 1, percent, k))).otherwise(F.lit(1))
-    passed = pairs.join(side("a"), "a").join(side("b"), "b").where(both >= enough)
-    return passed.select("a", "b", "n_a", "n_b")
-
-
-_EDGES = "a long, b long"
-
-
-def _tested(percent: int):
-    """Edges between the open sets of a block and the sets beside them: as few as keep them connected."""
-
-    def test(table: pa.Table) -> pa.Table:
-        rows = table.select(["set_key", "shingles", "open", "linked"]).to_pylist()
-        rows.sort(key=lambda r: (not r["open"], r["set_key"]))
-        own = [r for r in rows if r["open"]]
-        values = np.concatenate([np.array(r["shingles"], dtype=np.int64) for r in own])
-        owner = np.repeat(np.arange(len(own)), [len(r["shingles"]) for r in own])
-        order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
-        n_own = np.array([len(r["shingles"]) for r in own])
-        root = list(range(len(rows) + 1))  # the last stands for all that are linked already
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        edges = []
-        for j, r in enumerate(rows):
-            x = np.array(r["shingles"], dtype=np.int64)
-            lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
-            c = hi - lo
-            at = np.repeat(lo - (np.cumsum(c) - c), c) + np.arange(c.sum())
-            both = np.bincount(owner[at], minlength=len(own))
-            end = len(rows) if r["linked"] else j
-            for i in np.flatnonzero(_similar(percent, both, n_own, len(x))).tolist():
-                p, q = find(i), find(end)
-                if i != j and p != q:
-                    root[p] = q
-                    edges.append((own[i]["set_key"], r["set_key"]))
-        return pa.table(
-            {"a": pa.array([e[0] for e in edges], type=pa.int64()), "b": pa.array([e[1] for e in edges], type=pa.int64())}
-        )
+    t.keep_only(out)
+    return out
 
-    return test
 
+def _lists(t: shared.Tables, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """The inverted lists: value, set_id, n, slack (of the sketch, less n), left and own.
 
-def _long_lists(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b) that connect what is similar among sets of one family: ``members`` (set_key, family).
-
-    A set with too many shingles that no other of its family has is out. The rest
-    are compared with the family's centre, the set with fewest of its own; those
-    that it doesn't link are open, and are compared with all, in blocks.
+    ``left`` counts the values of the sketch from this one on, from rare to common; ``own`` is the share of values
+    that no other sketch holds.
     """
-    held = shared.written(members.join(sets, "set_key"), "held", compression="zstd")
-    flat = held.select("family", "set_key", F.explode("shingles").alias("value"))
-    once = flat.groupBy("family", "value").agg(F.count("*").alias("c"), F.min("set_key").alias("set_key")).where("c = 1")
-    alone = shared.written(once.groupBy("set_key").agg(F.count("*").alias("alone")), "alone")
-    n = F.size("shingles")
-    kept = (
-        held.join(alone, "set_key", "left")
-        .withColumn("alone", F.coalesce("alone", F.lit(0)))
-        .where(100 * (n - F.col("alone")) >= percent * n)
-    )
-    kept = shared.written(kept, "kept", compression="zstd")
-    best = kept.groupBy("family").agg(F.min(F.struct("alone", "set_key")).alias("c")).select("family", "c.set_key")
-    centre = best.join(kept.select("set_key", "shingles"), "set_key").select(
-        "family", F.col("set_key").alias("centre"), F.col("shingles").alias("of_centre")
+    values = sets.select("set_id", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
+    common = t.write(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    ranked = (
+        shared.likely(values, common, "value")
+        .join(common, "value")
+        .groupBy("set_id", "n", "s")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("listed"))
     )
-    both = F.size(F.array_intersect("shingles", "of_centre"))
-    judged = kept.join(shared.written(centre, "centre"), "family").select(
-        "family", "set_key", "shingles", "centre", _similar(percent, both, n, F.size("of_centre")).alias("linked")
+    n, slack = F.col("n"), F.col("s") - F.col("n")
+    most = F.floor(100 * n / percent)
+    fewest = F.ceil(percent * n / 100)
+    # at the sizes a partner may have, at the ends of which it is least; two less for what is rounded between them
+    need = F.least(
+        _must_share(n, n, percent) + slack,
+        _must_share(n, most, percent) + F.least(most, F.greatest(F.lit(k), F.ceil(2 * (100 - percent) * most / 100))) - most,
+        _must_share(n, fewest, percent) + slack,
+    ) - 2
+    size = F.size("listed")
+    kept = ranked.withColumn("take", (size - F.greatest(need, F.lit(1)) + 1).cast("int")).where("take > 0")
+    first = F.slice("listed", F.lit(1), F.col("take"))
+    return t.write(
+        kept.select(
+            "set_id", "n", slack.alias("slack"), size.alias("m"), (1 - size / F.col("s")).alias("own"), F.posexplode(first).alias("pos", "v")
+        ).select(F.col("v.value").alias("value"), "set_id", "n", "slack", (F.col("m") - F.col("pos")).alias("left"), "own"),
+        "lists",
     )
-    judged = shared.written(judged, "judged", compression="zstd")
-    spokes = judged.where("linked AND set_key <> centre").select(F.col("centre").alias("a"), F.col("set_key").alias("b"))
-    counts = judged.groupBy("family").agg(F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("m"))
-    counts = shared.written(
-        counts.where("open > 0").select(
-            "family", F.ceil(F.col("open") / block).cast("int").alias("rows"), F.ceil(F.col("m") / (8 * block)).cast("int").alias("cols")
-        ),
-        "counts",
-    )
-    cell = lambda size: F.pmod(F.xxhash64("set_key"), F.col(size)).cast("int")
-    every = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
-    dealt = judged.join(counts, "family")
-    across = dealt.select("family", every("rows").alias("i"), cell("cols").alias("j"), "set_key", "shingles", F.lit(False).alias("open"), "linked")
-    down = dealt.where(~F.col("linked")).select(
-        "family", cell("rows").alias("i"), every("cols").alias("j"), "set_key", "shingles", F.lit(True).alias("open"), "linked"
-    )
-    groups = across.unionByName(down).groupBy("family", "i", "j")
-    full = groups.applyInArrow(lambda t: _tested(percent)(t) if any(t["open"].to_pylist()) else _none(), _EDGES)
-    return spokes.unionByName(full)
 
 
-def _none() -> pa.Table:
-    return pa.table({"a": pa.array([], type=pa.int64()), "b": pa.array([], type=pa.int64())})
+def _may_be_similar(a: str, b: str, percent: int) -> Column:
+    """Whether entries a and b of a list may be the first value that similar sets share."""
+    c = lambda x, name: F.col(f"{x}.{name}")
+    sizes = 100 * F.least(c(a, "n"), c(b, "n")) >= percent * F.greatest(c(a, "n"), c(b, "n"))
+    need = _must_share(c(a, "n"), c(b, "n"), percent) + F.least(c(a, "slack"), c(b, "slack"))
+    return sizes & (need <= F.least(c(a, "left"), c(b, "left")))
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(f"{a}.set_id", f"{b}.set_id").alias("a"), F.greatest(f"{a}.set_id", f"{b}.set_id").alias("b")]
+
+
+def _confirmed(t: shared.Tables, docs: DataFrame, text_col: str, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar: filtered by the sketch of their union, confirmed on full sets."""
+    side = lambda c: sets.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    end = lambda c: F.when(F.size(f"s_{c}") < F.col(f"n_{c}"), F.element_at(f"s_{c}", -1)).otherwise(F.lit((1 << 63) - 1))
+    # up to where both sketches reach, they hold all of their sets
+    upto = F.least(end("a"), end("b"))
+    seen = lambda c: F.size(F.filter(f"s_{c}", lambda x: x <= F.col("upto")))
+    both, need = F.size(F.array_intersect("s_a", "s_b")), _must_share(F.col("n_a"), F.col("n_b"), percent)
+    lacks = lambda c: seen(c) - both <= F.col(f"n_{c}") - need
+    passed = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("upto", upto).where(lacks("a") & lacks("b"))
+    passed = t.write(passed.select("a", "b", "n_a", "n_b"), "passed")
+    ends = passed.select(F.col("a").alias("set_id")).unionByName(passed.select(F.col("b").alias("set_id"))).distinct()
+    wanted = t.write(ends.join(sets.select("set_id", "text_key"), "set_id"), "wanted")
+    full = t.write(_full_sets(docs, text_col, wanted), "full", compression="zstd")
+    x = lambda c: full.select(F.col("set_id").alias(c), F.col("shingles").alias(f"x_{c}"))
+    common = F.size(F.array_intersect("x_a", "x_b"))
+    similar = 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
+    out = t.write(passed.join(x("a"), "a").join(x("b"), "b").where(similar).select("a", "b"), "links")
+    t.drop(passed, wanted, full)
+    return out
+
+
+def _linked_sets(t: shared.Tables, docs: DataFrame, text_col: str, sets: DataFrame, percent: int, k: int, dense: int) -> DataFrame:
+    """(node, root) for the sets that are linked to others."""
+    lists = _lists(t, sets, percent, k)
+    n_entries = lists.count()
+    edges, tested, found = None, None, None
+    hubs = lists.groupBy("value").agg(F.count("*").alias("size"), F.min(F.struct("own", "set_id", "n", "slack", "left")).alias("hub"))
+    labelled = lists
+    while True:
+        hubs = t.write(hubs.where("size > 1").select("value", "hub.*"), "hubs")
+        meet = labelled.alias("x").join(hubs.alias("h"), "value")
+        meet = meet.where((F.col("x.set_id") != F.col("h.set_id")) & _may_be_similar("x", "h", percent))
+        if found is not None:
+            meet = meet.where(F.col("x.root") != F.col("h.root"))
+        one = meet.groupBy(F.col("x.set_id").alias("x")).agg(F.min(F.struct("h.own", "h.set_id")).alias("h"))
+        pairs = one.select(F.least("x", "h.set_id").alias("a"), F.greatest("x", "h.set_id").alias("b")).distinct()
+        pairs = t.write(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        made = _confirmed(t, docs, text_col, sets, pairs, percent)
+        grew = not made.isEmpty()
+        edges = made if edges is None else edges.unionByName(made)
+        if grew or found is None:
+            found = components(edges, t)
+        labelled = lists.join(found.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
+        labelled = t.write(labelled.withColumn("root", F.coalesce("root", "set_id")), "labelled")
+        shares = labelled.groupBy("value", "root").agg(F.count("*").alias("c"))
+        mains = shares.groupBy("value").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("main"))
+        mains = t.write(mains.where("size > main.c").select("value", "size", F.col("main.c").alias("c"), F.col("main.root").alias("main")), "mains")
+        left = mains.agg(F.coalesce(F.sum((F.col("size") - F.col("c")) * F.col("size")), F.lit(0))).first()[0]
+        labelled = t.write(labelled.join(mains.select("value", "size", "main"), "value"), "open")
+        if left <= dense * n_entries or not grew:
+            break
+        others = labelled.where("root <> main")
+        hubs = others.groupBy("value").agg(F.max("size").alias("size"), F.min(F.struct("own", "set_id", "n", "slack", "left", "root")).alias("hub"))
+    if left:
+        # both sides are read from a table: rows of a value that very many hold are split
+        apart = (F.col("o.root") != F.col("x.root")) & ((F.col("x.root") == F.col("x.main")) | (F.col("o.set_id") < F.col("x.set_id")))
+        meet = labelled.where("root <> main").alias("o").join(labelled.alias("x"), F.col("o.value") == F.col("x.value"))
+        pairs = meet.where(apart & _may_be_similar("o", "x", percent)).select(*_pair("o", "x")).distinct()
+        pairs = t.write(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        made = _confirmed(t, docs, text_col, sets, pairs, percent)
+        if not made.isEmpty():
+            found = components(edges.unionByName(made), t)
+    return found
 
 
 def _linked(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    percent: int = 85,
-    k: int = SKETCH,
-    crowd: int = 32,
-    block: int = 256,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = SKETCH, dense: int = DENSE
 ) -> DataFrame:
     """id, text_key, n and best of each document: the first (id, nulls last, then text_key) that it is linked to.
 
     best is null without shingles.
     """
-    rows = shared.written(sketched(docs, id_col, text_col, k), "sketches")
-    sets = shared.written(
-        rows.where("set_key IS NOT NULL")
-        .groupBy("set_key")
-        .agg(
-            F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best"),
-            F.min("text_key").alias("text_key"), F.max("n").alias("n"), F.first("sketch").alias("sketch"),
-        ),
-        "sets",
-    )
-    values = sets.select("set_key", "n", F.explode("sketch").alias("value"))
-    common = shared.written(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "common")
-    need = F.lit(least_shared(k + 1, percent, k))
-    for n in range(k, 0, -1):
-        need = F.when(F.col("n") == n, F.lit(least_shared(n, percent, k))).otherwise(need)
-    # the rarest values of a sketch, as many as one of them is shared with any similar set; unshared values come first
-    rare = (
-        values.join(common, "value")
-        .groupBy("set_key", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
-        .withColumn("take", F.size("shared") - need + 1)
-        .where("take > 0")
-        .select("set_key", "n", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("s"))
-    )
-    postings = shared.written(rare.select("set_key", "n", "s.value"), "postings")
-    sizes = shared.written(postings.groupBy("value").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
-    pairs = shared.written(_short_lists(postings, sizes, sets.select("set_key", "n", "sketch"), percent, crowd, k), "pairs")
-    crowded = postings.join(sizes.where(F.col("m") > crowd).select("value"), "value").select("value", "set_key")
-    crowded = shared.written(crowded, "crowded")
-    hub = crowded.groupBy("value").agg(F.min("set_key").alias("hub"))
-    hubs = shared.written(hub, "hubs")
-    family = components(crowded.join(hubs, "value").select(F.col("hub").alias("a"), F.col("set_key").alias("b")))
-    members = shared.written(family.select(F.col("node").alias("set_key"), F.col("root").alias("family")), "members")
-
-    ends = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key")))
-    wanted = ends.unionByName(members.select("set_key")).distinct()
-    wanted = shared.written(wanted.join(sets.select("set_key", "text_key"), "set_key"), "wanted")
-    full = shared.written(_full_sets(docs, text_col, wanted), "full", compression="zstd")
-
-    side = lambda c: full.select(F.col("set_key").alias(c), F.col("shingles").alias(f"x_{c}"))
-    both = F.size(F.array_intersect("x_a", "x_b"))
-    linked = pairs.join(side("a"), "a").join(side("b"), "b").where(_similar(percent, both, F.col("n_a"), F.col("n_b")))
-    edges = shared.written(linked.select("a", "b"), "links")
-    edges = edges.unionByName(shared.written(_long_lists(members, full, percent, block), "family_links"))
-    rooted = components(edges).join(sets.select(F.col("set_key").alias("node"), "best"), "node")
-    lowest = shared.written(rooted.groupBy("root").agg(F.min("best").alias("lowest")), "lowest")
-    labelled = shared.written(rooted.join(lowest, "root").select(F.col("node").alias("set_key"), "lowest"), "labelled")
-    label = sets.select("set_key", "best").join(labelled, "set_key", "left")
-    label = shared.written(label.select("set_key", F.coalesce("lowest", "best").alias("best")), "labels")
-    return rows.join(label, "set_key", "left").select("id", "text_key", "n", "best")
+    t = shared.Tables(docs.sparkSession)
+    rows = t.write(sketched(docs, id_col, text_col, percent, k), "sketches", compression="zstd")
+    held = rows.where("set_key IS NOT NULL")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
+    copies = t.write(held.groupBy("set_key").agg(F.count("*").alias("c")).where("c > 1").select("set_key"), "copies")
+    # only rows of sets that several documents have are shuffled with their sketches
+    among = shared.among(copies, "set_key")
+    once = held.where(~among).select("set_key", first.alias("best"), "n", "sketch")
+    more = held.where(among).groupBy("set_key").agg(F.min(first).alias("best"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = once.unionByName(more).withColumn("set_id", F.monotonically_increasing_id()).withColumn("text_key", F.col("best.text_key"))
+    sets = t.write(sets, "sets", compression="zstd")
+    found = _linked_sets(t, docs, text_col, sets, percent, k, dense)
+    # labels that aren't the row's own: of sets linked to others, and of sets that several documents have
+    rooted = t.write(found.join(sets.select(F.col("set_id").alias("node"), "set_key", "best"), "node"), "rooted")
+    lowest = t.write(rooted.groupBy("root").agg(F.min("best").alias("lowest")), "lowest")
+    linked = rooted.join(lowest, "root").select("set_key", F.col("lowest").alias("best"))
+    alike = sets.join(copies, "set_key").join(linked.select("set_key"), "set_key", "left_anti").select("set_key", "best")
+    label = t.write(linked.unionByName(alike), "labels")
+    label_of = rows.select("id", "text_key", "n", "set_key").join(label, "set_key", "left")
+    best = F.coalesce("best", F.when(F.col("set_key").isNotNull(), first))
+    out = t.write(label_of.select("id", "text_key", "n", best.alias("best")), "linked")
+    t.keep_only(out)
+    return out
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, **options: int) -> DataFrame:
-    """A row for each document: id_col, text_key (xxhash64 of the text), n_shingles and component_id,
+    """A row for each document: id_col, text_key (128 bits of its text), n_shingles and component_id,
 
     the smallest id that it is linked to.
     """
@@ -379,18 +359,18 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """The documents that stay: one of each component, that with the smallest id (nulls last), then text_key.
 
-    Of rows that repeat it one stays.
+    Of rows that repeat it one stays, the first by the digest of all its columns.
     """
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.xxhash64(text)))
     stays = F.col("best").isNull() | (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.text_key")))
-    found = _linked(docs, id_col, text_col, percent).select(F.xxhash64("id", "text_key").alias("_row"), (~stays).alias("gone"))
-    rows = found.groupBy("_row").agg(F.bool_or("gone").alias("gone"), F.count("*").alias("n"))
-    touched = shared.written(rows.where("gone OR n > 1").select("_row", "gone"), "touched")
-    test = shared.among(touched.select("_row"), "_row")
-    near = keyed if test is None else keyed.where(test)
-    near = near.join(touched, "_row", "left").where(~F.coalesce("gone", F.lit(False)))
-    repeated = near.where("gone IS NOT NULL").dropDuplicates(["_row"])
-    stay = repeated.unionByName(near.where("gone IS NULL")).drop("gone")
-    stay = stay if test is None else stay.unionByName(keyed.where(~test))
-    return stay.drop("_row")
+    found = _linked(docs, id_col, text_col, percent).select("id", "text_key", (~stays).alias("gone"))
+    rows = found.groupBy("id", "text_key").agg(F.bool_or("gone").alias("gone"), F.count("*").alias("n"))
+    touched = shared.written(rows.where("gone OR n > 1").select("id", "text_key", "gone"), "touched")
+    keyed = shared.whole(docs, id=shared.col(id_col), text_key=shared.key_of(shared.text_of(text_col)))
+    # the filter is asked once for each row, and rows that can't be touched are not shuffled
+    asked = keyed.withColumn("near", shared.among(touched, "id", "text_key"))
+    same = F.col("k.id").eqNullSafe(F.col("t.id")) & (F.col("k.text_key") == F.col("t.text_key"))
+    near = asked.where("near").alias("k").join(touched.alias("t"), same, "left").select("k.doc", "k.id", "k.text_key", "t.gone")
+    near = near.where("gone IS NULL OR NOT gone")
+    again = near.where("gone IS NOT NULL").groupBy("id", "text_key").agg(F.min_by("doc", F.sha2(F.to_json("doc"), 256)).alias("doc"))
+    stay = again.select("doc").unionByName(near.where("gone IS NULL").select("doc")).unionByName(asked.where("NOT near").select("doc"))
+    return shared.unwrapped(stay, docs)

@@ -421,8 +421,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         F.sha2("text", 256).alias("kept_sha256"),
     )
     among = shared.among(found.select("key"), "key")
-    near = rows if among is None else rows.where(among)
+    near = rows.where(among)
     none = F.array().cast(found.schema["found"].dataType)
     joined = near.join(found, "key", "left").select("id", "text", F.coalesce("found", none).alias("found"))
     out = joined.mapInArrow(cut, schema)
-    return out if among is None else out.unionByName(plain(rows.where(~among)))
+    return out.unionByName(plain(rows.where(~among)))

@@ -69,11 +69,10 @@ def components(texts, percent):
     return [find(i) for i in range(len(texts))], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("crowd", [3, 32])
-def test_near_duplicates(spark, texts, crowd):
+def test_near_duplicates(spark, texts):
     rows = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, sketch string")
     want, sizes = components(texts, 85)
-    got = {r["doc_id"]: r for r in near_dedup.link(rows, crowd=crowd, block=8).collect()}
+    got = {r["doc_id"]: r for r in near_dedup.link(rows, dense=0).collect()}
     assert [got[i]["component_id"] for i in range(len(texts))] == want
     assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
 
@@ -87,6 +86,16 @@ def test_representatives_keep_one_of_each(docs, texts, none):
     assert near_dedup.representatives(none).count() == 0
 
 
+def test_representatives_keep_columns_of_any_name(spark):
+    names = ["gone", "_row", "near", "id", "text_key", "doc", "k", "t`q", "n", "best"]
+    rows = [(1, "a b c d e f", *names), (1, "a b c d e f", *["z"] * len(names)), (2, "a b c d e f", *names), (3, None, *names)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = near_dedup.representatives(docs)
+    assert got.columns == docs.columns
+    first = sorted(tuple(r) for r in got.collect())
+    assert [r[0] for r in first] == [1, 3] and first[1][2:] == tuple(names)
+
+
 def test_representatives_of_null_and_shared_ids(spark):
     r = random.Random(8)
     near = lambda: [base := prose(r, 60), f"{base} {prose(r, 1)}", f"{base} {prose(r, 2)}"]
@@ -97,16 +106,38 @@ def test_representatives_of_null_and_shared_ids(spark):
     assert (of(nulls), of(shared), of(mixed), of(apart), of([""]), len(got)) == ([None], [7], [9], [7, 7], [None], 6)
 
 
-def test_least_shared_is_certain_for_small_sets():
+def test_least_shared_is_certain_for_all_sizes():
     r = random.Random(2)
-    for _ in range(300):
-        n = r.randint(1, 64)
+    for _ in range(400):
+        percent, n = r.choice([80, 85]), r.choice([r.randint(1, 90), r.randint(60, 700)])
         a = [r.random() for _ in range(n)]
-        gone = r.randint(0, n // 6)
-        b = a[gone:] + [r.random() for _ in range(r.randint(0, n // 6))]
+        gone = r.randint(0, n // 5)
+        few = sorted(a)[:gone] if r.random() < 0.5 else a[:gone]  # what the other lacks may all be in the sketch
+        more = [r.random() * r.choice([0.1, 1]) for _ in range(r.randint(0, n // 5))]
+        b = [x for x in a if x not in few] + more
         both = n - gone
-        if both and 100 * both >= 85 * (n + len(b) - both):
-            assert len({*sorted(a)[:64]} & {*sorted(b)[:64]}) >= near_dedup.least_shared(n, 85)
+        assert near_dedup.least_shared(n, max(1, len(b)), percent) >= 1 or not 100 * min(n, len(b)) >= percent * max(n, len(b))
+        if both and 100 * both >= percent * (n + len(b) - both):
+            x, y = (set(sorted(v)[: near_dedup.sketch_size(len(v), percent)]) for v in (a, b))
+            assert len(x & y) >= near_dedup.least_shared(n, len(b), percent)
+
+
+def test_clusters_that_share_boilerplate(spark):
+    """Clusters of near copies that share most of their words, but not enough to be similar."""
+    r, rows = random.Random(6), []
+    words = lambda n: [prose(r, 1) + str(r.randrange(10**6)) for _ in range(n)]
+    for common, own in ((52, 12), (40, 24), (280, 40)):
+        template = words(common)
+        for _ in range(8):
+            base = [*template, *words(own)]
+            for _ in range(12):
+                w = list(base)
+                for _ in range(r.randrange(2)):
+                    w[r.randrange(len(w))] = words(1)[0]
+                rows.append((len(rows), " ".join(w)))
+    want, _ = components([t for _, t in rows], 85)
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == want and len(set(want)) >= 24
 
 
 def test_packing_round_trip(docs, texts, none):
