@@ -1,211 +1,294 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words of the documents are looked up in the benchmark's vocabulary; runs of
-``min_match`` known words are hashed and joined with the hashes of the items'
-runs (the seeds). For each document and item with a shared seed, the longest
-common unmarked matches are marked, as tiles that overlap neither in the
-document nor in the item, again and again until none of ``min_match`` words is
-left. The share of the item's words under tiles is its coverage: the order of
-the tiles plays no part, so passages that were reordered are caught.
-
-The benchmark is taken in blocks of at most ``block_bytes`` of text, so that
-what is broadcast is bounded; each block is one Arrow UDF over the documents
-with no shuffle.
+Seeds are runs of ``min_match`` words. Those of the benchmark make a table; the
+documents' that pass a filter of bounded size are joined with it, which gives
+pairs of a text and an item. For each pair running Karp-Rabin tiles the text: of
+a search length that falls from the item's to ``min_match``, runs that are not
+marked in either are hashed and matched, matches are extended, and the longest
+are marked, as tiles that overlap neither in the text nor in the item, until none
+of ``min_match`` words is left. The share of the item's words under tiles is its
+coverage: the order of the tiles plays no part, so passages that were reordered
+are caught.
+
+To cover ``threshold`` of an item, tiles of ``min_match`` words or more hold at
+least a known number of its seeds. So the item's commonest seeds, up to one less
+than that number, can be left out of the table: a phrase that many items share
+makes no pairs by itself. Equal texts are tiled once. Nothing of the benchmark
+or of the documents is collected but the filter's bits.
+
+A pair costs its text's words for each search length, and for each length a tile
+has; matches start only where the words before differ, so repeated words don't
+multiply. Memory is bounded by the pair's texts and blocks of matches.
 
 Defined results: words are maximal runs of letters, digits and _, in lower case;
 an item of fewer than ``min_match`` words must occur whole, and is reported, but
 ``clean`` drops no document for such items unless they make up most of its words;
-a null or empty text
-or item matches nothing; repeated items are reported each, repeated documents
-and null ids are looked at like any other; empty tables give no matches; input
-columns are kept, and one named like the output column is replaced.
+a null or empty text or item matches nothing; repeated items are reported each,
+repeated documents and null ids are looked at like any other; empty tables give
+no matches; input columns are kept, whatever their names, and one named like the
+output column is replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import xxhash
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from orrery.llm import rolling, shared
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
-BLOCK_BYTES = 16 << 20
-_PAIRS = 2_000_000
+BLOCK = 1 << 20
+_PAIRS = 1_000_000
 _words = re.compile(r"\w+").findall
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_gap = re.compile(r"\W").search
+
+
+def words(text: str) -> Iterator[str]:
+    """The words of a text, a block at a time."""
+    at = 0
+    while at < len(text):
+        end = at + BLOCK
+        if end < len(text):
+            gap = _gap(text, end)
+            end = gap.start() if gap else len(text)
+        yield from _words(text[at:end].lower())
+        at = end
+
+
+@lru_cache(maxsize=1 << 18)
+def _code(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+
 
+def coded(text: str | None) -> np.ndarray:
+    """64 bits for each word."""
+    return np.fromiter(map(_code, words(text or "")), dtype=np.uint64)
 
-def words(text: str) -> list[str]:
-    return _words(text.lower())
 
+def seeds_of(codes: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each run of ``n`` words."""
+    return rolling.Hashed(codes, None).grams(n) if len(codes) >= n else np.zeros(0, dtype=np.uint64)
 
-def runs(ids: np.ndarray, n: int) -> np.ndarray:
-    """The hash of each run of ``n`` ids."""
-    count = len(ids) - n + 1
-    h = np.zeros(count, dtype=np.uint64)
-    for k in range(n):
-        h *= _ODD
-        h += ids[k : k + count].astype(np.uint64)
-        h ^= h >> np.uint64(29)
-    return h
 
+def _classes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Small equal numbers for equal values of both, from 1 on."""
+    found, number = np.unique(np.concatenate((a, b)), return_inverse=True)
+    number = number.astype(np.int64) + 1
+    return number[: len(a)], number[len(a) :]
 
-def _longest(
-    doc: np.ndarray, item: np.ndarray, at: np.ndarray, starts: np.ndarray, counts: np.ndarray, order: np.ndarray
-) -> tuple[int, np.ndarray, np.ndarray]:
-    """The length of the longest match of these seeds, and where in doc and item such matches are.
 
-    doc and item hold negative numbers, all different, where they are marked.
+class _Matches:
+    """Matches of ``n`` words or more between what is unmarked in a text and in an item, from where they begin on.
+
+    Marked words have negative numbers, all different.
     """
-    best, best_t, best_p = 0, [], []
-    edges = np.searchsorted(np.cumsum(counts), np.arange(0, counts.sum() + _PAIRS, _PAIRS))
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        hi = hi + 1 if hi == lo else hi
-        c = counts[lo:hi]
-        t = np.repeat(at[lo:hi], c)
-        p = order[np.repeat(starts[lo:hi] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
-        length, live = np.zeros(len(t), dtype=np.int64), np.arange(len(t))
-        while len(live):
-            i, j = t[live] + length[live], p[live] + length[live]
-            ok = (i < len(doc)) & (j < len(item))
-            ok[ok] = doc[i[ok]] == item[j[ok]]
-            live = live[ok]
-            length[live] += 1
-        top = int(length.max(initial=0))
-        if top > best:
-            best, best_t, best_p = top, [], []
-        if top == best and top:
-            best_t.append(t[length == top])
-            best_p.append(p[length == top])
-    return best, np.concatenate(best_t or [at[:0]]), np.concatenate(best_p or [at[:0]])
+
+    def __init__(self, doc: np.ndarray, item: np.ndarray, n: int) -> None:
+        self.doc, self.item, self.n = doc, item, n
+        spread = [rolling.mixed(x.view(np.uint64) * np.uint64(2) + np.uint64(1)) for x in (doc, item)]
+        self.hashed = [rolling.Hashed(x, None) for x in spread]
+        grams = [h.grams(n) for h in self.hashed]
+        free = [np.flatnonzero(np.convolve(x < 0, np.ones(n, dtype=np.int64), "valid") == 0) for x in (doc, item)]
+        before = [np.concatenate((edge, x[:-1])) for x, edge in zip((doc, item), ([-1 << 61], [-1 << 62]), strict=True)]
+        # the item's runs by hash, and among equal ones by the word before
+        hashes, left = grams[1][free[1]], before[1][free[1]]
+        order = np.lexsort((left, hashes))
+        self.at_item, hashes, left = free[1][order], hashes[order], left[order]
+        t = free[0]
+        lo, hi = np.searchsorted(hashes, grams[0][t], "left"), np.searchsorted(hashes, grams[0][t], "right")
+        some = hi > lo
+        t, lo, hi = t[some], lo[some], hi[some]
+        # of those, the ones with the same word before are inside of a longer match
+        known = np.unique(left)
+        rank = np.searchsorted(known, left)
+        mine = np.searchsorted(known, before[0][t])
+        mine = np.where((mine < len(known)) & (known[np.minimum(mine, len(known) - 1)] == before[0][t]), mine, -1) if len(known) else mine
+        group = np.cumsum(np.concatenate(([0], hashes[1:] != hashes[:-1]))) if len(hashes) else hashes.astype(np.int64)
+        key, asked = group * (len(known) + 1) + rank, group[lo] * (len(known) + 1) + mine
+        skip_lo, skip_hi = np.searchsorted(key, asked, "left"), np.searchsorted(key, asked, "right")
+        none = mine < 0
+        skip_lo, skip_hi = np.where(none, hi, skip_lo), np.where(none, hi, skip_hi)
+        self.t = np.concatenate((t, t))
+        self.lo, self.hi = np.concatenate((lo, skip_hi)), np.concatenate((skip_lo, hi))
+        some = self.hi > self.lo
+        self.t, self.lo, self.hi = self.t[some], self.lo[some], self.hi[some]
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(start in the text, start in the item, words) of all matches, a block at a time."""
+        counts = self.hi - self.lo
+        upto = np.cumsum(counts)
+        edges = np.unique(np.concatenate(([0], np.searchsorted(upto, np.arange(_PAIRS, (upto[-1] if len(upto) else 0) + _PAIRS, _PAIRS)) + 1)))
+        for a, b in zip(edges[:-1].tolist(), np.minimum(edges[1:], len(counts)).tolist(), strict=True):
+            c = counts[a:b]
+            if not c.sum():
+                continue
+            t = np.repeat(self.t[a:b], c)
+            p = self.at_item[np.repeat(self.lo[a:b] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
+            yield t, p, self._lengths(t, p)
+
+    def _lengths(self, t: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """By bisection on hashes: how far the words from t and p on are equal."""
+        low = np.full(len(t), self.n)
+        high = np.minimum(len(self.doc) - t, len(self.item) - p)
+        while (open_ := low < high).any():
+            mid = (low + high + 1) // 2
+            same = self.hashed[0].of(t, t + mid) == self.hashed[1].of(p, p + mid)
+            low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
+        return low
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """(start in doc, start in item, length) of the greedy tiles; ids are positive, 0 matches nothing."""
-    doc, item = doc.astype(np.int64), item.astype(np.int64)
-    doc[doc == 0] = -1
-    n = min(min_match, len(item))
+    """(start in doc, start in item, length) of the greedy tiles; equal words have equal numbers."""
+    doc, item = _classes(doc, item)
+    least = min(min_match, len(item))
     found: list[tuple[int, int, int]] = []
-    if not n:
+    if not least or len(doc) < least:
         return found
-    while len(doc) >= n and len(item) >= n:
-        keys = runs(item, n)
-        order = np.argsort(keys, kind="stable")
-        ranked, seeds = keys[order], runs(doc, n)
-        free = np.convolve(doc < 0, np.ones(n, dtype=np.int64), "valid") == 0
-        starts = np.searchsorted(ranked, seeds, "left")
-        counts = np.where(free, np.searchsorted(ranked, seeds, "right") - starts, 0)
-        at = np.flatnonzero(counts)
-        length, t, p = _longest(doc, item, at, starts[at], counts[at], order)
-        if length < n:
-            break
-        for i, j in zip(t.tolist(), p.tolist(), strict=True):
-            if (doc[i : i + length] > 0).all() and (item[j : j + length] > 0).all():
-                found.append((i, j, length))
-                doc[i : i + length] = -1
-                item[j : j + length] = -2
+    unmarked, marks = len(item), 0
+    n = min(len(doc), len(item))
+    while unmarked >= least:
+        n = max(least, min(n, unmarked))
+        longest, t, p = 0, [], []
+        for a, b, size in _Matches(doc, item, n).blocks():
+            top = int(size.max())
+            if top > longest:
+                longest, t, p = top, [], []
+            if top == longest:
+                t.append(a[size == top])
+                p.append(b[size == top])
+        if not longest:
+            if n == least:
+                break
+            n = max(least, n // 2)
+            continue
+        t, p = np.concatenate(t), np.concatenate(p)
+        order = np.lexsort((p, t))
+        t, p = t[order], p[order]
+        while len(t):  # what overlaps the first of the longest goes with it
+            i, j = int(t[0]), int(p[0])
+            found.append((i, j, longest))
+            doc[i : i + longest] = -2 * (marks + np.arange(longest)) - 1
+            item[j : j + longest] = -2 * (marks + np.arange(longest)) - 2
+            marks += longest
+            unmarked -= longest
+            apart = (np.abs(t - i) >= longest) & (np.abs(p - j) >= longest)
+            t, p = t[apart], p[apart]
     return found
 
 
-@dataclass(frozen=True)
-class Block:
-    """Part of the benchmark: ids of its items, their words, and their seeds by length."""
-
-    ids: list
-    vocabulary: dict[str, int]
-    items: list[np.ndarray]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray]]
-    min_match: int
-
-    @classmethod
-    def of(cls, rows: Sequence[tuple[object, str | None]], min_match: int) -> Block:
-        split = [(key, w) for key, text in rows if text and (w := words(text))]
-        vocabulary: dict[str, int] = {}
-        items = [np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], dtype=np.int64) for _, w in split]
-        seeds = {}
-        for n in sorted({min(min_match, len(x)) for x in items}):
-            of = [(i, np.unique(runs(x, n))) for i, x in enumerate(items) if min(min_match, len(x)) == n]
-            keys, owner = np.concatenate([h for _, h in of]), np.repeat([i for i, _ in of], [len(h) for _, h in of])
-            order = np.argsort(keys, kind="stable")
-            seeds[n] = keys[order], owner[order]
-        return cls([key for key, _ in split], vocabulary, items, seeds, min_match)
-
-    def matches(self, text: str | None, threshold: float) -> list[dict]:
-        if not text:
-            return []
-        get = self.vocabulary.get
-        doc = np.array([get(w, 0) for w in words(text)], dtype=np.int64)
-        candidates: set[int] = set()
-        for n, (keys, owner) in self.seeds.items():
-            if len(doc) < n:
-                continue
-            gaps = np.concatenate(([0], np.cumsum(doc == 0)))
-            at = np.flatnonzero(gaps[n:] == gaps[:-n])  # runs of known words only
-            if not len(at):
-                continue
-            h = np.unique(runs(doc, n)[at])
-            lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-            for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                candidates.update(owner[a:b].tolist())
-        out = []
-        for i in sorted(candidates):
-            made = tiles(doc, self.items[i], self.min_match)
-            covered = sum(x[2] for x in made)
-            if made and covered >= threshold * len(self.items[i]):
-                out.append(
-                    {
-                        "item_id": self.ids[i],
-                        "coverage": covered / len(self.items[i]),
-                        "n_tiles": len(made),
-                        "longest_tile": max(x[2] for x in made),
-                        "tiles": [{"doc_word": t, "item_word": p, "n_words": k} for t, p, k in sorted(made)],
-                    }
-                )
-        return out
-
-    def verdict(self, text: str | None, threshold: float) -> dict:
-        """Whether the text covers an item of ``min_match`` words or more; its words, and which of them shorter items cover."""
-        found = self.matches(text, threshold)
-        if not found:
-            return {"covers": False, "n_words": 0, "short": []}
-        if any(m["longest_tile"] >= self.min_match for m in found):
-            return {"covers": True, "n_words": 0, "short": []}
-        tiles = (t for m in found for t in m["tiles"])
-        short = sorted({t["doc_word"] + k for t in tiles for k in range(t["n_words"])})
-        return {"covers": False, "n_words": len(words(text)), "short": short}
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
-    """The benchmark's rows in as many parts as keep each near ``block_bytes``."""
-    rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-int(size) // block_bytes)
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) if n else F.lit(0)
-    return [rows if n == 1 else rows.where(part == k) for k in range(n)]
+def _items(t: shared.Tables, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """item_no, item_id and codes (little-endian, of the words) of the items that have words."""
+    rows = benchmark.select(shared.col(id_col).alias("item_id"), shared.text_of(text_col).cast("string").alias("text"))
 
+    @F.arrow_udf(T.BinaryType())
+    def codes(column: pa.Array) -> pa.Array:
+        return pa.array([coded(x.as_py()).tobytes() for x in column], type=pa.binary())
 
-def _by_block(
-    docs: DataFrame, blocks: Sequence[DataFrame], text_col: str, min_match: int, made: T.DataType, look: Callable[[Block, str | None], object]
-) -> list[Column]:
-    """What ``look`` says of each text, as ``made``, in a column for each block of the benchmark."""
-    from pyspark.sql.pandas.types import to_arrow_type
+    return t.write(
+        rows.select("item_id", codes("text").alias("codes")).where(F.octet_length("codes") > 0).withColumn("item_no", F.monotonically_increasing_id()),
+        "items",
+    )
 
-    arrow, spark = to_arrow_type(made), docs.sparkSession
 
-    def of(block: DataFrame) -> Column:
-        shared = spark.sparkContext.broadcast(Block.of([(r["item_id"], r["text"]) for r in block.collect()], min_match))
+def _seeds(t: shared.Tables, items: DataFrame, min_match: int, threshold: float) -> DataFrame:
+    """n, seed and item_no: what a text must share with an item to cover enough of it."""
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, codes in zip(batch.column("item_no").to_pylist(), batch.column("codes"), strict=True):
+                item = np.frombuffer(codes.as_buffer(), dtype=np.uint64)
+                n = min(min_match, len(item))
+                hashes, times = np.unique(seeds_of(item, n).view(np.int64), return_counts=True)
+                need = -(-max(1, int(np.ceil(threshold * len(item)))) // n)
+                k = len(hashes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(k, number)), pa.array(np.full(k, n)), pa.array(hashes), pa.array(times), pa.array(np.full(k, need))],
+                    names=["item_no", "n", "seed", "times", "need"],
+                )
 
-        @F.arrow_udf(made)
-        def found(column: pa.Array) -> pa.Array:
-            return pa.array([look(shared.value, t.as_py()) for t in column], type=arrow)
+    every = t.write(items.mapInArrow(seeded, "item_no long, n long, seed long, times long, need long"), "seeds")
+    spread = every.groupBy("seed").agg(F.count("*").alias("df"))
+    # from the commonest on, seeds are left out while fewer places than needed go with them
+    commonest = Window.partitionBy("item_no").orderBy(F.desc("df"), "seed")
+    kept = every.join(t.write(spread, "spread"), "seed").withColumn("gone", F.sum("times").over(commonest))
+    return t.write(kept.where("gone >= need").select("n", "seed", "item_no"), "index")
+
+
+_TILE = "array<struct<doc_word: bigint, item_word: bigint, n_words: bigint>>"
+_FOUND = f"key binary, item_no long, coverage double, n_words long, n_tiles int, longest_tile int, tiles {_TILE}"
+
+
+def _tiled(min_match: int, threshold: float):
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, codes = None, None
+        for batch in batches:
+            rows = []
+            for i, (key, number) in enumerate(zip(batch.column("key").to_pylist(), batch.column("item_no").to_pylist(), strict=True)):
+                if key != last:
+                    last, codes = key, coded(batch.column("text")[i].as_py())
+                item = np.frombuffer(batch.column("codes")[i].as_buffer(), dtype=np.uint64)
+                made = tiles(codes, item, min_match)
+                covered = sum(x[2] for x in made)
+                if made and covered >= threshold * len(item):
+                    rows.append(
+                        {
+                            "key": key,
+                            "item_no": number,
+                            "coverage": covered / len(item),
+                            "n_words": len(codes),
+                            "n_tiles": len(made),
+                            "longest_tile": max(x[2] for x in made),
+                            "tiles": [{"doc_word": a, "item_word": b, "n_words": k} for a, b, k in sorted(made)],
+                        }
+                    )
+            yield pa.RecordBatch.from_pylist(rows, schema=_found_schema())
+
+    return tile
+
+
+def _found_schema() -> pa.Schema:
+    place = pa.struct([("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])
+    return pa.schema(
+        [("key", pa.binary()), ("item_no", pa.int64()), ("coverage", pa.float64()), ("n_words", pa.int64()), ("n_tiles", pa.int32()), ("longest_tile", pa.int32()), ("tiles", pa.list_(place))]
+    )
 
-        return found(F.col(text_col))
 
-    return [of(b) for b in blocks]
+def found(
+    t: shared.Tables, docs: DataFrame, benchmark: DataFrame, text_col: str, item_id_col: str, item_text_col: str, min_match: int, threshold: float
+) -> DataFrame:
+    """key (128 bits of a text), item_id, coverage, n_words (of the text), n_tiles, longest_tile and tiles of each text and item that it covers."""
+    items = _items(t, benchmark, item_id_col, item_text_col)
+    index = _seeds(t, items, min_match, threshold)
+    sizes = sorted(r["n"] for r in index.select("n").distinct().collect())  # min_match at most
+    known = shared.Filter.of(index.select("seed").distinct())
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                codes = coded(text.as_py())
+                for n in sizes:
+                    hashes = seeds_of(codes, n).view(np.int64)
+                    hit = np.unique(hashes[known.test(hashes)])
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([key] * len(hit), type=pa.binary()), pa.array(np.full(len(hit), n)), pa.array(hit)], names=["key", "n", "seed"]
+                        )
+
+    text = shared.text_of(text_col)
+    texts = docs.select(shared.key_of(text).alias("key"), text.cast("string").alias("text"))
+    hits = t.write(texts.mapInArrow(asked, "key binary, n long, seed long"), "hits")
+    pairs = t.write(hits.join(index, ["n", "seed"]).select("key", "item_no").distinct(), "pairs")
+    one = t.write(shared.likely(texts, pairs, "key").dropDuplicates(["key"]).join(pairs.select("key").distinct(), "key"), "texts")
+    both = pairs.join(one, "key").join(items.select("item_no", "codes"), "item_no")
+    made = both.sortWithinPartitions("key").mapInArrow(_tiled(min_match, threshold), _FOUND)
+    return t.write(made.join(items.select("item_no", "item_id"), "item_no").drop("item_no"), "tiled")
 
 
 def match(
@@ -217,22 +300,22 @@ def match(
     to: str = "matches",
     min_match: int = MIN_MATCH,
     threshold: float = THRESHOLD,
-    block_bytes: int = BLOCK_BYTES,
+    only: bool = False,
 ) -> DataFrame:
-    """``docs`` with an array in ``to`` of the items covered to ``threshold`` or more, and their tiles."""
-    id_type = benchmark.schema[item_id_col].dataType
-    tile = "array<struct<doc_word: bigint, item_word: bigint, n_words: bigint>>"
-    made = T.ArrayType(
-        T.StructType(
-            [
-                T.StructField("item_id", id_type),
-                *T.StructType.fromDDL(f"coverage double, n_tiles int, longest_tile int, tiles {tile}").fields,
-            ]
-        )
-    )
-    blocks = _blocks(benchmark, item_id_col, item_text_col, block_bytes)
-    parts = _by_block(docs, blocks, text_col, min_match, made, lambda block, text: block.matches(text, threshold))
-    return docs.withColumn(to, F.concat(*parts) if parts else F.array().cast(made))
+    """``docs`` with an array in ``to`` of the items covered to ``threshold`` or more, and their tiles; ``only``: without others."""
+    t = shared.Tables(docs.sparkSession)
+    rows = found(t, docs, benchmark, text_col, item_id_col, item_text_col, min_match, threshold)
+    one = F.struct("item_id", "coverage", "n_tiles", "longest_tile", "tiles")
+    lists = t.write(rows.groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("matches")), "matches")
+    t.keep_only(lists)
+    asked = shared.whole(docs, key=shared.key_of(shared.text_of(text_col))).withColumn("near", shared.among(lists, "key"))
+    kept = [c for c in docs.columns if c != to]
+    shaped = lambda df: df.select(*(F.col("doc")[c].alias(c) for c in kept), F.col("matches").alias(to))
+    near = asked.where("near").join(lists, "key", "inner" if only else "left")
+    if only:
+        return shaped(near)
+    none = F.array().cast(lists.schema["matches"].dataType)
+    return shaped(near.withColumn("matches", F.coalesce("matches", none))).unionByName(shaped(asked.where("NOT near").withColumn("matches", none)))
 
 
 def clean(
@@ -243,19 +326,16 @@ def clean(
     item_text_col: str = "text",
     min_match: int = MIN_MATCH,
     threshold: float = THRESHOLD,
-    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The documents that cover no item of the benchmark, and don't consist mostly of items of under ``min_match`` words."""
-    made = T.StructType.fromDDL("covers boolean, n_words bigint, short array<bigint>")
-    blocks = _blocks(benchmark, item_id_col, item_text_col, block_bytes)
-    parts = _by_block(docs, blocks, text_col, min_match, made, lambda block, text: block.verdict(text, threshold))
-    if not parts:
-        return docs
-
-    def bad(found: Column) -> Column:
-        short = F.size(F.array_distinct(F.flatten(F.transform(found, lambda x: x["short"]))))
-        n_words = F.array_max(F.transform(found, lambda x: x["n_words"]))
-        return F.exists(found, lambda x: x["covers"]) | (short * 2 > n_words)
-
-    # one reference to the findings, so that they are made once
-    return docs.where(~F.exists(F.array(F.array(*parts)), bad))
+    t = shared.Tables(docs.sparkSession)
+    rows = found(t, docs, benchmark, text_col, item_id_col, item_text_col, min_match, threshold)
+    under: Column = F.flatten(F.transform("tiles", lambda x: F.sequence(x["doc_word"], x["doc_word"] + x["n_words"] - 1)))
+    covers = rows.where(F.col("longest_tile") >= min_match).select("key").distinct()
+    short = rows.where(F.col("longest_tile") < min_match).select("key", "n_words", F.explode(under).alias("word"))
+    short = short.groupBy("key", "n_words").agg(F.count_distinct("word").alias("covered")).where("covered * 2 > n_words").select("key")
+    bad = t.write(covers.unionByName(short).distinct(), "bad")
+    t.keep_only(bad)
+    asked = shared.whole(docs, key=shared.key_of(shared.text_of(text_col))).withColumn("near", shared.among(bad, "key"))
+    stay = asked.where("near").join(bad, "key", "left_anti").select("doc").unionByName(asked.where("NOT near").select("doc"))
+    return shared.unwrapped(stay, docs)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from orrery.llm import decontaminate, language_id, near_dedup, packing, quality_rules, secret_scan, sharding, suffix_dedup, toxicity, warc
@@ -24,8 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's measurements, failure bits and verdict under the policies base and v1."""
-    book = quality_rules.ledger(table(spark, sf_dir, "documents"))
-    base, full = quality_rules.POLICIES
+    book = quality_rules.verdicts(quality_rules.ledger(table(spark, sf_dir, "documents")))
     return book.select(
         "doc_id",
         "n_words",
@@ -34,8 +32,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_dup_lines",
         "n_repeat_words",
         "failed_bits",
-        quality_rules.rejected(base).alias("base_failed"),
-        (~quality_rules.rejected(full)).alias("kept"),
+        (~F.col("kept_base")).alias("base_failed"),
+        F.col("kept_v1").alias("kept"),
     )
 
 
@@ -83,12 +81,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document and benchmark item of which it covers half or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.match(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("matches").alias("m"))
+    found = decontaminate.match(docs, table(spark, sf_dir, "benchmark"), only=True).select("doc_id", F.explode("matches").alias("m"))
     return found.select("doc_id", "m.item_id", "m.coverage", "m.n_tiles", "m.longest_tile")
 
 
 def byte_bpe() -> packing.Encoder:
     """The vocabulary byte_bpe_50k, with id 1 after each text."""
+    import public_tokenizers
+
     return packing.Encoder(
         public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("byte_bpe_50k.tiktoken"),

@@ -36,13 +36,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashed:
-    """Hashes of stretches of ``data``: equal bytes, equal hashes, wherever they stand."""
+    """Hashes of stretches of ``data``: equal bytes, equal hashes, wherever they stand.
 
-    def __init__(self, data: np.ndarray, table: np.ndarray = TABLE) -> None:
+    With ``table`` None the symbols are 64-bit numbers that are hashes themselves.
+    """
+
+    def __init__(self, data: np.ndarray, table: np.ndarray | None = TABLE) -> None:
         n = len(data)
         up, self._down = powers(n + 1)
         self._sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(table[data] * up[:n], out=self._sums[1:])
+        np.cumsum((data if table is None else table[data]) * up[:n], out=self._sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self._sums[end] - self._sums[start]) * self._down[start])

@@ -94,59 +94,79 @@ def key_of(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def among(keys: DataFrame, *columns: str) -> Column:
-    """Whether the values of these columns are certainly not, or probably, among the rows of ``keys``.
+class Filter:
+    """Which 64-bit values are certainly not, or probably, among those of a column; for a broadcast of bounded size.
 
-    Only spares shuffling rows that a join would drop anyway. The filter has ten
-    bits a key, of which three are looked at; beyond FILTER_BITS it stays as it
-    is, with less to say: of 50 million keys it lets 2 percent of other rows
-    pass, of 100 million 8, of 500 million 61. It is made in segments: the
-    driver gets each bit once.
+    It has ten bits a value, of which three are looked at; beyond FILTER_BITS it
+    stays as it is, with less to say: of 50 million values it lets 2 percent of
+    others pass, of 100 million 8, of 500 million 61. It is made in segments:
+    the driver gets each bit once.
     """
-    hashed = keys.select(F.xxhash64(*(F.col(c) for c in columns)).alias("h"))
-    n = hashed.count()
-    bits = min(FILTER_BITS, 1 << max(10, (n * 10).bit_length()))
-    looks = 3 if n * 4 <= bits else 1
-    mask = np.uint64(bits - 1)
-
-    def places(x: np.ndarray) -> Iterator[np.ndarray]:
-        x = rolling.mixed(x.view(np.uint64))
-        for k in (0, 21, 34)[:looks]:
+
+    def __init__(self, bits: int, looks: int, sent: object) -> None:
+        self.bits, self.looks, self.sent = bits, looks, sent
+
+    def places(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        x, mask = rolling.mixed(x.view(np.uint64)), np.uint64(self.bits - 1)
+        for k in (0, 21, 34)[: self.looks]:
             yield ((x >> np.uint64(k)) & mask).astype(np.int64)
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits, dtype=bool)
-        for batch in batches:
-            for p in places(np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False))):
-                seen[p] = True
-        for at in range(0, bits, _SEGMENT):
-            part = seen[at : at + _SEGMENT]
-            if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at // _SEGMENT]), pa.array([np.packbits(part).tobytes()], type=pa.binary())], names=["segment", "bits"]
-                )
-
-    def either(table: pa.Table) -> pa.Table:
-        out = None
-        for row in table.column("bits"):
-            part = np.frombuffer(row.as_buffer(), dtype=np.uint8)
-            out = part.copy() if out is None else out | part
-        return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([out.tobytes()], type=pa.binary())})
-
-    filled = np.zeros(bits // 8, dtype=np.uint8)
-    made = hashed.coalesce(8).mapInArrow(build, "segment long, bits binary").groupBy("segment")
-    for row in made.applyInArrow(either, "segment long, bits binary").toLocalIterator():
-        part = np.frombuffer(row["bits"], dtype=np.uint8)
-        at = row["segment"] * _SEGMENT // 8
-        filled[at : at + len(part)] = part
-    sent = keys.sparkSession.sparkContext.broadcast(filled)
+    def test(self, x: np.ndarray) -> np.ndarray:
+        out, held = np.ones(len(x), dtype=bool), self.sent.value
+        for p in self.places(x):
+            out &= (held[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+        return out
+
+    @classmethod
+    def of(cls, values: DataFrame) -> Filter:
+        """``values``: one column of long."""
+        n = values.count()
+        bits = min(FILTER_BITS, 1 << max(10, (n * 10).bit_length()))
+        out = cls(bits, 3 if n * 4 <= bits else 1, None)
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(bits, dtype=bool)
+            for batch in batches:
+                for p in out.places(_longs(batch.column(0))):
+                    seen[p] = True
+            for at in range(0, bits, _SEGMENT):
+                part = seen[at : at + _SEGMENT]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([at // _SEGMENT]), pa.array([np.packbits(part).tobytes()], type=pa.binary())], names=["segment", "bits"]
+                    )
+
+        def either(table: pa.Table) -> pa.Table:
+            found = None
+            for row in table.column("bits"):
+                part = np.frombuffer(row.as_buffer(), dtype=np.uint8)
+                found = part.copy() if found is None else found | part
+            return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([found.tobytes()], type=pa.binary())})
+
+        filled = np.zeros(bits // 8, dtype=np.uint8)
+        made = values.coalesce(8).mapInArrow(build, "segment long, bits binary").groupBy("segment")
+        for row in made.applyInArrow(either, "segment long, bits binary").toLocalIterator():
+            part = np.frombuffer(row["bits"], dtype=np.uint8)
+            at = row["segment"] * _SEGMENT // 8
+            filled[at : at + len(part)] = part
+        out.sent = values.sparkSession.sparkContext.broadcast(filled)
+        return out
+
+
+def _longs(column: pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(column.to_numpy(zero_copy_only=False))
+
+
+def among(keys: DataFrame, *columns: str) -> Column:
+    """Whether the values of these columns are certainly not, or probably, among the rows of ``keys``.
+
+    Only spares shuffling rows that a join would drop anyway.
+    """
+    made = Filter.of(keys.select(F.xxhash64(*(F.col(c) for c in columns)).alias("h")))
 
     @F.arrow_udf(T.BooleanType())
     def tested(column: pa.Array) -> pa.Array:
-        out = np.ones(len(column), dtype=bool)
-        for p in places(np.ascontiguousarray(column.to_numpy(zero_copy_only=False))):
-            out &= (sent.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
-        return pa.array(out)
+        return pa.array(made.test(_longs(column)))
 
     return tested(F.xxhash64(*(F.col(c) for c in columns)))
 
