@@ -1,19 +1,21 @@
 """Packing token sequences by non-negative least squares over length combinations.
 
 Every document becomes token ids and a closing id. Whole windows are cut from
-its front; what is left, its tail, is shorter than the window. The histogram of
-all tails is small (one count for each length); shallow combinations of lengths
-that fill a window exactly, pairs and triples, are its candidate recipes, and
-non-negative least squares solves how often each is to be used. The recipes, by
-their rounded repeat counts, are then filled from the tails of one stretch of
-documents at a time; tails they leave over are packed greedily, the last one
-cut to fill its window, and the rest of it packed on. Less than one window of a
-stretch remains; it becomes sequences of powers of two, which need no padding.
-
-The ids are written once to the shared folder. Both passes over them stream:
-the histogram reads lengths only, and the second holds ``stretch`` ids at a
-time, so nothing is shuffled but the histogram, and memory is bounded whatever
-the keys or lengths are. A very long document is cut as it comes.
+its front; what is left, its tail, is shorter than the window. Documents are
+taken a stretch of ids at a time. The tails of a stretch have a histogram (one
+count for each length); shallow combinations of lengths that fill a window
+exactly, pairs and triples, are its candidate recipes, and non-negative least
+squares solves how often each is to be used. The repeat counts are rounded,
+carrying what rounding leaves from one to the next so that their sum stays, and
+the recipes filled from the tails; what is left has a histogram of its own, and
+is solved again while that fills windows. The residual is packed greedily, the
+last tail of a window cut to fill it, and the rest of it packed on. Less than
+one window of a stretch remains; it becomes sequences of powers of two, which
+need no padding.
+
+It is one pass without a shuffle that holds ``stretch`` ids at a time, so memory
+is bounded whatever the keys or lengths are. A very long document is cut as it
+comes. A lost task packs its documents anew.
 
 Defined results: a null or empty text has the closing id only; repeated rows and
 null ids are packed like any other row; an empty table gives no pieces; columns
@@ -40,6 +42,8 @@ from orrery.llm import shared
 WINDOW = 2048
 STRETCH = 4_000_000
 POPULAR = 96
+#: How often what is left of a stretch is solved for again.
+ROUNDS = 3
 
 
 @dataclass(frozen=True)
@@ -90,8 +94,9 @@ def recipes(histogram: np.ndarray, window: int = WINDOW, popular: int = POPULAR)
 
     ``histogram[l]`` counts the tails of length l. Combinations have a row each,
     of up to three lengths and zeros: all exact pairs, and the exact triples with
-    two of the ``popular`` most frequent lengths. Solved by accelerated projected
-    gradient on the lengths' counts.
+    two of the ``popular`` most frequent lengths (other triples are too many to
+    solve for; their lengths take part in pairs, and in what is packed greedily).
+    Solved by accelerated projected gradient on the lengths' counts.
     """
     there = histogram > 0
     a = np.arange(1, window // 2 + 1)
@@ -120,7 +125,7 @@ def recipes(histogram: np.ndarray, window: int = WINDOW, popular: int = POPULAR)
     rate = 1 / max(1e-9, float(v @ product(v)[combos].sum(axis=1)))
     n = np.zeros(len(combos))
     ahead, t = n, 1.0
-    for _ in range(400):
+    for _ in range(200):
         step = np.maximum(0, ahead - rate * (product(ahead) - target)[combos].sum(axis=1))
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, n, t = step + (t - 1) / t_next * (step - n), step, t_next
@@ -128,13 +133,13 @@ def recipes(histogram: np.ndarray, window: int = WINDOW, popular: int = POPULAR)
     return combos[order], n[order]
 
 
-def packed(
-    tails: list[tuple[int, int]], combos: np.ndarray, repeats: np.ndarray, share: float, window: int = WINDOW
-) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (tail, from, to) that hold every id of ``tails``, (number, length), exactly once.
+def rounded(repeats: np.ndarray) -> np.ndarray:
+    """Whole numbers near ``repeats``, with a sum near theirs: each takes on what rounding left before it."""
+    return np.diff(np.floor(np.concatenate(([0.0], np.cumsum(repeats))) + 0.5)).astype(np.int64)
 
-    ``share`` is the part of the histogram that these tails are.
-    """
+
+def packed(tails: list[tuple[int, int]], window: int = WINDOW, rounds: int = ROUNDS) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (tail, from, to) that hold every id of ``tails``, (number, length), exactly once."""
     pool: dict[int, list[tuple[int, int]]] = {}
     for number, length in tails:
         pool.setdefault(length, []).append((number, 0))
@@ -144,12 +149,18 @@ def packed(
         number, start = pool[length].pop()
         return number, start, start + length
 
-    for limited in (True, False):
-        for combo, wanted in zip(combos.tolist(), np.ceil(repeats * share).astype(int).tolist(), strict=True):
+    for _ in range(rounds):
+        histogram = np.zeros(window, dtype=np.int64)
+        for length, have in pool.items():
+            histogram[length] = len(have)
+        combos, repeats = recipes(histogram, window)
+        before = len(out)
+        for combo, wanted in zip(combos.tolist(), rounded(repeats).tolist(), strict=True):
             lengths = [x for x in combo if x]
-            times = min(len(pool.get(x, ())) // lengths.count(x) for x in lengths)
-            for _ in range(min(times, wanted) if limited else times):
+            for _ in range(min(wanted, *(len(pool.get(x, ())) // lengths.count(x) for x in lengths)) if wanted else 0):
                 out.append([take(x) for x in lengths])
+        if len(out) == before:
+            break
     left = sorted(x for x, have in pool.items() for _ in have)
     while left:
         rest, row = window, []
@@ -180,38 +191,6 @@ def packed(
     return out
 
 
-def tokenised(docs: DataFrame, encoder: Encoder, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``ids``, the token ids as little-endian unsigned integers of 16 bits, or of 32 if one needs that."""
-    schema = T.StructType(
-        [
-            T.StructField("id", docs.schema[id_col].dataType),
-            T.StructField("n", T.LongType()),
-            T.StructField("width", T.IntegerType()),
-            T.StructField("ids", T.BinaryType()),
-        ]
-    )
-    arrow = to_arrow_schema(schema)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [encoder.ids(t.as_py()) for t in part.column("text")]
-                width = [2 if x.max(initial=0) < 1 << 16 else 4 for x in ids]
-                data = [x.astype(f"<u{w}").tobytes() for x, w in zip(ids, width, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id").cast(arrow.field("id").type),
-                        pa.array([len(x) for x in ids], type=pa.int64()),
-                        pa.array(width, type=pa.int32()),
-                        pa.array(data, type=pa.binary()),
-                    ],
-                    schema=arrow,
-                )
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, schema)
-
-
 def pack(
     docs: DataFrame,
     encoder: Encoder,
@@ -225,13 +204,6 @@ def pack(
     ``ids`` are the piece's token ids as little-endian unsigned 32-bit integers.
     Sequence numbers are unique, not consecutive: their upper bits are the task.
     """
-    table = shared.written(tokenised(docs, encoder, id_col, text_col), "tokens", compression="zstd")
-    tail = (F.col("n") % window).alias("tail")
-    histogram = np.zeros(window, dtype=np.int64)
-    for row in table.groupBy(tail).count().collect():  # at most ``window`` rows
-        histogram[row["tail"]] = row["count"]
-    combos, repeats = recipes(histogram, window)
-    total = max(1, int(histogram[1:].sum()))
     schema = T.StructType(
         [
             T.StructField(id_col, docs.schema[id_col].dataType),
@@ -240,10 +212,8 @@ def pack(
         ]
     )
     arrow = to_arrow_schema(schema)
-    plan = docs.sparkSession.sparkContext.broadcast((combos, repeats))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recipe, wanted = plan.value
         number = TaskContext.get().partitionId() << 40
 
         def emit(rows: list) -> pa.RecordBatch:
@@ -261,7 +231,7 @@ def pack(
                 number += len(ids) // window
                 if len(ids) % window:
                     tails.append((k, len(ids) % window))
-            for line in packed(tails, recipe, wanted, len(tails) / total, window):
+            for line in packed(tails, window):
                 at = 0
                 for k, start, end in line:
                     front = len(held[k][1]) // window * window
@@ -271,14 +241,14 @@ def pack(
             for at in range(0, len(rows), 2000):
                 yield emit(
                     [
-                        (held[k][0], s, e - s, len(held[k][1]), n, o, held[k][1][s:e].astype("<u4").tobytes())
+                        (held[k][0], s, e - s, len(held[k][1]), n, o, held[k][1][s:e].tobytes())
                         for k, s, e, n, o in rows[at : at + 2000]
                     ]
                 )
 
         for batch in batches:
-            for key, width, data in zip(batch.column("id"), batch.column("width").to_pylist(), batch.column("ids"), strict=True):
-                ids = np.frombuffer(data.as_buffer(), dtype=f"<u{width}")
+            for key, text in zip(batch.column("id"), batch.column("text"), strict=True):
+                ids = encoder.ids(text.as_py())
                 held.append((key.as_py(), ids))
                 size += len(ids)
                 if size >= stretch:
@@ -287,4 +257,4 @@ def pack(
         if held:
             yield from flush()
 
-    return table.select("id", "width", "ids").mapInArrow(place, schema)
+    return docs.select(shared.col(id_col).alias("id"), shared.col(text_col).alias("text")).mapInArrow(place, schema)
