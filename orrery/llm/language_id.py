@@ -7,8 +7,12 @@ family choose among the closely related. All machines are linear in the shares,
 so a text is scored by looking up its n-grams' weights and averaging.
 
 Fit on a sample of about ``per_language`` rows of each language (every row whose
-id hashes below that share); counts of the languages cover all rows allowed for
-training. Prediction is one pass of an Arrow UDF without a shuffle.
+id hashes below that share), and of about ``max_rows`` in all: what reaches the
+driver doesn't grow with the table or the languages. Counts of the languages
+cover all rows allowed for training. Codes that no family lists are taken
+together by their first letter, so machines grow with families and with the
+languages of each, not with the square of all. Prediction is one pass of an
+Arrow UDF without a shuffle.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter,
 or if there was nothing to learn from; the only language known scores 1;
@@ -29,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from orrery.llm import ngrams
 
-# Families of languages by their ISO 639-1 codes. A code not listed is a family of its own.
+# Families of languages by their ISO 639-1 codes. Codes not listed are families by first letter.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fo", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"),
     "romance": ("ca", "es", "fr", "gl", "it", "la", "oc", "pt", "ro"),
@@ -44,13 +48,19 @@ FAMILIES = {
 SIZES = (1, 2, 3)
 BITS = 14
 PER_LANGUAGE = 1000
+MAX_ROWS = 20_000
 UND = "und"
+#: What may be a letter: also digits of some kinds, which str.isalpha tells apart.
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def family(lang: str, families: dict[str, tuple[str, ...]] = FAMILIES) -> str:
     code = re.split(r"[-_]", lang.lower())[0]
-    return next((name for name, codes in families.items() if code in codes), lang)
+    return next((name for name, codes in families.items() if code in codes), f"other {code[:1]}")
 
 
 def shares(text: str) -> np.ndarray:
@@ -141,7 +151,7 @@ class Model:
         return np.hstack([m.weights for m in parts]), np.concatenate([m.bias for m in parts])
 
     def predict(self, text: str | None, table: tuple[np.ndarray, np.ndarray]) -> tuple[str, float]:
-        if not text or not self.top or not _LETTER.search(text):
+        if not text or not self.top or not has_letter(text):
             return UND, 0.0
         weights, bias = table
         total, n = np.zeros(weights.shape[1]), 0
@@ -160,14 +170,18 @@ class Model:
         raise KeyError(name)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
+def fit(
+    docs: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str, tuple[str, ...]] = FAMILIES, max_rows: int = MAX_ROWS
+) -> Model:
     """``docs``: doc_id, text, lang, only rows to learn from."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model(None, {})
-    limit = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, int(1_000_000 * min(1, per_language / n)))))
-    sample = known.where(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) < limit[F.col("lang")]).select("lang", "text")
+    wanted = min(per_language, max(1, max_rows // len(counts)))
+    limit = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, wanted / n))))
+    place = F.xxhash64("doc_id", "lang") / F.lit(2.0**64) + F.lit(0.5)  # 0 to 1, at any number of rows
+    sample = known.where(place < limit[F.col("lang")]).select("lang", "text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,4 +225,4 @@ def predictor(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
             names=["lang_pred", "score"],
         )
 
-    return predict(F.col(text_col))
+    return predict(F.col("`" + text_col.replace("`", "``") + "`"))

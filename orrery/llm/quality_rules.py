@@ -12,6 +12,9 @@ Defined results: a null or empty text has no words (it fails ``few_words``);
 repeated rows and repeated or null ids give one ledger row each; an empty table
 gives an empty ledger; columns of the input whose names clash with the ledger's
 are not carried into it.
+
+A text's words, lines and windows are arrays of its row while it is measured:
+about ten times its bytes, so a text of a tenth of a task's memory fits.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from orrery.llm import shared
+
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -69,7 +74,7 @@ def measured(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text_col: str =
     twice in the text. Windows are compared by 64-bit hashes; only a text in
     which two agree has its windows sorted.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(shared.col(text_col), F.lit(""))
     step = docs.select(
         *keys,
         F.array_remove(F.split(text, WORD_GAP), "").alias("_words"),
@@ -140,11 +145,11 @@ def rejected(policy: Policy, rules: Sequence[Rule] = RULES) -> Column:
 
 def passing(docs: DataFrame, policy: Policy = POLICIES[-1], text_col: str = "text") -> DataFrame:
     """The documents that the policy keeps, with all their columns and no others."""
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(text_col).alias("_text"))
+    whole = shared.whole(docs, text=shared.col(text_col))
     # pushed below the ledger's projections, the filter would spell out every measurement anew; a number that the
     # optimizer can't move keeps it above them
-    book = ledger(whole, ["_doc"], "_text").withColumn("_place", F.monotonically_increasing_id())
-    return book.where(~rejected(policy) & (F.col("_place") >= 0)).select("_doc.*")
+    book = ledger(whole, ["doc"], "text").withColumn("place", F.monotonically_increasing_id())
+    return shared.unwrapped(book.where(~rejected(policy) & (F.col("place") >= 0)), docs)
 
 
 def verdicts(book: DataFrame, policies: Sequence[Policy] = POLICIES, rules: Sequence[Rule] = RULES) -> DataFrame:

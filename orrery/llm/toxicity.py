@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from orrery.llm import ngrams
+from orrery.llm import ngrams, shared
 
 SIZES = (4, 5, 6)
 BITS = 20
@@ -106,9 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, n_features
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(max_rows)  # the documented bound; it also bounds what is broadcast
     )
-    sample = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label").repartition(8).persist()
-    )
+    t = shared.Tables(spark)
+    sample = t.write(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label").repartition(8), "sample")
     try:
         counted = (
             sample.mapInArrow(_counted, "hash long, toxic long, clean long")
@@ -130,18 +129,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, n_features
         ratios[: len(best)] = np.log((toxic + 1) / (n_toxic + 1)) - np.log((clean + 1) / (n_clean + 1))
         slots[hashes] = np.arange(len(best))
         blank = Model(slots, np.zeros(n_features + 1), 0.0, True)
-        shared = spark.sparkContext.broadcast(blank)
+        sent = spark.sparkContext.broadcast(blank)
 
         def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [np.flatnonzero(shared.value.present(t)).astype(np.int16) for t in ngrams.texts(batch.column("text"))]
+                rows = [np.flatnonzero(sent.value.present(x)).astype(np.int16) for x in ngrams.texts(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("label"), pa.array([r.tobytes() for r in rows], type=pa.binary())], names=["label", "at"]
                 )
 
         got = sample.mapInArrow(featured, "label int, at binary").collect()
     finally:
-        sample.unpersist()
+        t.keep_only()
     rows = [np.frombuffer(r["at"], dtype=np.int16).astype(np.int64) for r in got]
     weights, intercept = _logistic(rows, np.array([r["label"] for r in got], dtype=float), ratios)
     return Model(slots, weights, float(intercept), True)
@@ -149,10 +148,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, n_features
 
 def scorer(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """The score of each whole text, 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.DoubleType())
     def score(column: pa.Array) -> pa.Array:
-        return pa.array([shared.value.score(t) for t in ngrams.texts(column)], type=pa.float64())
+        return pa.array([sent.value.score(t) for t in ngrams.texts(column)], type=pa.float64())
 
-    return score(F.col(text_col))
+    return score(shared.col(text_col))
