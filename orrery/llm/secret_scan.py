@@ -23,11 +23,15 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from orrery.llm import shared
+
 #: In the order in which findings of one start are listed.
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "jwt", "pem", "key", "hexkey")
@@ -38,7 +42,8 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same matches as HEX of that length
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)*)-----END \1-----", re.DOTALL)
 HEADER = re.compile(r"^[\x20\t]*[A-Za-z][A-Za-z0-9-]*:.*$", re.MULTILINE)
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
@@ -102,6 +107,18 @@ def der(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
     return found
 
 
+def is_rsa(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    """Whether these nine integers or more can be an RSA key: version, modulus, exponents, primes and the rest, of sizes that fit."""
+    version, modulus, public, private, p, q, dp, dq, inverse = (int.from_bytes(data[b:e], "big") for _, b, e in parts[:9])
+    if any(b == e or data[b] >= 0x80 for _, b, e in parts) or version > 1 or (version == 0) != (len(parts) == 9):
+        return False
+    if modulus.bit_length() < 512 or public < 3 or not private or min(dp, dq, inverse) < 1:
+        return False
+    if version:  # of several primes, which follow
+        return p.bit_length() + q.bit_length() < modulus.bit_length()
+    return abs(p.bit_length() + q.bit_length() - modulus.bit_length()) <= 1 and dp < p and dq < q and inverse < p
+
+
 def is_der_key(data: bytes) -> bool:
     """Whether these bytes are one SEQUENCE laid out as a PKCS#8, encrypted PKCS#8, PKCS#1 or SEC1 private key."""
     top = der(data, 0, len(data))
@@ -119,8 +136,8 @@ def is_der_key(data: bytes) -> bool:
     if tags[:3] == [0x02, 0x30, 0x04]:  # version, algorithm, the key in an octet string
         algorithm = der(data, *parts[1][1:])
         return bool(algorithm) and algorithm[0][0] == 0x06 and bool(der(data, *parts[2][1:]))
-    if len(tags) >= 9 and set(tags) == {0x02}:  # the integers of an RSA key
-        return True
+    if len(tags) >= 9 and set(tags[:9]) == {0x02} and set(tags[9:]) <= {0x30}:
+        return is_rsa(data, parts)
     return tags[:2] == [0x02, 0x04] and set(tags[2:]) <= {0xA0, 0xA1} and parts[1][2] - parts[1][1] >= 16
 
 
@@ -141,9 +158,9 @@ def is_ssh_key(data: bytes) -> bool:
 
 
 def is_token(text: str) -> bool:
-    """Whether this is a signed token: header and payload are JSON objects and the header names ``alg``."""
+    """Whether this is a signed token: header and payload are JSON objects, the header names ``alg``, and a signature decodes."""
     parts = text.split(".")
-    if len(parts) != 3:
+    if len(parts) != 3 or not unbase64(parts[2]):
         return False
     try:
         header, payload = (json.loads(unbase64(x) or b"") for x in parts[:2])
@@ -152,6 +169,22 @@ def is_token(text: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(payload, dict)
 
 
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """The spans of signed tokens. Each part of a dotted run is looked at a bounded number of times."""
+    for run in DOTTED.finditer(text):
+        if "eyJ" not in run[0]:
+            continue
+        parts, at, k = run[0].split("."), run.start(), 0
+        while k + 2 < len(parts):
+            start, size = parts[k].find("eyJ"), len(parts[k])
+            if start >= 0 and is_token(".".join((parts[k][start:], *parts[k + 1 : k + 3]))):
+                end = at + size + len(parts[k + 1]) + len(parts[k + 2]) + 2
+                yield at + start, end
+                at, k = end + 1, k + 3
+            else:
+                at, k = at + size + 1, k + 1
+
+
 def is_secret(data: bytes | None) -> bool:
     """Whether decoded bytes are a key, or the text of a key or of a signed token."""
     if not data:
@@ -266,6 +299,18 @@ def joined_keys(text: str) -> Iterator[tuple[str, int, int]]:
         yield "hexkey" if hexed else "key", m.start(), done
 
 
+class Covered:
+    """Spans, asked whether one of them holds another."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.begins = [b for b, _ in sorted(spans)]
+        self.ends = list(accumulate((e for _, e in sorted(spans)), max))
+
+    def holds(self, begin: int, end: int) -> bool:
+        k = bisect_right(self.begins, begin)
+        return bool(k) and end <= self.ends[k - 1]
+
+
 def findings(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in ``text``, by start, then kind in the order of KINDS, then end."""
     if not text:
@@ -275,18 +320,21 @@ def findings(text: str | None) -> list[tuple[str, int, int]]:
         out += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", *m.span()) for m in HEX_LONG.finditer(text)]
     if "eyJ" in text:
-        out += [("jwt", *m.span()) for m in TOKEN.finditer(text) if is_token(m[0])]
+        out += [("jwt", *span) for span in tokens(text)]
     if "-----BEGIN " in text:
         out += [("pem", *span) for span in pem_keys(text)]
+    armoured = Covered([x[1:] for x in out if x[0] == "pem"])
     for m in BASE64.finditer(text):
+        if armoured.holds(*m.span()):
+            continue
         if is_secret(unbase64(m[0])):
             out.append(("key", *m.span()))
         else:
             for h in HEX_ANY.finditer(m[0]):
                 if is_secret(bytes.fromhex(h[0])):
                     out.append(("hexkey", m.start() + h.start(), m.start() + h.end()))
-    known = [x[1:] for x in out if x[0] in KINDS[len(BASE_KINDS) :]]
-    out += [x for x in joined_keys(text) if not any(b <= x[1] and x[2] <= e for b, e in known)]
+    known = Covered([x[1:] for x in out if x[0] in KINDS[len(BASE_KINDS) :]])
+    out += [x for x in joined_keys(text) if not known.holds(*x[1:])]
     if len(out) > 1:
         out.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     return out
@@ -320,12 +368,12 @@ def _redact(texts: pa.Array) -> pa.Array:
 
 def scan(docs: DataFrame, text_col: str = "text", to: str = "findings") -> DataFrame:
     """``docs`` with an array of (kind, start, end) in ``to``."""
-    return docs.withColumn(to, _find(F.col(text_col)))
+    return docs.withColumn(to, _find(shared.col(text_col)))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the findings in their texts replaced by their kinds."""
-    return docs.withColumn(text_col, _redact(F.col(text_col)))
+    return docs.withColumn(text_col, _redact(shared.col(text_col)))
 
 
 def listed(spans: str | Column) -> Column:
