@@ -19,10 +19,10 @@ read in the order in which they lie in the archives. A key with very many
 captures is spread over parts, as the id is part of the order.
 
 Defined results: a null payload is empty; a null URL has the key ``-``; rows
-without an id are written with the id ``-1`` in their place and are responses
-unless they revisit; repeated rows are records of their own (all of the largest
-id are responses); an empty table makes an archive without records; columns
-other than the three are not carried.
+without an id are written and found without one, and are responses unless they
+revisit; repeated rows are records of their own (all of the largest id are
+responses, and all are if none of a payload's rows has an id); an empty table
+makes an archive without records; columns other than the three are not carried.
 """
 
 from __future__ import annotations
@@ -49,6 +49,14 @@ PART_ROWS = 1_000_000
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CRLF = b"\r\n"
+#: Bytes of records that one task reads back, and rows that it looks up or reads.
+READ_BYTES, READ_ROWS = 64 << 20, 20_000
+#: In an index, what stands for no id: it comes before all of 64 bits. In a search, what stands for any.
+NO_ID, ANY_ID = -(1 << 63) - 1, None
+
+
+def _place(page_id: int | None) -> int:
+    return NO_ID if page_id is None else page_id
 
 
 def url_key(url: str | None) -> str:
@@ -68,7 +76,7 @@ def url_key(url: str | None) -> str:
 
 
 def record(
-    url: str | None, page_id: int, payload: bytes, digest: str, refers_to: int | None, date: str = DATE
+    url: str | None, page_id: int | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE
 ) -> bytes:
     """A response record, or a revisit record if ``refers_to`` is given, before compression."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -76,7 +84,7 @@ def record(
     fields = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {' '.join((url or '-').split())}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -92,7 +100,7 @@ def record(
 class Record:
     """A record read back. ``payload`` is None for a revisit."""
 
-    page_id: int
+    page_id: int | None
     record_type: str
     url: str
     payload: bytes | None
@@ -113,7 +121,11 @@ def parsed(data: bytes) -> Record:
     http, _, payload = body.partition(_CRLF * 2)
     size = int(http.decode().rpartition("Content-Length: ")[2])
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    number = lambda name: int(fields[name][len("<urn:page:") : -1]) if name in fields else None
+
+    def number(name: str) -> int | None:
+        named = fields.get(name, "<urn:page:none>")[len("<urn:page:") : -1]
+        return None if named == "none" else int(named)
+
     if fields["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"the payload of {fields['WARC-Record-ID']} is damaged")
     return Record(
@@ -137,6 +149,9 @@ def _read(uri: str, offset: int, length: int) -> bytes:
         return f.read_at(length, offset)
 
 
+_CAPTURE = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+
+
 class _Writer:
     """A file of this attempt's own, made when the first bytes are written."""
 
@@ -170,8 +185,9 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = REVISIT_FR
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(
-        F.coalesce(F.col("page_id"), F.lit(-1)).cast("long").alias("page_id"), "url", body.alias("payload")
+        F.col("page_id").cast("long").alias("page_id"), "url", body.alias("payload")
     ).withColumn("digest", F.sha1("payload"))
+    t = shared.Tables(pages.sparkSession)
     groups = (
         rows.where(F.octet_length("payload") >= revisit_from)
         .groupBy("digest")
@@ -180,7 +196,7 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = REVISIT_FR
         .select("digest", "first")
     )
     # read from a table, both sides of the join are plain exchanges, and a payload that very many share can be split
-    known = rows.join(shared.written(groups, "groups"), "digest", "left")
+    known = rows.join(t.write(groups, "groups"), "digest", "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Writer(folder, "warc.gz")
@@ -195,15 +211,17 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = REVISIT_FR
                 rows.append((url_key(url), page, out.uri, *out.write(_gzip(data))))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)],
-                names=["key", "page_id", "file", "offset", "length"],
+                [pa.array(c, type=f.type) for c, f in zip(columns, _CAPTURE, strict=True)],
+                schema=_CAPTURE,
             )
         out.close()
 
     made = known.select("page_id", "url", "payload", "digest", "first").mapInArrow(
         write, "key string, page_id long, file string, offset long, length long"
     )
-    return shared.written(made, "captures")
+    captures = t.write(made, "captures")
+    t.keep_only(captures)
+    return captures
 
 
 @dataclass(frozen=True)
@@ -226,10 +244,10 @@ class Index:
             found = json.loads(f.read())
         return cls([tuple(x) for x in found["firsts"]], [tuple(x) for x in found["directories"]])
 
-    def search(self, key: str, page_id: int | None = None) -> Iterator[tuple[str, int, str, int, int]]:
-        """(key, page_id, file, offset, length) of the captures of a key, or of one id of it."""
-        low = (key, -(1 << 63) if page_id is None else page_id)
-        matches = lambda line: line[0] == key and page_id in (None, line[1])
+    def search(self, key: str, place: int | None = ANY_ID) -> Iterator[tuple[str, int | None, str, int, int]]:
+        """(key, page_id, file, offset, length) of the captures of a key, or of one id of it, or of none (``NO_ID``)."""
+        low = (key, NO_ID if place is ANY_ID else place)
+        matches = lambda line: line[0] == key and place in (ANY_ID, line[1])
         part = max(0, bisect_left(self.firsts, low) - 1)
         for where in self.directories[part:]:
             firsts, blocks = _directory(*where)
@@ -240,7 +258,7 @@ class Index:
                 if i == len(lines):
                     continue  # equal lines may begin the next block
                 while i < len(lines) and matches(lines[i]):
-                    yield lines[i]
+                    yield lines[i][0], None if lines[i][1] == NO_ID else lines[i][1], *lines[i][2:]
                     i += 1
                 if i < len(lines):
                     return
@@ -260,7 +278,7 @@ def _block(uri: str, offset: int, length: int) -> list[tuple[str, int, str, int,
 
 
 def _parts(df: DataFrame, n_rows: int, part_rows: int) -> int:
-    return max(1, -(-n_rows // part_rows), min(n_rows // 20_000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(1, -(-n_rows // part_rows), min(n_rows // READ_ROWS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def write_index(
@@ -279,16 +297,18 @@ def write_index(
             held.clear()
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(row)
+            for key, page_id, *where in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append((key, _place(page_id), *where))
                 if len(held) == block_lines:
                     flush()
         if held:
             flush()
         if directory:
             at, n = out.write(_gzip(json.dumps(directory).encode()))
-            yield pa.RecordBatch.from_pylist(
-                [{"key": directory[0][0], "page_id": directory[0][1], "file": out.uri, "offset": at, "length": n}]
+            key, place = directory[0][:2]
+            columns = [[key], [None if place == NO_ID else place], [out.uri], [at], [n]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, type=t) for c, t in zip(columns, _CAPTURE.types, strict=True)], schema=_CAPTURE
             )
         out.close()
 
@@ -300,7 +320,9 @@ def write_index(
         .sortWithinPartitions(*order)
         .mapInArrow(write, "key string, page_id long, file string, offset long, length long")
     )
-    rows = sorted(tuple(r) for r in shared.written(parts, "parts").collect())  # one for each part
+    t = shared.Tables(captures.sparkSession)
+    rows = sorted((r["key"], _place(r["page_id"]), *r[2:]) for r in t.write(parts, "parts").collect())  # one for each part
+    t.keep_only()
     index = Index([r[:2] for r in rows], [r[2:] for r in rows])
     index.save(f"{folder}/top.json")
     return index
@@ -316,18 +338,18 @@ def lookup(index: Index, keys: DataFrame, part_rows: int = PART_ROWS) -> DataFra
             found = []
             for asked in zip(batch.column("key").to_pylist(), batch.column("page_id").to_pylist(), strict=True):
                 if asked != last:
-                    found += shared_index.value.search(*asked)
+                    found += shared_index.value.search(asked[0], _place(asked[1]))
                 last = asked
             columns = list(zip(*found, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)],
-                names=["key", "page_id", "file", "offset", "length"],
+                [pa.array(c, type=f.type) for c, f in zip(columns, _CAPTURE, strict=True)], schema=_CAPTURE
             )
 
     dealt = keys.repartitionByRange(_parts(keys, keys.count(), part_rows), "key", "page_id")
-    return dealt.sortWithinPartitions("key", "page_id").mapInArrow(
+    found = dealt.sortWithinPartitions("key", "page_id").mapInArrow(
         search, "key string, page_id long, file string, offset long, length long"
     )
+    return shared.written(found, "found")  # once: what orders the records by place looks at them twice
 
 
 def read_records(captures: DataFrame) -> DataFrame:
@@ -358,9 +380,11 @@ def read_records(captures: DataFrame) -> DataFrame:
                     [pa.array([getattr(r, c.name) for r in rows], type=c.type) for c in schema], schema=schema
                 )
 
+    size, rows = captures.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    tasks = max(1, -(-size // READ_BYTES), -(-rows // READ_ROWS))
     return (
         captures.select("file", "offset", "length")
-        .repartitionByRange("file", "offset")
+        .repartitionByRange(tasks, "file", "offset")
         .sortWithinPartitions("file", "offset")
         .mapInArrow(
             read,
@@ -377,7 +401,7 @@ def keys_of(pages: DataFrame) -> DataFrame:
     def key(urls: pa.Array) -> pa.Array:
         return pa.array([url_key(u.as_py()) for u in urls], type=pa.string())
 
-    return pages.select(key("url").alias("key"), F.coalesce(F.col("page_id"), F.lit(-1)).cast("long").alias("page_id"))
+    return pages.select(key("url").alias("key"), F.col("page_id").cast("long").alias("page_id"))
 
 
 def archive(spark: SparkSession, pages: DataFrame, revisit_from: int = REVISIT_FROM) -> tuple[Index, DataFrame]:
