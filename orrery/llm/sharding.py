@@ -1,128 +1,149 @@
 """Sharding by a k-d tree over metadata.
 
-A node that stands for k shards is split where k//2 of k parts of its bytes lie
-to the left, at a weighted quantile along its box's widest dimension (each dimension
-is scaled to its range over all rows). Quantiles are found by histograms that
-every executor adds up: over the box, then over the bin that holds the quantile.
-All nodes of a level are split together, so a level costs two small aggregations
-of a table that has a few numbers for each document; what reaches the driver is
-bounded by shards times bins.
-
-Rows of equal metadata are told apart by a hash, which is added to each
-dimension as a thousandth of its range. It is the hash of the text's digest, and
-the dimensions depend on text and language only, so copies of a text stay together, except
-those of a text whose copies weigh more than ``hot_share`` of a shard: they are
-told apart by their ids and may be dealt over many shards. There are at most
-shards / hot_share such texts, so their digests may be broadcast.
+A node that stands for k shards is split where k//2 of them have their bytes to
+the left, at a weighted quantile along its box's widest dimension (each dimension
+is scaled to its range over all rows). Quantiles are found by histograms: over
+the box, then over the bin that holds the quantile, until that bin weighs hardly
+anything or can't be divided. All nodes of a level are split together; nodes,
+histograms and cuts are tables joined by node, so what a level costs the driver
+is two counts, whatever the number of shards.
+
+The dimensions depend on text and language only, and rows of equal metadata are
+told apart by a hash of the text, which is added to each dimension as a
+thousandth of its range: copies of a text stay together. Groups of copies that
+weigh more than ``heavy_share`` of a shard would make shards unequal; they are
+given to shards whole, the largest first, back and forth, and the tree deals out
+the rest by what is left of each shard. Only copies that can't fit, as they weigh
+more than a shard or find none with room, are told apart by their ids, and dealt
+out by the tree like other rows. Of heavy groups there are at most
+shards / heavy_share.
 
 Defined results: a null text has no bytes; every row counts ``overhead`` bytes
-besides its text; rows that are equal in everything stay together unless hot,
-and then get shards by a hash all the same; an empty table gives no rows; with
-fewer rows than shards some shards are empty; other columns are not carried.
+besides its text; rows that are equal in everything stay together unless they
+can't fit; an empty table gives no rows; with fewer rows than shards some shards
+are empty; other columns are not carried.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orrery.llm import shared
 
 BINS = 2048
-ZOOMS = 2
 SPREAD = 1e-3
-HOT_SHARE = 0.05
+HEAVY_SHARE = 0.05
+#: Of a shard: the bytes by which a cut may miss its place.
+TOLERANCE = 0.002
+DIMS = range(3)
 
 
-@dataclass(frozen=True)
-class Node:
-    """A box that stands for ``parts`` shards; once split, rows with y[dim] < cut lie in node 2n, others in 2n + 1."""
+def _pinned(t: shared.Tables, groups: DataFrame, n: int, target: float) -> DataFrame:
+    """digest and shard of heavy groups (digest, bytes); shard is null for those that don't fit."""
+    rank = F.row_number().over(Window.orderBy(F.desc("bytes"), "digest")) - 1  # at most n / heavy_share rows
+    fits = groups.where(F.col("bytes") <= target).withColumn("r", rank)
+    place = F.col("r") % n
+    dealt = fits.withColumn("to", F.when(F.floor(F.col("r") / n) % 2 == 0, place).otherwise(n - 1 - place).cast("int"))
+    filled = F.sum("bytes").over(Window.partitionBy("to").orderBy("r"))
+    fit = dealt.select("digest", "bytes", F.when(filled <= target, F.col("to")).alias("shard"))
+    return t.write(fit.unionByName(groups.where(F.col("bytes") > target).withColumn("shard", F.lit(None).cast("int"))), "heavy")
 
-    parts: int
-    box: tuple[tuple[float, float], ...]
-    dim: int = 0
-    cut: float | None = None
 
+def _along(dim: str) -> Column:
+    return F.element_at(F.array(*(F.col(f"y{d}") for d in DIMS)), F.col(dim) + 1)
 
-Tree = dict[int, Node]
 
+def _cuts(t: shared.Tables, points: DataFrame, nodes: DataFrame, tolerance: float) -> DataFrame:
+    """node, dim and cut of ``nodes`` (node, dim, low, high, share): where ``share`` of a node's bytes lie below.
 
-def descended(tree: Tree, y: np.ndarray) -> np.ndarray:
-    """The node of each row of ``y``, as far down as nodes are split."""
-    at = np.ones(len(y), dtype=np.int64)
-    for n in sorted(tree):
-        node = tree[n]
-        if node.cut is not None:
-            here = at == n
-            at[here] = 2 * n + (y[here, node.dim] >= node.cut)
-    return at
-
-
-def _y(batch: pa.RecordBatch, n_dims: int) -> np.ndarray:
-    return np.stack([batch.column(f"y{d}").to_numpy() for d in range(n_dims)], axis=1)
-
-
-def _histograms(points: DataFrame, tree: Tree, ranges: dict[int, tuple[int, float, float]]) -> dict[int, np.ndarray]:
-    """For each node in ``ranges`` (its dimension, from, to) the bytes below the range and in BINS equal parts of it."""
-    n_dims = len(next(iter(tree.values())).box)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {n: np.zeros(BINS + 2) for n in ranges}
-        for batch in batches:
-            y, size = _y(batch, n_dims), batch.column("size").to_numpy()
-            at = descended(tree, y)
-            for n, (dim, low, high) in ranges.items():
-                here = at == n
-                share = (y[here, dim] - low) / max(high - low, 1e-300)
-                bins = np.clip(np.floor(share * BINS), -1, BINS).astype(np.int64) + 1
-                totals[n] += np.bincount(bins, size[here], BINS + 2)
-        for n, h in totals.items():
-            found = np.flatnonzero(h)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(found), n)), pa.array(found), pa.array(h[found])], names=["node", "bin", "bytes"]
-            )
-
-    out = {n: np.zeros(BINS + 2) for n in ranges}
-    summed = points.mapInArrow(count, "node long, bin long, bytes double").groupBy("node", "bin").agg(F.sum("bytes").alias("bytes"))
-    for r in summed.collect():  # at most BINS + 2 rows for each node of a level
-        out[r["node"]][r["bin"]] = r["bytes"]
-    return out
-
-
-def grown(points: DataFrame, n_shards: int, n_dims: int) -> Tree:
-    """The tree over ``points``: size, y0, y1, ..."""
-    first = points.agg(*(f(f"y{d}") for d in range(n_dims) for f in (F.min, F.max))).first()
-    box = tuple((first[2 * d] or 0.0, np.nextafter(first[2 * d + 1] or 0.0, np.inf)) for d in range(n_dims))
+    ``tolerance``: bytes.
+    """
+    state = nodes.select("node", "dim", "low", "high", "share", F.lit(None).cast("double").alias("want"), F.lit(False).alias("done"))
+    while True:
+        here = points.select("node", "size", *(f"y{d}" for d in DIMS)).join(state.where("NOT done"), "node")
+        v = _along("dim")
+        part = F.floor(F.coalesce(F.try_divide(v - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)) * BINS)
+        # what rounding puts outside of the bin that was zoomed into counts as before or behind it
+        part = F.when(v < F.col("low"), -1).when(v >= F.col("high"), BINS).otherwise(F.least(F.greatest(part, F.lit(0)), F.lit(BINS - 1)))
+        bins = here.groupBy("node", part.alias("bin")).agg(F.sum("size").alias("bytes"), F.min(v).alias("least"), F.max(v).alias("most"))
+        bins = t.write(bins, "bins")
+        upto = F.sum("bytes").over(Window.partitionBy("node").orderBy("bin"))
+        total = bins.groupBy("node").agg(F.sum("bytes").alias("total"))
+        want = F.coalesce(F.col("want"), F.col("total") * F.col("share"))
+        summed = bins.withColumn("upto", upto).join(total, "node").join(state.drop("done"), "node").withColumn("want", want)
+        # the first bin that reaches the place, or else the last
+        reached = (F.col("upto") >= F.col("want")) & F.col("bin").between(0, BINS - 1)
+        inner = F.col("bin").between(0, BINS - 1)
+        best = summed.groupBy("node").agg(
+            F.min(F.when(reached, F.struct("bin", "bytes", "upto", "least", "most"))).alias("first"),
+            F.max(F.when(inner, F.struct("bin", "bytes", "upto", "least", "most"))).alias("last"),
+            F.first("want").alias("wanted"),
+        )
+        b = F.coalesce("first", "last")
+        best = best.select("node", "wanted", b.alias("b"))
+        width = (F.col("high") - F.col("low")) / BINS
+        low = F.col("low") + width * F.col("b.bin")
+        high = F.col("low") + width * (F.col("b.bin") + 1)
+        behind = F.col("wanted") > F.col("b.upto") - F.col("b.bytes") / 2
+        fine = F.col("b").isNull() | (F.col("b.bytes") <= tolerance) | (F.col("b.least") == F.col("b.most")) | (low >= high) | (width <= 0)
+        # a node without rows in its range is cut in the middle; else at the edge of the bin that is nearer
+        edge = F.when(F.col("b").isNull(), (F.col("low") + F.col("high")) / 2).when(behind, F.col("b.most") + F.abs("b.most") * 1e-15 + 1e-300).otherwise(F.col("b.least"))
+        next_low, next_high = F.when(fine, edge).otherwise(low), F.when(fine, edge).otherwise(high)
+        moved = state.where("NOT done").join(best, "node", "left").select(
+            "node", "dim", next_low.alias("low"), next_high.alias("high"), "share", F.col("wanted").alias("want"), fine.alias("done")
+        )
+        state = t.write(state.where("done").unionByName(moved), "state")
+        if state.where("NOT done").isEmpty():
+            return state.select("node", "dim", F.col("low").alias("cut"))
+
+
+def dealt(t: shared.Tables, points: DataFrame, caps: DataFrame, n: int, target: float, tolerance: float = TOLERANCE) -> DataFrame:
+    """``points`` (size, y0, y1, y2 and more) with their shard; ``caps``: shard, cap (the bytes it may take)."""
+    found = points.agg(*(f(f"y{d}") for d in DIMS for f in (F.min, F.max))).first()
+    box = [(found[2 * d] or 0.0, (found[2 * d + 1] or 0.0)) for d in DIMS]
     scale = [max(1e-12, high - low) for low, high in box]
-    tree: Tree = {1: Node(n_shards, box)}
-    level = [1] if n_shards > 1 else []
-    while level:
-        widest = {n: max(range(n_dims), key=lambda d, b=tree[n].box: (b[d][1] - b[d][0]) / scale[d]) for n in level}
-        ranges = {n: (d, *tree[n].box[d]) for n, d in widest.items()}
-        wanted: dict[int, float] = {}
-        for zoom in range(ZOOMS):
-            for n, h in _histograms(points, tree, ranges).items():
-                d, low, high = ranges[n]
-                if not zoom:
-                    wanted[n] = h.sum() * (tree[n].parts // 2) / tree[n].parts
-                k = min(int(np.searchsorted(np.cumsum(h), wanted[n])), BINS + 1)
-                edges = low + (high - low) * np.arange(-1, BINS + 2) / BINS
-                k = min(max(k, 1), BINS)
-                before = h[:k].sum()
-                ranges[n] = (d, float(edges[k]), float(edges[k + 1]))
-                if zoom == ZOOMS - 1:
-                    cut = float(edges[k + (wanted[n] - before > h[k] / 2)])
-                    node = tree[n]
-                    tree[n] = Node(node.parts, node.box, d, cut)
-                    for child, parts, side in ((2 * n, node.parts // 2, (node.box[d][0], cut)), (2 * n + 1, node.parts - node.parts // 2, (cut, node.box[d][1]))):
-                        tree[child] = Node(parts, (*node.box[:d], side, *node.box[d + 1 :]))
-        level = [c for n in level for c in (2 * n, 2 * n + 1) if tree[c].parts > 1]
-    return tree
+    spark = points.sparkSession
+    ends = [c for d in DIMS for c in (f"lo{d}", f"hi{d}")]
+    nodes = spark.createDataFrame([(1, *(x for low, high in box for x in (low, high + abs(high) * 1e-9 + 1e-9)))], ", ".join(["node long", *(f"{c} double" for c in ends)]))
+    points = points.withColumn("node", F.lit(1).cast("long"))
+    caps = t.write(caps.select("shard", "cap", F.lit(1).cast("long").alias("node"), F.lit(0).alias("first"), F.lit(n).alias("parts")), "caps")
+    while n > 1:
+        left = F.col("shard") < F.col("first") + F.floor(F.col("parts") / 2)
+        share = F.try_divide(F.sum(F.when(left, F.col("cap")).otherwise(0.0)), F.sum("cap"))
+        shape = caps.where("parts > 1").groupBy("node").agg(F.coalesce(share, F.lit(0.5)).alias("share"))
+        wide = F.array(*((F.col(f"hi{d}") - F.col(f"lo{d}")) / scale[d] for d in DIMS))
+        dim = (F.array_position(wide, F.array_max(wide)) - 1).cast("int")
+        pick = lambda c: F.element_at(F.array(*(F.col(f"{c}{d}") for d in DIMS)), F.col("dim") + 1)
+        open_nodes = nodes.join(shape, "node").withColumn("dim", dim).withColumn("low", pick("lo")).withColumn("high", pick("hi"))
+        open_nodes = t.write(open_nodes, "nodes")
+        cuts = t.write(_cuts(t, points, open_nodes.select("node", "dim", "low", "high", "share"), tolerance * target), "cuts")
+        split = open_nodes.drop("dim").join(cuts, "node")
+        side = lambda right: split.select(
+            (F.col("node") * 2 + right).alias("node"),
+            *(F.when(F.col("dim") == d, F.col("cut")).otherwise(F.col(f"{e}{d}")).alias(f"{e}{d}") if e == ("lo" if right else "hi") else F.col(f"{e}{d}") for d in DIMS for e in ("lo", "hi")),
+        )
+        nodes = t.write(side(0).unionByName(side(1)), "boxes")
+        right = (_along("dim") >= F.col("cut")).cast("long")
+        gone = points
+        points = points.join(cuts, "node", "left").withColumn("node", F.when(F.col("cut").isNull(), F.col("node")).otherwise(F.col("node") * 2 + right)).drop("dim", "cut")
+        points = t.write(points, "points")
+        t.drop(gone)
+        half = F.floor(F.col("parts") / 2).cast("int")
+        many = F.col("parts") > 1
+        caps = t.write(
+            caps.select(
+                "shard", "cap",
+                F.when(many, F.col("node") * 2 + F.when(left, 0).otherwise(1)).otherwise(F.col("node")).alias("node"),
+                F.when(many & ~left, F.col("first") + half).otherwise(F.col("first")).alias("first"),
+                F.when(~many, F.col("parts")).when(left, half).otherwise(F.col("parts") - half).alias("parts"),
+            ),
+            "caps",
+        )
+        if caps.where("parts > 1").isEmpty():
+            break
+    return points.join(caps.select("node", "shard"), "node").drop("node")
 
 
 def numbered(rows: DataFrame, group: str, order: Sequence[str], n_rows: int, per_task: int = 100_000) -> DataFrame:
@@ -132,13 +153,13 @@ def numbered(rows: DataFrame, group: str, order: Sequence[str], n_rows: int, per
     sizes are summed up to where each begins.
     """
     cells = max(1, n_rows // per_task)
-    dealt = rows.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)))
-    ranked = dealt.withColumn(
+    cell = rows.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)))
+    ranked = cell.withColumn(
         "_rank", F.row_number().over(Window.partitionBy(group, "_cell").orderBy(*order)).cast("long") - 1
     )
     up_to = F.sum("_n").over(Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
     begins = (
-        dealt.groupBy(group, "_cell")
+        cell.groupBy(group, "_cell")
         .agg(F.count("*").alias("_n"))
         .select(group, "_cell", F.coalesce(up_to, F.lit(0)).alias("_begin"))
     )
@@ -157,58 +178,46 @@ def shard(
     text_col: str = "text",
     lang_col: str | None = "lang",
     overhead: int = 8,
-    hot_share: float = HOT_SHARE,
+    heavy_share: float = HEAVY_SHARE,
 ) -> DataFrame:
     """A row for each document: id_col, size, text_crc32, shard and slot.
 
     Give the number of shards, or the bytes that a shard should come near.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    t = shared.Tables(docs.sparkSession)
+    text = F.coalesce(shared.col(text_col), F.lit(""))
     size = F.octet_length(text).cast("long")
-    base = shared.written(
+    base = t.write(
         docs.select(
-            F.col(id_col),
+            shared.col(id_col).alias("id"),
             (size + overhead).alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.unhex(F.md5(text.cast("binary"))).alias("digest"),
+            shared.key_of(text.cast("binary")).alias("digest"),
             F.log2(size + F.lit(1.0)).alias("x0"),
             (size / F.greatest(F.length(text), F.lit(1))).cast("double").alias("x1"),
-            (F.pmod(F.xxhash64(F.col(lang_col)), F.lit(1 << 20)) / (1 << 20) if lang_col else F.lit(0.0)).alias("x2"),
+            (F.pmod(F.xxhash64(shared.col(lang_col)), F.lit(1 << 20)) / (1 << 20) if lang_col else F.lit(0.0)).alias("x2"),
         ),
         "sizes",
     )
-    n_rows, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    n_rows, total, *wide = base.agg(
+        F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), *(F.max(f"x{d}") - F.min(f"x{d}") for d in DIMS)
+    ).first()
     n = n_shards or max(1, round(total / target_bytes))
-    hot = (
-        base.groupBy("digest").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > hot_share * total / n)
-    ).select("digest", F.lit(True).alias("hot"))
-    fraction = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 40)) / (1 << 40)
-    tie = F.when(F.col("hot"), fraction(F.lit(7), F.col(id_col), F.col("digest"))).otherwise(fraction(F.lit(7), F.col("digest")))
-    wide = base.agg(*(F.max(f"x{d}") - F.min(f"x{d}") for d in range(3))).first()
-    points = base.join(F.broadcast(hot), "digest", "left").select(  # at most n / hot_share rows
-        F.col(id_col).alias("id"),
-        "size",
-        "text_crc32",
-        *((F.col(f"x{d}") + tie * (SPREAD * max(wide[d] or 0.0, 1e-6))).alias(f"y{d}") for d in range(3)),
+    target = total / n
+    groups = base.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("c"))
+    heavy = _pinned(t, groups.where((F.col("bytes") > heavy_share * target) & (F.col("c") > 1)).select("digest", "bytes"), n, target)
+    fraction = lambda *c: F.pmod(F.xxhash64(F.lit(7), *c), F.lit(1 << 40)) / (1 << 40)
+    tie = F.when(F.col("bytes").isNotNull(), fraction("id", "digest")).otherwise(fraction("digest"))
+    all_rows = base.join(heavy, "digest", "left")
+    points = all_rows.where("shard IS NULL").select(
+        "id", "size", "text_crc32", *((F.col(f"x{d}") + tie * (SPREAD * max(wide[d] or 0.0, 1e-6))).alias(f"y{d}") for d in DIMS)
     )
-    points = shared.written(points, "points")
-    tree = grown(points.select("size", "y0", "y1", "y2"), n, 3)
-    leaves = sorted((k for k, node in tree.items() if node.cut is None), key=lambda k: k / (1 << k.bit_length()))
-    number = {k: i for i, k in enumerate(leaves)}
-    schema = T.StructType(
-        [
-            T.StructField(id_col, docs.schema[id_col].dataType),
-            T.StructField("size", T.LongType()),
-            T.StructField("text_crc32", T.LongType()),
-            T.StructField("shard", T.IntegerType()),
-        ]
-    )
-    arrow = to_arrow_schema(schema)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shards = [number[k] for k in descended(tree, _y(batch, 3)).tolist()]
-            columns = [batch.column("id").cast(arrow.field(0).type), batch.column("size"), batch.column("text_crc32")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(shards, type=pa.int32())], schema=arrow)
-
-    return numbered(points.mapInArrow(place, schema), "shard", [id_col, "text_crc32", "size"], n_rows)
+    points = t.write(points, "points")
+    taken = heavy.where("shard IS NOT NULL").groupBy("shard").agg(F.sum("bytes").alias("taken"))
+    every = docs.sparkSession.range(n).select(F.col("id").cast("int").alias("shard"))
+    caps = every.join(taken, "shard", "left").select("shard", F.greatest(F.lit(0.0), F.lit(target) - F.coalesce("taken", F.lit(0))).alias("cap"))
+    placed = dealt(t, points, caps, n, target).select("id", "size", "text_crc32", "shard")
+    placed = t.write(placed.unionByName(all_rows.where("shard IS NOT NULL").select("id", "size", "text_crc32", "shard")), "placed")
+    t.keep_only(placed)
+    out = numbered(placed, "shard", ["id", "text_crc32", "size"], n_rows)
+    return out.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot")
