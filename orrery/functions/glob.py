@@ -1,18 +1,24 @@
-"""Glob patterns: ``*`` and ``?`` with backslash escapes, case-sensitive."""
+"""Glob patterns: of names as in a shell, and of values with backslash escapes. Both are case-sensitive."""
 
 from __future__ import annotations
 
+import fnmatch
 import re
 
 from pyspark.sql import Column, functions as F
 
 
 def glob_regex(pattern: str) -> str:
-    """A regular expression that matches whole strings as the glob does; also valid in Java."""
+    """A regular expression that matches whole values as the glob does; also valid in Java.
+
+    ``*`` and ``?`` are wildcards, brackets stand for themselves. A backslash makes
+    a wildcard, a bracket or a backslash after it plain; before other characters,
+    and at the end, it is one itself.
+    """
     out, at = [], 0
     while at < len(pattern):
         c = pattern[at]
-        if c == "\\" and at + 1 < len(pattern):
+        if c == "\\" and pattern[at + 1 : at + 2] in ("\\", "*", "?", "[", "]"):
             at += 1
             out.append(re.escape(pattern[at]))
         else:
@@ -21,20 +27,25 @@ def glob_regex(pattern: str) -> str:
     return "(?s)^" + "".join(out) + r"\z"
 
 
-def is_glob(name: str) -> bool:
-    return any(c in name for c in "*?[")
-
-
 def glob(column: Column, pattern: str) -> Column:
     """Whether the column matches; the pattern ``*`` alone is true of null as well."""
     if pattern == "*":
         return F.lit(True)
-    plain = re.sub(r"\\(.)", r"\1", pattern[:-1])
     head = pattern[:-1]
-    if pattern.endswith("*") and not re.search(r"(?<!\\)[*?]", head) and "\\" not in head:
-        return column.startswith(plain)  # pushed down to the scan
+    if pattern.endswith("*") and not set(head) & set("*?\\"):
+        return column.startswith(head)  # pushed down to the scan
     return column.rlike(glob_regex(pattern))
 
 
+def matches_value(pattern: str, value: str) -> bool:
+    return re.match(glob_regex(pattern).replace(r"\z", r"\Z"), value) is not None
+
+
+def is_glob(name: str) -> bool:
+    """Whether a name is a pattern: it has ``*``, ``?`` or a pair of brackets."""
+    return re.search(r"[*?]|\[.*\]", name) is not None
+
+
 def matches(pattern: str, name: str) -> bool:
-    return re.match(glob_regex(pattern).replace(r"\z", r"\Z"), name) is not None
+    """Whether a name is this, or matches it as a pattern with ``*``, ``?`` and ``[...]``."""
+    return fnmatch.fnmatchcase(name, pattern) if is_glob(pattern) else name == pattern

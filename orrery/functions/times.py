@@ -32,9 +32,9 @@ def parse_time(text: str) -> int:
     """TAI nanoseconds of ``[format/]value[/scale]``; the format is guessed if it isn't given.
 
     Formats: mjd, jd, iso, isot, fits, yday, unix. Scales: utc, tai, tt. Without a
-    scale unix is UTC and all others are TAI, like the columns they are compared with.
+    scale mjd and jd are TAI and all others UTC. A zone of +00:00 at the end is taken, too.
     """
-    parts = text.strip().split("/")
+    parts = text.replace("+00:00", "").strip().split("/")
     form = scale = None
     if len(parts) > 1 and parts[0].lower() in ("mjd", "jd", "iso", "isot", "fits", "yday", "unix"):
         form = parts.pop(0).lower()
@@ -70,7 +70,7 @@ def parse_time(text: str) -> int:
         h, mi, s = (int(x or 0) for x in clock)
         seconds = (day - datetime.date(1970, 1, 1)).days * 86400 + h * 3600 + mi * 60 + s
         nsec = seconds * 1_000_000_000 + int(((frac or "") + "0" * 9)[:9])
-        scale = scale or "tai"
+        scale = scale or "utc"
     if scale == "utc":
         nsec += tai_offset(nsec)
     elif scale == "tt":

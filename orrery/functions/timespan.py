@@ -133,11 +133,14 @@ def difference(a: Column, b: Column) -> Column:
 
 
 def from_timestamp(t: Column) -> Column:
-    """Nanoseconds of a timestamp column (of microseconds)."""
-    return F.unix_micros(t.cast("timestamp")) * F.lit(1000)
+    """Nanoseconds of a column of timestamps without a zone, whatever the session's zone is."""
+    t = t.cast("timestamp_ntz")
+    clock = F.hour(t) * 3600 + F.minute(t) * 60
+    micros = (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+    return (F.unix_date(F.to_date(t)).cast("long") * 86_400 + clock) * 1_000_000_000 + micros * 1000
 
 
 def day_obs_span(day: Column, offset_seconds: int = 0) -> Column:
-    """The span of a column of YYYYMMDD integers."""
-    begin = F.unix_micros(F.to_timestamp(day.cast("string"), "yyyyMMdd")) * 1000 + offset_seconds * 1_000_000_000
+    """The span of a column of YYYYMMDD integers, in TAI, whatever the session's zone is."""
+    begin = F.unix_date(F.to_date(day.cast("string"), "yyyyMMdd")).cast("long") * DAY + offset_seconds * 1_000_000_000
     return span(begin, begin + DAY)

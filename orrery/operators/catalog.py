@@ -25,24 +25,39 @@ class AmbiguityError(LookupError):
 
 def rank_of(column: Column, order: Sequence[object]) -> Column:
     """The place of a value in an ordered list; null for values that are not in it."""
-    out = F.lit(None).cast("int")
-    for k, v in reversed(list(enumerate(order))):
-        out = F.when(column == F.lit(v), F.lit(k)).otherwise(out)
-    return out
+    if not order:
+        return F.lit(None).cast("int")
+    return (F.nullif(F.array_position(F.array(*(F.lit(x) for x in order)), column), F.lit(0)) - 1).cast("int")
 
 
-def find_first(df: DataFrame, keys: Sequence[str], collection: str, order: Sequence[object]) -> DataFrame:
+def find_first(
+    df: DataFrame, keys: Sequence[str], collection: str, order: Sequence[object], unique: bool = False, certain: str | None = None
+) -> DataFrame:
     """One row for each key, that of the first collection in ``order`` that has it.
 
     A minimum of (rank, row) by key: it combines before the shuffle and sorts
-    nothing, unlike a row number. With one collection it is a filter.
+    nothing, unlike a row number. With one collection, in which the caller knows
+    keys to be ``unique``, it is a filter. ``certain`` names a column that rows of
+    a key in its first collection must agree on; a computed row fails if they don't.
     """
-    if len(order) <= 1:
-        return df.where(F.col(collection).isin(*order)) if order else df.limit(0)
+    if not order:
+        return df.limit(0)
+    if unique and len(order) == 1:
+        return df.where(F.col(collection) == F.lit(order[0]))
+    q = lambda c: F.col(f"`{c}`")
     rest = [c for c in df.columns if c not in keys]
-    ranked = df.withColumn("_rank", rank_of(F.col(collection), order)).where("_rank IS NOT NULL")
-    best = ranked.groupBy(*keys).agg(F.min(F.struct("_rank", *rest)).alias("_best"))
-    return best.select(*keys, *(F.col(f"_best.{c}").alias(c) for c in rest)).select(*df.columns)
+    ranked = df.withColumn("_rank", rank_of(q(collection), order)).where("_rank IS NOT NULL")
+    best = F.min(F.struct("_rank", *(q(c).alias(f"_{i}") for i, c in enumerate(rest)))).alias("_best")
+    if not certain:
+        found = ranked.groupBy(*map(q, keys)).agg(best) if keys else ranked.agg(best).where("_best IS NOT NULL")
+    else:
+        ends = F.min(F.struct("_rank", q(certain))).alias("_low"), F.max(F.struct(-F.col("_rank"), q(certain))).alias("_high")
+        found = ranked.groupBy(*map(q, keys)).agg(best, *ends) if keys else ranked.agg(best, *ends).where("_best IS NOT NULL")
+        same = F.col("_low").getField(certain).eqNullSafe(F.col("_high").getField(certain))
+        failed = F.raise_error(F.lit("more than one match in a collection; a temporal join or a condition is needed"))
+        found = found.withColumn("_best", F.when(same, F.col("_best")).otherwise(failed))
+    out = found.select(*map(q, keys), *(F.col(f"_best._{i}").alias(c) for i, c in enumerate(rest)))
+    return out.select(*map(q, df.columns))
 
 
 def project(df: DataFrame, keys: Sequence[str], columns: Sequence[str] = ()) -> DataFrame:
@@ -70,32 +85,59 @@ def one_each(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------- time
 
 
+#: Exponents of 2 nanoseconds: about a minute, an hour, three days, seven months, 146 years.
+LEVELS = (36, 42, 48, 54, 62)
+
+
+def _places(span: str) -> Column:
+    """(level, bucket) of each level whose buckets are as long as the span or longer: one or two buckets each."""
+    s = F.col(span)
+
+    def at(k: int) -> Column:
+        buckets = F.sequence(F.shiftright(s["begin"], k), F.shiftright(s["end"] - 1, k))
+        placed = F.transform(buckets, lambda b: F.struct(F.lit(k).alias("level"), b.alias("bucket")))
+        none = F.array().cast("array<struct<level: int, bucket: bigint>>")
+        return F.when(s["end"] - s["begin"] <= F.lit(1 << k), placed).otherwise(none)
+
+    return F.flatten(F.array(*map(at, LEVELS)))
+
+
+def _own_level(span: str) -> Column:
+    s = F.col(span)  # the first level that holds it
+    out = F.lit(LEVELS[-1])
+    for k in LEVELS[-2::-1]:
+        out = F.when(s["end"] - s["begin"] <= F.lit(1 << k), F.lit(k)).otherwise(out)
+    return out
+
+
 def overlap_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    left_span: str,
-    right_span: str,
-    bucket: int | None = None,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: str, right_span: str, dealt: bool = True
 ) -> DataFrame:
-    """Pairs with equal keys whose spans overlap.
+    """Pairs with equal keys whose spans overlap. Empty and null spans overlap nothing.
 
-    With ``bucket`` nanoseconds both sides are dealt to the buckets of time they
-    touch, so that a key with very many spans is not compared as a whole; each
-    pair is kept in the first bucket that both touch. Spans must then be bounded.
+    Both sides are dealt to buckets of time, of each length from the span's own
+    on, and a pair meets at the longer one's length, in the first bucket that both
+    touch: so it is an equi-join, whatever the lengths, and a key with very many
+    spans is not compared as a whole. With keys of few spans that can be spared:
+    ``dealt`` false.
     """
-    right = right.withColumnRenamed(right_span, "_right") if left_span == right_span else right.withColumn("_right", F.col(right_span))
+    same = left_span == right_span
+    right = right.withColumnRenamed(right_span, "_right") if same else right.withColumn("_right", F.col(right_span))
     meet = ts.overlaps(F.col(left_span), F.col("_right"))
-    if bucket is None:
-        out = left.join(right, list(keys)) if keys else left.join(right, meet)
-        return (out.where(meet) if keys else out).drop("_right") if left_span != right_span else out.where(meet)
-    parts = lambda s: F.explode(F.sequence(F.floor(s["begin"] / bucket), F.floor((s["end"] - 1) / bucket)))
-    live = lambda c: ~ts.is_empty(F.col(c))
-    a = left.where(live(left_span)).withColumn("_at", parts(F.col(left_span)))
-    b = right.where(live("_right")).withColumn("_at", parts(F.col("_right")))
-    first = F.floor(F.greatest(F.col(left_span)["begin"], F.col("_right")["begin"]) / bucket)
-    out = a.join(b, [*keys, "_at"]).where(meet & (F.col("_at") == first)).drop("_at")
-    return out if left_span == right_span else out.drop("_right")
+    if keys and not dealt:
+        out = left.join(right, list(keys)).where(meet)
+        return out if same else out.drop("_right")
+    live = lambda c: F.col(c).isNotNull() & ~ts.is_empty(F.col(c))
+    a = left.where(live(left_span)).withColumn("_at", F.explode(_places(left_span))).withColumn("_a", _own_level(left_span))
+    b = right.where(live("_right")).withColumn("_at", F.explode(_places("_right"))).withColumn("_b", _own_level("_right"))
+    a, b = (x.withColumns({"_level": F.col("_at.level"), "_bucket": F.col("_at.bucket")}).drop("_at") for x in (a, b))
+    begin = F.greatest(F.col(left_span)["begin"], F.col("_right")["begin"])
+    first = F.lit(None).cast("bigint")
+    for k in LEVELS:
+        first = F.when(F.col("_level") == k, F.shiftright(begin, k)).otherwise(first)
+    once = (F.col("_level") == F.greatest("_a", "_b")) & (F.col("_bucket") == first)
+    out = a.join(b, [*keys, "_level", "_bucket"]).where(meet & once).drop("_level", "_bucket", "_a", "_b")
+    return out if same else out.drop("_right")
 
 
 def validity_ranges(df: DataFrame, keys: Sequence[str], begin: str, tie: str) -> DataFrame:
@@ -117,12 +159,12 @@ def calibration_lookup(
         if dict(rows.dtypes)[at] == "bigint"
         else ts.overlaps(F.col(validity), F.col(at))
     )
-    found = rows.withColumn("_row", F.xxhash64(*rows.columns)).join(calibrations, list(keys)).where(inside)
+    found = rows.join(calibrations, list(keys)).where(inside)
     if not check:
-        return found.drop("_row")
+        return found
     n = F.count("*").over(Window.partitionBy(*[c for c in rows.columns if dict(rows.dtypes)[c] != "struct"]))
     sure = F.when(n == 1, F.col(validity)).otherwise(F.raise_error(F.lit("more than one calibration is valid")))
-    return found.withColumn(validity, sure).drop("_row")
+    return found.withColumn(validity, sure)
 
 
 def certify(existing: DataFrame, new: DataFrame, keys: Sequence[str], validity: str = "validity") -> DataFrame:
@@ -134,7 +176,7 @@ def certify(existing: DataFrame, new: DataFrame, keys: Sequence[str], validity:
         Window.partitionBy(*keys).orderBy(F.col(validity)["begin"]).rowsBetween(Window.unboundedPreceding, -1)
     )
     within = twice.withColumn("_before", before).where(F.col("_before") > F.col(validity)["begin"])
-    if not clash.isEmpty() or not within.isEmpty():
+    if not clash.select(*keys).unionByName(within.select(*keys)).isEmpty():
         raise ConflictError("validity ranges overlap for the same data ID")
     return existing.unionByName(new)
 
@@ -316,6 +358,7 @@ def templated(template: str) -> Column:
     return F.concat(*pieces, F.lit(template[at:]))
 
 
+# What each bit of an existence mask says.
 EXISTENCE = {"recorded": 1, "datastore": 2, "artifact": 4, "verified": 8}
 
 

@@ -30,20 +30,88 @@ def pixels(region: Region, step: float = STEP) -> list[int]:
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
-def _pixels(column: pa.Array) -> pa.Array:
+def _polygon_pixels(column: pa.Array) -> pa.Array:
+    if column.null_count == len(column):
+        return pa.nulls(len(column), type=pa.list_(pa.int64()))
     regions = (as_region(r) for r in column.to_pylist())
     return pa.array([pixels(r) if r else [] for r in regions], type=pa.list_(pa.int64()))
 
 
 @F.arrow_udf(T.BooleanType())
-def _overlaps(a: pa.Array, b: pa.Array) -> pa.Array:
+def _polygons_overlap(a: pa.Array, b: pa.Array) -> pa.Array:
+    if a.null_count == len(a):
+        return pa.nulls(len(a), type=pa.bool_())
     pairs = zip(map(as_region, a.to_pylist()), map(as_region, b.to_pylist()), strict=True)
-    return pa.array([None if x is None or y is None else x.overlaps(y) for x, y in pairs])
+    return pa.array([None if x is None or y is None else x.overlaps(y) for x, y in pairs], type=pa.bool_())
+
+
+def _value(region: Column, k: int) -> Column:
+    return F.get(region["values"], F.lit(k))
+
+
+def _kind(region: Column, *kinds: str) -> Column:
+    return region["kind"].isin(*kinds)
+
+
+def _width(region: Column) -> Column:
+    """Of a box, in degrees of longitude."""
+    span = _value(region, 2) - _value(region, 0)
+    return F.when(span >= 360, F.lit(360.0)).otherwise(F.pmod(span, F.lit(360.0)))
+
+
+def _pixels(region: Column) -> Column:
+    """The cells that a region's bounds touch; expressions, but for polygons."""
+    eps = 1e-9
+    lon, lat = _value(region, 0), _value(region, 1)
+    r = F.when(_kind(region, "circle"), _value(region, 2)).otherwise(F.lit(0.0))
+    box = _kind(region, "box")
+    low = F.when(box, lat).otherwise(F.greatest(F.lit(-90.0), lat - r))
+    high = F.when(box, _value(region, 3)).otherwise(F.least(F.lit(90.0), lat + r))
+    round_ = (low <= -90) | (high >= 90) | (r >= 90)  # a circle about a pole has every longitude
+    half = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(r)) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-12)))))
+    first = F.when(box, lon).when(round_, F.lit(0.0)).otherwise(lon - half)
+    width = F.when(box, _width(region)).when(round_, F.lit(360.0)).otherwise(2 * half)
+    columns = math.ceil(360 / STEP)
+    x0 = F.floor((first - eps) / STEP)
+    x1 = F.least(F.floor((first + width + eps) / STEP), x0 + (columns - 1))
+    rows = F.sequence(F.floor((low - eps + 90) / STEP), F.floor((high + eps + 90) / STEP))
+    cells = F.flatten(F.transform(rows, lambda y: F.transform(F.sequence(x0, x1), lambda x: (y * _COLUMNS + F.pmod(x, F.lit(columns))).cast("long"))))
+    simple = F.when(region["kind"].isNull() | region.isNull(), F.array().cast("array<bigint>")).when(~_kind(region, "polygon"), F.array_distinct(cells))
+    return F.coalesce(simple, _polygon_pixels(F.when(_kind(region, "polygon"), region)))
+
+
+def _to_box(region: Column, lon: Column, lat: Column) -> Column:
+    """The angle in degrees from a point to a box: along its meridian beside the box, else to the nearer side."""
+    low, high = _value(region, 1), _value(region, 3)
+    over = F.greatest(F.lit(0.0), low - lat, lat - high)
+
+    def side(x: Column) -> Column:
+        away = F.radians(lon - x)
+        corner = F.least(angle(lon, lat, x, low), angle(lon, lat, x, high))
+        foot = F.degrees(F.atan2(F.sin(F.radians(lat)), F.cos(F.radians(lat)) * F.cos(away)))
+        direct = F.degrees(F.asin(F.least(F.lit(1.0), F.abs(F.cos(F.radians(lat)) * F.sin(away)))))
+        return F.when((F.cos(away) > 0) & foot.between(low, high), direct).otherwise(corner)
+
+    beside = F.pmod(lon - _value(region, 0), F.lit(360.0)) <= _width(region)
+    return F.when(beside, over).otherwise(F.least(side(_value(region, 0)), side(_value(region, 2))))
 
 
 def overlaps(a: Column, b: Column) -> Column:
-    """Whether two regions overlap; null if either is."""
-    return _overlaps(a, b)
+    """Whether two regions overlap; null if either is. Expressions, but for pairs with a polygon."""
+    r = lambda x: F.when(_kind(x, "circle"), _value(x, 2)).otherwise(F.lit(0.0))
+    round_ = lambda x: _kind(x, "circle", "point")
+    apart = angle(_value(a, 0), _value(a, 1), _value(b, 0), _value(b, 1))
+    turn = F.lit(360.0)
+    lons = (F.pmod(_value(b, 0) - _value(a, 0), turn) <= _width(a)) | (F.pmod(_value(a, 0) - _value(b, 0), turn) <= _width(b))
+    lats = (_value(a, 1) <= _value(b, 3)) & (_value(b, 1) <= _value(a, 3))
+    polygon = _kind(a, "polygon") | _kind(b, "polygon")
+    simple = (
+        F.when(round_(a) & round_(b), apart <= r(a) + r(b) + 1e-9)
+        .when(_kind(a, "box") & _kind(b, "box"), lons & lats)
+        .when(_kind(a, "box") & round_(b), _to_box(a, _value(b, 0), _value(b, 1)) <= r(b) + 1e-10)
+        .when(round_(a) & _kind(b, "box"), _to_box(b, _value(a, 0), _value(a, 1)) <= r(a) + 1e-10)
+    )
+    return F.coalesce(simple, _polygons_overlap(F.when(polygon, a), F.when(polygon, b)))
 
 
 def indexed(df: DataFrame, region: str = "region") -> DataFrame:
@@ -51,8 +119,10 @@ def indexed(df: DataFrame, region: str = "region") -> DataFrame:
     return df.withColumn("pixels", _pixels(F.col(region)))
 
 
-def constrained(df: DataFrame, region: str, literal: Region, lon: str | None = None, lat: str | None = None) -> DataFrame:
-    """Rows whose region overlaps a literal one.
+def constrained(
+    df: DataFrame, region: str, literal: Region, lon: str | None = None, lat: str | None = None, refined: bool = True
+) -> DataFrame:
+    """Rows whose region overlaps a literal one; not ``refined``, rows that may.
 
     Give ``lon`` and ``lat`` if the regions are points of these columns: the bounds
     then filter in the scan, and circles are decided without Python.
@@ -68,7 +138,7 @@ def constrained(df: DataFrame, region: str, literal: Region, lon: str | None = N
             return df.where(angle(F.col(lon), F.col(lat), F.lit(a), F.lit(b)) <= r)
     cells = pixels(literal)
     near = F.arrays_overlap(_pixels(F.col(region)), F.array(*(F.lit(c).cast("long") for c in cells))) if len(cells) < 2000 else F.lit(True)
-    return df.where(near).where(F.coalesce(_overlaps(F.col(region), literal.column()), F.lit(True)))
+    return df.where(near).where(F.coalesce(overlaps(F.col(region), literal.column()), F.lit(True))) if refined else df.where(near)
 
 
 def angle(lon0: Column, lat0: Column, lon1: Column, lat1: Column) -> Column:
@@ -85,11 +155,11 @@ def join(left: DataFrame, right: DataFrame, left_region: str, right_region: str,
     """
     a = left.withColumn("_pl", _pixels(F.col(left_region))).withColumn("_pixel", F.explode("_pl"))
     b = right.withColumn("_pr", _pixels(F.col(right_region))).withColumn("_pixel", F.explode("_pr"))
-    test = F.coalesce(_overlaps(F.col(left_region), F.col(right_region)), F.lit(True)) if exact is None else exact
+    test = F.coalesce(overlaps(F.col(left_region), F.col(right_region)), F.lit(True)) if exact is None else exact
     pairs = a.join(b, "_pixel").where(F.col("_pixel") == F.array_min(F.array_intersect("_pl", "_pr")))
     return pairs.where(test).drop("_pixel", "_pl", "_pr")
 
 
-def region_union(column: str) -> Column:
-    """All regions of a group, for an aggregation."""
-    return F.collect_list(column)
+def pixel_union(df: DataFrame, keys: list[str], region: str = "region") -> DataFrame:
+    """(keys, pixel): the cells that the regions of each group touch, a row for each, combined before the shuffle."""
+    return df.select(*keys, F.explode(_pixels(F.col(region))).alias("pixel")).distinct()

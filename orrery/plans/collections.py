@@ -113,9 +113,12 @@ class Collections:
             if self.kinds[n] in wanted and (not chain or include):
                 out[n] = None
 
-        for n in self.kinds:
-            if any(matches(p, n) for p in patterns):
-                for m in self._below(n) if flatten else [n]:
+        found = [n for n in self.kinds if any(matches(p, n) for p in patterns)]
+        for n in found:
+            add(n)
+        if flatten:  # all that match come before what is in the chains among them
+            for n in found:
+                for m in self._below(n):
                     add(m)
         for n in names:
             if n not in self.kinds:
@@ -151,15 +154,15 @@ class Collections:
 
 def flattened(spark: SparkSession, chain: DataFrame, root: str) -> DataFrame:
     """(child, rank) of all that is below a chain in depth-first order, by a recursive query over its table."""
-    chain.createOrReplaceTempView("_orrery_chain")
     return spark.sql(
         """
         WITH RECURSIVE walk(child, path) AS (
-          SELECT child, array(position) FROM _orrery_chain WHERE parent = :root
+          SELECT child, array(position) FROM {chain} WHERE parent = :root
           UNION ALL
-          SELECT c.child, concat(w.path, array(c.position)) FROM walk w JOIN _orrery_chain c ON c.parent = w.child
+          SELECT c.child, concat(w.path, array(c.position)) FROM walk w JOIN {chain} c ON c.parent = w.child
         ), first AS (SELECT child, min(path) AS path FROM walk GROUP BY child)
         SELECT child, CAST(row_number() OVER (ORDER BY path) - 1 AS INT) AS rank FROM first
         """,
         args={"root": root},
+        chain=chain,
     )

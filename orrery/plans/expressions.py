@@ -357,6 +357,7 @@ class Leaf:
     negated: bool = False
     spatial: tuple[Value, Value] | None = None
     query: tuple[Value, DataFrame] | None = None
+    overlap: bool = False  # of two timespans
 
     def to_column(self) -> Column:
         if self.column is None:
@@ -486,7 +487,7 @@ def overlap(a: Value, b: Value) -> Predicate:
     if a.kind == "timespan" and b.kind in _TIMES:
         return leaf(lambda: ts.contains_time(a.column(), b.column()), a.names | b.names)
     if a.kind == b.kind == "timespan":
-        return leaf(lambda: ts.overlaps(a.column(), b.column()), a.names | b.names)
+        return leaf(lambda: ts.overlaps(a.column(), b.column()), a.names | b.names, overlap=True)
     raise ExpressionError(f"{a.kind} OVERLAPS {b.kind} is not possible")
 
 

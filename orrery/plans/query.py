@@ -8,15 +8,16 @@ and when rows need no de-duplication. The rest is left to Catalyst.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from orrery.functions import timespan as ts
 from orrery.functions.glob import is_glob, matches
-from orrery.functions.region import Region
 from orrery.operators import catalog as ops, spatial
 from orrery.plans import expressions as ex
 from orrery.plans.collections import Collections, Kind
@@ -109,6 +110,7 @@ class Search:
     type: str
     collections: tuple[str, ...]
     fields: tuple[str, ...] = ()
+    by_validity: bool = False  # a calibration collection is among them
 
 
 @dataclass(frozen=True)
@@ -120,6 +122,7 @@ class Query:
     predicate: ex.Predicate = ex.TRUE
     governed: tuple[str, ...] = ()
     messages: tuple[str, ...] = ()
+    refined: bool = True  # spatial pairs are tested, not only narrowed by pixels
 
     # ------------------------------------------------------------ building
 
@@ -135,7 +138,16 @@ class Query:
         return replace(self, dimensions=self.catalog.universe.conform([*self.dimensions, *names]).names)
 
     def join_dataset_search(self, name: str, collections: str | Sequence[str]) -> Query:
-        return replace(self, searches=(*self.searches, self._search(name, collections)))
+        return self._with_search(self._search(name, collections))
+
+    def _with_search(self, s: Search) -> Query:
+        """A search of a type that is searched already carries the fields of both; it must be in the same collections."""
+        for old in self.searches:
+            if old.type == s.type:
+                if old.collections != s.collections:
+                    raise QueryError(f"{s.type} is searched in other collections already")
+                s = replace(s, fields=tuple(dict.fromkeys((*old.fields, *s.fields))))
+        return replace(self, searches=(*(o for o in self.searches if o.type != s.type), s))
 
     def join_data_coordinates(self, rows: DataFrame | Iterable[Mapping[str, Any]], bounded: bool | None = None) -> Query:
         """Joins uploaded data IDs. Python rows are few and are broadcast; a frame is, if Spark finds it small."""
@@ -158,7 +170,8 @@ class Query:
         flat = c.collections.flatten(listed)
         if c.summaries is not None:  # what a summary doesn't list is certainly not there
             flat = [x for x in flat if name in c.summaries.get(x, ())]
-        return Search(name, tuple(flat), tuple(fields))
+        by_validity = any(c.collections.kinds[x] == Kind.CALIBRATION for x in flat) and "timespan" in c.types[name].frame.columns
+        return Search(name, tuple(flat), tuple(fields), by_validity)
 
     def resolver(self, extra: Iterable[str] = ()) -> ex.Resolver:
         u, group = self.catalog.universe, self.catalog.universe.conform([*self.group.names, *extra])
@@ -228,7 +241,7 @@ class Query:
             raise QueryError("find-first needs collections in order, not patterns")
         s = self._search(name, collections, ("dataset_id", "run"))
         names = self.catalog.universe.conform(self.catalog.types[name].dimensions).required
-        return Result(replace(self, searches=(*self.searches, s)), names, (f"{name}::dataset_id", f"{name}::run"), name if find_first else None)
+        return Result(self._with_search(s), names, (f"{name}::dataset_id", f"{name}::run"), name if find_first else None)
 
     def dimension_records(self, element: str) -> Result:
         e, rows = self.catalog.universe[element], self.catalog.element(element)
@@ -254,7 +267,7 @@ class Query:
             raise QueryError("timespans need find_first=False")
         q = self.join_dimensions(*dimensions)
         for k, v in fields.items():
-            q = replace(q, searches=(*q.searches, q._search(k, (collections or {})[k], v)))
+            q = q._with_search(q._search(k, (collections or {})[k], v))
         extra = [f"{k}__{c}" for k, v in (dimension_fields or {}).items() for c in v]
         extra += [f"{k}::{c}" for k, v in fields.items() for c in v]
         return Result(q, self.catalog.universe.conform(dimensions).names, tuple(extra), next(iter(fields)) if find_first else None)
@@ -286,23 +299,38 @@ class Query:
                 raise QueryError(f"the predicate uses dimensions of {g}, but {g} has no value")
         return p
 
-    def _temporal_and_spatial(self, group: Group, joined: Sequence[set[str]]) -> list[tuple[str, str, str]]:
-        """(kind, a, b) of the overlaps that two families, not connected otherwise, imply."""
-        out = []
+    def _overlaps(self, group: Group, joined: Sequence[set[str]]) -> list[tuple[str, str, str]]:
+        """(kind, column, column) of overlap joins: those that are written, and those that families, not connected otherwise, imply.
+
+        A calibration search is a temporal family of its own, which goes with the only other one there is.
+        """
+        out: list[tuple[str, str, str]] = []
+        for pair in self.predicate.spatial():
+            if not any(v.is_literal for v in pair):
+                out.append(("spatial", *(next(iter(v.names)) for v in pair)))
+        spans = {f"{e}__timespan" for e in self.catalog.universe.temporal_elements} | {f"{s.type}::timespan" for s in self.searches}
+        for clause in self.predicate.clauses:
+            if len(clause) == 1 and clause[0].overlap and not clause[0].negated and len(found := sorted(clause[0].names & spans)) == 2:
+                out.append(("temporal", *found))
         for kind, families in (("temporal", group.temporal), ("spatial", group.spatial)):
             members = list(families.values())
-            if len(members) < 2:
-                continue
-            connected = any(all(set(self.catalog._keys(m)) <= j for m in members) for j in joined)
-            explicit = any({a.split("__")[0] for v in pair for a in v.names} >= set(members) for pair in self.predicate.spatial())
-            written = kind == "temporal" and any(
-                {f"{m}__timespan" for m in members} <= x.names for clause in self.predicate.clauses if len(clause) == 1 for x in clause
-            )
-            if connected or explicit or written:
-                continue
-            if len(members) > 2:
-                raise QueryError(f"the {kind} joins among {', '.join(members)} are ambiguous")
-            out.append((kind, members[0], members[1]))
+            column = "timespan" if kind == "temporal" else "region"
+            written = [{c for c in pair if c.split("__")[0] in members} for k, *pair in out if k == kind]
+            if len(members) > 1:
+                connected = any(all(set(self.catalog._keys(m)) <= j for m in members) for j in joined)
+                if not connected and not any(len(w) == 2 for w in written):
+                    if len(members) > 2:
+                        raise QueryError(f"the {kind} joins among {', '.join(members)} are ambiguous")
+                    out.append((kind, *(f"{m}__{column}" for m in members)))
+        calibrations = [f"{s.type}::timespan" for s in self.searches if s.by_validity]
+        free = [c for c in dict.fromkeys(calibrations) if not any(c in pair for _, *pair in out)]
+        elements = [f"{m}__timespan" for m in group.temporal.values()]
+        if free and len(elements) == 1:
+            out += [("temporal", c, elements[0]) for c in free]
+        elif len(free) == 2 and not elements:
+            out.append(("temporal", *free))
+        elif free and len(free) + len(elements) > 1:
+            raise QueryError(f"the temporal joins among {', '.join([*free, *elements])} are ambiguous")
         return out
 
     def plan(self, extra: Iterable[str] = ()) -> DataFrame:
@@ -314,7 +342,7 @@ class Query:
         for s in self.searches:
             t = self.catalog.types[s.type]
             dims = list(u.conform(t.dimensions).required)
-            wanted = [f for f in DATASET_FIELDS if f in s.fields or f"{s.type}::{f}" in columns]
+            wanted = [f for f in DATASET_FIELDS if f in s.fields or f"{s.type}::{f}" in columns or f == "timespan" and s.by_validity]
             rows = t.frame.where(F.col("collection").isin(*s.collections)) if s.collections else t.frame.limit(0)
             if not wanted:
                 rows = rows.select(*dims).distinct()
@@ -323,14 +351,15 @@ class Query:
                 rows = rows.select(*dims, *(F.col(f).alias(f"{s.type}::{f}") for f in wanted if f in rows.columns))
             parts.append((rows, set(dims)))
         have = set().union(*(d for _, d in parts)) if parts else set()
-        overlaps = self._temporal_and_spatial(group, [d for _, d in parts])
+        overlaps = self._overlaps(group, [d for _, d in parts])
         needed: dict[str, set[str]] = {}
         for c in columns:
             if "__" in c:
                 needed.setdefault(c.split("__")[0], set()).add(c.split("__", 1)[1])
-        for kind, a, b in overlaps:
-            for m in (a, b):
-                needed.setdefault(m, set()).add("timespan" if kind == "temporal" else "region")
+        for _, *pair in overlaps:
+            for c in pair:
+                if "__" in c:
+                    needed.setdefault(c.split("__")[0], set()).add(c.split("__", 1)[1])
         for name in group.elements:
             if u[name].always_join or (u[name].defines_relationships and not any(set(self.catalog._keys(name)) <= d for _, d in parts)):
                 needed.setdefault(name, set())
@@ -352,25 +381,34 @@ class Query:
             keep = sorted(self._dims_of(name) & set(group.names))
             parts.append((rows.select(*keep, *(F.col(c).alias(f"{name}__{c}") for c in sorted(needed[name]))), set(keep)))
         out, todo = None, list(parts)
-        while todo:  # connected tables first: a cross product only if nothing connects
-            at = next((i for i, (_, d) in enumerate(todo) if out is None or d & set(out.columns)), 0)
+        while todo:  # connected tables first, then those that overlap: a cross product only if nothing connects
+            meets = lambda df: next((o for o in overlaps if self._splits(o, out, df)), None)
+            at = next((i for i, (_, d) in enumerate(todo) if out is None or d & set(out.columns)), None)
+            if at is None:
+                at = next((i for i, (df, _) in enumerate(todo) if meets(df)), 0)
             df, dims = todo.pop(at)
             if out is None:
                 out = df
             elif shared := sorted(dims & set(out.columns)):
                 out = out.join(df, shared)
-            elif pair := next((o for o in overlaps if self._splits(o, out, df)), None):
+            elif pair := meets(df):
                 overlaps.remove(pair)
                 out = self._overlapped(out, df, pair)
             else:
                 out = out.join(df, F.lit(True))
         for kind, a, b in overlaps:
-            if kind == "temporal":
-                out = out.where(ts.overlaps(F.col(f"{a}__timespan"), F.col(f"{b}__timespan")))
-            else:
-                out = out.where(F.coalesce(spatial.overlaps(F.col(f"{a}__region"), F.col(f"{b}__region")), F.lit(True)))
+            x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
+            if kind == "temporal":  # a dataset without a validity range, from a collection of another kind, is always valid
+                always = [ts.is_null(c) for c, name in ((x, a), (y, b)) if "::" in name]
+                meet = ts.overlaps(x, y)
+                for c in always:
+                    meet = c | meet
+                out = out.where(meet)
+            elif self.refined:
+                out = out.where(F.coalesce(spatial.overlaps(x, y), F.lit(True)))
         for a, b in predicate.spatial():
-            out = self._spatial(out, a, b)
+            if a.is_literal or b.is_literal:
+                out = self._spatial(out, a, b)
         return predicate.apply(out)
 
     def _dims_of(self, element: str) -> set[str]:
@@ -379,28 +417,26 @@ class Query:
 
     @staticmethod
     def _splits(overlap: tuple[str, str, str], left: DataFrame, right: DataFrame) -> bool:
-        kind, a, b = overlap
-        name = "timespan" if kind == "temporal" else "region"
-        return any(f"{x}__{name}" in left.columns and f"{y}__{name}" in right.columns for x, y in ((a, b), (b, a)))
+        _, a, b = overlap
+        return any(x in left.columns and y in right.columns for x, y in ((a, b), (b, a)))
 
-    @staticmethod
-    def _overlapped(left: DataFrame, right: DataFrame, overlap: tuple[str, str, str]) -> DataFrame:
+    def _overlapped(self, left: DataFrame, right: DataFrame, overlap: tuple[str, str, str]) -> DataFrame:
         kind, a, b = overlap
-        name = "timespan" if kind == "temporal" else "region"
-        if f"{a}__{name}" not in left.columns:
+        if a not in left.columns:
             a, b = b, a
         if kind == "spatial":
-            return spatial.join(left, right, f"{a}__region", f"{b}__region")
-        return left.join(right, ts.overlaps(F.col(f"{a}__timespan"), F.col(f"{b}__timespan")))
-
-    @staticmethod
-    def _spatial(df: DataFrame, a: ex.Value, b: ex.Value) -> DataFrame:
+            return spatial.join(left, right, a, b, None if self.refined else F.lit(True))
+        timed = ops.overlap_join(left, right, [], a, b)
+        for c, rows, others in ((a, left, right), (b, right, left)):
+            if "::" in c:  # datasets that are always valid go with all
+                timed = timed.unionByName(rows.where(ts.is_null(F.col(f"`{c}`"))).join(others, F.lit(True)))
+        return timed
+
+    def _spatial(self, df: DataFrame, a: ex.Value, b: ex.Value) -> DataFrame:
         if a.is_literal and b.is_literal:
             return df if a.literal.overlaps(b.literal) else df.limit(0)
-        if a.is_literal or b.is_literal:
-            literal, column = (a, b) if a.is_literal else (b, a)
-            return spatial.constrained(df, next(iter(column.names)), literal.literal)
-        return df.where(F.coalesce(spatial.overlaps(a.column(), b.column()), F.lit(True)))
+        literal, column = (a, b) if a.is_literal else (b, a)
+        return spatial.constrained(df, next(iter(column.names)), literal.literal, refined=self.refined)
 
 
 @dataclass(frozen=True)
@@ -448,8 +484,13 @@ class Result:
         if self.first_of:
             s = next(s for s in q.searches if s.type == self.first_of and s.fields)
             c = f"{self.first_of}::collection"
-            carried = list(dict.fromkeys([*keys, *fields, c]))
-            df = ops.find_first(df.select(*(F.col(f"`{x}`") for x in carried)), keys, c, s.collections)
+            ident = f"{self.first_of}::dataset_id"
+            # rows of a key can be several if other dimensions are joined, or by validity ranges
+            group = q.catalog.universe.conform(q.catalog.types[s.type].dimensions)
+            unique = q.group.names == group.names and not s.by_validity and len(q.searches) == 1
+            carried = list(dict.fromkeys([*keys, *fields, c, *([ident] if s.by_validity else [])]))
+            df = df.select(*(F.col(f"`{x}`") for x in carried))
+            df = ops.find_first(df, keys, c, s.collections, unique, ident if s.by_validity else None)
             return df.select(*keys, *(F.col(f"`{f}`") for f in fields))
         return df.select(*keys, *(F.col(f"`{f}`") for f in fields)).distinct()
 
@@ -475,9 +516,50 @@ class Result:
         return got
 
     def count(self, exact: bool = True, discard: bool = True) -> int:
+        """The number of rows. Not ``exact``, rows are counted that pixels let pass: at least as many, without their tests."""
         if exact and not discard and self.query.predicate.spatial():
             raise QueryError("an exact count has to discard rows that are refined away")
-        return self.frame().count()
+        plain = replace(self, order=(), records=False, query=replace(self.query, refined=exact))
+        return plain.frame().count()
+
+    def pages(self, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+        """The rows as Arrow batches of at most so many, fetched a partition at a time."""
+        df = self.frame()
+        schema = to_arrow_schema(df.schema)
+        held: list = []
+        for r in df.toLocalIterator(prefetchPartitions=True):
+            held.append(r.asDict(recursive=True))
+            if len(held) == rows:
+                yield pa.RecordBatch.from_pylist(held, schema=schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+    def to_arrow(self) -> pa.Table:
+        return self.frame().toArrow()
+
+    def data_ids(self) -> Result:
+        """The data IDs alone, of dataset or record results."""
+        return replace(self, fields=(), first_of=None, order=(), records=False)
+
+    def tuples(self, *types: str) -> Iterator[tuple[dict, tuple[dict | None, ...], Any]]:
+        """(data ID, a dataset of each type, the whole row), one row at a time."""
+        df, names = self._rows(), [f.split("::")[-1] for f in self.fields]
+        for r in df.toLocalIterator():
+            row = dict(zip(df.columns, r, strict=True))
+            refs = tuple({f.split("::")[1]: row[f] for f in self.fields if f.startswith(f"{t}::")} or None for t in types)
+            yield {d: row[d] for d in self.dimensions}, refs, dict(zip([*self.dimensions, *names], [row[c] for c in (*self.dimensions, *self.fields)], strict=True))
+
+    def find_datasets(self, name: str, collections: str | Sequence[str], find_first: bool = True) -> Result:
+        """Datasets of a type for the data IDs of this result."""
+        q = Query(self.query.catalog).join_data_coordinates(self.data_ids().frame())
+        return q.datasets(name, collections, find_first)
+
+    def related_datasets(self, name: str, collections: str | Sequence[str], dimensions: Sequence[str] | None = None) -> DataFrame:
+        """Each data ID (of ``dimensions``) with the first dataset of a type that is related to it."""
+        q = Query(self.query.catalog).join_data_coordinates(self.data_ids().frame())
+        found = q.general(list(dimensions or self.dimensions), dataset_fields={name: ["dataset_id", "run"]}, collections={name: [collections] if isinstance(collections, str) else list(collections)}, find_first=True)
+        return found.frame()
 
     def any(self, execute: bool = True) -> bool:
         """Whether there are rows; without ``execute``, whether metadata allow any."""
@@ -521,10 +603,30 @@ def all_datasets(catalog: Catalog, names: Sequence[str], collections: Sequence[s
     return out if limit is None else out.orderBy("dataset_type", "dataset_id").limit(limit)
 
 
-def region_of(data_id_regions: Sequence[Region | None]) -> Region | None:
-    """The region of a data ID, that of its only family; None if one is missing."""
-    return data_id_regions[0] if len(data_id_regions) == 1 else None
-
-
-def column(name: str) -> Column:
-    return F.col(f"`{name}`")
+def extents(catalog: Catalog, ids: DataFrame) -> DataFrame:
+    """Data IDs with ``timespan``, what their temporal families' spans have in common, and ``regions``, that of each spatial family.
+
+    Null if one is missing, or if there is no such family.
+    """
+    group = catalog.universe.conform([c for c in ids.columns if c in catalog.universe])
+    out = catalog.expand(ids)
+    made: dict[str, list[str]] = {"timespan": [], "region": []}
+    for column, families in (("timespan", group.temporal), ("region", group.spatial)):
+        for element in families.values():
+            keys = list(catalog._keys(element))
+            rows = catalog.element(element).select(*keys, F.col(column).alias(f"_{element}_{column}"))
+            out = out.join(rows, keys, "left")
+            made[column].append(f"_{element}_{column}")
+    spans = [F.col(c) for c in made["timespan"]]
+    whole = F.lit(None).cast("struct<begin: bigint, end: bigint>")
+    if spans:
+        ends = ts.span(F.greatest(*(s["begin"] for s in spans), F.lit(ts.MIN_NSEC)), F.least(*(s["end"] for s in spans), F.lit(ts.MAX_NSEC)))
+        known = F.lit(True)
+        for s in spans:
+            known = known & s["begin"].isNotNull()
+        whole = F.when(known, F.when(ts.is_empty(ends), ts.span(F.lit(ts.MAX_NSEC), F.lit(ts.MIN_NSEC))).otherwise(ends))
+    regions = F.lit(None).cast("array<struct<kind: string, values: array<double>>>")
+    if made["region"]:
+        listed = F.array(*(F.col(c) for c in made["region"]))
+        regions = F.when(~F.exists(listed, lambda r: r.isNull()), listed)
+    return out.withColumn("timespan", whole).withColumn("regions", regions).drop(*made["timespan"], *made["region"])

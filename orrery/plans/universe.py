@@ -131,6 +131,10 @@ class Universe:
     def elements(self) -> tuple[Element, ...]:
         return tuple(self._elements.values())
 
+    @property
+    def temporal_elements(self) -> tuple[str, ...]:
+        return tuple(e.name for e in self.elements if e.temporal)
+
     def sorted(self, names: Iterable[str], reverse: bool = False) -> list[str]:
         """Topological order: what a dimension depends on stands before it."""
         wanted = set(names)

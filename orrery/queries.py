@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orrery.functions import region as rg, timespan as ts
 from orrery.functions.glob import glob
-from orrery.operators import catalog as ops, spatial
+from orrery.operators import catalog as ops, datasets, spatial
 from orrery.plans.collections import Collections, Kind, flattened
-from orrery.plans.query import Catalog, DatasetType, all_datasets
+from orrery.plans.query import Catalog, DatasetType, all_datasets, extents
 from orrery.plans.universe import Element, Universe
 from orrery.sources import columnar
 
@@ -77,6 +77,8 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_returnflag").alias("run"), dataset_id()
     )
+    # dealt by the data ID, which has hardly more rows than this aggregation: a find-first after it needs no other shuffle
+    lines = lines.repartition("part", "supplier")
     once = lines.groupBy("part", "supplier", "run").agg(F.max("dataset_id").alias("dataset_id"))
     return once.withColumn("collection", F.col("run"))
 
@@ -119,6 +121,22 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return out
 
 
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrations of customers: each order's id, valid from its day to that of the customer's next."""
+    ranges = _ranges(spark, sf_dir)
+    return ranges.select(
+        F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("dataset_id"), F.lit("calib").alias("collection"),
+        F.lit("A").alias("run"), F.col("validity").alias("timespan"),
+    )
+
+
+def calibrated(spark: SparkSession, sf_dir: str) -> Catalog:
+    out = catalog(spark, sf_dir)
+    out.collections.register("calib", Kind.CALIBRATION)
+    out.register(DatasetType("terms", ("customer",), terms(spark, sf_dir), is_calibration=True))
+    return out
+
+
 # ---------------------------------------------------------------- find-first and projections
 
 
@@ -265,15 +283,16 @@ def where_glob_all_matches_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey AS "order", o_custkey AS customer, c_nationkey AS nation, r_name AS region FROM orders JOIN customer ON c_custkey = o_custkey
 JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
-WHERE o_orderdate < TIMESTAMP '1996-02-01' AND o_orderdate + INTERVAL 30 DAY > TIMESTAMP '1996-01-01'""")
+WHERE o_orderdate < TIMESTAMP '1996-02-01 00:00:30' AND o_orderdate + INTERVAL 30 DAY > TIMESTAMP '1996-01-01 00:00:30'""")
 def where_timespan_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals are UTC and columns TAI, which was 30 seconds ahead."""
     q = catalog(spark, sf_dir).query().join_dimensions("order")
     return q.where("order.timespan OVERLAPS (T'1996-01-01', T'1996-02-01')").data_ids(["order"]).frame()
 
 
 @query("""SELECT o_orderkey AS "order", o_custkey AS customer, c_nationkey AS nation, r_name AS region FROM orders JOIN customer ON c_custkey = o_custkey
 JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
-WHERE o_orderdate >= TIMESTAMP '2000-01-01' AND o_orderdate + INTERVAL 30 DAY < TIMESTAMP '2000-06-01'""")
+WHERE o_orderdate >= TIMESTAMP '2000-01-01 00:00:32' AND o_orderdate + INTERVAL 30 DAY < TIMESTAMP '2000-06-01 00:00:32'""")
 def where_timespan_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = catalog(spark, sf_dir).query().join_dimensions("order")
     return q.where("order.timespan.begin >= T'2000-01-01' AND timespan.end < T'2000-06-01'").data_ids(["order"]).frame()
@@ -339,7 +358,7 @@ AND a.o_orderdate < b.o_orderdate + INTERVAL 30 DAY AND b.o_orderdate < a.o_orde
 def timespan_overlap_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", ts.span(nsec("o_orderdate"), nsec("o_orderdate") + 30 * DAY).alias("s"))
     a, b = o.withColumnRenamed("o_orderkey", "a"), o.select("o_custkey", F.col("o_orderkey").alias("b"), F.col("s").alias("r"))
-    return ops.overlap_join(a, b, ["o_custkey"], "s", "r", bucket=60 * DAY).where("a < b").select("a", "b")
+    return ops.overlap_join(a, b, ["o_custkey"], "s", "r").where("a < b").select("a", "b")
 
 
 WINDOW_BEGIN, WINDOW_END = 820454400000000000, 915148800000000000  # 1996-01-01 and 1999-01-01
@@ -389,11 +408,12 @@ def union_dataset_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_datasets(catalog(spark, sf_dir), ["shipment", "invoice"], ["A"]).select("dataset_type", "dataset_id", "run")
 
 
-@query(f"""SELECT part, supplier FROM ({SHIPPED_SQL}) WHERE run = 'A' UNION SELECT part, supplier FROM ({SHIPPED_SQL}) WHERE run = 'R'""")
+@query(f"""SELECT dataset_id FROM ({SHIPPED_SQL}) WHERE run = 'A' UNION SELECT o_orderkey FROM ({{RANGES_SQL}})""".replace("{RANGES_SQL}", """SELECT min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey, o_orderdate"""))
 def tags_union_calibs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = shipments(spark, sf_dir)
-    a, r = (s.where(F.col("run") == x).select("part", "supplier") for x in ("A", "R"))
-    return ops.union(a, r)
+    """The ids that a tag or a calibration collection holds."""
+    tagged = shipments(spark, sf_dir).where("run = 'A'").select("dataset_id")
+    certified = terms(spark, sf_dir).select("dataset_id")
+    return ops.union(tagged, certified)
 
 
 def _two_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -576,3 +596,159 @@ def parquet_column_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*)::BIGINT AS rowcount FROM customer")
 def parquet_rowcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columnar.read(spark, f"{sf_dir}/customer.parquet", component="rowcount")
+
+
+# ---------------------------------------------------------------- joins that the planner makes
+
+VALID_SQL = f"""WITH r AS ({RANGES_SQL}), o AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT * 86400000000000 AS t FROM orders)
+SELECT o.o_orderkey AS "order", r.o_orderkey AS dataset_id FROM o JOIN r ON o.o_custkey = r.o_custkey AND """
+
+
+@query(VALID_SQL + 'r.begin < o.t + 2592000000000000 AND r."end" > o.t')
+def validity_join_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with all terms of their customer whose validity overlaps the order's 30 days."""
+    q = calibrated(spark, sf_dir).query().join_dimensions("order")
+    found = q.general(["order"], dataset_fields={"terms": ["dataset_id"]}, collections={"terms": ["calib"]}, find_first=False)
+    return found.frame().select("order", "dataset_id")
+
+
+@query(VALID_SQL + 'r.begin <= o.t AND r."end" > o.t')
+def calib_find_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the one set of terms that is valid when they begin; a second one would fail the query."""
+    q = calibrated(spark, sf_dir).query().join_dimensions("order").join_dataset_search("terms", "calib")
+    q = q.where("terms.timespan OVERLAPS order.timespan.begin")
+    found = q.general(["order"], dataset_fields={"terms": ["dataset_id"]}, collections={"terms": ["calib"]}, find_first=True)
+    return found.frame().select("order", "dataset_id")
+
+
+@query(f"""SELECT part, supplier, dataset_id, run FROM ({SHIPPED_SQL}) JOIN supplier ON s_suppkey = supplier
+WHERE run = 'R' AND s_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)""")
+def find_first_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets of one run, once each, though a join with customers repeats them."""
+    q = catalog(spark, sf_dir).query().join_dimensions("customer").where("customer.acctbal > 9000")
+    return q.datasets("shipment", "R").frame()
+
+
+def _days(spark: SparkSession, sf_dir: str) -> Catalog:
+    """Two temporal families: the days of all orders, and those of urgent ones."""
+    u = Universe([Element("order", "o", temporal="orders"), Element("urgent", "u", temporal="urgent")], {"temporal": {"orders": ("order",), "urgent": ("urgent",)}})
+    o = table(spark, sf_dir, "orders")
+    day = ts.span(nsec("o_orderdate"), nsec("o_orderdate") + DAY).alias("timespan")
+    return Catalog(u, {"order": o.select(F.col("o_orderkey").alias("order"), day), "urgent": o.where("o_orderpriority LIKE '1%'").select(F.col("o_orderkey").alias("urgent"), day)})
+
+
+@query("""SELECT a.o_orderkey AS "order", b.o_orderkey AS urgent FROM orders a JOIN orders b ON a.o_orderdate::DATE = b.o_orderdate::DATE WHERE b.o_orderpriority LIKE '1%'""")
+def temporal_join_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two families without a key in common: their spans overlap."""
+    return _days(spark, sf_dir).query().data_ids(["order", "urgent"]).frame()
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> Catalog:
+    u = Universe([Element("here", "h", spatial="here"), Element("there", "t", spatial="there")], {"spatial": {"here": ("here",), "there": ("there",)}})
+    x, y = F.col("lon") + 180, F.col("lat")
+    made = rg.box(x - 0.5, y - 0.25, x + 0.5, y + 0.25).alias("region")
+    p = _points(spark, sf_dir)
+    return Catalog(u, {"here": p.select(F.col("vec_id").alias("here"), made), "there": p.select(F.col("vec_id").alias("there"), made)})
+
+
+@query(f"""SELECT a.vec_id AS here, b.vec_id AS there FROM ({BOXES_SQL}) a JOIN ({BOXES_SQL}) b
+ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1""")
+def spatial_join_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join that the condition spells out is a join over pixels, too."""
+    q = _boxes(spark, sf_dir).query().join_dimensions("here", "there").where("here.region OVERLAPS there.region")
+    return q.data_ids(["here", "there"]).frame()
+
+
+# ---------------------------------------------------------------- times and globs
+
+
+@query("""SELECT o_orderkey AS "order" FROM orders WHERE o_orderdate = TIMESTAMP '1998-03-05'""")
+def where_time_literal_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calendar literals are UTC: midnight in TAI comes 31 seconds before."""
+    q = catalog(spark, sf_dir).query().join_dimensions("order")
+    text = "order.timespan.begin >= T'1998-03-04T23:59:29' AND order.timespan.begin < T'1998-03-05 00:00:00' AND order.timespan.begin = T'1998-03-05/tai'"
+    return q.where(text).data_ids(["order"]).frame().select("order")
+
+
+@query(r"""SELECT p_partkey FROM part WHERE starts_with(p_type || '\x' || p_size || '*', 'PRO') AND contains(p_type || '\x' || p_size || '*', '\x1') AND p_size >= 10""")
+def where_glob_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backslash before an ordinary character is one; before a wildcard it makes that plain."""
+    from orrery.plans.expressions import frame_resolver, predicate
+
+    df = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_type", F.lit("\\x"), F.col("p_size").cast("string"), F.lit("*")).alias("s"))
+    return predicate(r"GLOB(s, 'PRO*\x1?\*')", frame_resolver(df)).apply(df).select("p_partkey")
+
+
+@query("""SELECT o_orderkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT * 86400000000000 AS begin,
+(date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT + 1) * 86400000000000 AS "end" FROM orders""")
+def day_obs_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of YYYYMMDD days, whatever the session's zone."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(F.to_date("o_orderdate"), "yyyyMMdd").cast("int").alias("day"))
+    return o.select("o_orderkey", ts.day_obs_span(F.col("day")).alias("s")).select("o_orderkey", "s.begin", "s.end")
+
+
+# ---------------------------------------------------------------- writes and lookups of catalogues
+
+
+@query(f"""SELECT part, supplier, 'R' AS first_run FROM ({SHIPPED_SQL}) WHERE run = 'R'
+UNION ALL SELECT part, supplier, 'new' FROM (SELECT part, supplier FROM ({SHIPPED_SQL}) WHERE run = 'N' EXCEPT SELECT part, supplier FROM ({SHIPPED_SQL}) WHERE run = 'R')""")
+def insert_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets inserted into a new run, then found behind those of another."""
+    c = catalog(spark, sf_dir)
+    c.collections.register("new", Kind.RUN)
+    ids = c.query().datasets("shipment", "N").frame().select("part", "supplier")
+    c = datasets.insert_datasets(c, "shipment", "new", ids)
+    return c.query().datasets("shipment", ["R", "new"]).frame().select("part", "supplier", F.col("run").alias("first_run"))
+
+
+@query(f"SELECT dataset_id, run FROM ({SHIPPED_SQL}) WHERE part % 2 <> 0 OR run <> 'A'")
+def prune_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's datasets of some data IDs purged; the rest of all runs."""
+    c = catalog(spark, sf_dir)
+    gone = c.query().where("part % 2 = 0").datasets("shipment", "A").frame().select("dataset_id")
+    return datasets.prune(c, "shipment", gone, purge=True).types["shipment"].frame.select("dataset_id", "run")
+
+
+@query(f"SELECT part, supplier, dataset_id, run FROM ({SHIPPED_SQL}) WHERE run <> 'R' QUALIFY row_number() OVER (PARTITION BY part, supplier ORDER BY run) = 1")
+def remove_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A find-first search of a chain after one of its runs was removed."""
+    c = datasets.remove_runs(catalog(spark, sf_dir), ["R"], unlink=True)
+    return c.query().datasets("shipment", "all").frame()
+
+
+@query(f"""WITH w AS (SELECT dataset_id FROM ({SHIPPED_SQL}) WHERE supplier % 7 = 0 UNION SELECT o_orderkey FROM orders WHERE o_totalprice > 300000)
+SELECT dataset_id::VARCHAR AS dataset_id, 'shipment' AS dataset_type, run FROM ({SHIPPED_SQL}) WHERE dataset_id IN (SELECT dataset_id FROM w)
+UNION ALL SELECT o_orderkey::VARCHAR, 'invoice', 'A' FROM orders WHERE o_orderkey IN (SELECT dataset_id FROM w)""")
+def refs_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets of any type by their ids."""
+    c = catalog(spark, sf_dir)
+    wanted = shipments(spark, sf_dir).where("supplier % 7 = 0").select("dataset_id")
+    wanted = wanted.union(table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_orderkey").alias("dataset_id")))
+    return datasets.refs_by_id(c, wanted).select("dataset_id", "dataset_type", "run")
+
+
+@query("""SELECT o_orderkey AS "order", date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT * 86400000000000 AS begin,
+(date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT + 30) * 86400000000000 AS "end" FROM orders WHERE o_totalprice > 200000""")
+def data_id_timespans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timespans of data IDs."""
+    c = catalog(spark, sf_dir)
+    ids = c.query().where("order.totalprice > 200000").data_ids(["order"]).frame().select("order")
+    return extents(c, ids).select("order", "timespan.begin", "timespan.end")
+
+
+@query("""SELECT 'all' AS collection, count(DISTINCT r_name)::BIGINT AS n_regions FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT l_returnflag, count(DISTINCT r_name) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1""")
+def chained_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summaries of runs, and of the chain that holds them."""
+    c = catalog(spark, sf_dir)
+    places = c.expand(c.elements["supplier"].select("supplier", "nation")).select("supplier", "region")
+    tags = c.types["shipment"].frame.select("collection", "supplier", F.lit("shipment").alias("dataset_type")).distinct()
+    found = datasets.merged_summaries(ops.summaries(tags.join(places, "supplier"), ["region"]), c.collections)
+    return found.select("collection", F.size("region").cast("long").alias("n_regions"))
+
+
+@query("""SELECT s_suppkey AS supplier, s_name AS name, s_nationkey AS nation FROM supplier WHERE s_acctbal > 5000 OR s_suppkey % 2 = 0""")
+def record_set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog(spark, sf_dir).elements["supplier"]
+    return datasets.record_union(rows.where("acctbal > 5000"), rows.where("supplier % 2 = 0"), ["supplier"]).select("supplier", "name", "nation")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from orrery.functions.glob import is_glob, matches
 
 ROW_GROUP_BYTES = 1_000_000_000
+# Bits of a value in a row's estimated width.
 _WIDTHS = {
     T.BooleanType: 1, T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64, T.FloatType: 32, T.DoubleType: 64,
     T.DateType: 32, T.TimestampType: 64, T.TimestampNTZType: 64,

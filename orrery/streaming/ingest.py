@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,8 +21,8 @@ def ingest(stream: DataFrame, target: str, keys: Sequence[str], checkpoint: str,
         new = batch.dropDuplicates(list(keys))
         try:
             held = batch.sparkSession.read.parquet(target).where(F.col("_batch") < number).select(*keys)
-        except Exception as e:  # nothing has been written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing has been written yet
                 raise
         else:
             new = new.join(held, list(keys), "left_anti")

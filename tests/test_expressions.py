@@ -5,7 +5,7 @@ from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 from orrery.functions import timespan as ts
-from orrery.functions.glob import glob_regex, matches
+from orrery.functions.glob import glob, glob_regex, is_glob, matches, matches_value
 from orrery.functions.times import parse_time
 from orrery.plans import expressions as ex
 
@@ -61,26 +61,38 @@ def test_spatial_overlap_below_or_is_refused(spark):
 
 
 def test_times():
-    assert parse_time("1970-01-02") == 86_400_000_000_000
-    assert parse_time("mjd/40587.5") == 43_200_000_000_000
-    assert parse_time("2020-01-01T00:00:00/utc") - parse_time("2020-01-01T00:00:00/tai") == 37_000_000_000
-    assert parse_time("1970:002") == parse_time("1970-01-02")
-    with pytest.raises(ValueError):
-        parse_time("tomorrow")
-
-
-@given(st.text(alphabet="ab*?\\.", max_size=8), st.text(alphabet="ab.", max_size=8))
-def test_glob_is_fnmatch_like(pattern, name):
+    """Calendar formats are UTC unless they say otherwise, days by number are TAI."""
+    assert parse_time("2020-01-01/tai") == 1_577_836_800_000_000_000
+    assert parse_time("2020-01-01") == parse_time("2020-01-01T00:00:00/utc") == parse_time("2020-01-01/tai") + 37_000_000_000
+    assert parse_time("2020-01-01T00:00:00+00:00") == parse_time("2020:001") == parse_time("unix/1577836800") == parse_time("2020-01-01")
+    assert parse_time("mjd/40587.5") == parse_time("40587.5") == 43_200_000_000_000
+    assert parse_time("2020-01-01/tt") == parse_time("2020-01-01/tai") - 32_184_000_000
+    for text in ("tomorrow", "2020-01-01T00:00:00+01:00", "2020-01-01/xyz"):
+        with pytest.raises(ValueError):
+            parse_time(text)
+
+
+@given(st.text(alphabet="ab*?\\.[]", max_size=8), st.text(alphabet="ab.\\*[", max_size=8))
+def test_glob_of_values(pattern, name):
     def walk(p, n):
         if not p:
             return not n
         if p[0] == "*":
             return walk(p[1:], n) or bool(n) and walk(p, n[1:])
-        if p[0] == "\\" and len(p) > 1:
+        if p[0] == "\\" and p[1:2] in ("\\", "*", "?", "[", "]"):
             return bool(n) and n[0] == p[1] and walk(p[2:], n[1:])
         return bool(n) and (p[0] == "?" or p[0] == n[0]) and walk(p[1:], n[1:])
 
-    assert matches(pattern, name) == walk(pattern, name), glob_regex(pattern)
+    assert matches_value(pattern, name) == walk(pattern, name), glob_regex(pattern)
+
+
+def test_glob_columns_and_names(spark):
+    values = ["a\\b", "ab", "a*", "a[1]", "a1", "\\", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for pattern in ("a\\b", "a\\*", "a[1]", "a?", "a*", "\\", "\\\\", "a\\[*", "*"):
+        got = {r["v"] for r in df.where(glob(F.col("v"), pattern)).collect()}
+        assert got == {v for v in values if pattern == "*" or v is not None and matches_value(pattern, v)}, pattern
+    assert matches("r[ab]*", "rb1") and not matches("r[ab]*", "rc") and is_glob("r[ab]") and not is_glob("r[") and matches("r[", "r[")
 
 
 spans = st.tuples(st.integers(0, 9), st.integers(0, 9)).map(lambda p: ts.Timespan(*p))
