@@ -56,8 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what a stage kept is deleted when the next one's is written."""
+    tables, docs = shared.Tables(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = shared.written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, tables.write(stage(spark, docs, sf_dir), name)
+        tables.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
