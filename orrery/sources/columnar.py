@@ -93,3 +93,115 @@ def from_numpy(spark: SparkSession, arrays: dict) -> DataFrame:
     import pyarrow as pa
 
     return spark.createDataFrame(pa.table({k: pa.array(list(v) if getattr(v, "ndim", 1) > 1 else v) for k, v in arrays.items()}))
+
+
+# ---------------------------------------------------------------- other shapes of the same columns
+
+
+def to_pandas(df: DataFrame, index: str | Sequence[str] | None = None, multi: bool = False):
+    """A pandas frame of ``df``, which is collected. ``multi``: struct columns become levels of a column index."""
+    import pandas as pd
+
+    out = df.toArrow().to_pandas()
+    if multi:
+        nested = [f.name for f in df.schema if isinstance(f.dataType, T.StructType)]
+        if len(nested) != len(df.columns):
+            raise ValueError("a column index of several levels needs structs only")
+        flat = {(c, f.name): [None if r is None else r[f.name] for r in out[c]] for c in nested for f in df.schema[c].dataType}
+        out = pd.DataFrame(flat, columns=pd.MultiIndex.from_tuples(list(flat)))
+    return out if index is None else out.set_index(index)
+
+
+def from_pandas(spark: SparkSession, frame) -> DataFrame:
+    """A frame of a pandas one: named index levels become columns, levels of its columns structs."""
+    import pandas as pd
+
+    names = [n for n in frame.index.names if n is not None]
+    if names:
+        frame = frame.reset_index(names)
+    if isinstance(frame.columns, pd.MultiIndex):
+        if frame.columns.nlevels != 2:
+            raise ValueError("columns may have two levels")
+        flat = frame.copy()
+        flat.columns = [f"c{i}" for i in range(len(frame.columns))]
+        df = from_pandas(spark, flat)
+        outer: dict[str, list] = {}
+        for i, (a, b) in enumerate(frame.columns):
+            outer.setdefault(str(a), []).append(F.col(f"c{i}").alias(str(b)))
+        return df.select(*(F.struct(*cols).alias(name) for name, cols in outer.items()))
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.Table.from_pandas(frame, preserve_index=False))
+
+
+def two_level(df: DataFrame, wanted: Sequence[tuple[str, str]] | dict[int, str | Sequence[str]]) -> DataFrame:
+    """Columns of structs by pairs (outer, inner), or by the names of either level; LookupError if there is none."""
+    have = [(f.name, g.name) for f in df.schema if isinstance(f.dataType, T.StructType) for g in f.dataType]
+    if isinstance(wanted, dict):
+        if set(wanted) - {0, 1}:
+            raise ValueError("levels are 0 and 1")
+        listed = {k: [v] if isinstance(v, str) else list(v) for k, v in wanted.items()}
+        for level, names in listed.items():
+            if missing := [n for n in names if n not in {p[level] for p in have}]:
+                raise LookupError(f"level {level} has no {', '.join(missing)}")
+        pairs = [p for p in have if all(p[level] in names for level, names in listed.items())]
+    else:
+        pairs = list(wanted)
+        if missing := [p for p in pairs if p not in have]:
+            raise LookupError(f"there is no column {missing[0]}")
+    outer: dict[str, list] = {}
+    for a, b in pairs:
+        outer.setdefault(a, []).append(F.col(f"`{a}`.`{b}`").alias(b))
+    return df.select(*(F.struct(*cols).alias(a) for a, cols in outer.items()))
+
+
+#: Spark's types of key and metadata kinds.
+SPARK_TYPES = {
+    "int": T.LongType(), "string": T.StringType(), "float": T.DoubleType(), "bool": T.BooleanType(), "hash": T.BinaryType(), "uuid": T.StringType(),
+    "datetime": T.LongType(), "ingest_date": T.TimestampNTZType(),
+    "timespan": T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]),
+    "region": T.StructType([T.StructField("kind", T.StringType()), T.StructField("values", T.ArrayType(T.DoubleType()))]),
+}
+
+
+def record_schema(universe, element: str) -> T.StructType:
+    """The schema of an element's table: its keys, what they imply, its metadata, region and timespan."""
+    e = universe[element]
+    names = [*universe.conform(e.required).names, *([element] if e.is_dimension else [])]
+    fields = [T.StructField(n, SPARK_TYPES[universe[n].key_type], nullable=False) for n in names]
+    fields += [T.StructField(n, SPARK_TYPES[universe[n].key_type]) for n in e.implied if n not in names]
+    fields += [T.StructField(n, SPARK_TYPES[k]) for n, k in e.metadata.items()]
+    fields += [T.StructField(k, SPARK_TYPES[k]) for k, there in (("region", e.spatial), ("timespan", e.temporal)) if there]
+    return T.StructType(fields)
+
+
+def record_arrow_schema(universe, element: str, version: str = "1"):
+    """The same as Arrow has it, with the element and the version of its universe as metadata."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(record_schema(universe, element)).with_metadata({"element": element, "version": version})
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
+def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
+    df.write.mode(mode).json(path)
+
+
+def json_lines(df: DataFrame, page: int = 2000):
+    """Pages of JSON lines, text of at most so many rows each, fetched a partition at a time."""
+    held: list[str] = []
+    for r in df.select(F.to_json(F.struct("*")).alias("line")).toLocalIterator(prefetchPartitions=True):
+        held.append(r["line"])
+        if len(held) == page:
+            yield "\n".join(held) + "\n"
+            held = []
+    if held:
+        yield "\n".join(held) + "\n"
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """path, length and sha256 of each file below a folder."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
