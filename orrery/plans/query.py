@@ -150,7 +150,9 @@ class Query:
         return replace(self, searches=(*(o for o in self.searches if o.type != s.type), s))
 
     def join_data_coordinates(self, rows: DataFrame | Iterable[Mapping[str, Any]], bounded: bool | None = None) -> Query:
-        """Joins uploaded data IDs. Python rows are few and are broadcast; a frame is, if Spark finds it small."""
+        """Joins uploaded data IDs: a frame, an Arrow or pandas table, or Python rows, which are few and are broadcast."""
+        if isinstance(rows, pa.Table) or hasattr(rows, "iloc"):
+            rows = next(iter(self.catalog.elements.values())).sparkSession.createDataFrame(rows)
         if not isinstance(rows, DataFrame):
             listed = [dict(r) for r in rows]
             if not listed:
@@ -492,6 +494,8 @@ class Result:
             df = df.select(*(F.col(f"`{x}`") for x in carried))
             df = ops.find_first(df, keys, c, s.collections, unique, ident if s.by_validity else None)
             return df.select(*keys, *(F.col(f"`{f}`") for f in fields))
+        if not keys and not fields:  # no dimensions: one row if there is any
+            return df.limit(1).select()
         return df.select(*keys, *(F.col(f"`{f}`") for f in fields)).distinct()
 
     def frame(self) -> DataFrame:

@@ -150,6 +150,16 @@ def test_results_in_other_shapes(sky):  # noqa: F811
     assert {r["dataset_id"] for r in ids.related_datasets("bias", "both").collect()} == {11, 22}
 
 
+def test_uploads_of_tables(spark, sky):  # noqa: F811
+    import pyarrow as pa
+
+    table = pa.table({"instrument": ["cam", "cam"], "detector": [2, 9]})
+    for made in (table, table.to_pandas()):
+        q = sky.query().join_data_coordinates(made)
+        assert q.where("detector.purpose = 'SCIENCE'").data_ids(["detector"]).count() == 1
+    assert sky.query().join_data_coordinates(table).data_ids([]).count() == 1
+
+
 def test_extents_of_data_ids(sky):  # noqa: F811
     ids = sky.query().join_dimensions("visit", "tract").data_ids(["visit", "tract"]).frame()
     got = {r["visit"]: r for r in extents(sky, ids).collect()}
