@@ -46,3 +46,30 @@ SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS payload
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM p LEFT JOIN g ON p.html = g.html
 """
+
+ORACLES["op5_near_dedup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), g AS (
+  SELECT doc_id, len(ws) AS w, ws, CASE WHEN len(ws) < 5 THEN 1 ELSE len(ws) - 4 END AS runs FROM d WHERE len(ws) > 0
+), x AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS v FROM (SELECT doc_id, ws, unnest(range(1, runs + 1)) AS i FROM g)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)
+), both AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), reach(a, b) AS (
+  SELECT a, b FROM both UNION SELECT r.a, t.b FROM reach r JOIN both t ON r.b = t.a
+), least AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least(d.doc_id, m.b), d.doc_id)::BIGINT AS component_id,
+       d.doc_id = coalesce(least(d.doc_id, m.b), d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least m ON m.a = d.doc_id
+"""
