@@ -125,28 +125,33 @@ def _stretched(length: int, gram: int):
 Repeat = tuple[int, np.ndarray, np.ndarray]
 
 
-def suffixes(data: np.ndarray, room: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, common): the suffixes of ``data`` whose first ``length`` bytes occur twice, and the common prefix of each with the one before.
+def suffixes(data: np.ndarray, room: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): suffixes of ``data`` whose first ``length`` bytes occur twice, and the common prefix of each with the one before.
 
-    ``room[i]`` is how many bytes the suffix at i has. Suffixes with the same first ``length`` bytes stand together,
-    in lexicographic order; before the first of them the common prefix is 0.
+    ``room[i]`` is how many bytes the suffix at i has, ``left[i]`` what precedes it. Suffixes with the same first
+    ``length`` bytes stand together, in lexicographic order; before the first of them the common prefix is 0. Those
+    that are all preceded by the same byte are left out: they are part of longer repeats that begin before them.
     """
     at = np.flatnonzero(room >= length)
-    strings = rolling.Hashed(data).grams(length)[at] if len(at) else np.zeros(0, dtype=np.uint64)
+    none = np.zeros(0, dtype=np.int64)
+    if not len(at):
+        return none, none
+    strings = rolling.Hashed(data).grams(length)[at]
     by = np.argsort(strings, kind="stable")
-    same = strings[by[1:]] == strings[by[:-1]]
-    twice = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(by) else np.zeros(0, dtype=bool)
-    by = by[twice]
-    at, group = at[by], strings[by]
+    at, strings = at[by], strings[by]
+    begins = np.flatnonzero(np.concatenate(([True], strings[1:] != strings[:-1])))
+    many = np.minimum.reduceat(left[at], begins) != np.maximum.reduceat(left[at], begins)
+    sizes = np.diff(np.append(begins, len(at)))
+    keep = np.repeat(many, sizes)
+    at, group = at[keep], np.repeat(np.arange(len(begins)), sizes)[keep]
     if not len(at):
-        return at, np.zeros(0, dtype=np.int64)
-    group = np.cumsum(np.concatenate(([0], group[1:] != group[:-1])))
+        return none, none
     width = -(-(int(room[at].max()) - length) // 8) * 8
-    place = np.arange(length, length + width)
-    tails = np.zeros((len(at), width), dtype=np.uint8)
-    inside = place[None, :] < room[at][:, None]
-    tails[inside] = data[(at[:, None] + place[None, :])[inside]]
-    order = np.lexsort((room[at], *tails.view(">u8").astype(np.uint64).T[::-1], group))
+    padded = np.concatenate((data, np.zeros(length + width, dtype=np.uint8)))
+    tails = np.lib.stride_tricks.sliding_window_view(padded, width)[at + length] if width else np.zeros((len(at), 0), dtype=np.uint8)
+    tails = np.where(np.arange(length, length + width, dtype=np.int32)[None, :] < room[at].astype(np.int32)[:, None], tails, np.uint8(0))
+    words = tails.view(">u8").astype(np.uint64) if width else tails
+    order = np.lexsort((room[at], *words.T[::-1], group))
     at, group, tails = at[order], group[order], tails[order]
     unequal = tails[1:] != tails[:-1]
     first = np.where(unequal.any(axis=1), unequal.argmax(axis=1), width) if width else np.zeros(len(at) - 1, dtype=np.int64)
@@ -163,19 +168,15 @@ def repeats(data: np.ndarray, sizes: np.ndarray, length: int) -> Iterator[Repeat
     that are new). The start of a content is preceded by a byte of its own.
     """
     ends = np.cumsum(sizes)
-    room = np.repeat(ends, sizes) - np.arange(int(ends[-1]) if len(ends) else 0)
-    order, lcp = suffixes(data, room, length)
-    if not len(order):
-        return
-    left = np.where(order > 0, data[order - 1].astype(np.int64), 0)
-    starts = np.zeros(len(data), dtype=bool)
-    starts[(ends - sizes)[sizes > 0]] = True
-    left = np.where(starts[order], 256 + order, left)
+    n = int(ends[-1]) if len(ends) else 0
+    room = np.repeat(ends, sizes) - np.arange(n)
+    left = np.concatenate(([0], data[:-1].astype(np.int64)))[:n]
+    starts = (ends - sizes)[sizes > 0]
+    left[starts] = 256 + starts
+    order, lcp = suffixes(data, room, left, length)
     edges = np.append(np.flatnonzero(lcp == 0), len(order))
-    low, high = np.minimum.reduceat(left, edges[:-1]), np.maximum.reduceat(left, edges[:-1])
-    for k in np.flatnonzero(low != high).tolist():  # of others, what stands to the left is part of a longer repeat
-        lo, hi = int(edges[k]), int(edges[k + 1])
-        sizes_in, lefts = lcp[lo + 1 : hi].tolist(), left[lo:hi].tolist()
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        sizes_in, lefts = lcp[lo + 1 : hi].tolist(), left[order[lo:hi]].tolist()
         stack: list[list] = []
         for i, size in enumerate([*sizes_in, 0]):
             first, mark, new = lo + i, lefts[i], [lo + i]
@@ -186,7 +187,7 @@ def repeats(data: np.ndarray, sizes: np.ndarray, length: int) -> Iterator[Repeat
                 if top[2] == -1:
                     yield top[0], order[top[1] : lo + i + 1], order[top[3]]
                     new = []
-                else:
+                else:  # what stands to the left is part of a longer repeat that covers these too
                     new = top[3]
                 first, mark = top[1], top[2]
             if size >= length:
