@@ -14,13 +14,17 @@ Pairs come from the lists in rounds. In the first, each set meets one other, the
 one in its lists with fewest shingles of its own; what is confirmed joins
 components. Then the pairs of a list that are in different components are left:
 those of sets outside of its largest component with any other. While these are
-very many and components still grow, another round of single partners is taken
-before them. A group of near copies so costs its size and not its square, and
-no pair that could be similar is left out. Pairs are filtered by the sketch of
-their union (if it shows more values that one has and the other lacks than a
-similar pair can have, they aren't), and confirmed on full sets. Components come
-from alternating star contractions. The driver gets counts, and a filter of
-bounded size.
+very many and each round leaves half of them or less, another round of single
+partners is taken before them. At last the sets that are open meet all in the
+lists of their largest component. A group of near copies that hang together so
+costs its size and not its square, and no pair that could be similar is left
+out. Sets of pairs meet in cells of bounded size, where pairs are filtered by the
+sketch of their union (if it shows more values that one has and the other lacks
+than a similar pair can have, they aren't), and confirmed on full sets. What
+stays quadratic are sets of one list of which no two are linked although they
+share all that is rare of them; it is spread over cells. Components come from
+alternating star contractions. The driver gets counts, and a filter of bounded
+size.
 
 Defined results: words are runs of bytes other than ASCII white space, A-Z as
 a-z; a null or empty text, or one without words, has no shingles and is linked
@@ -46,7 +50,11 @@ SHINGLE = 5
 SKETCH = 64
 BLOCK = 1 << 20
 #: Another round of single partners is taken while pairs are more than so many times the entries of the lists.
-DENSE = 8
+DENSE = 64
+#: Sets of both sides of a cell.
+OPEN, BESIDE = 256, 512
+#: Edges that one task of the star contractions takes at least.
+EDGES = 100_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -163,6 +171,12 @@ def _full_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     return one.join(wanted, "text_key").select("set_id", "text").mapInArrow(hashed, "set_id long, shingles array<long>")
 
 
+def spread(df: DataFrame, rows: int):
+    """What writes tables of up to so many rows by as many tasks as they need, not by one for each shuffle partition."""
+    n = max(1, rows // EDGES)
+    return (lambda x: x.coalesce(n)) if n < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else (lambda x: x)
+
+
 def components(edges: DataFrame, tables: shared.Tables | None = None) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) reaches, as one of ``tables``.
 
@@ -170,19 +184,20 @@ def components(edges: DataFrame, tables: shared.Tables | None = None) -> DataFra
     step is an aggregation and a join of the edges, and reads a table of its own.
     """
     t = shared.Tables(edges.sparkSession)
-    now = t.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
+    now = t.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = mark(now)
+    most = spread(now, before[0])
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = t.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least = t.write(most(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))), "least")
         large = t.write(
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large"
+            most(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()), "large"
         )
-        lower = t.write(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
+        lower = t.write(most(large.groupBy("u").agg(F.min("v").alias("m"))), "lower")
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(lower.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        last, now = now, t.write(small, "small")
+        last, now = now, t.write(most(small), "small")
         t.drop(last, least, large, lower)
         after = mark(now)
         if after == before:
@@ -204,10 +219,26 @@ def _lists(t: shared.Tables, sets: DataFrame, percent: int, k: int) -> DataFrame
     ``left`` counts the values of the sketch from this one on, from rare to common; ``own`` is the share of values
     that no other sketch holds.
     """
-    values = sets.select("set_id", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
+    values = sets.select(F.explode("sketch").alias("value"))
     common = t.write(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    known = shared.Filter.of(common.select("value"))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sketch = part.column("sketch")
+                sizes, values = sketch.value_lengths().to_numpy(), sketch.flatten().to_numpy()
+                kept = known.test(values)
+                row = pa.array(np.repeat(np.arange(len(sizes)), sizes)[kept])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("set_id").take(row), part.column("n").take(row), pa.array(sizes.astype(np.int64)).take(row), pa.array(values[kept])],
+                    names=["set_id", "n", "s", "value"],
+                )
+
     ranked = (
-        shared.likely(values, common, "value")
+        sets.select("set_id", "n", "sketch")
+        .mapInArrow(likely, "set_id long, n long, s long, value long")
         .join(common, "value")
         .groupBy("set_id", "n", "s")
         .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("listed"))
@@ -240,29 +271,104 @@ def _may_be_similar(a: str, b: str, percent: int) -> Column:
     return sizes & (need <= F.least(c(a, "left"), c(b, "left")))
 
 
-def _pair(a: str, b: str) -> list[Column]:
-    return [F.least(f"{a}.set_id", f"{b}.set_id").alias("a"), F.greatest(f"{a}.set_id", f"{b}.set_id").alias("b")]
-
-
-def _confirmed(t: shared.Tables, docs: DataFrame, text_col: str, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar: filtered by the sketch of their union, confirmed on full sets."""
-    side = lambda c: sets.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    end = lambda c: F.when(F.size(f"s_{c}") < F.col(f"n_{c}"), F.element_at(f"s_{c}", -1)).otherwise(F.lit((1 << 63) - 1))
-    # up to where both sketches reach, they hold all of their sets
-    upto = F.least(end("a"), end("b"))
-    seen = lambda c: F.size(F.filter(f"s_{c}", lambda x: x <= F.col("upto")))
-    both, need = F.size(F.array_intersect("s_a", "s_b")), _must_share(F.col("n_a"), F.col("n_b"), percent)
-    lacks = lambda c: seen(c) - both <= F.col(f"n_{c}") - need
-    passed = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("upto", upto).where(lacks("a") & lacks("b"))
-    passed = t.write(passed.select("a", "b", "n_a", "n_b"), "passed")
-    ends = passed.select(F.col("a").alias("set_id")).unionByName(passed.select(F.col("b").alias("set_id"))).distinct()
-    wanted = t.write(ends.join(sets.select("set_id", "text_key"), "set_id"), "wanted")
-    full = t.write(_full_sets(docs, text_col, wanted), "full", compression="zstd")
-    x = lambda c: full.select(F.col("set_id").alias(c), F.col("shingles").alias(f"x_{c}"))
-    common = F.size(F.array_intersect("x_a", "x_b"))
-    similar = 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
-    out = t.write(passed.join(x("a"), "a").join(x("b"), "b").where(similar).select("a", "b"), "links")
-    t.drop(passed, wanted, full)
+_EDGES = "a long, b long"
+
+
+def _tested(percent: int, k: int):
+    """The links between the sets of both sides of a cell: as few as keep them connected."""
+
+    def test(table: pa.Table) -> pa.Table:
+        ids, side, shingled = (table.column(c).combine_chunks() for c in ("set_id", "side", "shingles"))
+        ids, side = ids.to_numpy(), side.to_numpy()
+        flat, ends = shingled.flatten().to_numpy(), np.cumsum(shingled.value_lengths().to_numpy())
+        sets = np.split(flat, ends[:-1])
+        own = [i for i in np.argsort(ids, kind="stable").tolist() if side[i] == 0]
+        edges: list[tuple[int, int]] = []
+        if own:
+            n_own = np.array([len(sets[i]) for i in own])
+            s_own = np.array([sketch_size(n, percent, k) for n in n_own.tolist()])
+            upto = np.array([sets[i][s - 1] if s < len(sets[i]) else np.iinfo(np.int64).max for i, s in zip(own, s_own.tolist(), strict=True)])
+
+            def indexed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+                values = np.concatenate(parts)
+                order = np.argsort(values, kind="stable")
+                return values[order], np.repeat(np.arange(len(parts)), [len(p) for p in parts])[order]
+
+            def shared_with(index: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+                lo, hi = np.searchsorted(index[0], x, "left"), np.searchsorted(index[0], x, "right")
+                c = hi - lo
+                at = np.repeat(lo - (np.cumsum(c) - c), c) + np.arange(c.sum())
+                return np.bincount(index[1][at], minlength=len(own))
+
+            sketches = indexed([sets[i][:s] for i, s in zip(own, s_own.tolist(), strict=True)])
+            whole = indexed([sets[i] for i in own])
+            root = list(range(len(ids)))
+
+            def find(i: int) -> int:
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            for j in np.argsort(ids, kind="stable").tolist():
+                x = sets[j]
+                s, n = sketch_size(len(x), percent, k), len(x)
+                # up to where both sketches reach they hold all of their sets: what one lacks there, it lacks
+                end = np.minimum(upto, x[s - 1] if s < n else np.iinfo(np.int64).max)
+                both, need = shared_with(sketches, x[:s]), -(-percent * (n_own + n) // (100 + percent))
+                seen_x = np.searchsorted(x[:s], end, "right")
+                seen_own = np.array([np.searchsorted(sets[i][:m], e, "right") for i, m, e in zip(own, s_own.tolist(), end, strict=True)])
+                may = (both > 0) & (seen_x - both <= n - need) & (seen_own - both <= n_own - need)
+                if not may.any():
+                    continue
+                common = shared_with(whole, x)
+                for i in np.flatnonzero(may & (100 * common >= percent * (n_own + n - common))).tolist():
+                    p, q = find(own[i]), find(j)
+                    if p != q:
+                        root[p] = q
+                        edges.append((int(ids[own[i]]), int(ids[j])))
+        columns = zip(*edges, strict=True) if edges else ((), ())
+        return pa.table([pa.array(c, type=pa.int64()) for c in columns], names=["a", "b"])
+
+    return test
+
+
+class _Sets:
+    """Full sets by set_id, of texts that are hashed again when they are asked for first."""
+
+    def __init__(self, t: shared.Tables, docs: DataFrame, text_col: str, sets: DataFrame) -> None:
+        self.t, self.docs, self.text_col, self.sets = t, docs, text_col, sets
+        self.held: DataFrame | None = None
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        new = ids if self.held is None else ids.join(self.held.select("set_id"), "set_id", "left_anti")
+        wanted = self.t.write(new.join(self.sets.select("set_id", "text_key"), "set_id"), "wanted")
+        if self.held is None or not wanted.isEmpty():
+            made = self.t.write(_full_sets(self.docs, self.text_col, wanted), "full", compression="zstd")
+            self.held = made if self.held is None else self.held.unionByName(made)
+        self.t.drop(wanted)
+        return self.held
+
+
+def _confirmed(t: shared.Tables, full: _Sets, ends: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links (a, b) that connect what is similar between the two sides of each family: ``ends`` (family, set_id, side).
+
+    The sets of a family meet in cells of bounded numbers of both sides, so a set is copied once for each cell and
+    not for each pair. In a cell pairs are filtered by the sketch of their union, and confirmed on full sets.
+    """
+    ends = t.write(ends.distinct(), "ends")
+    sets = full.of(ends.select("set_id").distinct())
+    count = lambda side, most: F.ceil(F.count_if(F.col("side") == side) / most).cast("int")
+    grid = t.write(ends.groupBy("family").agg(count(0, OPEN).alias("rows"), count(1, BESIDE).alias("cols")).where("rows > 0"), "grid")
+    cell = lambda size: F.pmod(F.xxhash64("set_id"), F.col(size)).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
+    dealt = ends.join(grid, "family")
+    cells = dealt.where("side = 0").select("family", "set_id", "side", cell("rows").alias("i"), every("cols").alias("j")).unionByName(
+        dealt.where("side = 1").select("family", "set_id", "side", every("rows").alias("i"), cell("cols").alias("j"))
+    )
+    held = cells.join(sets, "set_id").groupBy("family", "i", "j")
+    out = t.write(held.applyInArrow(_tested(percent, k), _EDGES), "links")
+    t.drop(ends, grid)
     return out
 
 
@@ -270,7 +376,7 @@ def _linked_sets(t: shared.Tables, docs: DataFrame, text_col: str, sets: DataFra
     """(node, root) for the sets that are linked to others."""
     lists = _lists(t, sets, percent, k)
     n_entries = lists.count()
-    edges, tested, found = None, None, None
+    edges, found, before, full = None, None, None, _Sets(t, docs, text_col, sets)
     hubs = lists.groupBy("value").agg(F.count("*").alias("size"), F.min(F.struct("own", "set_id", "n", "slack", "left")).alias("hub"))
     labelled = lists
     while True:
@@ -280,14 +386,11 @@ def _linked_sets(t: shared.Tables, docs: DataFrame, text_col: str, sets: DataFra
         if found is not None:
             meet = meet.where(F.col("x.root") != F.col("h.root"))
         one = meet.groupBy(F.col("x.set_id").alias("x")).agg(F.min(F.struct("h.own", "h.set_id")).alias("h"))
-        pairs = one.select(F.least("x", "h.set_id").alias("a"), F.greatest("x", "h.set_id").alias("b")).distinct()
-        pairs = t.write(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        made = _confirmed(t, docs, text_col, sets, pairs, percent)
-        grew = not made.isEmpty()
+        pairs = t.write(one.select(F.col("h.set_id").alias("family"), "x"), "pairs")
+        hub_side = pairs.select("family", F.col("family").alias("set_id"), F.lit(0).alias("side"))
+        made = _confirmed(t, full, hub_side.unionByName(pairs.select("family", F.col("x").alias("set_id"), F.lit(1).alias("side"))), percent, k)
         edges = made if edges is None else edges.unionByName(made)
-        if grew or found is None:
-            found = components(edges, t)
+        found = components(edges, t)
         labelled = lists.join(found.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
         labelled = t.write(labelled.withColumn("root", F.coalesce("root", "set_id")), "labelled")
         shares = labelled.groupBy("value", "root").agg(F.count("*").alias("c"))
@@ -295,19 +398,16 @@ def _linked_sets(t: shared.Tables, docs: DataFrame, text_col: str, sets: DataFra
         mains = t.write(mains.where("size > main.c").select("value", "size", F.col("main.c").alias("c"), F.col("main.root").alias("main")), "mains")
         left = mains.agg(F.coalesce(F.sum((F.col("size") - F.col("c")) * F.col("size")), F.lit(0))).first()[0]
         labelled = t.write(labelled.join(mains.select("value", "size", "main"), "value"), "open")
-        if left <= dense * n_entries or not grew:
+        if left <= dense * n_entries or before is not None and 2 * left > before:
             break
+        before = left
         others = labelled.where("root <> main")
         hubs = others.groupBy("value").agg(F.max("size").alias("size"), F.min(F.struct("own", "set_id", "n", "slack", "left", "root")).alias("hub"))
     if left:
-        # both sides are read from a table: rows of a value that very many hold are split
-        apart = (F.col("o.root") != F.col("x.root")) & ((F.col("x.root") == F.col("x.main")) | (F.col("o.set_id") < F.col("x.set_id")))
-        meet = labelled.where("root <> main").alias("o").join(labelled.alias("x"), F.col("o.value") == F.col("x.value"))
-        pairs = meet.where(apart & _may_be_similar("o", "x", percent)).select(*_pair("o", "x")).distinct()
-        pairs = t.write(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        made = _confirmed(t, docs, text_col, sets, pairs, percent)
-        if not made.isEmpty():
-            found = components(edges.unionByName(made), t)
+        # a family is all lists of one largest component: their open sets meet all that are in them
+        side = lambda rows, n: rows.select(F.col("main").alias("family"), "set_id", F.lit(n).alias("side"))
+        made = _confirmed(t, full, side(labelled.where("root <> main"), 0).unionByName(side(labelled, 1)), percent, k)
+        found = components(edges.unionByName(made), t)
     return found
 
 
