@@ -50,26 +50,23 @@ _words = re.compile(r"\w+").findall
 _gap = re.compile(r"\W").search
 
 
-def words(text: str) -> Iterator[str]:
-    """The words of a text, a block at a time."""
-    at = 0
-    while at < len(text):
-        end = at + BLOCK
-        if end < len(text):
-            gap = _gap(text, end)
-            end = gap.start() if gap else len(text)
-        yield from _words(text[at:end].lower())
-        at = end
-
-
 @lru_cache(maxsize=1 << 18)
 def _code(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
 
 
 def coded(text: str | None) -> np.ndarray:
-    """64 bits for each word."""
-    return np.fromiter(map(_code, words(text or "")), dtype=np.uint64)
+    """64 bits for each word of a text, which is split a block at a time."""
+    parts, at, text = [], 0, text or ""
+    while at < len(text):
+        end = at + BLOCK
+        if end < len(text):
+            gap = _gap(text, end)
+            end = gap.start() if gap else len(text)
+        found = _words(text[at:end].lower())
+        parts.append(np.fromiter(map(_code, found), np.uint64, len(found)))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
 
 
 def seeds_of(codes: np.ndarray, n: int) -> np.ndarray:
@@ -271,15 +268,18 @@ def found(
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+            keys, lengths, seeds = [], [], []
+            for i, text in enumerate(batch.column("text")):
                 codes = coded(text.as_py())
                 for n in sizes:
                     hashes = seeds_of(codes, n).view(np.int64)
                     hit = np.unique(hashes[known.test(hashes)])
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([key] * len(hit), type=pa.binary()), pa.array(np.full(len(hit), n)), pa.array(hit)], names=["key", "n", "seed"]
-                        )
+                    keys.append(np.full(len(hit), i))
+                    lengths.append(np.full(len(hit), n))
+                    seeds.append(hit)
+            if seeds and any(map(len, seeds)):
+                key = batch.column("key").take(pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.concatenate(lengths)), pa.array(np.concatenate(seeds))], names=["key", "n", "seed"])
 
     text = shared.text_of(text_col)
     texts = docs.select(shared.key_of(text).alias("key"), text.cast("string").alias("text"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from orrery.llm import rolling
 
 _SETTING = "spark.checkpoint.dir"
-#: A filter takes ten bits a key up to this, and no more beyond: 64 MB.
+#: A filter takes no more bits than this: 64 MB.
 FILTER_BITS = 1 << 29
 _SEGMENT = 1 << 20
 
@@ -97,38 +97,39 @@ def key_of(text: Column) -> Column:
 class Filter:
     """Which 64-bit values are certainly not, or probably, among those of a column; for a broadcast of bounded size.
 
-    It has ten bits a value, of which three are looked at; beyond FILTER_BITS it
-    stays as it is, with less to say: of 50 million values it lets 2 percent of
-    others pass, of 100 million 8, of 500 million 61. It is made in segments:
-    the driver gets each bit once.
+    It has forty bits a value or more, of which three are looked at; beyond
+    FILTER_BITS it stays as it is, with less to say: of 50 million values it lets
+    2 percent of others pass, of 100 million 8, of 500 million 61. It is made in
+    segments: the driver gets each bit once.
     """
 
     def __init__(self, bits: int, looks: int, sent: object) -> None:
         self.bits, self.looks, self.sent = bits, looks, sent
 
-    def places(self, x: np.ndarray) -> Iterator[np.ndarray]:
-        x, mask = rolling.mixed(x.view(np.uint64)), np.uint64(self.bits - 1)
-        for k in (0, 21, 34)[: self.looks]:
-            yield ((x >> np.uint64(k)) & mask).astype(np.int64)
+    def _place(self, x: np.ndarray, k: int) -> np.ndarray:
+        return ((rolling.mixed(x.view(np.uint64)) >> np.uint64((0, 21, 34)[k])) & np.uint64(self.bits - 1)).astype(np.int64)
 
     def test(self, x: np.ndarray) -> np.ndarray:
-        out, held = np.ones(len(x), dtype=bool), self.sent.value
-        for p in self.places(x):
-            out &= (held[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+        held, left = self.sent.value, np.arange(len(x))
+        for k in range(self.looks):  # each look takes what the ones before it let pass
+            p = self._place(x[left], k)
+            left = left[(held[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1]
+        out = np.zeros(len(x), dtype=bool)
+        out[left] = True
         return out
 
     @classmethod
     def of(cls, values: DataFrame) -> Filter:
         """``values``: one column of long."""
         n = values.count()
-        bits = min(FILTER_BITS, 1 << max(10, (n * 10).bit_length()))
+        bits = min(FILTER_BITS, 1 << max(20, (n * 40).bit_length()))
         out = cls(bits, 3 if n * 4 <= bits else 1, None)
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = np.zeros(bits, dtype=bool)
             for batch in batches:
-                for p in out.places(_longs(batch.column(0))):
-                    seen[p] = True
+                for k in range(out.looks):
+                    seen[out._place(_longs(batch.column(0)), k)] = True
             for at in range(0, bits, _SEGMENT):
                 part = seen[at : at + _SEGMENT]
                 if part.any():
