@@ -509,10 +509,12 @@ def replace_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.replace(s, s.where("s_suppkey % 3 = 0").withColumn("s_acctbal", F.col("s_acctbal") + 1), ["s_suppkey"])
 
 
-@query("""SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey < 20 UNION ALL SELECT s_suppkey, 'new' FROM supplier WHERE s_suppkey >= 20 AND s_suppkey % 2 = 0""")
+@query("""SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT s_suppkey, 'new' FROM supplier WHERE NOT s_acctbal > 0""")
 def ensure_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    return ops.ensure(s.where("s_suppkey < 20"), s.where("s_suppkey % 2 = 0").withColumn("s_name", F.lit("new")), ["s_suppkey"])
+    """All suppliers inserted where those in credit are there already."""
+    s = table(spark, sf_dir, "supplier")
+    held = s.where("s_acctbal > 0").select("s_suppkey", "s_name")
+    return ops.ensure(held, s.select("s_suppkey", F.lit("new").alias("s_name")), ["s_suppkey"])
 
 
 @query("""SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 'new' FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 2 = 0""")
@@ -534,36 +536,36 @@ def delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.delete_where(ops.delete(s, s.where("s_suppkey % 5 = 0"), ["s_suppkey"]), F.col("s_acctbal") < 0).select("s_suppkey")
 
 
-def _conflicts(s: DataFrame, imported: str = "true") -> DataFrame:
-    """Conflicts of the shipments that ``imported`` selects, some of them altered, with all of them."""
+def _conflicts(s: DataFrame, altered: str = "true") -> DataFrame:
+    """Conflicts of all shipments, of which those that ``altered`` says are changed, with what is there."""
     s = s.withColumn("dataset_type", F.lit("shipment"))
-    one = lambda c, n: (c % n == 0).cast("int")
+    one = lambda c, n: ((c % n == 0) & F.expr(altered)).cast("int")
     part = F.col("part")
-    new = s.where(imported).select(
-        (F.col("dataset_id") + one(part, 11)).alias("dataset_id"), "dataset_type", F.when(part % 7 == 0, "X").otherwise(F.col("run")).alias("run"),
-        (part + one(part, 5)).alias("part"), "supplier",
+    new = s.select(
+        (F.col("dataset_id") + one(part, 11)).alias("dataset_id"), "dataset_type",
+        F.when((part % 7 == 0) & F.expr(altered), "X").otherwise(F.col("run")).alias("run"), (part + one(part, 5)).alias("part"), "supplier",
     )
     return ops.import_conflicts(s, s, new, ["part", "supplier"])
 
 
-@query(f"""WITH d AS ({SHIPPED_SQL}), n AS (SELECT dataset_id, part, supplier, CASE WHEN part % 7 = 0 THEN 'X' ELSE run END AS run,
-part + (part % 5 = 0)::INT AS np, dataset_id + (part % 11 = 0)::INT AS nid FROM d WHERE part < 200)
+def conflicts_sql(altered: str) -> str:
+    return f"""WITH d AS ({SHIPPED_SQL}), n AS (SELECT dataset_id, part, supplier, CASE WHEN part % 7 = 0 AND {altered} THEN 'X' ELSE run END AS run,
+part + (part % 5 = 0 AND {altered})::INT AS np, dataset_id + (part % 11 = 0 AND {altered})::INT AS nid FROM d)
 SELECT DISTINCT dataset_id, reason FROM (
 SELECT nid AS dataset_id, 'definition' AS reason FROM n JOIN d ON d.dataset_id = nid WHERE d.run <> n.run
 UNION ALL SELECT nid, 'data_id' FROM n JOIN d ON d.dataset_id = nid AND d.run = n.run WHERE d.part <> np OR d.supplier <> n.supplier
-UNION ALL SELECT nid, 'id' FROM n JOIN d ON d.run = n.run AND d.part = np AND d.supplier = n.supplier WHERE d.dataset_id <> nid)""")
+UNION ALL SELECT nid, 'id' FROM n JOIN d ON d.run = n.run AND d.part = np AND d.supplier = n.supplier WHERE d.dataset_id <> nid)"""
+
+
+@query(conflicts_sql("run = 'A'"))
 def import_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _conflicts(shipments(spark, sf_dir), "part < 200")
+    """All shipments imported again, those of one run altered."""
+    return _conflicts(shipments(spark, sf_dir), "run = 'A'")
 
 
-@query(f"""WITH d AS ({SHIPPED_SQL}), n AS (SELECT dataset_id, part, supplier, CASE WHEN part % 7 = 0 THEN 'X' ELSE run END AS run,
-part + (part % 5 = 0)::INT AS np, dataset_id + (part % 11 = 0)::INT AS nid FROM d)
-SELECT DISTINCT dataset_id, reason FROM (
-SELECT nid AS dataset_id, 'definition' AS reason FROM n JOIN d ON d.dataset_id = nid WHERE d.run <> n.run
-UNION ALL SELECT nid, 'data_id' FROM n JOIN d ON d.dataset_id = nid AND d.run = n.run WHERE d.part <> np OR d.supplier <> n.supplier
-UNION ALL SELECT nid, 'id' FROM n JOIN d ON d.run = n.run AND d.part = np AND d.supplier = n.supplier WHERE d.dataset_id <> nid)""")
+@query(conflicts_sql("true"))
 def import_conflicts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As import_conflicts, with all shipments imported."""
+    """As import_conflicts, with those of every run altered."""
     return _conflicts(shipments(spark, sf_dir))
 
 
