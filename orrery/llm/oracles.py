@@ -62,14 +62,14 @@ WITH RECURSIVE d AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), e AS (
   SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)
-), both AS (
+), link AS (
   SELECT a, b FROM e UNION ALL SELECT b, a FROM e
 ), reach(a, b) AS (
-  SELECT a, b FROM both UNION SELECT r.a, t.b FROM reach r JOIN both t ON r.b = t.a
-), least AS (
+  SELECT a, b FROM link UNION SELECT r.a, t.b FROM reach r JOIN link t ON r.b = t.a
+), lowest AS (
   SELECT a, min(b) AS b FROM reach GROUP BY a
 )
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least(d.doc_id, m.b), d.doc_id)::BIGINT AS component_id,
        d.doc_id = coalesce(least(d.doc_id, m.b), d.doc_id) AS kept
-FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least m ON m.a = d.doc_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN lowest m ON m.a = d.doc_id
 """
