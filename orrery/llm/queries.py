@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from orrery.llm import decontaminate, language_id, near_dedup, packing, quality_rules, secret_scan, sharding, suffix_dedup, toxicity, warc
+from orrery.llm import chat, decontaminate, language_id, merkle, near_dedup, packing, periodic, quality_rules, secret_scan, sharding
+from orrery.llm import suffix_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -152,3 +153,96 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+def _crc32(doc_id: Column) -> Column:
+    """Unsigned crc32 of the decimal id; null for a null id."""
+    return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof in the manifest, and the root that its text, tampered with or not, gives with it."""
+    docs = table(spark, sf_dir, "documents").select(*FIELDS)
+    struck = F.coalesce(_crc32(F.col("doc_id")) % 5 == 0, F.lit(False))
+    others = (F.translate("text", _UPPER, _LOWER) if c == "text" else F.col(c) for c in FIELDS)
+    carried = {"doc_id": F.col("doc_id"), "altered": F.when(struck, merkle.leaf(*others))}
+    found = merkle.proofs(docs, FIELDS, "source", "doc_id", carried)
+    again = found.withColumn("folded_root", merkle.folded(F.coalesce("altered", "leaf"), F.col("proof")))
+    return again.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def _looped(text: Column, doc_id: Column) -> Column:
+    """The text whose words from some place on go round, in a tenth of all documents."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = _crc32(doc_id)
+    g = F.floor(h / 10)
+
+    def round_(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        bounds = F.array(F.struct(n.alias("n"), a.alias("a"), p.alias("p")))
+        place = lambda i, b: F.when(i < b["a"], i).otherwise(b["a"] + F.pmod(i - b["a"], b["p"])).cast("int")
+        every = lambda b: F.transform(F.sequence(F.lit(0).cast("long"), b["n"] - 1), lambda i: F.get(w, place(i, b)))
+        return F.when(n > 0, F.array_join(F.transform(bounds, every)[0], " ")).otherwise(F.lit(""))
+
+    # a transform of an array of one binds its value: it is not computed again for each word
+    return F.when(h % 10 == 0, F.transform(F.array(words), round_)[0]).otherwise(text)
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs of words, the longest of them, and its words without what repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _looped(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic.runs(docs).select("doc_id", "found.*")
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    )
+    line = lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))
+    best = found.withColumn("best", longest)
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform("runs", line)), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+@query
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, as one formatted text, read back from it."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], rows.schema)
+    template = chat.Template()
+    made = chat.turn_by_turn(rows.unionByName(more), "conv_id", "turn", "role", "text", template)
+    turns = template.parsed(F.col("formatted"))
+    said = F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    learnt = template.learnt(F.col("formatted"), F.col("mask"))
+    return made.select(
+        F.col("name").alias("conv_id"),
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(F.concat_ws("", said), 256).alias("turns_sha256"),
+        F.length(learnt).cast("long").alias("loss_chars"),
+        F.sha2(learnt, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )

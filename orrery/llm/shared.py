@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from orrery.llm import rolling
@@ -175,3 +176,64 @@ def among(keys: DataFrame, *columns: str) -> Column:
 def likely(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
     """The rows of ``df`` whose values of these columns may be among ``keys``: all that are, and few others."""
     return df.where(among(keys, *columns))
+
+
+def ranked(df: DataFrame, group: str, *order: str) -> tuple[DataFrame, int, int]:
+    """``df`` with ``tree``, the rank of its group among groups, and ``place`` in its group, both from 0; how many groups, and rows of the largest.
+
+    Rows are dealt out by ranges of (group, order), so that a hot group takes many
+    tasks, and numbered within each range. Only the groups at a range's two ends can
+    go on in others: of those the driver gets one row a range. Nulls come first.
+    ``df`` is read more than once: give a written table.
+    """
+    tables, n = Tables(df.sparkSession), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).withColumn("_part", F.spark_partition_id())
+    at = dealt.columns.index(group)
+    schema = T.StructType([*dealt.schema, T.StructField("_run", T.LongType()), T.StructField("_step", T.LongType())])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, run, step = None, -1, 0  # the group before as an array of one, its number, its rows so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = batch.column(at)
+            before = pa.concat_arrays([g.slice(0, 1) if last is None else last, g.slice(0, len(g) - 1)])
+            both = pc.and_(pc.is_null(g), pc.is_null(before))
+            new = ~pc.or_(both, pc.fill_null(pc.equal(g, before), False)).to_numpy(zero_copy_only=False)
+            new[0] |= last is None
+            i = np.arange(len(g), dtype=np.int64)
+            begun = np.maximum.accumulate(np.where(new, i, -1 - step))
+            runs = run + np.cumsum(new)
+            steps = i - begun + np.where(begun < 0, -1, 0)
+            last, run, step = g.slice(len(g) - 1, 1), int(runs[-1]), int(steps[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs), pa.array(steps)], names=schema.names)
+
+    made = tables.write(dealt.mapInArrow(numbered, schema), "ranked")
+    ends = made.groupBy("_part").agg(
+        F.min(F.struct(col(group))).alias("low"),
+        F.max(F.struct(col(group))).alias("high"),
+        F.max("_run").alias("run"),
+        F.max(F.when(F.col("_run") == 0, F.col("_step"))).alias("first"),
+        F.max(F.struct("_run", "_step"))["_step"].alias("last"),
+        F.max("_step").alias("longest"),
+    )
+    rows, tree, place, held, largest = [], -1, 0, None, 0
+    for r in sorted(ends.collect(), key=lambda r: r["_part"]):
+        goes_on = held is not None and tuple(r["low"]) == held
+        tree, place = (tree, place) if goes_on else (tree + 1, 0)
+        rows.append((r["_part"], tree, place))
+        largest = max(largest, r["longest"] + 1, place + r["first"] + 1)
+        place = place + r["last"] + 1 if r["run"] == 0 else r["last"] + 1
+        tree, held = tree + r["run"], tuple(r["high"])
+    bases = df.sparkSession.createDataFrame(rows, "_part int, _tree long, _place long")
+    joined = made.join(F.broadcast(bases), "_part")  # a row a range
+    out = joined.withColumn("tree", F.col("_tree") + F.col("_run")).withColumn(
+        "place", F.col("_step") + F.when(F.col("_run") == 0, F.col("_place")).otherwise(0)
+    )
+    return out.drop("_part", "_run", "_step", "_tree", "_place"), tree + 1, largest
+
+
+def unwrapped_with(df: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
+    """As ``unwrapped``, with these columns of ``df`` in the place of any of ``docs`` of their names."""
+    kept = (F.col("doc")[c].alias(c) for c in docs.columns if c not in columns)
+    return df.select(*kept, *columns)
