@@ -307,3 +307,18 @@ def test_diagonals_are_counted_by_hashes_of_whole_stretches():
     words = np.array([1, 2, 3, 1, 2, 3, 1, 2, 3], dtype=np.uint64)
     ends, lag = periodic._diagonals(words, np.arange(9), 3)
     assert ends.tolist() == list(range(2, 9)) and lag.tolist() == [0, 0, 0, 3, 3, 3, 3]
+
+
+@pytest.mark.parametrize("name", ["op11_merkle_manifest", "op12_periodic_runs", "op13_chat_format"])
+def test_sql(spark, name):
+    import duckdb
+
+    import __spark_entry__
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{BASE}/{t}.parquet'")
+    df, sql = queries.QUERIES[name](spark, BASE), con.sql(__spark_entry__.oracle_sql()[name])
+    columns = sorted(df.columns)
+    want = sql.select(",".join(f'"{c}"' for c in columns)).fetchall()
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(map(repr, want))
