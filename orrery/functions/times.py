@@ -1,10 +1,12 @@
-"""Time literals: dates in several formats and scales to TAI nanoseconds since 1970."""
+"""Times: literals of several formats and scales as TAI nanoseconds since 1970, and columns between UTC and TAI."""
 
 from __future__ import annotations
 
 import datetime
 import re
 
+from pyspark.sql import Column, functions as F
+
 # TAI minus UTC in seconds from each date on.
 LEAP_SECONDS = (
     (1972, 1, 10), (1972, 7, 11), (1973, 1, 12), (1974, 1, 13), (1975, 1, 14), (1976, 1, 15), (1977, 1, 16),
@@ -76,3 +78,32 @@ def parse_time(text: str) -> int:
     elif scale == "tt":
         nsec -= _TT_TAI
     return nsec
+
+
+# ---------------------------------------------------------------- columns
+
+
+def _starts() -> list[tuple[int, int, int]]:
+    """(UTC nanoseconds, seconds before, seconds from then on) of each leap second."""
+    out, before = [], 10
+    for year, month, seconds in LEAP_SECONDS:
+        days = (datetime.date(year, month, 1) - datetime.date(1970, 1, 1)).days
+        out.append((days * 86_400_000_000_000, before, seconds))
+        before = seconds
+    return out
+
+
+def tai_of(utc: Column) -> Column:
+    """TAI nanoseconds of a column of UTC nanoseconds since 1970."""
+    offset = F.lit(10)
+    for start, _, seconds in _starts():
+        offset = F.when(utc >= start, F.lit(seconds)).otherwise(offset)
+    return utc + offset.cast("long") * 1_000_000_000
+
+
+def utc_of(tai: Column) -> Column:
+    """UTC nanoseconds of a column of TAI nanoseconds; a leap second repeats the second before it."""
+    offset = F.lit(10)
+    for start, before, seconds in _starts():
+        offset = F.when(tai >= start + before * 1_000_000_000, F.lit(seconds)).otherwise(offset)
+    return tai - offset.cast("long") * 1_000_000_000

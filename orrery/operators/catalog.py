@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orrery.functions import timespan as ts
+from orrery.operators.intervals import overlap_join
 
 
 class ConflictError(ValueError):
@@ -85,61 +86,6 @@ def one_each(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------- time
 
 
-#: Exponents of 2 nanoseconds: about a minute, an hour, three days, seven months, 146 years.
-LEVELS = (36, 42, 48, 54, 62)
-
-
-def _places(span: str) -> Column:
-    """(level, bucket) of each level whose buckets are as long as the span or longer: one or two buckets each."""
-    s = F.col(span)
-
-    def at(k: int) -> Column:
-        buckets = F.sequence(F.shiftright(s["begin"], k), F.shiftright(s["end"] - 1, k))
-        placed = F.transform(buckets, lambda b: F.struct(F.lit(k).alias("level"), b.alias("bucket")))
-        none = F.array().cast("array<struct<level: int, bucket: bigint>>")
-        return F.when(s["end"] - s["begin"] <= F.lit(1 << k), placed).otherwise(none)
-
-    return F.flatten(F.array(*map(at, LEVELS)))
-
-
-def _own_level(span: str) -> Column:
-    s = F.col(span)  # the first level that holds it
-    out = F.lit(LEVELS[-1])
-    for k in LEVELS[-2::-1]:
-        out = F.when(s["end"] - s["begin"] <= F.lit(1 << k), F.lit(k)).otherwise(out)
-    return out
-
-
-def overlap_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: str, right_span: str, dealt: bool = True
-) -> DataFrame:
-    """Pairs with equal keys whose spans overlap. Empty and null spans overlap nothing.
-
-    Both sides are dealt to buckets of time, of each length from the span's own
-    on, and a pair meets at the longer one's length, in the first bucket that both
-    touch: so it is an equi-join, whatever the lengths, and a key with very many
-    spans is not compared as a whole. With keys of few spans that can be spared:
-    ``dealt`` false.
-    """
-    same = left_span == right_span
-    right = right.withColumnRenamed(right_span, "_right") if same else right.withColumn("_right", F.col(right_span))
-    meet = ts.overlaps(F.col(left_span), F.col("_right"))
-    if keys and not dealt:
-        out = left.join(right, list(keys)).where(meet)
-        return out if same else out.drop("_right")
-    live = lambda c: F.col(c).isNotNull() & ~ts.is_empty(F.col(c))
-    a = left.where(live(left_span)).withColumn("_at", F.explode(_places(left_span))).withColumn("_a", _own_level(left_span))
-    b = right.where(live("_right")).withColumn("_at", F.explode(_places("_right"))).withColumn("_b", _own_level("_right"))
-    a, b = (x.withColumns({"_level": F.col("_at.level"), "_bucket": F.col("_at.bucket")}).drop("_at") for x in (a, b))
-    begin = F.greatest(F.col(left_span)["begin"], F.col("_right")["begin"])
-    first = F.lit(None).cast("bigint")
-    for k in LEVELS:
-        first = F.when(F.col("_level") == k, F.shiftright(begin, k)).otherwise(first)
-    once = (F.col("_level") == F.greatest("_a", "_b")) & (F.col("_bucket") == first)
-    out = a.join(b, [*keys, "_level", "_bucket"]).where(meet & once).drop("_level", "_bucket", "_a", "_b")
-    return out if same else out.drop("_right")
-
-
 def validity_ranges(df: DataFrame, keys: Sequence[str], begin: str, tie: str) -> DataFrame:
     """Spans from each row's ``begin`` to the next of its key; the last is unbounded. One row for each begin."""
     first = df.groupBy(*keys, begin).agg(F.min(tie).alias(tie))
@@ -152,30 +98,34 @@ def calibration_lookup(
 ) -> DataFrame:
     """Each row with the calibration of its key whose validity holds its time or overlaps its span.
 
-    With ``check`` a computed row fails if two calibrations match; rows without one drop out.
+    With ``check`` a computed row fails if two calibrations match. Rows without one
+    drop out; rows that are there repeatedly come back as often, looked up once. A key
+    of very many rows or ranges is dealt out by time.
     """
-    inside = (
-        ts.contains_time(F.col(validity), F.col(at))
-        if dict(rows.dtypes)[at] == "bigint"
-        else ts.overlaps(F.col(validity), F.col(at))
-    )
-    found = rows.join(calibrations, list(keys)).where(inside)
-    if not check:
-        return found
-    n = F.count("*").over(Window.partitionBy(*[c for c in rows.columns if dict(rows.dtypes)[c] != "struct"]))
-    sure = F.when(n == 1, F.col(validity)).otherwise(F.raise_error(F.lit("more than one calibration is valid")))
-    return found.withColumn(validity, sure)
+    once = rows.groupBy(*rows.columns).agg(F.count("*").alias("_times"))
+    instant = dict(rows.dtypes)[at] == "bigint"
+    spans = once.withColumn("_lookup_at", ts.span(F.col(at), F.col(at) + 1) if instant else F.col(at))
+    found = overlap_join(spans, calibrations, keys, "_lookup_at", validity).drop("_lookup_at")
+    if check:
+        others = [c for c in calibrations.columns if c not in keys]
+        one = F.when(F.count("*") == 1, F.first(F.struct(*others))).otherwise(
+            F.raise_error(F.lit("more than one calibration is valid"))
+        )
+        found = found.groupBy(*rows.columns, "_times").agg(one.alias("_found"))
+        found = found.select(*rows.columns, "_times", *(F.col("_found")[c].alias(c) for c in others))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))
+    return found.withColumn("_times", again).drop("_times")
 
 
 def certify(existing: DataFrame, new: DataFrame, keys: Sequence[str], validity: str = "validity") -> DataFrame:
     """``existing`` with ``new``; ConflictError if spans of one key would overlap. Runs the check."""
     held = existing.select(*keys, F.col(validity).alias("_held"))
-    clash = new.join(held, list(keys)).where(ts.overlaps(F.col(validity), F.col("_held")))
-    twice = new.withColumn("_end", F.col(validity)["end"])
+    clash = overlap_join(new.select(*keys, validity), held, keys, validity, "_held")
+    ranges = new.select(*keys, validity, F.col(validity)["end"].alias("_end"))
     before = F.max("_end").over(
         Window.partitionBy(*keys).orderBy(F.col(validity)["begin"]).rowsBetween(Window.unboundedPreceding, -1)
     )
-    within = twice.withColumn("_before", before).where(F.col("_before") > F.col(validity)["begin"])
+    within = ranges.withColumn("_before", before).where(F.col("_before") > F.col(validity)["begin"])
     if not clash.select(*keys).unionByName(within.select(*keys)).isEmpty():
         raise ConflictError("validity ranges overlap for the same data ID")
     return existing.unionByName(new)
@@ -194,16 +144,32 @@ def decertify(
 # ---------------------------------------------------------------- writes: new states of a table
 
 
+def least_of_each(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row of each key, the least by its other columns in their order; null keys are keys."""
+    others = [c for c in rows.columns if c not in keys]
+    if not others:
+        return rows.distinct()
+    least = F.min(F.struct(*(F.col(f"`{c}`") for c in others))).alias("_r")
+    return rows.groupBy(*keys).agg(least).select(*keys, "_r.*").select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
+def _matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """A join by keys of which nulls are equal, without the right side's keys."""
+    held = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_key_{k}`")) for k in keys]
+    return left.join(held, on, how).drop(*(f"_key_{k}" for k in keys))
+
+
 def replace(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Upsert: ``rows`` in place of what has their keys."""
-    return table.join(rows.select(*keys).distinct(), list(keys), "left_anti").unionByName(rows)
+    """Upsert: ``rows`` in place of what has their keys, a key once: of rows of one key the least. Null keys are equal."""
+    new = least_of_each(rows, keys)
+    return _matched(table, new.select(*keys), keys, "left_anti").unionByName(new)
 
 
 def ensure(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Insert what is absent; of new rows of one key the least."""
-    others = [c for c in table.columns if c not in keys]
-    new = rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_r")).select(*keys, "_r.*") if others else rows.distinct()
-    return table.unionByName(new.join(table.select(*keys), list(keys), "left_anti").select(*table.columns))
+    """Insert what is absent; of new rows of one key the least. Null keys are equal."""
+    new = least_of_each(rows.select(*table.columns), keys)
+    return table.unionByName(_matched(new, table.select(*keys), keys, "left_anti"))
 
 
 def sync(
@@ -237,11 +203,13 @@ def delete_where(table: DataFrame, condition: Column) -> DataFrame:
 
 
 def update(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The table with the other columns of ``rows`` set where keys match."""
+    """The table with the other columns of ``rows`` set where keys match: as many rows as before, of updates of one key the least."""
     changed = [c for c in rows.columns if c not in keys]
-    new = rows.select(*keys, F.struct(*changed).alias("_new"))
-    joined = table.join(new, list(keys), "left")
-    return joined.select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in table.columns))
+    new = least_of_each(rows, keys).select(*keys, F.struct(*(F.col(f"`{c}`") for c in changed)).alias("_new"))
+    joined = _matched(table, new, keys, "left")
+    there = F.col("_new").isNotNull()
+    value = lambda c: F.when(there, F.col("_new")[c]).otherwise(F.col(f"`{c}`")) if c in changed else F.col(f"`{c}`")
+    return joined.select(*(value(c).alias(c) for c in table.columns))
 
 
 def import_conflicts(datasets: DataFrame, tags: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from urllib.parse import parse_qs, urlsplit
 from pyspark.sql import Column, DataFrame, functions as F
 
 from orrery.operators import catalog as ops, spatial
+from orrery.operators.skyindex import DEPTH, SkyIndex
 from orrery.plans.collections import Collections, Kind
 from orrery.plans.query import Catalog, DatasetType, QueryError
 
@@ -93,9 +94,11 @@ def import_datasets(catalog: Catalog, name: str, refs: DataFrame, assume_new: bo
 def insert_records(catalog: Catalog, element: str, records: DataFrame, replace_: bool = False, skip_existing: bool = False) -> Catalog:
     """Records of an element, appended; with ``replace_`` in place of those of their keys, with ``skip_existing`` where there are none.
 
-    An element whose table has pixels gets them of the records' regions.
+    An element whose table has pixels gets them of the records' regions. A stored index of its regions is
+    written at once: rows of what is new or has another region, none of what was there before.
     """
     table, keys = catalog.elements.get(element), list(catalog._keys(element)) if element in catalog.elements else []
+    given = records
     if table is not None and "pixels" in table.columns and "region" in records.columns:
         records = spatial.indexed(records)
     if table is None:
@@ -108,6 +111,89 @@ def insert_records(catalog: Catalog, element: str, records: DataFrame, replace_:
         made = append(table, records)
     out = _with(catalog)
     out.elements[element] = made
+    if (index := catalog.indexes.get(element)) is not None and "region" in given.columns:
+        new = ops.least_of_each(given, keys)
+        if skip_existing and table is not None:
+            new = new.join(table.select(*keys), keys, "left_anti")
+        index.put(new, table)
+    return out
+
+
+def delete_records(catalog: Catalog, element: str, ids: DataFrame) -> Catalog:
+    """Without the records of these data IDs, in the table and in a stored index of regions."""
+    keys = list(catalog._keys(element))
+    out = _with(catalog)
+    out.elements[element] = ops.delete(catalog.elements[element], ids.select(*keys), keys)
+    if (index := catalog.indexes.get(element)) is not None:
+        index.remove(ids.select(*keys))
+    return out
+
+
+def sync_record(
+    catalog: Catalog, element: str, keys: Mapping[str, Any], compared: Mapping[str, Any], update: bool = False
+) -> tuple[Catalog, bool | dict[str, Any]]:
+    """The catalogue with one record made sure of, and its rows in a stored index; what ``catalog.sync`` tells. Reads the record."""
+    table, outcome = ops.sync(catalog.elements[element], keys, compared, update)
+    out = _with(catalog)
+    out.elements[element] = table
+    index = catalog.indexes.get(element)
+    if index is not None and (outcome is True or isinstance(outcome, dict) and "region" in outcome):
+        one = table
+        for k, v in keys.items():
+            one = one.where(F.col(k) == F.lit(v))
+        index.put(one)
+    return out, outcome
+
+
+def with_index(catalog: Catalog, element: str, path: str, depth: int = DEPTH) -> Catalog:
+    """The catalogue with a stored index of an element's regions, built at ``path``; constraints read it from then on."""
+    out = _with(catalog)
+    keys = list(catalog._keys(element))
+    out.indexes = {**catalog.indexes, element: SkyIndex.build(catalog.elements[element], keys, path, depth)}
+    return out
+
+
+def records_from_layers(catalog: Catalog, element: str, ids: DataFrame, *layers: DataFrame) -> DataFrame:
+    """The records of data IDs: from the first of ``layers`` that has each, and from the catalogue's table only what none has.
+
+    Layers are frames of records, such as those given or held from before. Runs a check
+    whether anything is left for the table, which is not read if nothing is.
+    """
+    keys, table = list(catalog._keys(element)), catalog.element(element)
+    left, out = ids.select(*keys).distinct(), None
+    for layer in layers:
+        rows = layer.select(*(F.col(c) if c in layer.columns else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns))
+        found = ops.least_of_each(rows.join(left, keys, "left_semi"), keys)
+        out = found if out is None else out.unionByName(found)
+        left = left.join(layer.select(*keys), keys, "left_anti")
+    if out is not None and left.isEmpty():
+        return out
+    rest = table.join(left, keys, "left_semi")
+    return rest if out is None else out.unionByName(rest)
+
+
+def stored(catalog: Catalog, name: str, table: str, buckets: int = 200) -> Catalog:
+    """The catalogue with a type's datasets as a table: folders by collection, in each of them buckets by data ID, in order.
+
+    A search reads the folders of its collections, and finds the first of each data ID,
+    or joins a table of the same buckets, without a shuffle. Datasets of calibration
+    collections go to a table of their own, so that others carry no validity ranges.
+    """
+    spark, keys, t = catalog.elements[next(iter(catalog.elements))].sparkSession, _keys(catalog, name), catalog.types[name]
+    calibrations = [c for c, k in catalog.collections.kinds.items() if k == Kind.CALIBRATION]
+
+    def write(rows: DataFrame, to: str) -> DataFrame:
+        # dealt as buckets are: a task writes one bucket of each collection
+        dealt = rows.repartition(buckets, *keys).write.partitionBy("collection").bucketBy(buckets, *keys).sortBy(*keys)
+        dealt.format("parquet").saveAsTable(to)
+        return spark.table(to)
+
+    if not t.is_calibration or not calibrations or "timespan" not in t.frame.columns:
+        return _set(catalog, name, write(t.frame, table))
+    of_them = F.col("collection").isin(*calibrations)
+    out = _set(catalog, name, write(t.frame.where(~of_them).drop("timespan"), table))
+    apart = write(t.frame.where(of_them), f"{table}_calibrations")
+    out.types[name] = replace(out.types[name], calibrations=apart)
     return out
 
 
@@ -206,7 +292,8 @@ def merged_summaries(summaries: DataFrame, collections: Collections, spark=None)
     governors = [c for c in summaries.columns if c not in ("collection", "dataset_types")]
     rows = [(n, m) for n, k in collections.kinds.items() for m in (collections.flatten([n]) if k == Kind.CHAINED else [n])]
     links = summaries.sparkSession.createDataFrame(rows, "name string, collection string")  # a row for each link
-    together = links.join(summaries, "collection").groupBy("name").agg(
+    # a collection without a summary stays, with nothing in it
+    together = links.join(summaries, "collection", "left").groupBy("name").agg(
         *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("dataset_types", *governors))
     )
     return together.withColumnRenamed("name", "collection")

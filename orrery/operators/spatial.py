@@ -1,18 +1,24 @@
-"""Spatial joins and constraints: a grid of pixels narrows the pairs, an exact test decides.
-
-Pixels are cells of ``STEP`` degrees in longitude and latitude. Every region is
-listed under the cells that its bounding boxes touch; regions that could overlap
-share a cell. A pair is tested once, in the least cell that both list.
+"""Spatial joins and constraints: cells narrow the pairs, an exact test decides.
+
+A join cuts the sky into zones of latitude, and each zone into cells about as wide
+as it is high, so that there are few about a pole. A region goes to the cells that its
+bounds touch: at the level where they are as large as it is, and at the levels of
+larger regions of the other side (``levels``); a pair is tested once, in the least cell
+that both touch there. A crowded place has small regions, and so small cells.
+Sky pixels, and indexes of them, are in ``functions.pixels`` and ``skyindex``.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from orrery.functions import pixels as px
 from orrery.functions.region import Region, as_region
+from orrery.operators import levels
 
 STEP = 1.0
 _COLUMNS = 1 << 12
@@ -96,8 +102,56 @@ def _to_box(region: Column, lon: Column, lat: Column) -> Column:
     return F.when(beside, over).otherwise(F.least(side(_value(region, 0)), side(_value(region, 2))))
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
+
+
+def _cross(a: Column, b: Column) -> Column:
+    x = lambda i, j: (a[i] * b[j] - a[j] * b[i]).alias(next(c for c in "xyz" if c not in (i, j)))
+    return F.struct(x("y", "z"), x("z", "x"), x("x", "y"))
+
+
+def _unit(lon: Column, lat: Column) -> Column:
+    a, b = F.radians(lon), F.radians(lat)
+    return F.struct((F.cos(a) * F.cos(b)).alias("x"), (F.sin(a) * F.cos(b)).alias("y"), F.sin(b).alias("z"))
+
+
+def _to_polygon(region: Column, lon: Column, lat: Column) -> Column:
+    """The angle in degrees from a point to a convex polygon, whose corners go counterclockwise; 0 inside."""
+    places = F.sequence(F.lit(0), F.size(region["values"]) - 2, F.lit(2))
+    points = F.transform(places, lambda i: _unit(F.get(region["values"], i), F.get(region["values"], i + 1)))
+    apart = lambda a, b: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(a, b))))
+
+    def from_edge(a: Column, b: Column, v: Column) -> Column:
+        def measured(n: Column) -> Column:
+            beside = (_dot(_cross(n, a), v) >= 0) & (_dot(_cross(b, n), v) >= 0)
+            sine = F.abs(_dot(n, v)) / F.sqrt(_dot(n, n))
+            return F.when(beside, F.asin(F.least(F.lit(1.0), sine))).otherwise(F.least(apart(a, v), apart(b, v)))
+
+        return _bound(_cross(a, b), measured)
+
+    def measured(p: Column) -> Column:
+        edges = F.zip_with(p, F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+        def of(e: Column) -> Column:
+            def at(v: Column) -> Column:
+                inside = F.forall(e, lambda x: _dot(_cross(x["a"], x["b"]), v) >= -1e-15)
+                return F.when(inside, F.lit(0.0)).otherwise(F.array_min(F.transform(e, lambda x: from_edge(x["a"], x["b"], v))))
+
+            return _bound(_unit(lon, lat), at)
+
+        return _bound(edges, of)
+
+    return F.degrees(_bound(points, measured))
+
+
 def overlaps(a: Column, b: Column) -> Column:
-    """Whether two regions overlap; null if either is. Expressions, but for pairs with a polygon."""
+    """Whether two regions overlap; null if either is. Expressions, but for polygons with polygons or boxes."""
     r = lambda x: F.when(_kind(x, "circle"), _value(x, 2)).otherwise(F.lit(0.0))
     round_ = lambda x: _kind(x, "circle", "point")
     apart = angle(_value(a, 0), _value(a, 1), _value(b, 0), _value(b, 1))
@@ -110,7 +164,10 @@ def overlaps(a: Column, b: Column) -> Column:
         .when(_kind(a, "box") & _kind(b, "box"), lons & lats)
         .when(_kind(a, "box") & round_(b), _to_box(a, _value(b, 0), _value(b, 1)) <= r(b) + 1e-10)
         .when(round_(a) & _kind(b, "box"), _to_box(b, _value(a, 0), _value(a, 1)) <= r(a) + 1e-10)
+        .when(_kind(a, "polygon") & round_(b), _to_polygon(a, _value(b, 0), _value(b, 1)) <= r(b) + 1e-10)
+        .when(round_(a) & _kind(b, "polygon"), _to_polygon(b, _value(a, 0), _value(a, 1)) <= r(a) + 1e-10)
     )
+    polygon = polygon & ~round_(a) & ~round_(b)
     return F.coalesce(simple, _polygons_overlap(F.when(polygon, a), F.when(polygon, b)))
 
 
@@ -136,9 +193,19 @@ def constrained(
         if literal.kind == "circle":
             a, b, r = literal.values
             return df.where(angle(F.col(lon), F.col(lat), F.lit(a), F.lit(b)) <= r)
-    cells = pixels(literal)
-    near = F.arrays_overlap(_pixels(F.col(region)), F.array(*(F.lit(c).cast("long") for c in cells))) if len(cells) < 2000 else F.lit(True)
-    return df.where(near).where(F.coalesce(overlaps(F.col(region), literal.column()), F.lit(True))) if refined else df.where(near)
+    boxes = literal.bounds()
+
+    def touches(e: Column) -> Column:
+        found = F.lit(False)
+        for lon0, lon1, lat0, lat1 in boxes:
+            lats = (e["low"] <= lat1 + 1e-9) & (e["high"] >= lat0 - 1e-9)
+            within = F.pmod(F.lit(lon0) - e["first"], F.lit(360.0)) <= e["width"] + 1e-9
+            about = F.pmod(e["first"] - lon0, F.lit(360.0)) <= lon1 - lon0 + 1e-9
+            found = found | (lats & (within | about | (F.lit(lon1 - lon0) >= 360)))
+        return found
+
+    near = df.where(_bound(_extent(region), touches))
+    return near.where(F.coalesce(overlaps(F.col(region), literal.column()), F.lit(True))) if refined else near
 
 
 def angle(lon0: Column, lat0: Column, lon1: Column, lat1: Column) -> Column:
@@ -148,16 +215,89 @@ def angle(lon0: Column, lat0: Column, lon1: Column, lat1: Column) -> Column:
     return F.degrees(2 * F.asin(F.sqrt(F.least(F.lit(1.0), h))))
 
 
-def join(left: DataFrame, right: DataFrame, left_region: str, right_region: str, exact: Column | None = None) -> DataFrame:
-    """Pairs whose regions overlap; the columns of both, whose names must differ.
+#: Cells of level k are 180 degrees / 2^(FINEST - k) high.
+FINEST = 24
+
+
+def _extent(name: str) -> Column:
+    """(first, width, low, high): the longitudes and latitudes of a region's bounds; a polygon's are those of a circle about it."""
+
+    def of(lon: Column, lat: Column, r: Column) -> Column:
+        low, high = F.greatest(F.lit(-90.0), lat - r), F.least(F.lit(90.0), lat + r)
+        about = (low <= -90) | (high >= 90) | (r >= 90)  # a circle about a pole has every longitude
+        ratio = F.sin(F.radians(r)) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-12))
+        half = F.degrees(F.asin(F.least(F.lit(1.0), ratio)))
+        first, width = F.when(about, F.lit(0.0)).otherwise(lon - half), F.when(about, F.lit(360.0)).otherwise(2 * half)
+        return F.struct(first.alias("first"), width.alias("width"), low.alias("low"), high.alias("high"))
+
+    region = F.col(f"`{name}`")
+
+    def about(c: Column) -> Column:
+        v = c["v"]
+        return of(F.degrees(F.atan2(v["y"], v["x"])), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v["z"])))), F.degrees(c["r"]))
+
+    box = F.struct(_value(region, 0).alias("first"), _width(region).alias("width"), _value(region, 1).alias("low"), _value(region, 3).alias("high"))
+    radius = F.when(_kind(region, "circle"), _value(region, 2)).otherwise(F.lit(0.0))
+    polygon = _bound(px.bounding_circle(f"`{name}`"), about)
+    return F.when(_kind(region, "box"), box).when(_kind(region, "polygon"), polygon).otherwise(of(_value(region, 0), _value(region, 1), radius))
+
+
+def _own_level(extent: Column) -> Column:
+    """The least level whose cells are as high as the extent, and as wide as it is where it is widest."""
+    nearest = F.when(extent["low"] > 0, extent["low"]).when(extent["high"] < 0, -extent["high"]).otherwise(F.lit(0.0))
+    size = F.greatest(extent["high"] - extent["low"], extent["width"] * F.cos(F.radians(nearest)), F.lit(1e-6))
+    return F.greatest(F.lit(0), F.least(F.lit(FINEST), FINEST - F.floor(F.log2(F.lit(180.0) / size)))).cast("int")
+
+
+def _cells(extent: Column, level: Column) -> Column:
+    """The cells of a level that an extent touches."""
+    eps = 1e-9
+    step = F.lit(180.0) / F.pow(F.lit(2.0), F.lit(FINEST) - level)
+
+    def of_zone(y: Column) -> Column:
+        edge = F.greatest(F.abs(y * step - 90), F.abs((y + 1) * step - 90))
+        n = F.greatest(F.lit(1.0), F.floor(360 * F.cos(F.radians(F.least(F.lit(90.0), edge))) / step)).cast("long")
+
+        def columns(n: Column) -> Column:
+            first = F.floor((extent["first"] - eps) * n / 360)
+            last = F.least(F.floor((extent["first"] + extent["width"] + eps) * n / 360), first + n - 1)
+            return F.transform(F.sequence(first, last), lambda x: (y * (1 << 26) + F.pmod(x, n)).cast("long"))
+
+        return _bound(n, columns)
+
+    top = F.pow(F.lit(2.0), F.lit(FINEST) - level) - 1
+    zones = F.sequence(
+        F.greatest(F.lit(0), F.floor((extent["low"] - eps + 90) / step)).cast("long"),
+        F.least(top, F.floor((extent["high"] + eps + 90) / step)).cast("long"),
+    )
+    return F.array_distinct(F.flatten(F.transform(zones, of_zone)))
+
+
+def _levelled(df: DataFrame, region: str, extent: str) -> DataFrame:
+    r = F.col(f"`{region}`")
+    live = df.where(r.isNotNull() & r["kind"].isNotNull()).withColumn(extent, _extent(region))
+    return live.withColumn("_own", _own_level(F.col(extent)))
+
+
+def meetings(left: DataFrame, right: DataFrame, left_region: str, right_region: str, keys: list[str]) -> DataFrame:
+    """The pairs that share a cell, each once."""
+    cells = lambda extent: lambda k: _cells(F.col(extent), k)
+    a, b = _levelled(left, left_region, "_left_extent"), _levelled(right, right_region, "_right_extent")
+    pairs = levels.meetings(a, b, keys, cells("_left_extent"), cells("_right_extent"))
+    least = F.array_min(F.array_intersect("_left_cells", "_right_cells"))
+    return pairs.where(F.col("_cell") == least).drop("_level", "_cell", "_left_cells", "_right_cells", "_left_extent", "_right_extent")
+
+
+def join(
+    left: DataFrame, right: DataFrame, left_region: str, right_region: str, exact: Column | None = None, keys: list[str] | None = None
+) -> DataFrame:
+    """Pairs with equal ``keys`` whose regions overlap; the columns of both, whose other names must differ.
 
-    ``exact`` replaces the test, where columns can tell.
+    ``exact`` replaces the test, where columns can tell. A null region overlaps nothing.
     """
-    a = left.withColumn("_pl", _pixels(F.col(left_region))).withColumn("_pixel", F.explode("_pl"))
-    b = right.withColumn("_pr", _pixels(F.col(right_region))).withColumn("_pixel", F.explode("_pr"))
-    test = F.coalesce(overlaps(F.col(left_region), F.col(right_region)), F.lit(True)) if exact is None else exact
-    pairs = a.join(b, "_pixel").where(F.col("_pixel") == F.array_min(F.array_intersect("_pl", "_pr")))
-    return pairs.where(test).drop("_pixel", "_pl", "_pr")
+    a, b = F.col(f"`{left_region}`"), F.col(f"`{right_region}`")
+    test = F.coalesce(overlaps(a, b), F.lit(True)) if exact is None else exact
+    return meetings(left, right, left_region, right_region, keys or []).where(test)
 
 
 def pixel_union(df: DataFrame, keys: list[str], region: str = "region") -> DataFrame:

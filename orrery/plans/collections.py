@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from enum import IntEnum
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orrery.functions.glob import is_glob, matches
 from orrery.operators.catalog import ConflictError
@@ -153,16 +153,40 @@ class Collections:
 
 
 def flattened(spark: SparkSession, chain: DataFrame, root: str) -> DataFrame:
-    """(child, rank) of all that is below a chain in depth-first order, by a recursive query over its table."""
-    return spark.sql(
+    """(child, rank) of all that is below a chain in depth-first order, by a recursive query over its table (parent, child, position).
+
+    A child in several places has its first one. A chain that is below itself is an error when rows are computed.
+    """
+    first = spark.sql(
         """
-        WITH RECURSIVE walk(child, path) AS (
-          SELECT child, array(position) FROM {chain} WHERE parent = :root
+        WITH RECURSIVE walk(child, path, above) AS (
+          SELECT child, array(position), array(parent, child) FROM {chain} WHERE parent = :root
           UNION ALL
-          SELECT c.child, concat(w.path, array(c.position)) FROM walk w JOIN {chain} c ON c.parent = w.child
-        ), first AS (SELECT child, min(path) AS path FROM walk GROUP BY child)
-        SELECT child, CAST(row_number() OVER (ORDER BY path) - 1 AS INT) AS rank FROM first
+          SELECT c.child, concat(w.path, array(c.position)),
+                 CASE WHEN array_contains(w.above, c.child) THEN raise_error(concat(c.child, ' is in a chain below itself'))
+                      ELSE concat(w.above, array(c.child)) END
+          FROM walk w JOIN {chain} c ON c.parent = w.child
+        )
+        SELECT child, min(path) AS path FROM walk WHERE size(above) > 0 GROUP BY child
         """,
         args={"root": root},
         chain=chain,
     )
+    return ordered(first, "path").select("child", F.col("rank").cast("int").alias("rank"))
+
+
+def ordered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``rank``, the place of each row in a global order, from 0: a sort by ranges, and a count of each range.
+
+    The rows are kept, as the ranges of another run may differ; runs the sort.
+    """
+    held = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).persist()
+    sizes = held.groupBy(F.shiftright("_id", 33).alias("_range")).count().collect()  # a row for each range
+    before, at = [], 0
+    for r in sorted(sizes, key=lambda r: r["_range"]):
+        before.append((r["_range"], at))
+        at += r["count"]
+    bases = F.broadcast(df.sparkSession.createDataFrame(before, "_range long, _before long"))
+    placed = held.withColumn("_range", F.shiftright("_id", 33)).join(bases, "_range")
+    rank = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("rank", rank).drop("_id", "_range", "_before")

@@ -7,18 +7,20 @@ and when rows need no de-duplication. The rest is left to Catalyst.
 
 from __future__ import annotations
 
+import bisect
 import warnings
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from orrery.functions import timespan as ts
+from orrery.functions import pixels as px, times, timespan as ts
 from orrery.functions.glob import is_glob, matches
 from orrery.operators import catalog as ops, spatial
+from orrery.operators.skyindex import SkyIndex
 from orrery.plans import expressions as ex
 from orrery.plans.collections import Collections, Kind
 from orrery.plans.universe import Group, Universe
@@ -39,6 +41,22 @@ class DatasetType:
     frame: DataFrame
     storage_class: str = "DataFrame"
     is_calibration: bool = False
+    #: The datasets of calibration collections, if they are held apart from ``frame``; with a timespan.
+    calibrations: DataFrame | None = None
+
+    @property
+    def rows(self) -> DataFrame:
+        """All datasets, wherever they are held."""
+        return self.frame if self.calibrations is None else self.frame.unionByName(self.calibrations, allowMissingColumns=True)
+
+    def within(self, collections: Sequence[str], calibrations: Iterable[str]) -> DataFrame:
+        """The datasets in these collections, from the tables that hold collections of their kind."""
+        if not collections:
+            return self.rows.limit(0)
+        theirs = [c for c in collections if c in set(calibrations)] if self.calibrations is not None else []
+        plain = [c for c in collections if c not in theirs]
+        parts = [df.where(F.col("collection").isin(*names)) for df, names in ((self.frame, plain), (self.calibrations, theirs)) if names]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 @dataclass
@@ -51,6 +69,10 @@ class Catalog:
     collections: Collections = field(default_factory=Collections)
     summaries: dict[str, set[str]] | None = None
     defaults: dict[str, Any] = field(default_factory=dict)
+    #: Stored indexes of elements' regions, which constraints read.
+    indexes: dict[str, SkyIndex] = field(default_factory=dict)
+    #: The values of governors that a collection's datasets have, by collection and governor, as far as they are known.
+    governor_values: dict[str, dict[str, set[Any]]] = field(default_factory=dict)
 
     def register(self, t: DatasetType) -> bool:
         """Whether the type is new; another definition under its name is an error, and so is a component."""
@@ -84,7 +106,7 @@ class Catalog:
         out = ids
         for name in self.universe.sorted(group.elements, reverse=True):  # what a record implies is looked up after it
             e = self.universe[name]
-            if name not in group.names or e.union_of or not set(self._keys(name)) <= set(out.columns):
+            if name not in group.names or e.union_of or e.pixels is not None or not set(self._keys(name)) <= set(out.columns):
                 continue
             rows = self.element(name)
             new = [c for c in e.implied if c not in out.columns]
@@ -95,11 +117,15 @@ class Catalog:
 
     def _keys(self, element: str) -> tuple[str, ...]:
         e = self.universe[element]
+        if e.pixels is not None:
+            return (element,)
         required = [n for n in self.universe.conform(e.required).names if n in self.elements_columns(element)] if e.required else []
         return (*required, element) if e.is_dimension else tuple(required)
 
     def elements_columns(self, element: str) -> list[str]:
         e = self.universe[element]
+        if e.pixels is not None:
+            return [element]
         return [*e.required, element] if e.union_of else self.elements[element].columns
 
 
@@ -123,6 +149,7 @@ class Query:
     governed: tuple[str, ...] = ()
     messages: tuple[str, ...] = ()
     refined: bool = True  # spatial pairs are tested, not only narrowed by pixels
+    watched: list | None = None  # (what, observation) of each step, if they are to be counted when the plan runs
 
     # ------------------------------------------------------------ building
 
@@ -172,7 +199,7 @@ class Query:
         flat = c.collections.flatten(listed)
         if c.summaries is not None:  # what a summary doesn't list is certainly not there
             flat = [x for x in flat if name in c.summaries.get(x, ())]
-        by_validity = any(c.collections.kinds[x] == Kind.CALIBRATION for x in flat) and "timespan" in c.types[name].frame.columns
+        by_validity = any(c.collections.kinds[x] == Kind.CALIBRATION for x in flat) and "timespan" in c.types[name].rows.columns
         return Search(name, tuple(flat), tuple(fields), by_validity)
 
     def resolver(self, extra: Iterable[str] = ()) -> ex.Resolver:
@@ -195,7 +222,11 @@ class Query:
                         raise ex.ExpressionError(str(e)) from None
                 if parts[0] in self.catalog.types and parts[1] in DATASET_FIELDS:
                     column = f"{parts[0]}::{parts[1]}"
-                    return ex.Value(DATASET_FIELDS[parts[1]], lambda: F.col(f"`{column}`"), frozenset((column,)))
+                    value = F.col(f"`{column}`")
+                    held = dict(self.catalog.types[parts[0]].frame.dtypes).get(parts[1], "")
+                    if held.startswith("timestamp"):  # of UTC, while times are TAI
+                        value = times.tai_of(ts.from_timestamp(value))
+                    return ex.Value(DATASET_FIELDS[parts[1]], lambda: value, frozenset((column,)))
             elif len(parts) == 1:
                 if name in u and u[name].is_dimension:
                     return element_value(name, name)
@@ -282,6 +313,9 @@ class Query:
     def explain_no_results(self) -> list[str]:
         """Why there can be no rows, as far as metadata tell."""
         out = [f"no collection searched holds {s.type}" for s in self.searches if not s.collections]
+        for s in self.searches:
+            if s.collections and not self._live_collections(s):
+                out.append(f"no collection searched has {s.type} of the governor values that the condition fixes")
         if () in self.predicate.clauses:
             out.append("the predicate is never true")
         return out
@@ -335,6 +369,25 @@ class Query:
             raise QueryError(f"the temporal joins among {', '.join([*free, *elements])} are ambiguous")
         return out
 
+    def _seen(self, df: DataFrame, what: str) -> DataFrame:
+        """The frame, its rows counted as they pass if the query is watched."""
+        if self.watched is None:
+            return df
+        made = Observation(f"step {len(self.watched)}: {what}")
+        self.watched.append((what, made))
+        return df.observe(made, F.count(F.lit(1)).alias("rows"))
+
+    def _live_collections(self, s: Search) -> tuple[str, ...]:
+        """The collections of a search that may hold what the predicate fixes the governors to."""
+        fixed = {**self.catalog.defaults, **self.predicate.implied_data_id()}
+        governors = [g for g in self.catalog.universe.conform(self.catalog.types[s.type].dimensions).governors if g in fixed]
+        known = self.catalog.governor_values
+
+        def may_have(c: str) -> bool:
+            return all(fixed[g] in known[c][g] for g in governors if g in known.get(c, {}))
+
+        return tuple(c for c in s.collections if may_have(c))
+
     def plan(self, extra: Iterable[str] = ()) -> DataFrame:
         """All joins and filters, before projection."""
         u, group = self.catalog.universe, self.group
@@ -345,7 +398,9 @@ class Query:
             t = self.catalog.types[s.type]
             dims = list(u.conform(t.dimensions).required)
             wanted = [f for f in DATASET_FIELDS if f in s.fields or f"{s.type}::{f}" in columns or f == "timespan" and s.by_validity]
-            rows = t.frame.where(F.col("collection").isin(*s.collections)) if s.collections else t.frame.limit(0)
+            live = self._live_collections(s)
+            rows = t.within(live, [c for c, k in self.catalog.collections.kinds.items() if k == Kind.CALIBRATION])
+            rows = self._seen(rows, f"datasets of {s.type} in {', '.join(s.collections) or 'no collection'}")
             if not wanted:
                 rows = rows.select(*dims).distinct()
             else:
@@ -355,12 +410,14 @@ class Query:
         have = set().union(*(d for _, d in parts)) if parts else set()
         overlaps = self._overlaps(group, [d for _, d in parts])
         needed: dict[str, set[str]] = {}
+        pixels = [n for n in group.names if u[n].pixels is not None]
+        of_pixels = lambda c: c.split("__")[0] in pixels
         for c in columns:
-            if "__" in c:
+            if "__" in c and not of_pixels(c):
                 needed.setdefault(c.split("__")[0], set()).add(c.split("__", 1)[1])
         for _, *pair in overlaps:
             for c in pair:
-                if "__" in c:
+                if "__" in c and not of_pixels(c):
                     needed.setdefault(c.split("__")[0], set()).add(c.split("__", 1)[1])
         for name in group.elements:
             if u[name].always_join or (u[name].defines_relationships and not any(set(self.catalog._keys(name)) <= d for _, d in parts)):
@@ -369,8 +426,9 @@ class Query:
             related = {name, *u[name].implied}
             if u[name].implied and not any(related <= d for _, d in parts):
                 needed.setdefault(name, set())
-        missing = set(group.names) - have - {d for n in needed for d in self._dims_of(n)}
-        candidates = [n for n in group.elements if n not in needed]
+        met = {n for kind, *pair in overlaps if kind == "spatial" for n in pixels if f"{n}__region" in pair}
+        missing = set(group.names) - have - met - {d for n in needed for d in self._dims_of(n)}
+        candidates = [n for n in group.elements if n not in needed and n not in pixels]
         while missing:  # the table that supplies most of what is missing, again and again
             best = max(candidates, key=lambda n: (len(self._dims_of(n) & missing), len(self._dims_of(n) & have)), default=None)
             if best is None or not self._dims_of(best) & missing:
@@ -382,22 +440,33 @@ class Query:
             rows = self.catalog.element(name)
             keep = sorted(self._dims_of(name) & set(group.names))
             parts.append((rows.select(*keep, *(F.col(c).alias(f"{name}__{c}") for c in sorted(needed[name]))), set(keep)))
+        parts = self._pixelled(parts, overlaps, pixels)
         out, todo = None, list(parts)
         while todo:  # connected tables first, then those that overlap: a cross product only if nothing connects
-            meets = lambda df: next((o for o in overlaps if self._splits(o, out, df)), None)
+            meets = lambda df, kind="": next((o for o in overlaps if o[0].startswith(kind) and self._splits(o, out, df)), None)
             at = next((i for i, (_, d) in enumerate(todo) if out is None or d & set(out.columns)), None)
             if at is None:
                 at = next((i for i, (df, _) in enumerate(todo) if meets(df)), 0)
             df, dims = todo.pop(at)
+            first = out is None
             if out is None:
                 out = df
             elif shared := sorted(dims & set(out.columns)):
-                out = out.join(df, shared)
+                if pair := meets(df, "temporal"):  # by key and time at once: a key of very many spans is dealt out
+                    overlaps.remove(pair)
+                    out = self._overlapped(out, df, pair, shared)
+                else:
+                    out = out.join(df, shared)
             elif pair := meets(df):
                 overlaps.remove(pair)
                 out = self._overlapped(out, df, pair)
             else:
                 out = out.join(df, F.lit(True))
+            out = self._seen(out, f"{'rows' if first else 'the join'} with {', '.join(sorted(dims)) or 'no dimension'}")
+        for n in pixels:
+            if any(f"{n}__region" in pair for _, *pair in overlaps) or f"{n}__region" in columns:
+                # exploded, so that the region is a value before a test in Python
+                out = out.withColumn(f"{n}__region", F.explode(F.array(px.region_of(f"`{n}`"))))
         for kind, a, b in overlaps:
             x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
             if kind == "temporal":  # a dataset without a validity range, from a collection of another kind, is always valid
@@ -410,8 +479,31 @@ class Query:
                 out = out.where(F.coalesce(spatial.overlaps(x, y), F.lit(True)))
         for a, b in predicate.spatial():
             if a.is_literal or b.is_literal:
-                out = self._spatial(out, a, b)
-        return predicate.apply(out)
+                out = self._seen(self._spatial(out, a, b), "the spatial constraint")
+        return self._seen(predicate.apply(out), "the condition")
+
+    def _pixelled(self, parts: list, overlaps: list, pixels: Sequence[str]) -> list:
+        """The parts, with the pixels that regions may overlap, or that hold pixels of more depth: a join by them is one by value."""
+        for overlap in list(overlaps):
+            kind, *pair = overlap
+            ours = [n for n in pixels if f"{n}__region" in pair]
+            if kind != "spatial" or not ours:
+                continue
+            if len(ours) == 2:
+                coarse, fine = sorted(ours, key=lambda n: self.catalog.universe[n].pixels)
+                source, levels = fine, self.catalog.universe[fine].pixels - self.catalog.universe[coarse].pixels
+                made, name = (lambda df: df.withColumn(coarse, px.parent(F.col(fine), levels))), coarse
+                overlaps.remove(overlap)
+            else:
+                (name,), source = ours, next(c for c in pair if c != f"{ours[0]}__region")
+                depth = self.catalog.universe[name].pixels
+                made = lambda df: df.withColumn(name, F.explode(px.envelope(f"`{source}`", depth)))  # noqa: B023, E731
+            at = next((i for i, (df, _) in enumerate(parts) if source in df.columns and name not in df.columns), None)
+            if at is None:
+                raise QueryError(f"nothing has {source}, which {name} is joined by")
+            df, dims = parts[at]
+            parts[at] = made(df), dims | {name}
+        return parts
 
     def _dims_of(self, element: str) -> set[str]:
         columns = set(self.catalog.elements_columns(element))
@@ -422,23 +514,33 @@ class Query:
         _, a, b = overlap
         return any(x in left.columns and y in right.columns for x, y in ((a, b), (b, a)))
 
-    def _overlapped(self, left: DataFrame, right: DataFrame, overlap: tuple[str, str, str]) -> DataFrame:
+    def _overlapped(self, left: DataFrame, right: DataFrame, overlap: tuple[str, str, str], keys: Sequence[str] = ()) -> DataFrame:
         kind, a, b = overlap
         if a not in left.columns:
             a, b = b, a
         if kind == "spatial":
             return spatial.join(left, right, a, b, None if self.refined else F.lit(True))
-        timed = ops.overlap_join(left, right, [], a, b)
-        for c, rows, others in ((a, left, right), (b, right, left)):
-            if "::" in c:  # datasets that are always valid go with all
-                timed = timed.unionByName(rows.where(ts.is_null(F.col(f"`{c}`"))).join(others, F.lit(True)))
+        timed = ops.overlap_join(left, right, keys, a, b)
+        always = lambda rows, c: rows.where(ts.is_null(F.col(f"`{c}`")))
+        joined = lambda x, y: x.join(y, list(keys)) if keys else x.join(y, F.lit(True))
+        if "::" in a:  # datasets that are always valid go with all
+            timed = timed.unionByName(joined(always(left, a), right))
+        if "::" in b:
+            some = left.where(~ts.is_null(F.col(f"`{a}`"))) if "::" in a else left
+            timed = timed.unionByName(joined(some, always(right, b)))
         return timed
 
     def _spatial(self, df: DataFrame, a: ex.Value, b: ex.Value) -> DataFrame:
         if a.is_literal and b.is_literal:
             return df if a.literal.overlaps(b.literal) else df.limit(0)
         literal, column = (a, b) if a.is_literal else (b, a)
-        return spatial.constrained(df, next(iter(column.names)), literal.literal, refined=self.refined)
+        name = next(iter(column.names))
+        element = name.split("__")[0]
+        index = self.catalog.indexes.get(element)
+        if index is None or not set(index.keys) <= set(df.columns):
+            return spatial.constrained(df, name, literal.literal, refined=self.refined)
+        df = df.join(index.near(literal.literal), list(index.keys), "left_semi")
+        return df.where(F.coalesce(spatial.overlaps(F.col(name), literal.literal.column()), F.lit(True))) if self.refined else df
 
 
 @dataclass(frozen=True)
@@ -539,6 +641,13 @@ class Result:
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=schema)
 
+    def snapshot(self, path: str, rows: int = 2000) -> Snapshot:
+        """The rows, written once in their order (ties by the other columns), as pages that can be asked for in any order and again."""
+        df = self.frame()
+        ties = [c for c, t in df.dtypes if not t.startswith("map")]
+        order = [o.column() for o in self.order]
+        return Snapshot.write(df.orderBy(*order, *ties) if self.at_most is None or self.order else df.orderBy(*ties), path, rows)
+
     def to_arrow(self) -> pa.Table:
         return self.frame().toArrow()
 
@@ -574,20 +683,80 @@ class Result:
     def explain_no_results(self) -> list[str]:
         return self.query.explain_no_results()
 
+    def rows_or_reasons(self) -> tuple[list, list[str]]:
+        """All rows, or why there are none: the first steps that let nothing pass, as counted while the query ran."""
+        if reasons := self.query.explain_no_results():
+            return [], reasons
+        watched = replace(self, query=replace(self.query, watched=[]))
+        if got := watched.rows():
+            return got, []
+        for what, seen in watched.query.watched:
+            # of a step that the optimizer left out, as nothing reached it, nothing is counted
+            if not seen.get.get("rows"):
+                return [], [f"{what} left nothing"]
+        return [], ["the projection left nothing"]
+
     def explain(self) -> None:
         self.frame().explain("formatted")
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """An ordered result in Parquet, a folder for each range of the order, with the place of each row in its range.
+
+    The driver knows how many rows the ranges before each one have, a number for each range;
+    a page is read from the one or two folders that have it.
+    """
+
+    spark: SparkSession
+    path: str
+    schema: T.StructType
+    rows: int
+    before: tuple[int, ...]  # rows in ranges before each range, and in all
+
+    @classmethod
+    def write(cls, df: DataFrame, path: str, rows: int) -> Snapshot:
+        """``df`` is ordered as a whole, so that its partitions are ranges; a row's place within is the low bits of its running id."""
+        spark, place = df.sparkSession, F.monotonically_increasing_id()
+        placed = df.withColumns({"_range": F.shiftright(place, 33).cast("int"), "_place": place.bitwiseAND(F.lit((1 << 33) - 1))})
+        placed.write.partitionBy("_range").parquet(path)
+        schema = T.StructType([*df.schema, T.StructField("_place", T.LongType()), T.StructField("_range", T.IntegerType())])
+        counts = spark.read.schema(schema).parquet(path).groupBy("_range").count().collect()
+        sizes = {r["_range"]: r["count"] for r in counts}
+        before = [0]
+        for k in range(max(sizes, default=-1) + 1):
+            before.append(before[-1] + sizes.get(k, 0))
+        return cls(spark, path, schema, rows, tuple(before))
+
+    def __len__(self) -> int:
+        """The number of pages."""
+        return -(-self.before[-1] // self.rows)
+
+    def page(self, n: int) -> DataFrame:
+        """The n-th page, from 0, in order."""
+        low, high = n * self.rows, min((n + 1) * self.rows, self.before[-1])
+        if not 0 <= low < high:
+            raise IndexError(f"there are {len(self)} pages")
+        first, last = bisect.bisect_right(self.before, low) - 1, bisect.bisect_left(self.before, high) - 1
+        held = self.spark.read.schema(self.schema).parquet(self.path).where(F.col("_range").between(first, last))
+        after = (F.col("_range") > first) | (F.col("_place") >= low - self.before[first])
+        until = (F.col("_range") < last) | (F.col("_place") < high - self.before[last])
+        return held.where(after & until).orderBy("_range", "_place").drop("_range", "_place")
+
+    def __iter__(self) -> Iterator[pa.Table]:
+        return (self.page(n).toArrow() for n in range(len(self)))
+
+
 def find_dataset(catalog: Catalog, name: str, data_id: Mapping[str, Any], collections: Sequence[str], timespan: ts.Timespan | None = None):
     """The one row of a dataset, or None; AmbiguityError if two calibrations are valid."""
     flat = catalog.collections.flatten(list(collections))
     if timespan is None:
         flat = [c for c in flat if catalog.collections.kinds[c] != Kind.CALIBRATION]
     t = catalog.types[name]
-    df = t.frame.where(F.col("collection").isin(*flat)) if flat else t.frame.limit(0)
+    df = t.within(flat, [c for c, k in catalog.collections.kinds.items() if k == Kind.CALIBRATION])
     for k, v in data_id.items():
         df = df.where(F.col(k) == F.lit(v))
-    if timespan is not None and "timespan" in t.frame.columns:
+    if timespan is not None and "timespan" in df.columns:
         df = df.where(F.col("timespan").isNull() | ts.overlaps(F.col("timespan"), timespan.column()))
     got = df.withColumn("_rank", ops.rank_of(F.col("collection"), flat)).orderBy("_rank").limit(2).collect()
     if len(got) == 2 and got[0]["_rank"] == got[1]["_rank"]:
@@ -596,17 +765,49 @@ def find_dataset(catalog: Catalog, name: str, data_id: Mapping[str, Any], collec
 
 
 def all_datasets(catalog: Catalog, names: Sequence[str], collections: Sequence[str], where: str = "", limit: int | None = None) -> DataFrame:
-    """Datasets of several types, by type name: (dataset_type, dataset_id, run, data_id), up to a limit in all."""
-    out = None
+    """Datasets of several types, by type name: (dataset_type, dataset_id, run, data_id), up to a limit in all.
+
+    Types with the same dimensions that are left with the same collections go as one
+    group: one scan, one join tree for the condition, one find-first. A condition on a type's own fields, and
+    calibrations, need a plan of their own.
+    """
+    groups: dict[tuple, list[str]] = {}
     for n in sorted(names):
-        df = catalog.query().where(where).datasets(n, collections).frame() if where else catalog.query().datasets(n, collections).frame()
-        keys = [c for c in df.columns if c not in ("dataset_id", "run")]
-        text = F.to_json(F.struct(*keys)) if keys else F.lit("{}")
-        part = df.select(F.lit(n).alias("dataset_type"), "dataset_id", "run", text.alias("data_id"))
+        s = catalog.query()._search(n, collections, ("dataset_id", "run"))
+        if s.collections:
+            alone = (n,) if s.by_validity or f"{n}." in where else ()
+            groups.setdefault((catalog.universe.conform(catalog.types[n].dimensions).required, s.collections, alone), []).append(n)
+    out = None
+    for (dims, live, alone), members in groups.items():
+        part = _of_type(catalog, members[0], collections, where) if alone else _of_group(catalog, members, dims, live, where)
+        text = F.to_json(F.struct(*dims)) if dims else F.lit("{}")
+        part = part.select("dataset_type", "dataset_id", "run", text.alias("data_id"))
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = _of_group(catalog, sorted(names)[:1], (), (), "").select("dataset_type", "dataset_id", "run", F.lit("{}").alias("data_id"))
     return out if limit is None else out.orderBy("dataset_type", "dataset_id").limit(limit)
 
 
+def _of_type(catalog: Catalog, name: str, collections: Sequence[str], where: str) -> DataFrame:
+    q = catalog.query().where(where) if where else catalog.query()
+    return q.datasets(name, collections).frame().withColumn("dataset_type", F.lit(name))
+
+
+def _of_group(catalog: Catalog, names: Sequence[str], dims: Sequence[str], live: Sequence[str], where: str) -> DataFrame:
+    """The first datasets of types with the same dimensions in the same collections."""
+    rows, columns = None, ("dataset_id", "run", "collection")
+    for n in names:
+        t = catalog.types[n].frame
+        part = t.select(F.lit(n).alias("dataset_type"), *(c for c in (*columns, *dims) if c in t.columns))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.where(F.col("collection").isin(*live)) if live else rows.limit(0)
+    if where:
+        q = catalog.query().join_data_coordinates(rows.select(*dims)).where(where)
+        rows = rows.join(q.data_ids(dims).frame().select(*dims), list(dims), "left_semi")
+    unique = len(live) == 1
+    return ops.find_first(rows, ["dataset_type", *dims], "collection", live, unique) if live else rows
+
+
 def extents(catalog: Catalog, ids: DataFrame) -> DataFrame:
     """Data IDs with ``timespan``, what their temporal families' spans have in common, and ``regions``, that of each spatial family.
 
@@ -617,6 +818,10 @@ def extents(catalog: Catalog, ids: DataFrame) -> DataFrame:
     made: dict[str, list[str]] = {"timespan": [], "region": []}
     for column, families in (("timespan", group.temporal), ("region", group.spatial)):
         for element in families.values():
+            if catalog.universe[element].pixels is not None:
+                out = out.withColumn(f"_{element}_{column}", px.region_of(f"`{element}`"))
+                made[column].append(f"_{element}_{column}")
+                continue
             keys = list(catalog._keys(element))
             rows = catalog.element(element).select(*keys, F.col(column).alias(f"_{element}_{column}"))
             out = out.join(rows, keys, "left")

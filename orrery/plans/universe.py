@@ -14,6 +14,7 @@ class Element:
     """A table-like entity. ``key`` is its own key column (none: a combination of other dimensions).
 
     ``spatial`` and ``temporal`` name the topology family, if it has a region or a timespan.
+    ``pixels`` makes it the sky pixels of a depth: it has no table, as ids tell regions.
     """
 
     name: str
@@ -28,6 +29,7 @@ class Element:
     union_of: str | None = None
     always_join: bool = False
     defines_relationships: bool = False
+    pixels: int | None = None
 
     @property
     def is_dimension(self) -> bool:
@@ -155,6 +157,11 @@ class Universe:
             todo += [*e.required, *e.implied]
         return Group(self, tuple(self.sorted(closed)))
 
+    @classmethod
+    def sky_pixels(cls, depth: int) -> Element:
+        """The dimension of sky pixels of a depth, a topology family of its own."""
+        return Element(f"htm{depth}", f"htm{depth}", spatial=f"htm{depth}", pixels=depth)
+
     def column_type(self, element: str, name: str) -> str:
         e = self[element]
         if name in (element, e.key):

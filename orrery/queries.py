@@ -384,12 +384,28 @@ def overlap_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- collections
 
 
-@query("""WITH RECURSIVE c(parent, child, position) AS (VALUES ('top', 'mid', 0), ('top', 'R', 1), ('mid', 'A', 0), ('mid', 'R', 1), ('top', 'low', 2), ('low', 'N', 0)),
+CHAINS_SQL = """SELECT 'top' AS parent, r_name AS child, r_regionkey::INT AS position FROM region
+UNION ALL SELECT r_name, n_name, n_nationkey::INT FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT n_name, c_name, c_custkey::INT FROM customer JOIN nation ON n_nationkey = c_nationkey
+UNION ALL SELECT r_name, c_name, c_custkey::INT + 1000 FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey <> n_regionkey WHERE c_acctbal > 9000"""
+
+
+@query(f"""WITH RECURSIVE c AS ({CHAINS_SQL}),
 w AS (SELECT child, [position] AS path FROM c WHERE parent = 'top' UNION ALL SELECT c.child, list_append(w.path, c.position) FROM w JOIN c ON c.parent = w.child)
 SELECT child, (row_number() OVER (ORDER BY path) - 1)::INT AS rank FROM (SELECT child, min(path) AS path FROM w GROUP BY child)""")
 def chain_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("top", "mid", 0), ("top", "R", 1), ("mid", "A", 0), ("mid", "R", 1), ("top", "low", 2), ("low", "N", 0)]
-    return flattened(spark, spark.createDataFrame(rows, "parent string, child string, position int"), "top")
+    """Chains of regions, nations and customers, some of them in several places, flattened from a table of links."""
+    t = lambda name: table(spark, sf_dir, name)
+    link = lambda df, parent, child, at: df.select(parent.alias("parent"), F.col(child).alias("child"), at.cast("int").alias("position"))
+    r, n, c = t("region"), t("nation"), t("customer")
+    placed = n.join(F.broadcast(r), F.col("r_regionkey") == F.col("n_regionkey"))  # tables of fixed size
+    mine = c.join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey"))
+    others = mine.where("c_acctbal > 9000").join(F.broadcast(r), F.col("r_regionkey") != F.col("n_regionkey"))
+    chain = link(r, F.lit("top"), "r_name", F.col("r_regionkey"))
+    chain = chain.unionByName(link(placed, F.col("r_name"), "n_name", F.col("n_nationkey")))
+    chain = chain.unionByName(link(mine, F.col("n_name"), "c_name", F.col("c_custkey")))
+    chain = chain.unionByName(link(others, F.col("r_name"), "c_name", F.col("c_custkey") + 1000))
+    return flattened(spark, chain, "top")
 
 
 @query("""SELECT l_returnflag AS collection, list_sort(list(DISTINCT r_name))[1] AS first_region, count(DISTINCT r_name)::BIGINT AS n_regions
