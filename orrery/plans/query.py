@@ -803,7 +803,8 @@ def _of_group(catalog: Catalog, names: Sequence[str], dims: Sequence[str], live:
     rows = rows.where(F.col("collection").isin(*live)) if live else rows.limit(0)
     if where:
         q = catalog.query().join_data_coordinates(rows.select(*dims)).where(where)
-        rows = rows.join(q.data_ids(dims).frame().select(*dims), list(dims), "left_semi")
+        # an inner join of distinct data IDs: a semi-join would be pushed into each type's branch
+        rows = rows.join(q.data_ids(dims).frame().select(*dims), list(dims))
     unique = len(live) == 1
     return ops.find_first(rows, ["dataset_type", *dims], "collection", live, unique) if live else rows
 
