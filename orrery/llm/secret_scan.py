@@ -69,6 +69,10 @@ SPANS = T.ArrayType(
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
+#: Characters of a joined key's first line that are looked at before the lines that follow.
+HEAD = 512
+
+
 def unescaped(text: str) -> str:
     """``text`` with escaped breaks and slashes as such, as long as before: NUL stands for their backslashes."""
     if "\\" not in text:
@@ -237,6 +241,35 @@ def der_size(head: bytes) -> int | None:
     return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
 
 
+def may_be_key(head: bytes, size: int) -> bool:
+    """Whether a key of this size can start so, as far as these first bytes of it tell: what ``is_der_key`` asks for, in order."""
+
+    def value(at: int) -> tuple[int, int, int] | None:
+        """(tag, start, end) of what is at ``at``; None if its length is not in the head."""
+        n = head[at + 1] & 0x7F if len(head) > at + 1 and head[at + 1] >= 0x80 else 0
+        if len(head) < at + 2 + n:
+            return None
+        start = at + 2 + n
+        return head[at], start, start + (int.from_bytes(head[at + 2 : start], "big") if n else head[at + 1])
+
+    if not (top := value(0)) or not (first := value(top[1])):
+        return True
+    if first[2] > size:
+        return False
+    if first[0] == 0x30:  # the algorithm, then an octet string to the end
+        if first[1] < len(head) and (first[1] == first[2] or head[first[1]] != 0x06):
+            return False
+        second = value(first[2])
+        return not second or second[0] == 0x04 and second[2] == size
+    if not (second := value(first[2])):
+        return True
+    if second[2] > size or second[0] not in (0x30, 0x02, 0x04):
+        return False
+    if second[0] == 0x30:
+        return second[1] >= len(head) or second[1] < second[2] and head[second[1]] == 0x06
+    return second[0] == 0x02 or second[2] - second[1] >= 16
+
+
 def secret_size(data: bytes) -> int | None:
     """How many of these bytes are the secret that starts them; None if none does."""
     if data.startswith(b"openssh-key-v1\0"):
@@ -269,8 +302,12 @@ def joined_keys(text: str) -> Iterator[tuple[str, int, int]]:
         if m[0].startswith("30" if hexed else "M"):
             head = m[0].replace("\0", "")
             size = der_size(bytes.fromhex(head) if hexed else unbase64(head) or b"")
-            if not size or (need := -(-size * 8 // bits)) < 40:
-                continue
+            if not size or (need := -(-size * 8 // bits)) < 40 or need > len(text) - m.start():
+                continue  # no key, or one that ends behind the text
+            own = line.match(text, m.start())[0].replace("\0", "")
+            own = own[: min(need, len(own), HEAD) // 8 * 8]
+            if not may_be_key((bytes.fromhex(own) if hexed else unbase64(own)) or b"", size):
+                continue  # refused by its own line, so that those that follow are not read for it
         run, at, pieces, have = None, m.start(), [], 0
         while have < need and (run := line.match(text, at)):
             pieces.append(run.span())
