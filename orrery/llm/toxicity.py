@@ -107,7 +107,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, n_features
         .limit(max_rows)  # the documented bound; it also bounds what is broadcast
     )
     t = shared.Tables(spark)
-    sample = t.write(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label").repartition(8), "sample")
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    once = joined.groupBy("doc_id", "label").agg(F.min(F.struct("text")).alias("least"))  # so that the bound holds where ids repeat
+    sample = t.write(once.select("least.text", "label").repartition(8), "sample")
     try:
         counted = (
             sample.mapInArrow(_counted, "hash long, toxic long, clean long")
