@@ -6,16 +6,18 @@ between families; then one-versus-one machines between the languages of that
 family choose among the closely related. All machines are linear in the shares,
 so a text is scored by looking up its n-grams' weights and averaging.
 
-Fit on a sample of about ``per_language`` rows of each language (every row whose
-id hashes below that share), and of about ``max_rows`` in all: what reaches the
-driver doesn't grow with the table or the languages. Counts of the languages
+Fit on a sample of at most ``per_language`` rows of each language, those whose hashes
+of id, text and language are least, and of at most ``max_rows`` in all: what reaches
+the driver doesn't grow with the table. At most ``max_languages`` are learnt, the most
+frequent (ties by name); of others nothing is predicted. Counts of the languages
 cover all rows allowed for training. Codes that no family lists are taken
 together by their first letter, so machines grow with families and with the
-languages of each, not with the square of all. Prediction is one pass of an
-Arrow UDF without a shuffle.
+languages of each. Prediction is one pass of an Arrow UDF without a shuffle.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter,
-or if there was nothing to learn from; the only language known scores 1;
+or if there was nothing to learn from; the only language known scores 1; rows that
+repeat id, text and language are learnt from once, and every language that is learnt
+has a row in the sample, however often one id is there;
 repeated rows and null ids are predicted like any other; an empty table gives an
 empty table.
 """
@@ -29,7 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from orrery.llm import ngrams
 
@@ -49,6 +51,7 @@ SIZES = (1, 2, 3)
 BITS = 14
 PER_LANGUAGE = 1000
 MAX_ROWS = 20_000
+MAX_LANGUAGES = 64
 UND = "und"
 #: What may be a letter: also digits of some kinds, which str.isalpha tells apart.
 _LETTER = re.compile(r"[^\W\d_]")
@@ -171,17 +174,26 @@ class Model:
 
 
 def fit(
-    docs: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str, tuple[str, ...]] = FAMILIES, max_rows: int = MAX_ROWS
+    docs: DataFrame,
+    per_language: int = PER_LANGUAGE,
+    families: dict[str, tuple[str, ...]] = FAMILIES,
+    max_rows: int = MAX_ROWS,
+    max_languages: int = MAX_LANGUAGES,
 ) -> Model:
     """``docs``: doc_id, text, lang, only rows to learn from."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    hashed = F.xxhash64("doc_id", "lang", F.md5(F.col("text").cast("binary")))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", hashed)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     if not counts:
         return Model(None, {})
-    wanted = min(per_language, max(1, max_rows // len(counts)))
-    limit = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, wanted / n))))
-    place = F.xxhash64("doc_id", "lang") / F.lit(2.0**64) + F.lit(0.5)  # 0 to 1, at any number of rows
-    sample = known.where(place < limit[F.col("lang")]).select("lang", "text")
+    wanted = max(1, min(per_language, max_rows // len(counts)))
+    # the hash up to which a language's rows are taken; ranks are cut before the shuffle
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    narrow = known.where(F.col("lang").isin([r["lang"] for r in counts])).select("lang", "h")
+    few = narrow.withColumn("k", least).where(F.col("k") <= wanted)
+    limits = {r["lang"]: r["h"] for r in few.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    limit = F.create_map(*(F.lit(v) for pair in limits.items() for v in pair))
+    sample = known.where(F.col("h") <= limit[F.col("lang")]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -322,3 +322,32 @@ def test_sql(spark, name):
     columns = sorted(df.columns)
     want = sql.select(",".join(f'"{c}"' for c in columns)).fetchall()
     assert sorted(repr(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(map(repr, want))
+
+
+def test_languages_of_rows_that_repeat_an_id(spark):
+    from orrery.llm import language_id
+
+    one = [(7, f"der hund und die katze {i}", "de") for i in range(60)] + [(7, "the dog and the cat", "en")] * 100_000
+    rows = spark.createDataFrame(one, "doc_id long, text string, lang string")
+    model = language_id.fit(rows, per_language=1)
+    assert sorted(n for m in model.within.values() for n in m.names) == ["de", "en"]
+    got = rows.limit(100).select(language_id.predictor(rows, model).alias("p")).collect()
+    assert {r["p"]["lang_pred"] for r in got} <= {"de", "en"}
+    codes = spark.range(5000).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("lang"))
+    few = language_id.fit(codes.withColumnRenamed("id", "doc_id"), per_language=2, max_languages=5)
+    assert sum(len(m.names) for m in few.within.values()) == 5
+
+
+def test_toxicity_is_learnt_from_few_rows_of_an_id(spark):
+    from orrery.llm import toxicity
+
+    docs = spark.createDataFrame([(1, f"clean text {i}") for i in range(3000)] + [(2, "you vile filth")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, label int")
+    seen = []
+    held = toxicity._logistic
+    toxicity._logistic = lambda rows, y, ratios: seen.append(len(rows)) or held(rows, y, ratios)
+    try:
+        toxicity.fit(docs, labels, max_rows=2)
+    finally:
+        toxicity._logistic = held
+    assert seen == [2]
