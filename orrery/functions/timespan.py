@@ -1,7 +1,7 @@
 """Half-open timespans [begin, end) in integer nanoseconds, as a pair of columns or a struct.
 
 An empty span has begin >= end and is stored as (MAX, MIN); unbounded ends are
-MIN and MAX. The begin and end of a null span are 0, as in the reference tables.
+MIN and MAX. The begin and end of a null span are 0.
 """
 
 from __future__ import annotations

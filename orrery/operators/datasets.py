@@ -69,6 +69,41 @@ def insert_datasets(catalog: Catalog, name: str, run: str, data_ids: DataFrame,
     return _set(catalog, name, append(held, rows))
 
 
+def put(catalog: Catalog, name: str, run: str, rows: DataFrame, data_ids: DataFrame, folder: str) -> Catalog:
+    """Datasets written and registered at once: ``rows`` with the columns of their data IDs, which are ``data_ids``.
+
+    The rows of each dataset go to its own folder of Parquet below ``folder/type/run``,
+    named by its data ID, so one write is for all of them; rows of other data IDs are an error. Runs the checks of
+    ``insert_datasets``, and writes only if they pass.
+    """
+    keys = _keys(catalog, name)
+    made = insert_datasets(catalog, name, run, data_ids)
+    if not rows.select(*keys).distinct().join(data_ids, keys, "left_anti").isEmpty():
+        raise ops.ConflictError(f"there are rows of {name} with other data IDs")
+    # beside the keys as columns, so that what is read again has them with their types
+    placed = rows.withColumns({f"_{k}": F.col(k) for k in keys}).repartition(*keys)
+    placed.write.mode("append").partitionBy(*(f"_{k}" for k in keys)).parquet(f"{folder}/{name}/{run}")
+    return made
+
+
+def get(catalog: Catalog, name: str, run: str, data_id: Mapping[str, Any], folder: str) -> DataFrame:
+    """The rows of one dataset that ``put`` wrote: its own folder is read, and no other."""
+    keys, spark = _keys(catalog, name), catalog.elements[next(iter(catalog.elements))].sparkSession
+    df = spark.read.parquet(f"{folder}/{name}/{run}")
+    for k in keys:
+        df = df.where(F.col(f"_{k}") == F.lit(data_id[k]))
+    return df.drop(*(f"_{k}" for k in keys))
+
+
+def collection_table(catalog: Catalog, summaries: DataFrame | None = None, kinds: Sequence[Kind] | None = None) -> DataFrame:
+    """(name, kind, doc, children, parents) of all collections, of some kinds; with their summaries, null for those that have none."""
+    spark = catalog.elements[next(iter(catalog.elements))].sparkSession
+    c, wanted = catalog.collections, set(kinds if kinds is not None else Kind)
+    rows = [(n, k.name, c.docs.get(n), list(c.chains.get(n, ())), list(c.parents(n))) for n, k in c.kinds.items() if k in wanted]
+    out = spark.createDataFrame(rows, "name string, kind string, doc string, children array<string>, parents array<string>")
+    return out if summaries is None else out.join(summaries.withColumnRenamed("collection", "name"), "name", "left")
+
+
 def import_datasets(catalog: Catalog, name: str, refs: DataFrame, assume_new: bool = False) -> Catalog:
     """Datasets with ids of their own (dataset_id, run, the type's dimensions); those that are there as they are stay.
 

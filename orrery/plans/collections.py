@@ -97,10 +97,11 @@ class Collections:
         kinds: Iterable[Kind] | None = None,
         flatten: bool = False,
         include_chains: bool | None = None,
+        ordered: bool = False,
     ) -> list[str]:
         """Names that match: those of patterns first, as registered, then explicit ones with what is in them.
 
-        A chain itself is given unless chains are flattened, or as ``include_chains`` says.
+        ``ordered``: the order matters, so that patterns are an error. A chain itself is given unless chains are flattened, or as ``include_chains`` says.
         """
         wanted = set(kinds if kinds is not None else Kind)
         include = (not flatten) if include_chains is None else include_chains
@@ -113,6 +114,8 @@ class Collections:
             if self.kinds[n] in wanted and (not chain or include):
                 out[n] = None
 
+        if ordered and patterns:
+            raise ValueError(f"an order is needed, and {patterns[0]!r} has none")
         found = [n for n in self.kinds if any(matches(p, n) for p in patterns)]
         for n in found:
             add(n)

@@ -11,6 +11,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -491,6 +492,20 @@ def overlap(a: Value, b: Value) -> Predicate:
     raise ExpressionError(f"{a.kind} OVERLAPS {b.kind} is not possible")
 
 
+def all_of(*predicates: Predicate) -> Predicate:
+    """True if all are; of none it is true."""
+    return reduce(lambda a, b: a & b, predicates, TRUE)
+
+
+def any_of(*predicates: Predicate) -> Predicate:
+    """True if one is; of none it is false."""
+    return reduce(lambda a, b: a | b, predicates, FALSE)
+
+
+def not_(predicate: Predicate) -> Predicate:
+    return ~predicate
+
+
 # ---------------------------------------------------------------- strings to predicates
 
 Resolver = Callable[[str], Value]

@@ -86,8 +86,11 @@ class Catalog:
         self.types[t.name] = t
         return True
 
-    def query_types(self, pattern: str | Sequence[str] = "*") -> list[str]:
+    def query_types(self, pattern: str | Sequence[str] = "*", missing: list[str] | None = None) -> list[str]:
+        """The types that match; names, not patterns, of types that are not there go to ``missing``."""
         found = [pattern] if isinstance(pattern, str) else list(pattern)
+        if missing is not None:
+            missing += [p for p in found if not is_glob(p) and p not in self.types]
         return [n for n in sorted(self.types) if any(matches(p, n) for p in found)]
 
     def element(self, name: str) -> DataFrame:

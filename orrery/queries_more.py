@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orrery.functions import pixels as px, region as rg, times, timespan as ts
-from orrery.operators import catalog as ops, datasets
+from orrery.operators import catalog as ops, datasets, obscore, transfer
 from orrery.plans.query import Catalog, DatasetType, all_datasets
 from orrery.plans.universe import Element, Universe
 from orrery.queries import DAY, ID_SQL, ORACLES, POINTS_SQL, QUERIES, SHIPPED_SQL, _points, catalog, dataset_id, nsec, query, shipments, table
@@ -253,3 +253,58 @@ def records_of_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = rows.where("supplier % 2 = 0").withColumn("name", F.lit("held"))
     ids = shipments(spark, sf_dir).where("run = 'R'").select("supplier")
     return datasets.records_from_layers(c, "supplier", ids, given, held).select("supplier", "name")
+
+
+_TAI_SQL = """CASE WHEN d > DATE '1999-01-01' THEN 32 WHEN d > DATE '1997-07-01' THEN 31 WHEN d > DATE '1996-01-01' THEN 30 WHEN d > DATE '1994-07-01' THEN 29
+WHEN d > DATE '1993-07-01' THEN 28 WHEN d > DATE '1992-07-01' THEN 27 ELSE 26 END"""
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, c_name, unnest([0, 30]) AS k, o_orderdate::DATE AS day FROM orders JOIN customer ON c_custkey = o_custkey),
+t AS (SELECT *, (day + INTERVAL (k) DAY)::DATE AS d FROM o),
+m AS (SELECT *, (date_diff('day', DATE '1970-01-01', d)::BIGINT * 86400000000000 - ({_TAI_SQL})::BIGINT * 1000000000)::DOUBLE / 86400000000000.0::DOUBLE + 40587 AS mjd FROM t)
+SELECT o_orderkey AS dataset_id, 'invoice' AS dataset_type, 'table' AS dataproduct_type, 'order' || lpad(o_orderkey::VARCHAR, 9, '0') AS obs_id,
+'test' AS obs_collection, 'ivo://test/' || o_orderkey AS obs_publisher_did, min(mjd) AS t_min, max(mjd) AS t_max, 2592000.0::DOUBLE AS t_exptime,
+CASE o_orderstatus WHEN 'F' THEN 4e-7 WHEN 'O' THEN 6e-7 END AS em_min, CASE o_orderstatus WHEN 'F' THEN 5e-7 WHEN 'O' THEN 7e-7 END AS em_max,
+o_orderpriority AS priority, c_name AS target_name FROM m GROUP BY ALL""")
+def obscore_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices as an observation table, with the times of their orders."""
+    c = catalog(spark, sf_dir)
+    config = obscore.Config(
+        "test",
+        {"invoice": obscore.TypeConfig("table", obs_id="order{order:09d}", target_name="{customer__name}")},
+        collections=("A", "all"),
+        extra={"priority": "order__priority"},
+        spectral=("order__status", {"F": (4e-7, 5e-7), "O": (6e-7, 7e-7)}),
+    )
+    made = obscore.table(c, config)
+    return made.select(
+        "dataset_id", "dataset_type", "dataproduct_type", "obs_id", "obs_collection", "obs_publisher_did", "t_min", "t_max", "t_exptime",
+        "em_min", "em_max", "priority", "target_name",
+    )
+
+
+@query(f"""WITH s AS ({SHIPPED_SQL}), x AS (SELECT dataset_id, run FROM s WHERE part % 3 = 0 EXCEPT SELECT dataset_id, run FROM s WHERE run = 'R')
+SELECT 'shipment' AS dataset_type, dataset_id, run FROM x UNION ALL SELECT 'invoice', o_orderkey, 'A' FROM orders WHERE o_totalprice > 200000""")
+def transfer_of_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes of wanted datasets to a catalogue that has some of them, and lacks one of the types."""
+    c = catalog(spark, sf_dir)
+    there = Catalog(c.universe, c.elements, {"shipment": c.types["shipment"]}, c.collections)
+    there.types["shipment"] = DatasetType("shipment", ("part", "supplier"), c.types["shipment"].frame.where("run = 'R'"))
+    wanted = shipments(spark, sf_dir).where("part % 3 = 0").select(F.lit("shipment").alias("dataset_type"), "dataset_id")
+    dear = table(spark, sf_dir, "orders").where("o_totalprice > 200000")
+    wanted = wanted.unionByName(dear.select(F.lit("invoice").alias("dataset_type"), F.col("o_orderkey").alias("dataset_id")))
+    return transfer.transfer_refs(c, there, wanted, register_types=True, dry_run=True)[1]
+
+
+@query("""SELECT o_orderkey AS "order", p_partkey AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+WHERE o_totalprice > 300000 GROUP BY ALL""")
+def standardized_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data IDs of texts and of names that stand for keys."""
+    c = catalog(spark, sf_dir)
+    o, li, p = (table(spark, sf_dir, n) for n in ("orders", "lineitem", "part"))
+    rows = o.where("o_totalprice > 300000").join(li, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("p_partkey") == F.col("l_partkey"))
+    # names of parts are not unique in the test tables, so they are keys together with the number
+    keyed = F.concat_ws("/", F.col("p_name"), F.col("p_partkey").cast("string"))
+    c.elements["part"] = c.elements["part"].withColumn("name", F.concat_ws("/", "name", F.col("part").cast("string")))
+    ids = rows.select(F.col("o_orderkey").cast("string").alias("order"), keyed.alias("part.name")).distinct()
+    return transfer.standardized(c, ids, ["order", "part"]).select("order", "part")
