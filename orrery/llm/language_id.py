@@ -183,16 +183,19 @@ def fit(
     """``docs``: doc_id, text, lang, only rows to learn from."""
     hashed = F.xxhash64("doc_id", "lang", F.md5(F.col("text").cast("binary")))
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", hashed)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    every = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("low"))
+    counts = every.orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     if not counts:
         return Model(None, {})
     wanted = max(1, min(per_language, max_rows // len(counts)))
-    # the hash up to which a language's rows are taken; ranks are cut before the shuffle
+    # hashes below a share of all that holds a few times the rows wanted, and each language's least; of these the least are taken
+    near = lambda r: max(r["low"], -(1 << 63) + int(min(1.0, 4 * (wanted + 25) / r["n"]) * ((1 << 64) - 1)))
+    bounds = F.create_map(*(v for r in counts for v in (F.lit(r["lang"]), F.lit(near(r)).cast("long"))))
+    narrow = known.where(F.col("h") <= bounds[F.col("lang")]).select("lang", "h").distinct()
     least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    narrow = known.where(F.col("lang").isin([r["lang"] for r in counts])).select("lang", "h")
     few = narrow.withColumn("k", least).where(F.col("k") <= wanted)
     limits = {r["lang"]: r["h"] for r in few.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    limit = F.create_map(*(F.lit(v) for pair in limits.items() for v in pair))
+    limit = F.create_map(*(v for lang, h in limits.items() for v in (F.lit(lang), F.lit(h).cast("long"))))
     sample = known.where(F.col("h") <= limit[F.col("lang")]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
