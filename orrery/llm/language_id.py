@@ -189,7 +189,8 @@ def fit(
         return Model(None, {})
     wanted = max(1, min(per_language, max_rows // len(counts)))
     # hashes below a share of all that holds a few times the rows wanted, and each language's least; of these the least are taken
-    near = lambda r: max(r["low"], -(1 << 63) + int(min(1.0, 4 * (wanted + 25) / r["n"]) * ((1 << 64) - 1)))
+    share = lambda n: min((1 << 64) - 1, 4 * (wanted + 25) * (1 << 64) // n)
+    near = lambda r: max(r["low"], share(r["n"]) - (1 << 63))
     bounds = F.create_map(*(v for r in counts for v in (F.lit(r["lang"]), F.lit(near(r)).cast("long"))))
     narrow = known.where(F.col("h") <= bounds[F.col("lang")]).select("lang", "h").distinct()
     least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
