@@ -4,9 +4,10 @@ A node that stands for k shards is split where k//2 of them have their bytes to
 the left, at a weighted quantile along its box's widest dimension (each dimension
 is scaled to its range over all rows). Quantiles are found by histograms: over
 the box, then over the bin that holds the quantile, until that bin weighs hardly
-anything or can't be divided. All nodes of a level are split together; nodes,
-histograms and cuts are tables joined by node, so what a level costs the driver
-is two counts, whatever the number of shards.
+anything or can't be divided. All nodes of a level are split together. The rows are
+written once; a task finds a row's node by going down the cuts so far, which it
+gets by broadcast. Cuts, boxes and what is left of shards are arrays of a few numbers a shard, on
+the driver, of MAX_SHARDS at most; histograms stay in Spark, and of each a node's row comes back.
 
 The dimensions depend on text and language only, and rows of equal metadata are
 told apart by a hash of the text, which is added to each dimension as a
@@ -26,9 +27,12 @@ are empty; other columns are not carried.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from orrery.llm import shared
 
@@ -37,6 +41,8 @@ SPREAD = 1e-3
 HEAVY_SHARE = 0.05
 #: Of a shard: the bytes by which a cut may miss its place.
 TOLERANCE = 0.002
+#: Their cuts are broadcast, at 20 bytes each.
+MAX_SHARDS = 1 << 22
 DIMS = range(3)
 
 
@@ -51,99 +57,148 @@ def _pinned(t: shared.Tables, groups: DataFrame, n: int, target: float) -> DataF
     return t.write(fit.unionByName(groups.where(F.col("bytes") > target).withColumn("shard", F.lit(None).cast("int"))), "heavy")
 
 
-def _along(dim: str) -> Column:
-    return F.element_at(F.array(*(F.col(f"y{d}") for d in DIMS)), F.col(dim) + 1)
+@dataclass
+class Tree:
+    """Cuts by node: the children of node k are 2 k and 2 k + 1; ``dim`` is -1 where there is no cut. ``shard`` is that of a leaf."""
 
+    dim: np.ndarray
+    cut: np.ndarray
+    shard: np.ndarray
 
-def _cuts(t: shared.Tables, points: DataFrame, nodes: DataFrame, tolerance: float) -> DataFrame:
-    """node, dim and cut of ``nodes`` (node, dim, low, high, share): where ``share`` of a node's bytes lie below.
+    @classmethod
+    def of(cls, n: int) -> Tree:
+        size = 2 << max(0, (n - 1).bit_length())
+        return cls(np.full(size, -1, dtype=np.int8), np.zeros(size), np.zeros(size, dtype=np.int32))
 
-    ``tolerance``: bytes.
-    """
-    state = nodes.select("node", "dim", "low", "high", "share", F.lit(None).cast("double").alias("want"), F.lit(False).alias("done"))
-    while True:
-        here = points.select("node", "size", *(f"y{d}" for d in DIMS)).join(state.where("NOT done"), "node")
-        v = _along("dim")
-        part = F.floor(F.coalesce(F.try_divide(v - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)) * BINS)
-        # what rounding puts outside of the bin that was zoomed into counts as before or behind it
-        part = F.when(v < F.col("low"), -1).when(v >= F.col("high"), BINS).otherwise(F.least(F.greatest(part, F.lit(0)), F.lit(BINS - 1)))
-        bins = here.groupBy("node", part.alias("bin")).agg(F.sum("size").alias("bytes"), F.min(v).alias("least"), F.max(v).alias("most"))
-        bins = t.write(bins, "bins")
-        upto = F.sum("bytes").over(Window.partitionBy("node").orderBy("bin"))
-        total = bins.groupBy("node").agg(F.sum("bytes").alias("total"))
-        want = F.coalesce(F.col("want"), F.col("total") * F.col("share"))
-        summed = bins.withColumn("upto", upto).join(total, "node").join(state.drop("done"), "node").withColumn("want", want)
+    def nodes_of(self, y: np.ndarray) -> np.ndarray:
+        """The nodes that rows, with a column for each dimension, come down to."""
+        node = np.ones(len(y), dtype=np.int64)
+        while len(y):
+            dim = self.dim[node]
+            on = np.flatnonzero(dim >= 0)
+            if not len(on):
+                break
+            right = y[on, dim[on]] >= self.cut[node[on]]
+            node[on] = node[on] * 2 + right
+        return node
+
+
+def _places(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(f"y{d}").to_numpy(zero_copy_only=False) for d in DIMS], axis=1)
+
+
+@dataclass
+class Open:
+    """A node that is to be cut: its dimension and range, the share of its bytes that goes left, and the bytes wanted there."""
+
+    dim: int
+    low: float
+    high: float
+    share: float
+    want: float | None = None
+
+
+def _cuts(points: DataFrame, tree: Tree, nodes: dict[int, Open], tolerance: float) -> dict[int, float]:
+    """Where ``share`` of each node's bytes lie below. ``tolerance``: bytes."""
+    spark, done, todo = points.sparkSession, {}, dict(nodes)
+    while todo:
+        zoom = np.full((len(tree.dim), 3), np.nan)
+        for k, o in todo.items():
+            zoom[k] = o.dim, o.low, o.high
+        sent = spark.sparkContext.broadcast((tree, zoom))
+
+        def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, ranges = sent.value
+            for batch in batches:
+                y = _places(batch)
+                node = held.nodes_of(y)
+                on = np.flatnonzero(~np.isnan(ranges[node, 0]))
+                at = node[on]
+                low, high = ranges[at, 1], ranges[at, 2]
+                v = y[on, ranges[at, 0].astype(np.int64)]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    part = np.nan_to_num(np.floor((v - low) / (high - low) * BINS), nan=0.0, posinf=0.0, neginf=0.0)
+                # what rounding puts outside of the bin that was zoomed into counts as before or behind it
+                part = np.where(v < low, -1, np.where(v >= high, BINS, np.clip(part, 0, BINS - 1)))
+                size = batch.column("size").to_numpy(zero_copy_only=False)[on]
+                columns = [pa.array(at), pa.array(part.astype(np.int32)), pa.array(size), pa.array(v)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "bin", "size", "v"])
+
+        bins = points.select("size", *(f"y{d}" for d in DIMS)).mapInArrow(binned, "node long, bin int, size long, v double")
+        bins = bins.groupBy("node", "bin").agg(F.sum("size").alias("bytes"), F.min("v").alias("least"), F.max("v").alias("most"))
+        wants = [(k, o.share, o.want) for k, o in todo.items()]
+        wants = F.broadcast(spark.createDataFrame(wants, "node long, share double, want double"))  # of MAX_SHARDS at most
+        own = Window.partitionBy("node")  # of BINS + 2 rows at most
+        summed = bins.withColumn("upto", F.sum("bytes").over(own.orderBy("bin"))).withColumn("total", F.sum("bytes").over(own))
+        summed = summed.join(wants, "node").withColumn("want", F.coalesce("want", F.col("total") * F.col("share")))
         # the first bin that reaches the place, or else the last
-        reached = (F.col("upto") >= F.col("want")) & F.col("bin").between(0, BINS - 1)
         inner = F.col("bin").between(0, BINS - 1)
+        row = F.struct("bin", "bytes", "upto", "least", "most")
         best = summed.groupBy("node").agg(
-            F.min(F.when(reached, F.struct("bin", "bytes", "upto", "least", "most"))).alias("first"),
-            F.max(F.when(inner, F.struct("bin", "bytes", "upto", "least", "most"))).alias("last"),
-            F.first("want").alias("wanted"),
-        )
-        b = F.coalesce("first", "last")
-        best = best.select("node", "wanted", b.alias("b"))
-        width = (F.col("high") - F.col("low")) / BINS
-        low = F.col("low") + width * F.col("b.bin")
-        high = F.col("low") + width * (F.col("b.bin") + 1)
-        behind = F.col("wanted") > F.col("b.upto") - F.col("b.bytes") / 2
-        fine = F.col("b").isNull() | (F.col("b.bytes") <= tolerance) | (F.col("b.least") == F.col("b.most")) | (low >= high) | (width <= 0)
-        # a node without rows in its range is cut in the middle; else at the edge of the bin that is nearer
-        edge = F.when(F.col("b").isNull(), (F.col("low") + F.col("high")) / 2).when(behind, F.col("b.most") + F.abs("b.most") * 1e-15 + 1e-300).otherwise(F.col("b.least"))
-        next_low, next_high = F.when(fine, edge).otherwise(low), F.when(fine, edge).otherwise(high)
-        moved = state.where("NOT done").join(best, "node", "left").select(
-            "node", "dim", next_low.alias("low"), next_high.alias("high"), "share", F.col("wanted").alias("want"), fine.alias("done")
+            F.min(F.when(inner & (F.col("upto") >= F.col("want")), row)).alias("first"),
+            F.max(F.when(inner, row)).alias("last"),
+            F.first("want").alias("want"),
         )
-        state = t.write(state.where("done").unionByName(moved), "state")
-        if state.where("NOT done").isEmpty():
-            return state.select("node", "dim", F.col("low").alias("cut"))
+        found = {r["node"]: r for r in best.collect()}  # a row a node
+        sent.unpersist()
+        for k, o in list(todo.items()):
+            b = k in found and (found[k]["first"] or found[k]["last"])
+            if not b:  # nothing in its range: cut in the middle
+                done[k] = (o.low + o.high) / 2
+                del todo[k]
+                continue
+            o.want, width = found[k]["want"], (o.high - o.low) / BINS
+            low, high = o.low + width * b["bin"], o.low + width * (b["bin"] + 1)
+            if b["bytes"] <= tolerance or b["least"] == b["most"] or low >= high or width <= 0:
+                behind = o.want > b["upto"] - b["bytes"] / 2  # cut at the edge of the bin that is nearer
+                done[k] = b["most"] + abs(b["most"]) * 1e-15 + 1e-300 if behind else b["least"]
+                del todo[k]
+            else:
+                o.low, o.high = low, high
+    return done
 
 
 def dealt(t: shared.Tables, points: DataFrame, caps: DataFrame, n: int, target: float, tolerance: float = TOLERANCE) -> DataFrame:
     """``points`` (size, y0, y1, y2 and more) with their shard; ``caps``: shard, cap (the bytes it may take)."""
+    if n > MAX_SHARDS:
+        raise ValueError(f"at most {MAX_SHARDS} shards are made at once")
     found = points.agg(*(f(f"y{d}") for d in DIMS for f in (F.min, F.max))).first()
     box = [(found[2 * d] or 0.0, (found[2 * d + 1] or 0.0)) for d in DIMS]
     scale = [max(1e-12, high - low) for low, high in box]
-    spark = points.sparkSession
-    ends = [c for d in DIMS for c in (f"lo{d}", f"hi{d}")]
-    nodes = spark.createDataFrame([(1, *(x for low, high in box for x in (low, high + abs(high) * 1e-9 + 1e-9)))], ", ".join(["node long", *(f"{c} double" for c in ends)]))
-    points = points.withColumn("node", F.lit(1).cast("long"))
-    caps = t.write(caps.select("shard", "cap", F.lit(1).cast("long").alias("node"), F.lit(0).alias("first"), F.lit(n).alias("parts")), "caps")
-    while n > 1:
-        left = F.col("shard") < F.col("first") + F.floor(F.col("parts") / 2)
-        share = F.try_divide(F.sum(F.when(left, F.col("cap")).otherwise(0.0)), F.sum("cap"))
-        shape = caps.where("parts > 1").groupBy("node").agg(F.coalesce(share, F.lit(0.5)).alias("share"))
-        wide = F.array(*((F.col(f"hi{d}") - F.col(f"lo{d}")) / scale[d] for d in DIMS))
-        dim = (F.array_position(wide, F.array_max(wide)) - 1).cast("int")
-        pick = lambda c: F.element_at(F.array(*(F.col(f"{c}{d}") for d in DIMS)), F.col("dim") + 1)
-        open_nodes = nodes.join(shape, "node").withColumn("dim", dim).withColumn("low", pick("lo")).withColumn("high", pick("hi"))
-        open_nodes = t.write(open_nodes, "nodes")
-        cuts = t.write(_cuts(t, points, open_nodes.select("node", "dim", "low", "high", "share"), tolerance * target), "cuts")
-        split = open_nodes.drop("dim").join(cuts, "node")
-        side = lambda right: split.select(
-            (F.col("node") * 2 + right).alias("node"),
-            *(F.when(F.col("dim") == d, F.col("cut")).otherwise(F.col(f"{e}{d}")).alias(f"{e}{d}") if e == ("lo" if right else "hi") else F.col(f"{e}{d}") for d in DIMS for e in ("lo", "hi")),
-        )
-        nodes = t.write(side(0).unionByName(side(1)), "boxes")
-        right = (_along("dim") >= F.col("cut")).cast("long")
-        gone = points
-        points = points.join(cuts, "node", "left").withColumn("node", F.when(F.col("cut").isNull(), F.col("node")).otherwise(F.col("node") * 2 + right)).drop("dim", "cut")
-        points = t.write(points, "points")
-        t.drop(gone)
-        half = F.floor(F.col("parts") / 2).cast("int")
-        many = F.col("parts") > 1
-        caps = t.write(
-            caps.select(
-                "shard", "cap",
-                F.when(many, F.col("node") * 2 + F.when(left, 0).otherwise(1)).otherwise(F.col("node")).alias("node"),
-                F.when(many & ~left, F.col("first") + half).otherwise(F.col("first")).alias("first"),
-                F.when(~many, F.col("parts")).when(left, half).otherwise(F.col("parts") - half).alias("parts"),
-            ),
-            "caps",
-        )
-        if caps.where("parts > 1").isEmpty():
-            break
-    return points.join(caps.select("node", "shard"), "node").drop("node")
+    room = np.zeros(n)
+    for r in caps.collect():  # a row a shard
+        room[r["shard"]] = r["cap"]
+    tree = Tree.of(n)
+    level = {1: (0, n, [(low, high + abs(high) * 1e-9 + 1e-9) for low, high in box])}
+    while level:
+        nodes: dict[int, Open] = {}
+        for k, (first, parts, ends) in level.items():
+            if parts == 1:
+                tree.shard[k] = first
+                continue
+            total, left = float(room[first : first + parts].sum()), float(room[first : first + parts // 2].sum())
+            # the first of the widest dimensions; the last bits of a width, from the box's open upper end, don't count
+            dim = max(DIMS, key=lambda d: round((ends[d][1] - ends[d][0]) / scale[d], 6))
+            nodes[k] = Open(dim, *ends[dim], left / total if total else 0.5)
+        cuts = _cuts(points, tree, nodes, tolerance * target)
+        below = {}
+        for k, cut in cuts.items():
+            first, parts, ends = level[k]
+            dim = nodes[k].dim
+            tree.dim[k], tree.cut[k] = dim, cut
+            for side, (at, m) in enumerate(((first, parts // 2), (first + parts // 2, parts - parts // 2))):
+                new = (ends[dim][0], cut) if side == 0 else (cut, ends[dim][1])
+                below[2 * k + side] = (at, m, [*ends[:dim], new, *ends[dim + 1 :]])
+        level = below
+    sent = points.sparkSession.sparkContext.broadcast(tree)
+    at = T.StructType([*points.schema, T.StructField("shard", T.IntegerType())])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = sent.value.shard[sent.value.nodes_of(_places(batch))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard)], names=at.names)
+
+    return points.mapInArrow(placed, at)
 
 
 def numbered(rows: DataFrame, group: str, order: Sequence[str], n_rows: int, per_task: int = 100_000) -> DataFrame:

@@ -351,3 +351,45 @@ def test_toxicity_is_learnt_from_few_rows_of_an_id(spark):
     finally:
         toxicity._logistic = held
     assert seen == [2]
+
+
+def kd_by_hand(rows, caps, scale):
+    """Shards of (size, y0, y1, y2) by splitting at exact weighted quantiles along the widest dimension of each box."""
+    out = {}
+
+    def split(own, first, parts, box):
+        if parts == 1:
+            out.update({i: first for i in own})
+            return
+        total, left = sum(caps[first : first + parts]), sum(caps[first : first + parts // 2])
+        dim = max(range(3), key=lambda d: round((box[d][1] - box[d][0]) / scale[d], 6))
+        order, want, size = sorted(own, key=lambda i: rows[i][1 + dim]), left / total * sum(rows[i][0] for i in own), 0
+        cut = box[dim][1]
+        for i in order:
+            if size + rows[i][0] / 2 >= want:
+                cut = rows[i][1 + dim]
+                break
+            size += rows[i][0]
+        low, high = [list(box) for _ in range(2)]
+        low[dim], high[dim] = (box[dim][0], cut), (cut, box[dim][1])
+        split([i for i in own if rows[i][1 + dim] < cut], first, parts // 2, low)
+        split([i for i in own if rows[i][1 + dim] >= cut], first + parts // 2, parts - parts // 2, high)
+
+    box = [(min(r[1 + d] for r in rows), max(r[1 + d] for r in rows)) for d in range(3)]
+    split(range(len(rows)), 0, len(caps), box)
+    return [out[i] for i in range(len(rows))]
+
+
+def test_the_tree_is_that_of_brute_force(spark):
+    from orrery.llm import sharding
+
+    r = random.Random(12)
+    for n in (1, 2, 5, 12):
+        rows = [(r.randint(1, 50), r.random() * 9, r.random() * 4, r.random()) for _ in range(500)]
+        points = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i long, size long, y0 double, y1 double, y2 double").repartition(3)
+        caps = [r.choice([50.0, 100.0]) for _ in range(n)]
+        frame = spark.createDataFrame(list(enumerate(caps)), "shard int, cap double")
+        scale = [max(x[1 + d] for x in rows) - min(x[1 + d] for x in rows) for d in range(3)]
+        got = {x["i"]: x["shard"] for x in sharding.dealt(shared.Tables(spark), points, frame, n, 100.0, tolerance=0.0).collect()}
+        want = kd_by_hand(rows, caps, scale)
+        assert sum(got[i] != want[i] for i in range(500)) <= n  # rows at a cut
