@@ -203,7 +203,7 @@ def parquet_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("l_double", F.col("l_quantity") * 2)
     path = shared_folder(spark, "parquet")
     columnar.write(rows, path, row_group_bytes=1 << 20)
-    return columnar.read(spark, path, columns=["l_order*", "l_line*", "l_double"])
+    return columnar.read(spark, path, columns=["l_order*", "l_linen*", "l_double"])
 
 
 @query("""SELECT o_custkey AS customer, min(date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT * 86400000000000) AS begin,
