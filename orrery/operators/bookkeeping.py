@@ -113,7 +113,7 @@ def chain_ends(chain: DataFrame) -> DataFrame:
 
 
 def by_type(refs: DataFrame) -> dict[str, DataFrame]:
-    """Refs (dataset_type, ...) of each type. Reads the types' names."""
+    """Refs (dataset_type, ...) of each type. Reads the types' names: as many as the catalogue has types, which the driver knows anyway."""
     names = sorted(r["dataset_type"] for r in refs.select("dataset_type").distinct().collect())
     return {n: refs.where(F.col("dataset_type") == n) for n in names}
 
