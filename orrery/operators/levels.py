@@ -39,8 +39,9 @@ def _dealt(df: DataFrame, cells: Cells, left: bool, levels: Column, held: str) -
 def meetings(left: DataFrame, right: DataFrame, keys: Sequence[str], left_cells: Cells, right_cells: Cells) -> DataFrame:
     """The pairs that are compared, with ``_level``, ``_cell`` and all cells of the two there, ``_left_cells`` and ``_right_cells``.
 
-    Both sides have their own level in ``_own`` and, but for the keys, no name in common.
+    Both sides have their own level in ``_own`` and, but for the keys, no name in common. The sides are sorted, never
+    broadcast: what is estimated of them doesn't know how many cells a row goes to.
     """
     a = _dealt(left, left_cells, True, _levels(right), "_left_cells")
     b = _dealt(right, right_cells, False, _levels(left), "_right_cells")
-    return a.join(b, [*keys, "_level", "_left", "_cell"]).drop("_left")
+    return a.hint("merge").join(b, [*keys, "_level", "_left", "_cell"]).drop("_left")
