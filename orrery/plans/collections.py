@@ -156,25 +156,28 @@ class Collections:
 
 
 def flattened(spark: SparkSession, chain: DataFrame, root: str) -> DataFrame:
-    """(child, rank) of all that is below a chain in depth-first order, by a recursive query over its table (parent, child, position).
+    """(child, rank) of all that is below a chain in depth-first order, from its table (parent, child, position).
 
-    A child in several places has its first one. A chain that is below itself is an error when rows are computed.
+    A child in several places has its first one. A chain that is below itself is an error. Each depth is a join that
+    runs and is kept, with one path of each child, its least there: a least path goes through least paths.
     """
-    first = spark.sql(
-        """
-        WITH RECURSIVE walk(child, path, above) AS (
-          SELECT child, array(position), array(parent, child) FROM {chain} WHERE parent = :root
-          UNION ALL
-          SELECT c.child, concat(w.path, array(c.position)),
-                 CASE WHEN array_contains(w.above, c.child) THEN raise_error(concat(c.child, ' is in a chain below itself'))
-                      ELSE concat(w.above, array(c.child)) END
-          FROM walk w JOIN {chain} c ON c.parent = w.child
-        )
-        SELECT child, min(path) AS path FROM walk WHERE size(above) > 0 GROUP BY child
-        """,
-        args={"root": root},
-        chain=chain,
-    )
+    links = chain.select("parent", F.col("child").alias("_child"), "position")
+    below = F.when(
+        F.array_contains("above", F.col("_child")), F.raise_error(F.concat("_child", F.lit(" is in a chain below itself")))
+    ).otherwise(F.concat("above", F.array("_child")))
+    walk = chain.where(F.col("parent") == F.lit(root)).select("child", F.array("position").alias("path"), F.array("parent", "child").alias("above"))
+    depths: list[DataFrame] = []
+    while True:
+        walk = walk.groupBy("child").agg(F.min(F.struct("path", "above")).alias("_w")).select("child", "_w.*").persist()
+        if walk.isEmpty():
+            break
+        depths.append(walk)
+        joined = walk.join(links, F.col("child") == F.col("parent"))
+        walk = joined.select(F.col("_child").alias("child"), F.concat("path", F.array("position")).alias("path"), below.alias("above"))
+    found = depths[0] if depths else walk
+    for d in depths[1:]:
+        found = found.unionByName(d)
+    first = found.groupBy("child").agg(F.min("path").alias("path"))
     return ordered(first, "path").select("child", F.col("rank").cast("int").alias("rank"))
 
 

@@ -14,3 +14,13 @@ def test_rows_dealt_to_cells_are_never_broadcast(spark):
     a, b = spark.range(50).select("id", row.alias("s")), spark.range(50).select(F.col("id").alias("b"), row.alias("t"))
     pairs = intervals.meetings(a, b, [], "s", "t")
     assert pairs.count() and "BroadcastExchange" not in plan_of(pairs)
+
+
+def test_chains_longer_than_a_recursive_query_may_be(spark):
+    chain = spark.createDataFrame([("top", f"c{k}", k) for k in range(40)] + [(f"c{k}", "d", k) for k in range(40)], "parent string, child string, position int")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "30")
+    try:
+        got = {r["child"]: r["rank"] for r in flattened(spark, chain, "top").collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert got == {"c0": 0, "d": 1} | {f"c{k}": k + 1 for k in range(1, 40)}
