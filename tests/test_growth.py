@@ -24,3 +24,21 @@ def test_chains_longer_than_a_recursive_query_may_be(spark):
     finally:
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
     assert got == {"c0": 0, "d": 1} | {f"c{k}": k + 1 for k in range(1, 40)}
+
+
+def test_pairs_of_unique_rows_are_not_made_distinct(spark):
+    pairs = queries.temporal_join_planned(spark, BASE)
+    assert pairs.count() and "keys=[order" not in plan_of(pairs)
+    assert "Aggregate" in plan_of(queries.dataset_existence(spark, BASE))  # a part has several suppliers' datasets
+
+
+def test_a_table_that_only_has_to_exist_repeats_nothing(spark):
+    found = queries.find_first_fan_out(spark, BASE)
+    want = found.select("part", "supplier").distinct().count()
+    assert found.count() == want and "min(struct" not in plan_of(found)  # no first of repeated rows is looked for
+
+
+def test_pairs_of_few_keys_are_many_tasks_work(spark):
+    pairs = queries.natural_join_customer_supplier(spark, BASE.replace("sf0.001", "sf0.01"))
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 20 and max(sizes) < sum(sizes) / 8
