@@ -7,6 +7,7 @@ type shipment for (part, supplier), in the run named by their return flag.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -72,13 +73,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that one task has of a table that is dealt out.
+EACH = 500_000
+
+
+@functools.lru_cache
+def _rows_in(spark: SparkSession, path: str) -> int:
+    """The rows of a table, from the footers of its files; only what is dealt out by it depends on it."""
+    return spark.read.parquet(path).count()
+
+
+def shares(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """How many partitions a table is dealt to: as many as it needs, and no fewer than are set."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_rows_in(spark, f"{sf_dir}/{name}.parquet") // EACH))
+
+
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One dataset for each part, supplier and run: that of the largest id."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_returnflag").alias("run"), dataset_id()
     )
     # dealt by the data ID, which has hardly more rows than this aggregation: a find-first after it needs no other shuffle
-    lines = lines.repartition("part", "supplier")
+    lines = lines.repartition(shares(spark, sf_dir, "lineitem"), "part", "supplier")
     once = lines.groupBy("part", "supplier", "run").agg(F.max("dataset_id").alias("dataset_id"))
     return once.withColumn("collection", F.col("run"))
 

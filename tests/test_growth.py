@@ -42,3 +42,10 @@ def test_pairs_of_few_keys_are_many_tasks_work(spark):
     pairs = queries.natural_join_customer_supplier(spark, BASE.replace("sf0.001", "sf0.01"))
     sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 20 and max(sizes) < sum(sizes) / 8
+
+
+def test_datasets_are_dealt_to_more_tasks_as_there_are_more(spark, monkeypatch):
+    few = queries.shipments(spark, BASE).rdd.getNumPartitions()
+    monkeypatch.setattr(queries, "EACH", 100)
+    many = queries.shipments(spark, BASE)
+    assert few == 4 and many.rdd.getNumPartitions() == 60 and many.count() == queries.shipments(spark, BASE).count()
