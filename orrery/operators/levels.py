@@ -36,12 +36,21 @@ def _dealt(df: DataFrame, cells: Cells, left: bool, levels: Column, held: str) -
     return rows.withColumn("_cell", F.explode(held))
 
 
-def meetings(left: DataFrame, right: DataFrame, keys: Sequence[str], left_cells: Cells, right_cells: Cells) -> DataFrame:
+def meetings(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_cells: Cells, right_cells: Cells, on: Column | None = None, how: str = "inner"
+) -> DataFrame:
     """The pairs that are compared, with ``_level``, ``_cell`` and all cells of the two there, ``_left_cells`` and ``_right_cells``.
 
-    Both sides have their own level in ``_own`` and, but for the keys, no name in common. The sides are sorted, never
+    ``on`` is a condition that the join itself tests, ``how`` is inner or left_semi. Both sides have their own level in ``_own`` and, but for the keys, no name in common. The sides are sorted, never
     broadcast: what is estimated of them doesn't know how many cells a row goes to.
     """
     a = _dealt(left, left_cells, True, _levels(right), "_left_cells")
     b = _dealt(right, right_cells, False, _levels(left), "_right_cells")
-    return a.hint("merge").join(b, [*keys, "_level", "_left", "_cell"]).drop("_left")
+    shared = [*keys, "_level", "_left", "_cell"]
+    if on is None:
+        return a.hint("merge").join(b, shared, how).drop("_left")
+    if how == "inner":
+        return a.hint("merge").join(b, shared).where(on).drop("_left")
+    theirs = b.withColumnsRenamed({c: f"_their{c}" for c in shared})
+    same = [F.col(f"`{c}`") == F.col(f"`_their{c}`") for c in shared]
+    return a.hint("merge").join(theirs, [*same, on], how).drop("_left")

@@ -150,25 +150,33 @@ def _to_polygon(region: Column, lon: Column, lat: Column) -> Column:
     return F.degrees(_bound(points, measured))
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    """Whether two regions overlap; null if either is. Expressions, but for polygons with polygons or boxes."""
+def _cornered(a: Column, b: Column) -> Column:
+    """Whether a pair is a polygon and a polygon or box, which Python tests."""
+    return (_kind(a, "polygon") & _kind(b, "polygon", "box")) | (_kind(a, "box") & _kind(b, "polygon"))
+
+
+def _plain(a: Column, b: Column) -> Column:
+    """Whether the regions of a pair overlap, by expressions alone; null for what Python tests."""
     r = lambda x: F.when(_kind(x, "circle"), _value(x, 2)).otherwise(F.lit(0.0))
     round_ = lambda x: _kind(x, "circle", "point")
     apart = angle(_value(a, 0), _value(a, 1), _value(b, 0), _value(b, 1))
     turn = F.lit(360.0)
     lons = (F.pmod(_value(b, 0) - _value(a, 0), turn) <= _width(a)) | (F.pmod(_value(a, 0) - _value(b, 0), turn) <= _width(b))
     lats = (_value(a, 1) <= _value(b, 3)) & (_value(b, 1) <= _value(a, 3))
-    polygon = _kind(a, "polygon") | _kind(b, "polygon")
-    simple = (
+    return (
         F.when(round_(a) & round_(b), apart <= r(a) + r(b) + 1e-9)
-        .when(_kind(a, "box") & _kind(b, "box"), lons & lats)
+        .when(_kind(a, "box") & _kind(b, "box"), lats & lons)
         .when(_kind(a, "box") & round_(b), _to_box(a, _value(b, 0), _value(b, 1)) <= r(b) + 1e-10)
         .when(round_(a) & _kind(b, "box"), _to_box(b, _value(a, 0), _value(a, 1)) <= r(a) + 1e-10)
         .when(_kind(a, "polygon") & round_(b), _to_polygon(a, _value(b, 0), _value(b, 1)) <= r(b) + 1e-10)
         .when(round_(a) & _kind(b, "polygon"), _to_polygon(b, _value(a, 0), _value(a, 1)) <= r(a) + 1e-10)
     )
-    polygon = polygon & ~round_(a) & ~round_(b)
-    return F.coalesce(simple, _polygons_overlap(F.when(polygon, a), F.when(polygon, b)))
+
+
+def overlaps(a: Column, b: Column) -> Column:
+    """Whether two regions overlap; null if either is. Expressions, but for polygons with polygons or boxes."""
+    polygon = _cornered(a, b)
+    return F.coalesce(_plain(a, b), _polygons_overlap(F.when(polygon, a), F.when(polygon, b)))
 
 
 def indexed(df: DataFrame, region: str = "region") -> DataFrame:
@@ -279,13 +287,31 @@ def _levelled(df: DataFrame, region: str, extent: str) -> DataFrame:
     return live.withColumn("_own", _own_level(F.col(extent)))
 
 
-def meetings(left: DataFrame, right: DataFrame, left_region: str, right_region: str, keys: list[str]) -> DataFrame:
-    """The pairs that share a cell, each once."""
+def _near(x: Column, y: Column) -> Column:
+    """Whether two extents may touch: by latitude, and by longitude but for those about a pole."""
+    lats = (x["low"] <= y["high"] + 1e-8) & (y["low"] <= x["high"] + 1e-8)
+    about = lambda a, b: F.pmod(b["first"] - a["first"] + 1e-6, F.lit(360.0)) <= a["width"] + 2e-6
+    polar = (F.greatest(x["high"], y["high"]) > 89) | (F.least(x["low"], y["low"]) < -89)
+    return lats & (about(x, y) | about(y, x) | polar)
+
+
+def _met(left: DataFrame, right: DataFrame, left_region: str, right_region: str, keys: list[str], test: Column, how: str = "inner") -> DataFrame:
+    """The pairs that share a cell and pass ``test``, each once; or the left rows of such, once for each cell that has one."""
     cells = lambda extent: lambda k: _cells(F.col(extent), k)
     a, b = _levelled(left, left_region, "_left_extent"), _levelled(right, right_region, "_right_extent")
-    pairs = levels.meetings(a, b, keys, cells("_left_extent"), cells("_right_extent"))
-    least = F.array_min(F.array_intersect("_left_cells", "_right_cells"))
-    return pairs.where(F.col("_cell") == least).drop("_level", "_cell", "_left_cells", "_right_cells", "_left_extent", "_right_extent")
+    x, y = F.col("_left_extent"), F.col("_right_extent")
+    near, least = _near(x, y), F.col("_cell") == F.array_min(F.array_intersect("_left_cells", "_right_cells"))
+    # the cheap test comes first, apart from the others: most pairs of a cell fail it
+    on = near if how == "inner" else F.when(near, test)
+    pairs = levels.meetings(a, b, keys, cells("_left_extent"), cells("_right_extent"), on, how)
+    if how == "inner":
+        pairs = pairs.where(F.when(test, least))
+    return pairs.drop("_level", "_cell", "_left_cells", "_right_cells", "_left_extent", "_right_extent")
+
+
+def meetings(left: DataFrame, right: DataFrame, left_region: str, right_region: str, keys: list[str]) -> DataFrame:
+    """The pairs that share a cell and whose bounds touch, each once."""
+    return _met(left, right, left_region, right_region, keys, F.lit(True))
 
 
 def join(
@@ -294,10 +320,32 @@ def join(
     """Pairs with equal ``keys`` whose regions overlap; the columns of both, whose other names must differ.
 
     ``exact`` replaces the test, where columns can tell. A null region overlaps nothing.
+    Polygons that meet polygons or boxes are joined apart, so that no other pair passes through Python.
+    """
+    a, b = F.col(f"`{left_region}`"), F.col(f"`{right_region}`")
+    if exact is not None:
+        return meetings(left, right, left_region, right_region, keys or []).where(exact)
+    plain = ~_cornered(a, b) & F.coalesce(_plain(a, b), F.lit(True))
+    out = _met(left, right, left_region, right_region, keys or [], plain)
+    for ours, theirs in (("polygon",), ("polygon", "box")), (("box",), ("polygon",)):
+        pairs = meetings(left.where(_kind(a, *ours)), right.where(_kind(b, *theirs)), left_region, right_region, keys or [])
+        out = out.unionByName(pairs.where(F.coalesce(_polygons_overlap(a, b), F.lit(True))))
+    return out
+
+
+def matched(left: DataFrame, right: DataFrame, left_region: str, right_region: str, where: Column, keys: list[str] | None = None) -> DataFrame:
+    """The left rows that overlap a right one with equal ``keys`` so that ``where``, a condition on both, holds; repeated, for a projection.
+
+    A row of a cell is done with at its first match: crowded places cost no pairs.
     """
     a, b = F.col(f"`{left_region}`"), F.col(f"`{right_region}`")
-    test = F.coalesce(overlaps(a, b), F.lit(True)) if exact is None else exact
-    return meetings(left, right, left_region, right_region, keys or []).where(test)
+    plain = F.when(where, ~_cornered(a, b) & F.coalesce(_plain(a, b), F.lit(True)))
+    out = _met(left, right, left_region, right_region, keys or [], plain, "left_semi")
+    for ours, theirs in (("polygon",), ("polygon", "box")), (("box",), ("polygon",)):
+        pairs = meetings(left.where(_kind(a, *ours)), right.where(_kind(b, *theirs)), left_region, right_region, keys or [])
+        pairs = pairs.where(where).where(F.coalesce(_polygons_overlap(a, b), F.lit(True)))
+        out = out.unionByName(pairs.select(*(F.col(f"`{c}`") for c in left.columns)))
+    return out
 
 
 def pixel_union(df: DataFrame, keys: list[str], region: str = "region") -> DataFrame:

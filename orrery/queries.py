@@ -512,23 +512,22 @@ PAIRS_SQL = f"""SELECT a.vec_id AS a, b.vec_id AS b FROM ({BOXES_SQL}) a JOIN ({
 ON a.vec_id < b.vec_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"""
 
 
-def _box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _box_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = _points(spark, sf_dir)
     # longitudes are shifted by 180, away from the meridian, where the test table has points on both sides
     x, y = F.col("lon") + 180, F.col("lat")
     made = rg.box(x - 0.5, y - 0.25, x + 0.5, y + 0.25)
-    a, b = p.select(F.col("vec_id").alias("a"), made.alias("ra")), p.select(F.col("vec_id").alias("b"), made.alias("rb"))
-    return spatial.join(a, b, "ra", "rb").where("a < b").select("a", "b")
+    return p.select(F.col("vec_id").alias("a"), made.alias("ra")), p.select(F.col("vec_id").alias("b"), made.alias("rb"))
 
 
 @query(PAIRS_SQL)
 def spatial_join_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _box_pairs(spark, sf_dir)
+    return spatial.join(*_box_sides(spark, sf_dir), "ra", "rb").where("a < b").select("a", "b")
 
 
 @query(f"SELECT DISTINCT a FROM ({PAIRS_SQL})")
 def projected_overlap_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.project(_box_pairs(spark, sf_dir), ["a"])
+    return ops.project(spatial.matched(*_box_sides(spark, sf_dir), "ra", "rb", F.col("a") < F.col("b")), ["a"])
 
 
 # ---------------------------------------------------------------- writes

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from orrery import queries
-from orrery.functions import timespan as ts
-from orrery.operators import intervals
+from orrery.functions import region as rg, timespan as ts
+from orrery.operators import intervals, spatial
 from orrery.plans.collections import flattened
 from tests.test_planner import BASE, plan_of
 
@@ -49,3 +49,20 @@ def test_datasets_are_dealt_to_more_tasks_as_there_are_more(spark, monkeypatch):
     monkeypatch.setattr(queries, "EACH", 100)
     many = queries.shipments(spark, BASE)
     assert few == 4 and many.rdd.getNumPartitions() == 60 and many.count() == queries.shipments(spark, BASE).count()
+
+
+def test_pairs_of_boxes_never_pass_through_python(spark):
+    for name in ("spatial_join_written", "spatial_join_boxes", "projected_overlap_any"):
+        assert "ArrowEvalPython" not in plan_of(queries.QUERIES[name](spark, BASE))
+
+
+def test_regions_of_all_kinds_are_joined_and_matched(spark):
+    made = [rg.Region.point(10, 10), rg.Region.circle(11, 10, 2), rg.Region.box(10, 10, 3, 2), rg.Region.box(40, 89.9, 20, 0.2), rg.Region.circle(200, 89.5, 1),
+            rg.Region.polygon([(9, 9), (12, 9), (12, 12)]), rg.Region.polygon([(11, 8), (14, 8), (12, 11)]), rg.Region.box(359.9, 0, 1, 1), rg.Region.point(0.2, 0.1)]
+    a = spark.createDataFrame([(i, (r.kind, list(r.values))) for i, r in enumerate(made)], "a long, ra struct<kind: string, values: array<double>>")
+    b = a.select(F.col("a").alias("b"), F.col("ra").alias("rb"))
+    want = {(i, j) for i, x in enumerate(made) for j, y in enumerate(made) if x.overlaps(y)}
+    got = [tuple(r) for r in spatial.join(a, b, "ra", "rb").select("a", "b").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    less = {tuple(r)[0] for r in spatial.matched(a, b, "ra", "rb", F.col("a") < F.col("b")).select("a").collect()}
+    assert less == {i for i, j in want if i < j}
