@@ -122,7 +122,8 @@ def calibration_lookup(
     once = rows.groupBy(*rows.columns).agg(F.count("*").alias("_times"))
     instant = dict(rows.dtypes)[at] == "bigint"
     spans = once.withColumn("_lookup_at", ts.span(F.col(at), F.col(at) + 1) if instant else F.col(at))
-    found = overlap_join(spans, calibrations, keys, "_lookup_at", validity).drop("_lookup_at")
+    # an instant is shorter than any range, so it goes to every level of them, while few ranges of a key hold or neighbour it
+    found = overlap_join(spans, calibrations, keys, "_lookup_at", validity, 4 if instant else 1).drop("_lookup_at")
     if check:
         others = [c for c in calibrations.columns if c not in keys]
         one = F.when(F.count("*") == 1, F.first(F.struct(*others))).otherwise(

@@ -19,36 +19,37 @@ from orrery.operators import levels
 TOP = 62
 
 
-def own_level(span: Column) -> Column:
-    """The least k, but for rounding, so that the span is no longer than 2^k."""
+def own_level(span: Column, step: int = 1) -> Column:
+    """The least k of the multiples of ``step``, but for rounding, so that the span is no longer than 2^k."""
     length = F.greatest(span["end"] - span["begin"], F.lit(1)).cast("double")
-    return F.least(F.ceil(F.log2(length)).cast("int"), F.lit(TOP))
+    return F.least((F.ceil(F.log2(length) / step) * step).cast("int"), F.lit(TOP))
 
 
 def _shift(time: Column, level: Column) -> Column:
     return F.call_function("shiftright", time, level)
 
 
-def _live(df: DataFrame, span: str) -> DataFrame:
+def _live(df: DataFrame, span: str, step: int) -> DataFrame:
     """Rows with a span that is neither null nor empty, and its level."""
-    return df.where(F.col(span).isNotNull() & ~ts.is_empty(F.col(span))).withColumn("_own", own_level(F.col(span)))
+    return df.where(F.col(span).isNotNull() & ~ts.is_empty(F.col(span))).withColumn("_own", own_level(F.col(span), step))
 
 
-def meetings(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: str, right_span: str) -> DataFrame:
+def meetings(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: str, right_span: str, step: int = 1) -> DataFrame:
     """The pairs that are compared."""
     buckets = lambda s: lambda k: F.sequence(_shift(F.col(s)["begin"], k), _shift(F.col(s)["end"] - 1, k))
-    pairs = levels.meetings(_live(left, left_span), _live(right, right_span), keys, buckets(left_span), buckets(right_span))
+    pairs = levels.meetings(_live(left, left_span, step), _live(right, right_span, step), keys, buckets(left_span), buckets(right_span))
     return pairs.drop("_left_cells", "_right_cells")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: str, right_span: str) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: str, right_span: str, step: int = 1) -> DataFrame:
     """Pairs with equal keys whose spans overlap. Empty and null spans overlap nothing; repeated rows give repeated pairs.
 
+    With a ``step`` there are fewer levels, so that a short span goes to fewer of them, and meets up to 2^step times as many in each.
     Spans of one name are those of the left side in the result.
     """
     same = left_span == right_span
     right = right.withColumnRenamed(right_span, "_right") if same else right.withColumn("_right", F.col(right_span))
-    pairs = meetings(left, right, keys, left_span, "_right")
+    pairs = meetings(left, right, keys, left_span, "_right", step)
     a, b = F.col(left_span), F.col("_right")
     once = F.col("_cell") == _shift(F.greatest(a["begin"], b["begin"]), F.col("_level"))
     return pairs.where(ts.overlaps(a, b) & once).drop("_level", "_cell", "_right")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from orrery import queries
 from orrery.functions import region as rg, timespan as ts
-from orrery.operators import intervals, spatial
+from orrery.operators import catalog as ops, intervals, spatial
 from orrery.plans.collections import flattened
 from tests.test_planner import BASE, plan_of
 
@@ -66,3 +66,16 @@ def test_regions_of_all_kinds_are_joined_and_matched(spark):
     assert len(got) == len(set(got)) and set(got) == want
     less = {tuple(r)[0] for r in spatial.matched(a, b, "ra", "rb", F.col("a") < F.col("b")).select("a").collect()}
     assert less == {i for i, j in want if i < j}
+
+
+def test_instants_go_to_few_levels_of_ranges(spark):
+    day = ts.DAY
+    days = [0, 1, 3, 7, 20, 60, 200, 700, 3000, 9000]  # ranges of all lengths, the last of which is unbounded
+    begins = spark.createDataFrame([(1, d * day, d) for d in days], "k int, begin long, tie long")
+    ranges = ops.validity_ranges(begins, ["k"], "begin", "tie").select("k", "tie", "validity")
+    at = [0, 1, 2, 6, 7, 59, 60, 699, 8999, 9000, 20000]
+    rows = spark.createDataFrame([(1, d * day) for d in at], "k int, t long")
+    got = {r["t"] // day: r["tie"] for r in ops.calibration_lookup(rows, ranges, ["k"], "t").collect()}
+    assert got == {d: max(x for x in days if x <= d) for d in at}
+    levels = lambda step: ranges.select(intervals.own_level(F.col("validity"), step)).distinct().count()
+    assert levels(4) <= 5 < levels(1)
