@@ -274,12 +274,11 @@ def refreshed(summary: DataFrame, tags: DataFrame, calibs: DataFrame) -> DataFra
     return summary.join(there, ["collection", "dataset_type"], "left_semi")
 
 
-def associations(tags: DataFrame, calibs: DataFrame) -> DataFrame:
-    """(dataset_id, collection, validity) of all tags, unbounded, and calibrations."""
+def associations(tags: DataFrame, calibs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(dataset_id, collection, validity) of all tags, unbounded, and calibrations; dealt by id to ``partitions``, if said."""
     whole = ts.Timespan().column()
-    return tags.select("dataset_id", "collection", whole.alias("validity")).unionByName(
-        calibs.select("dataset_id", "collection", "validity")
-    ).distinct()
+    both = tags.select("dataset_id", "collection", whole.alias("validity")).unionByName(calibs.select("dataset_id", "collection", "validity"))
+    return (both if partitions is None else both.repartition(partitions, "dataset_id")).distinct()
 
 
 # ---------------------------------------------------------------- sets of data IDs

@@ -240,13 +240,18 @@ def record(catalog: Catalog, element: str, data_id: Mapping[str, Any]):
     return df.first()
 
 
-def refs_by_id(catalog: Catalog, ids: DataFrame, types: str | Sequence[str] = "*") -> DataFrame:
-    """dataset_id, dataset_type, run and data_id (JSON) of the datasets with these ids (a column dataset_id)."""
+def refs_by_id(catalog: Catalog, ids: DataFrame, types: str | Sequence[str] = "*", partitions: int | None = None) -> DataFrame:
+    """dataset_id, dataset_type, run and data_id (JSON) of the datasets with these ids (a column dataset_id).
+
+    Both sides are dealt by id to ``partitions``, if said.
+    """
+    dealt = lambda df: df if partitions is None else df.repartition(partitions, "dataset_id")
     out = None
     for name in catalog.query_types(types):
         keys = _keys(catalog, name)
-        wanted = ids.select("dataset_id").distinct()
-        found = catalog.types[name].frame.where(F.col("collection") == F.col("run")).join(wanted, "dataset_id", "left_semi")
+        wanted = dealt(ids.select("dataset_id")).distinct()
+        held = catalog.types[name].frame.where(F.col("collection") == F.col("run"))
+        found = dealt(held.select("dataset_id", "run", *keys)).join(wanted, "dataset_id", "left_semi")
         part = found.select(F.col("dataset_id").cast("string").alias("dataset_id"), F.lit(name).alias("dataset_type"), "run", F.to_json(F.struct(*keys)).alias("data_id"))
         out = part if out is None else out.unionByName(part)
     if out is None:

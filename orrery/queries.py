@@ -486,7 +486,7 @@ def upload_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION SELECT o_orderkey, 'calib', begin, "end" FROM ({RANGES_SQL})""")
 def associations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     calibs = _ranges(spark, sf_dir).select(F.col("o_orderkey").alias("dataset_id"), F.lit("calib").alias("collection"), "validity")
-    got = ops.associations(shipments(spark, sf_dir), calibs)
+    got = ops.associations(shipments(spark, sf_dir), calibs, shares(spark, sf_dir, "lineitem"))
     return got.select("dataset_id", "collection", "validity.begin", "validity.end")
 
 
@@ -757,7 +757,7 @@ def refs_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir)
     wanted = shipments(spark, sf_dir).where("supplier % 7 = 0").select("dataset_id")
     wanted = wanted.union(table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_orderkey").alias("dataset_id")))
-    return datasets.refs_by_id(c, wanted).select("dataset_id", "dataset_type", "run")
+    return datasets.refs_by_id(c, wanted, partitions=shares(spark, sf_dir, "lineitem")).select("dataset_id", "dataset_type", "run")
 
 
 @query("""SELECT o_orderkey AS "order", date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT * 86400000000000 AS begin,

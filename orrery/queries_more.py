@@ -11,7 +11,7 @@ from orrery.functions import pixels as px, region as rg, times, timespan as ts
 from orrery.operators import catalog as ops, datasets, obscore, transfer
 from orrery.plans.query import Catalog, DatasetType, all_datasets
 from orrery.plans.universe import Element, Universe
-from orrery.queries import DAY, ID_SQL, ORACLES, POINTS_SQL, QUERIES, SHIPPED_SQL, _points, catalog, dataset_id, nsec, query, shipments, table
+from orrery.queries import DAY, ID_SQL, ORACLES, POINTS_SQL, QUERIES, SHIPPED_SQL, _points, catalog, dataset_id, nsec, query, shares, shipments, table
 
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -165,8 +165,9 @@ HAVING max(l_shipdate) >= TIMESTAMP '1997-07-01' AND max(l_shipdate) < TIMESTAMP
 def where_ingest_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Datasets by when they came in: timestamps of UTC against literals, across two leap seconds."""
     c = catalog(spark, sf_dir)
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
-    rows = lines.agg(F.max("l_shipdate").cast("timestamp_ntz").alias("ingest_date"), F.max(dataset_id()).alias("dataset_id"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), "l_shipdate", dataset_id())
+    lines = lines.repartition(shares(spark, sf_dir, "lineitem"), "part", "supplier").groupBy("part", "supplier")
+    rows = lines.agg(F.max("l_shipdate").cast("timestamp_ntz").alias("ingest_date"), F.max("dataset_id").alias("dataset_id"))
     c.register(DatasetType("arrival", ("part", "supplier"), rows.withColumns({"run": F.lit("A"), "collection": F.lit("A")})))
     q = c.query().join_dataset_search("arrival", "A").where("arrival.ingest_date >= T'1997-07-01' AND arrival.ingest_date < T'1999-01-01'")
     found = q.general(["part", "supplier"], dataset_fields={"arrival": ["ingest_date"]}, collections={"arrival": ["A"]}, find_first=False)
@@ -214,7 +215,7 @@ def update_rows_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT part, supplier, dataset_id, run FROM ({SHIPPED_SQL}) QUALIFY row_number() OVER (PARTITION BY part, supplier ORDER BY CASE run WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) = 1")
 def find_first_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A find-first search of a type that is stored by collection and data ID: no shuffle after the scan."""
-    c = datasets.stored(catalog(spark, sf_dir), "shipment", f"shipment_{uuid.uuid4().hex}", buckets=8)
+    c = datasets.stored(catalog(spark, sf_dir), "shipment", f"shipment_{uuid.uuid4().hex}", buckets=shares(spark, sf_dir, "lineitem"))
     return c.query().datasets("shipment", "all").frame()
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from orrery import queries
+from orrery import queries, queries_results
 from orrery.functions import region as rg, timespan as ts
 from orrery.operators import catalog as ops, intervals, spatial
 from orrery.plans.collections import flattened
@@ -79,3 +79,9 @@ def test_instants_go_to_few_levels_of_ranges(spark):
     assert got == {d: max(x for x in days if x <= d) for d in at}
     levels = lambda step: ranges.select(intervals.own_level(F.col("validity"), step)).distinct().count()
     assert levels(4) <= 5 < levels(1)
+
+
+def test_results_of_large_tables_are_dealt_to_more_tasks_as_there_are_more(spark, monkeypatch):
+    monkeypatch.setattr(queries, "EACH", 100)
+    for name in ("associations_query", "refs_by_id", "where_ingest_date", "find_first_stored"):
+        assert queries_results.QUERIES[name](spark, BASE).rdd.getNumPartitions() >= 60, name
