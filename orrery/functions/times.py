@@ -94,11 +94,15 @@ def _starts() -> list[tuple[int, int, int]]:
 
 
 def tai_of(utc: Column) -> Column:
-    """TAI nanoseconds of a column of UTC nanoseconds since 1970."""
-    offset = F.lit(10)
-    for start, _, seconds in _starts():
-        offset = F.when(utc >= start, F.lit(seconds)).otherwise(offset)
-    return utc + offset.cast("long") * 1_000_000_000
+    """TAI nanoseconds of a column of UTC nanoseconds since 1970, which is computed once."""
+
+    def shifted(t: Column) -> Column:
+        offset = F.lit(10)
+        for start, _, seconds in _starts():
+            offset = F.when(t >= start, F.lit(seconds)).otherwise(offset)
+        return t + offset.cast("long") * 1_000_000_000
+
+    return F.transform(F.array(utc), shifted)[0]
 
 
 def utc_of(tai: Column) -> Column:

@@ -85,3 +85,7 @@ def test_results_of_large_tables_are_dealt_to_more_tasks_as_there_are_more(spark
     monkeypatch.setattr(queries, "EACH", 100)
     for name in ("associations_query", "refs_by_id", "where_ingest_date", "find_first_stored"):
         assert queries_results.QUERIES[name](spark, BASE).rdd.getNumPartitions() >= 60, name
+
+
+def test_times_of_a_condition_are_computed_once(spark):
+    assert plan_of(queries_results.QUERIES["where_ingest_date"](spark, BASE)).count("secondwithfraction") <= 4
