@@ -129,7 +129,9 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         names.register(run, Kind.RUN)
     names.register("all", Kind.CHAINED)
     names.redefine("all", ["R", "A", "N"])
-    out = Catalog(UNIVERSE, elements, collections=names)
+    tasks = {"part": "lineitem", "supplier": "lineitem", "customer": "orders"}  # the largest table that looks up each
+    tasks = {k: n for k, name in tasks.items() if (n := shares(spark, sf_dir, name)) > int(spark.conf.get("spark.sql.shuffle.partitions"))}
+    out = Catalog(UNIVERSE, elements, collections=names, tasks=tasks)
     out.register(DatasetType("shipment", ("part", "supplier"), shipments(spark, sf_dir)))
     out.register(
         DatasetType("invoice", ("order",), order.select(F.col("o_orderkey").alias("order"), F.col("o_orderkey").alias("dataset_id"), F.lit("A").alias("run"), F.lit("A").alias("collection")))

@@ -1,5 +1,7 @@
 """Steps whose cost must not outgrow their input: joins, chains and results of large tables, on small ones."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from orrery import queries, queries_results
@@ -89,3 +91,21 @@ def test_results_of_large_tables_are_dealt_to_more_tasks_as_there_are_more(spark
 
 def test_times_of_a_condition_are_computed_once(spark):
     assert plan_of(queries_results.QUERIES["where_ingest_date"](spark, BASE)).count("secondwithfraction") <= 4
+
+
+def _looked_up(spark, monkeypatch, name):
+    """The rows of a query whose element tables are too large to broadcast, those without any change, and the tasks of its joins by part."""
+    want = sorted(map(tuple, queries_results.QUERIES[name](spark, BASE).collect()))
+    monkeypatch.setattr(queries, "EACH", 100)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = queries_results.QUERIES[name](spark, BASE)
+        return sorted(map(tuple, found.collect())), want, {int(n) for n in re.findall(r"hashpartitioning\(part#\d+L?, (\d+)\)", plan_of(found))}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_records_of_many_datasets_are_looked_up_by_many_tasks(spark, monkeypatch):
+    got, want, tasks = _looked_up(spark, monkeypatch, "datasets_with_records")
+    assert got == want and tasks == {60}
