@@ -109,3 +109,8 @@ def _looked_up(spark, monkeypatch, name):
 def test_records_of_many_datasets_are_looked_up_by_many_tasks(spark, monkeypatch):
     got, want, tasks = _looked_up(spark, monkeypatch, "datasets_with_records")
     assert got == want and tasks == {60}
+
+
+def test_a_condition_on_a_large_table_is_tested_by_many_tasks(spark, monkeypatch):
+    got, want, tasks = _looked_up(spark, monkeypatch, "find_first_where_limit")
+    assert got == want and tasks == {60}
