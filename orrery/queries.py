@@ -130,7 +130,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     names.register("all", Kind.CHAINED)
     names.redefine("all", ["R", "A", "N"])
     tasks = {"part": "lineitem", "supplier": "lineitem", "customer": "orders"}  # the largest table that looks up each
-    tasks = {k: n for k, name in tasks.items() if (n := shares(spark, sf_dir, name)) > int(spark.conf.get("spark.sql.shuffle.partitions"))}
+    large = [k for k in tasks if _rows_in(spark, f"{sf_dir}/{k}.parquet") > EACH]  # others are broadcast
+    tasks = {k: n for k in large if (n := shares(spark, sf_dir, tasks[k])) > int(spark.conf.get("spark.sql.shuffle.partitions"))}
     out = Catalog(UNIVERSE, elements, collections=names, tasks=tasks)
     out.register(DatasetType("shipment", ("part", "supplier"), shipments(spark, sf_dir)))
     out.register(
