@@ -110,6 +110,33 @@ def validity_ranges(df: DataFrame, keys: Sequence[str], begin: str, tie: str) ->
     return first.withColumn("validity", ts.span(F.col(begin), F.coalesce(following, F.lit(ts.MAX_NSEC))))
 
 
+#: The most ranges and rows that a key has in one place in a lookup.
+FEW, BUSY = 64, 500_000
+
+
+def _by_levels(spans: DataFrame, calibrations: DataFrame, keys: Sequence[str], validity: str, check: bool, step: int) -> DataFrame:
+    """The ``_found`` of each row whose ``_lookup_at`` it overlaps, dealt out by time."""
+    columns = [c for c in spans.columns if c != "_lookup_at"]
+    others = [c for c in calibrations.columns if c not in keys]
+    # an instant is shorter than any range, so it goes to every level of them, while few ranges of a key hold or neighbour it
+    found = overlap_join(spans, calibrations, keys, "_lookup_at", validity, step).withColumn("_found", F.struct(*others))
+    if not check:
+        return found.select(*columns, "_found")
+    one = F.when(F.count("*") == 1, F.first("_found")).otherwise(F.raise_error(F.lit("more than one calibration is valid")))
+    return found.groupBy(*columns).agg(one.alias("_found"))
+
+
+def _by_key(spans: DataFrame, live: DataFrame, keys: Sequence[str], validity: str, check: bool) -> DataFrame:
+    """The same where keys have few ranges: these are a list, which a row meets once."""
+    columns = [c for c in spans.columns if c != "_lookup_at"]
+    held = live.groupBy(*keys).agg(F.collect_list(F.struct(*(c for c in live.columns if c not in keys))).alias("_held"))
+    found = F.filter("_held", lambda h: ts.overlaps(h[validity], F.col("_lookup_at")))
+    if check:
+        failed = F.raise_error(F.lit("more than one calibration is valid"))
+        found = F.get(F.transform(F.array(found), lambda f: F.when(F.size(f) <= 1, f).otherwise(failed)), F.lit(0))
+    return spans.join(held, list(keys)).select(*columns, F.explode(found).alias("_found"))
+
+
 def calibration_lookup(
     rows: DataFrame, calibrations: DataFrame, keys: Sequence[str], at: str, validity: str = "validity", check: bool = True
 ) -> DataFrame:
@@ -117,22 +144,29 @@ def calibration_lookup(
 
     With ``check`` a computed row fails if two calibrations match. Rows without one
     drop out; rows that are there repeatedly come back as often, looked up once. A key
-    of very many rows or ranges is dealt out by time.
+    of more than FEW ranges or BUSY rows is dealt out by time, others are looked up by key alone.
     """
-    once = rows.groupBy(*rows.columns).agg(F.count("*").alias("_times"))
     instant = dict(rows.dtypes)[at] == "bigint"
-    spans = once.withColumn("_lookup_at", ts.span(F.col(at), F.col(at) + 1) if instant else F.col(at))
-    # an instant is shorter than any range, so it goes to every level of them, while few ranges of a key hold or neighbour it
-    found = overlap_join(spans, calibrations, keys, "_lookup_at", validity, 4 if instant else 1).drop("_lookup_at")
-    if check:
-        others = [c for c in calibrations.columns if c not in keys]
-        one = F.when(F.count("*") == 1, F.first(F.struct(*others))).otherwise(
-            F.raise_error(F.lit("more than one calibration is valid"))
-        )
-        found = found.groupBy(*rows.columns, "_times").agg(one.alias("_found"))
-        found = found.select(*rows.columns, "_times", *(F.col("_found")[c].alias(c) for c in others))
+    span, step = (ts.span(F.col(at), F.col(at) + 1), 4) if instant else (F.col(at), 1)
+    # all that the joins below would infer goes first: what is made of the rows is then made of the same ones, which are shuffled once
+    keyed = lambda df: df.dropna(subset=list(keys)) if keys else df
+    there = lambda df, s: keyed(df).where(s.isNotNull() & s["begin"].isNotNull() & s["end"].isNotNull() & ~ts.is_empty(s))
+    live = there(calibrations, F.col(validity))
+    once = there(rows, span).groupBy(*rows.columns).agg(F.count("*").alias("_times"))
+    spans = once.withColumn("_lookup_at", span)
+    if not keys:
+        found = _by_levels(spans, live, keys, validity, check, step)
+    else:
+        crowded = live.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).select(*keys)
+        busy = once.groupBy(*keys).agg(F.sum("_times").alias("_n")).where(F.col("_n") > BUSY).select(*keys)
+        # dealt once more, as a stage of its own: Spark sees how few keys these are, mostly none, before it joins with them
+        many = crowded.unionByName(busy).distinct().repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        of = lambda df, how: df.join(many, list(keys), how)
+        found = _by_key(of(spans, "left_anti"), of(live, "left_anti"), keys, validity, check)
+        found = found.unionByName(_by_levels(of(spans, "left_semi"), of(live, "left_semi"), keys, validity, check, step))
     again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))
-    return found.withColumn("_times", again).drop("_times")
+    others = [F.col("_found")[c].alias(c) for c in calibrations.columns if c not in keys]
+    return found.select(*rows.columns, "_times", *others).withColumn("_times", again).drop("_times")
 
 
 def certify(existing: DataFrame, new: DataFrame, keys: Sequence[str], validity: str = "validity") -> DataFrame:

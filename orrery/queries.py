@@ -54,9 +54,19 @@ UNIVERSE = Universe(
 
 
 
-def dataset_id():
-    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return ((line * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")).alias("dataset_id")
+@functools.lru_cache
+def _id_kind(spark: SparkSession, path: str) -> str:
+    """bigint, as in SQL. Where an id of the table doesn't fit, so that SQL fails, a decimal that holds it."""
+    line = F.col("l_orderkey").cast("double") * 8 + F.col("l_linenumber")
+    about = F.abs((line * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey"))
+    largest = spark.read.parquet(path).agg(F.max(about)).first()[0]
+    return "bigint" if (largest or 0) < 2.0**63 - 2**13 else "decimal(38,0)"  # but for rounding
+
+
+def dataset_id(spark: SparkSession, sf_dir: str):
+    kind = _id_kind(spark, f"{sf_dir}/lineitem.parquet")
+    line = F.col("l_orderkey").cast(kind) * 8 + F.col("l_linenumber")
+    return ((line * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")).cast(kind).alias("dataset_id")
 
 
 ID_SQL = "((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey"
@@ -88,10 +98,16 @@ def shares(spark: SparkSession, sf_dir: str, name: str) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_rows_in(spark, f"{sf_dir}/{name}.parquet") // EACH))
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, *keys: str) -> DataFrame:
+    """Rows as many as a table's, dealt by keys to as many partitions as it needs, if these are more than are set."""
+    n = shares(spark, sf_dir, name)
+    return df.repartition(n, *keys) if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One dataset for each part, supplier and run: that of the largest id."""
     lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_returnflag").alias("run"), dataset_id()
+        F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_returnflag").alias("run"), dataset_id(spark, sf_dir)
     )
     # dealt by the data ID, which has hardly more rows than this aggregation: a find-first after it needs no other shuffle
     lines = lines.repartition(shares(spark, sf_dir, "lineitem"), "part", "supplier")
@@ -367,8 +383,11 @@ date_diff('day', DATE '1970-01-01', l_shipdate::DATE)::BIGINT * 86400000000000 A
 SELECT DISTINCT dataset_id, l.o_custkey, t, r.o_orderkey FROM l JOIN r ON l.o_custkey = r.o_custkey AND r.begin <= t AND r.end > t""")
 def calib_lookup_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", dataset_id(), nsec("l_shipdate").alias("t"))
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("dataset_id", "o_custkey", "t").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", dataset_id(spark, sf_dir), nsec("l_shipdate").alias("t"))
+    lines = dealt(spark, sf_dir, "lineitem", lines, "l_orderkey")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("dataset_id", "o_custkey", "t")
+    # dealt by the key of the lookup, which needs no other shuffle of them
+    rows = rows.repartition(shares(spark, sf_dir, "lineitem"), "o_custkey").distinct()
     return ops.calibration_lookup(rows, _ranges(spark, sf_dir), ["o_custkey"], "t").select("dataset_id", "o_custkey", "t", "o_orderkey")
 
 

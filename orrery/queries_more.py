@@ -165,7 +165,7 @@ HAVING max(l_shipdate) >= TIMESTAMP '1997-07-01' AND max(l_shipdate) < TIMESTAMP
 def where_ingest_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Datasets by when they came in: timestamps of UTC against literals, across two leap seconds."""
     c = catalog(spark, sf_dir)
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), "l_shipdate", dataset_id())
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), "l_shipdate", dataset_id(spark, sf_dir))
     lines = lines.repartition(shares(spark, sf_dir, "lineitem"), "part", "supplier").groupBy("part", "supplier")
     rows = lines.agg(F.max("l_shipdate").cast("timestamp_ntz").alias("ingest_date"), F.max("dataset_id").alias("dataset_id"))
     c.register(DatasetType("arrival", ("part", "supplier"), rows.withColumns({"run": F.lit("A"), "collection": F.lit("A")})))
@@ -228,7 +228,7 @@ def datasets_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two types with the same dimensions in the same runs: one group."""
     c = catalog(spark, sf_dir)
     lines = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(
-        F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_returnflag").alias("run"), dataset_id()
+        F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_returnflag").alias("run"), dataset_id(spark, sf_dir)
     )
     heavy = lines.groupBy("part", "supplier", "run").agg(F.max("dataset_id").alias("dataset_id")).withColumn("collection", F.col("run"))
     c.register(DatasetType("heavy", ("part", "supplier"), heavy))

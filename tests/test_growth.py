@@ -114,3 +114,34 @@ def test_records_of_many_datasets_are_looked_up_by_many_tasks(spark, monkeypatch
 def test_a_condition_on_a_large_table_is_tested_by_many_tasks(spark, monkeypatch):
     got, want, tasks = _looked_up(spark, monkeypatch, "find_first_where_limit")
     assert got == want and tasks == {60}
+
+
+def test_ids_beyond_64_bits_are_held(spark, tmp_path):
+    far = 50_000_000
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        spark.read.parquet(f"{BASE}/{name}.parquet").withColumn(key, F.col(key) + far).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = queries.calib_lookup_shipments(spark, str(tmp_path)).collect()
+    want = queries.calib_lookup_shipments(spark, BASE).collect()
+    moved = sorted((r["dataset_id"] + far * 800_000_000_000, r["o_custkey"], r["t"], r["o_orderkey"] + far) for r in want)
+    assert sorted((int(r["dataset_id"]), r["o_custkey"], r["t"], r["o_orderkey"]) for r in got) == moved
+    assert max(moved)[0] > 2**63 and dict(queries.calib_lookup_shipments(spark, BASE).dtypes)["dataset_id"] == "bigint"
+    assert queries.shipments(spark, str(tmp_path)).agg(F.max("dataset_id")).first()[0] > 2**63
+
+
+def test_rows_of_few_ranges_are_looked_up_by_key_alone(spark, monkeypatch):
+    ranges = spark.range(300).select((F.col("id") % 3).alias("k"), (F.col("id") * 10).alias("begin"), "id").unionByName(
+        spark.range(200).select(F.lit(7).cast("long").alias("k"), (F.col("id") * 10).alias("begin"), "id")
+    )
+    ranges = ops.validity_ranges(ranges.where("k <> 1 OR id < 30"), ["k"], "begin", "id").select("k", "id", "validity")
+    rows = spark.range(2000).select(F.when(F.col("id") % 4 < 3, F.col("id") % 4).otherwise(7).alias("k"), (F.col("id") * 2).alias("t"))
+    rows = rows.unionByName(rows.where("t < 100")).unionByName(spark.createDataFrame([(None, 5), (1, None)], "k long, t long"))
+    looked_up = lambda: sorted((r["k"], r["t"], r["id"]) for r in ops.calibration_lookup(rows, ranges, ["k"], "t").collect())
+    got = looked_up()  # keys 0, 2 and 7 by time, 1 by key
+    assert got == sorted((r["k"], r["t"], r["id"]) for r in rows.join(ranges, "k").where("validity.begin <= t AND validity.end > t").collect())
+    for few, busy in ((1000, 10**6), (0, 10**6), (1000, 0)):
+        monkeypatch.setattr(ops, "FEW", few)
+        monkeypatch.setattr(ops, "BUSY", busy)
+        assert looked_up() == got
+    monkeypatch.undo()
+    few = queries.calib_lookup_shipments(spark, BASE)
+    assert few.collect() and "_level" not in plan_of(few).split("== Initial Plan ==")[0]  # no row goes to cells
