@@ -115,3 +115,26 @@ def test_points_and_circles_against_polygons(spark):
     assert "_polygons_overlap" in made._jdf.queryExecution().toString()  # for other pairs
     unlike = [x["i"] for x in made.collect() if not x["x"] == x["y"] == rows[x["i"]][1].overlaps(rows[x["i"]][2])]
     assert unlike == []
+
+
+def test_rows_of_one_span_are_joined_as_blocks(spark, monkeypatch, tmp_path):
+    r = random.Random(12)
+    times = [(DAY * d, DAY * (d + n)) for d in range(9) for n in (1, 4)] + [(5, 5), None]
+    rows = lambda n: [(i % (n - 4), 0, r.choice(times)) for i in range(n)]  # some ids twice
+    left, right = rows(90), rows(60)
+    a, b = spans(spark, left), spans(spark, right, span="t", id_="b").withColumnRenamed("k", "j")
+    live = lambda s: s and s[0] < s[1]
+    want = sorted((x[0], y[0]) for x in left for y in right if live(x[2]) and live(y[2]) and x[2][0] < y[2][1] and y[2][0] < x[2][1])
+    for sizes, places in (((1024, 256), 8), ((3, 2), 2), ((1, 1), 1)):
+        monkeypatch.setattr(intervals, "BLOCKS", sizes)
+        monkeypatch.setattr(intervals, "PLACES", places)
+        for other in ("t", "s"):
+            found = ops.overlap_join(a, b.withColumnRenamed("t", other), [], "s", other)
+            assert found.columns == ["a", "k", "s", "b", "j"] + ["t"] * (other == "t")
+            assert sorted((x["a"], x["b"]) for x in found.collect()) == want
+    monkeypatch.undo()
+    day = ts.span(F.lit(0), F.lit(DAY))
+    pairs = ops.overlap_join(spark.range(700).select("id", day.alias("s")), spark.range(3001).select(F.col("id").alias("b"), day.alias("t")), [], "s", "t")
+    pairs.select("id", "b").write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 700 * 3001
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 700 * 3001
